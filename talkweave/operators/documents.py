@@ -121,3 +121,11 @@ def trimmed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", trim_blank(F.col("text")))
 
 __all__ = [n for n in dir() if not n.startswith("_")]
+
+
+def with_audio_paths(documents: DataFrame, archives: DataFrame) -> DataFrame:
+    """Point ``metadata`` at the archived files, where ``archives(meeting_id, new_paths)`` has any."""
+    both = documents.join(archives, "meeting_id", "left")
+    names = F.transform("new_paths", lambda p: F.element_at(F.split(p, "/"), -1))
+    moved = F.col("metadata").withField("audio_paths", F.col("new_paths")).withField("audio_files", names)
+    return both.withColumn("metadata", F.when(F.col("new_paths").isNull(), F.col("metadata")).otherwise(moved)).drop("new_paths")
