@@ -169,6 +169,84 @@ class DriftFold(Fold):
         self.anchor, self.frames, self.done = now, 0, not healthy
         return [out]
 
+    def snapshot(self):
+        return self.anchor, self.frames, self.done
+
+    def restore(self, kept):
+        self.anchor, self.frames, self.done = kept
+
+
+class PadAlarmFold(Fold):
+    """Stream form of :func:`pad_alarm`: reports once."""
+
+    def __init__(self, keys: list[str], order: str):
+        self.keys, self.order = keys, order
+        self.ratio, self.min_total_s, self.min_padded_s = params.PAD_RATIO, params.PAD_MIN_TOTAL_S, params.PAD_MIN_PADDED_S
+        self.pad, self.total, self.done = 0, 0, False
+
+    def push(self, row):
+        if self.done or not row.rate > 0:
+            return ()
+        self.pad += max(0, int(row.pad_frames))
+        self.total += max(0, int(row.pad_frames)) + max(0, int(row.data_frames))
+        padded_s, total_s = self.pad / row.rate, self.total / row.rate
+        self.done = self.total > 0 and total_s >= self.min_total_s and padded_s >= self.min_padded_s and self.pad > self.total * self.ratio
+        if not self.done:
+            return ()
+        return [(*[getattr(row, k) for k in self.keys], int(getattr(row, self.order)), self.pad / self.total, padded_s, total_s)]
+
+    def snapshot(self):
+        return self.pad, self.total, self.done
+
+    def restore(self, kept):
+        self.pad, self.total, self.done = kept
+
+
+class StickyFold(Fold):
+    """Stream form of :func:`sticky_drops`: the first format of the session is the configured one."""
+
+    def __init__(self, key: str, order: str, limit: int):
+        self.key, self.order, self.limit = key, order, limit
+        self.rate, self.channels, self.chunk, self.run = None, None, None, 0
+
+    def push(self, row):
+        if self.rate is None:
+            self.rate, self.channels = int(row.sample_rate), int(row.channels)
+        if self.chunk != row.chunk_index:
+            self.chunk, self.run = int(row.chunk_index), 0
+        same = row.sample_rate == self.rate and row.channels == self.channels
+        self.run = 0 if same else self.run + 1
+        if self.run != self.limit:
+            return ()
+        return [(int(getattr(row, self.key)), self.chunk, int(getattr(row, self.order)), int(row.sample_rate), self.rate)]
+
+    def snapshot(self):
+        return self.rate, self.channels, self.chunk, self.run
+
+    def restore(self, kept):
+        self.rate, self.channels, self.chunk, self.run = kept
+
+
+class RetryFold(Fold):
+    """Stream form of :func:`retry_streaks`."""
+
+    def __init__(self, key: str, at: str, decay: float, cap: int):
+        self.key, self.at, self.decay, self.cap = key, at, decay, cap
+        self.last, self.streak = None, 0
+
+    def push(self, row):
+        at = getattr(row, self.at)
+        decayed = self.last is not None and at - self.last > self.decay
+        self.streak = 1 if decayed else self.streak + 1
+        self.last = float(at)
+        return [(getattr(row, self.key), at, self.streak, self.streak > self.cap)]
+
+    def snapshot(self):
+        return self.last, self.streak
+
+    def restore(self, kept):
+        self.last, self.streak = kept
+
 
 def rate_drift(callbacks: DataFrame, keys: list[str], order: str = "cb_ord") -> DataFrame:
     """Verdict at the end of every window, up to and including the first drift. A rebuild is a new key."""
@@ -187,9 +265,15 @@ class CooldownFold(Fold):
     def push(self, row):
         if self.last is not None and row.at_s - self.last < self.cooldown_s:
             return ()
-        self.last = row.at_s
+        self.last = float(row.at_s)
         return [(row.device_id, row.signal_ord, row.at_s)]
 
+    def snapshot(self):
+        return (self.last,)
+
+    def restore(self, kept):
+        (self.last,) = kept
+
 
 def meeting_signal(prompting: Column, recording: Column, mic: Column, app: Column) -> Column:
     return prompting & ~recording & mic & app

@@ -128,3 +128,10 @@ class Fold:
 
     def finish(self) -> Iterable[tuple]:
         return ()
+
+    def snapshot(self) -> tuple:
+        """What a stream keeps between micro-batches."""
+        raise NotImplementedError
+
+    def restore(self, kept: tuple) -> None:
+        raise NotImplementedError

@@ -78,6 +78,13 @@ class ReferenceVoices(Fold):
                 self.known[named[local]] = voice
         return named
 
+    def snapshot(self):
+        return self.next_number, {label: [float(x) for x in voice] for label, voice in self.known.items()}
+
+    def restore(self, kept):
+        self.next_number = kept[0]
+        self.known = {label: np.asarray(voice, dtype=np.float64) for label, voice in kept[1].items()}
+
 
 def reconcile(voices: DataFrame, threshold: float = params.RECONCILE_COSINE, keep: float = params.RECONCILE_KEEP) -> DataFrame:
     """``voices``: meeting_id, namespace, chunk_index, speaker, embedding -> ... speaker, global_speaker."""

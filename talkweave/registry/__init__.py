@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("scalars", "labeling", "echo", "monitors", "recovery", "documents", "evaluation", "requests")
+GROUPS = ("scalars", "labeling", "echo", "monitors", "recovery", "documents", "evaluation", "requests", "streams")
 
 
 def load():

@@ -151,10 +151,9 @@ SELECT session_id, chunk_index, CAST(count(*) AS BIGINT) AS n, max(stamp) AS sta
 def s2(t):
     path = scratch_dir(t.spark, "chunks")
     out = t.segments.select(F.concat(F.lit("m"), F.col("meeting_id").cast("string")).alias("session_id"), "chunk_index", "seg_ord", "text")
-    ss.write_chunks(out.withColumn("stamp", F.lit("first")), path)
-    ss.write_chunks(out.where("chunk_index = 1").withColumn("stamp", F.lit("second")), path)
-    back = t.spark.read.schema("seg_ord int, text string, stamp string, session_id string, chunk_index int").parquet(path)
-    return back.groupBy("session_id", "chunk_index").agg(F.count(F.lit(1)).alias("n"), F.max("stamp").alias("stamp"))
+    ss.write_chunks(out.withColumn("stamp", F.lit("first")), path, 1)
+    ss.write_chunks(out.where("chunk_index = 1").withColumn("stamp", F.lit("second")), path, 2)
+    return ss.read_chunks(t.spark, path).groupBy("session_id", "chunk_index").agg(F.count(F.lit(1)).alias("n"), F.max("stamp").alias("stamp"))
 
 
 @query("s8_diagnostics_lines", """

@@ -39,8 +39,17 @@ def chunk_voices(chunks: DataFrame) -> DataFrame:
             .select("session_id", "chunk_index", "source", F.explode("db").alias("speaker", "embedding")))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace exactly the (session, chunk) partitions present in ``chunks``; others stay."""
-    keyed = chunks.repartition("session_id", "chunk_index")
-    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("session_id", "chunk_index").parquet(path))
+def write_chunks(chunks: DataFrame, path: str, version: int) -> None:
+    """Store chunks under a new version. Writing a version again replaces it, so a retried job is harmless.
+
+    Chunks are not folders: millions of meetings would mean millions of tiny files. A chunk written again is
+    superseded when read.
+    """
+    chunks.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Every chunk in its newest version."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy("session_id", "chunk_index").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["session_id", "chunk_index", "version"], "left_semi").drop("version")
