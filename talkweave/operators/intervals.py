@@ -44,27 +44,24 @@ def carried(df: DataFrame, key: list[str]) -> list[Column]:
     return [F.any_value(c).alias(c) for c in df.columns if c not in key]
 
 
-def nearest_before(points: DataFrame, edges: DataFrame, keys: list[str], at: str, point_id: list[str],
-                   edge_at: str, pick: Column, width: float = 600.0) -> DataFrame:
-    """Greatest ``pick`` (an orderable struct led by ``edge_at``) among edges not after each point."""
-    marks = edges.select(*keys, F.col(edge_at).alias("__t"), F.lit(0).alias("__k"),
-                         *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in point_id],
-                         pick.alias("__pick"))
-    asks = points.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__k"), *point_id,
-                         F.lit(None).cast(marks.schema["__pick"].dataType).alias("__pick"))
-    scanned = block_scan(marks.unionByName(asks), keys, ["__t", "__k"],
-                         [Scan("before", "max", F.col("__pick"))], blocks_of(F.col("__t"), width))
-    return scanned.where("__k = 1").select(*keys, *point_id, "before")
+def neighbours(points: DataFrame, at: str, spans: DataFrame, keys: list[str], start: str, end: str, last: Column,
+               first: Column, width: float = 600.0) -> DataFrame:
+    """Adds to each point ``before``: the greatest ``last`` of the spans ended by then, and ``after``: the least
+    ``first`` of those not yet begun.
 
-
-def nearest_after(points: DataFrame, edges: DataFrame, keys: list[str], at: str, point_id: list[str],
-                  edge_at: str, pick: Column, width: float = 600.0) -> DataFrame:
-    """Least ``pick`` among edges not before each point."""
-    marks = edges.select(*keys, F.col(edge_at).alias("__t"), F.lit(1).alias("__k"),
-                         *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in point_id],
-                         pick.alias("__pick"))
-    asks = points.select(*keys, F.col(at).alias("__t"), F.lit(0).alias("__k"), *point_id,
-                         F.lit(None).cast(marks.schema["__pick"].dataType).alias("__pick"))
-    scanned = block_scan(marks.unionByName(asks), keys, ["__t", "__k"],
-                         [Scan("after", "min", F.col("__pick"))], blocks_of(F.col("__t"), width), descending=True)
-    return scanned.where("__k = 0").select(*keys, *point_id, "after")
+    ``last`` and ``first`` are orderable structs led by the span's end and start. Points and span edges are put on
+    one time line and scanned once in each direction.
+    """
+    cols = points.columns
+    kinds = {c: points.schema[c].dataType for c in cols if c not in keys}
+    blank = [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    edges = F.array(
+        F.struct(F.col(end).alias("t"), F.lit(0).alias("k"), last.alias("l"), F.lit(None).alias("f")),
+        F.struct(F.col(start).alias("t"), F.lit(2).alias("k"), F.lit(None).alias("l"), first.alias("f")))
+    marks = spans.select(*keys, *blank, F.inline(edges).alias("__t", "__k", "__l", "__f"))
+    nothing = {c: F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("__l", "__f")}
+    asks = points.select(*keys, *kinds, F.col(at).alias("__t"), F.lit(1).alias("__k"), *nothing.values())
+    both = marks.unionByName(asks)
+    scans = [Scan("before", "max", F.col("__l")), Scan("after", "min", F.col("__f"), reverse=True)]
+    scanned = block_scan(both, keys, ["__t", "__k"], scans, blocks_of(F.col("__t"), width))
+    return scanned.where("__k = 1").select(*cols, "before", "after")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import params
 from ..functions.text import is_blank, is_punctuation_only, is_unknown, trim_blank, with_source_prefix
 from ..functions.timing import overlap_seconds
-from .intervals import carried, nearest_after, nearest_before, overlap_pairs
+from .intervals import carried, neighbours, overlap_pairs
 from .ordered import block_scan, blocks_of, previous
 
 STREAM = ["meeting_id", "chunk_index", "source"]
@@ -79,33 +79,32 @@ def label_by_overlap(rows: DataFrame, turns: DataFrame, key: list[str] = SEGMENT
 
 
 def word_owner(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """Every word with the speaker of its turn; a word in a gap goes to the nearest turn, null without turns."""
+    """Every word with the speaker of its turn; a word in a gap goes to the nearest turn, null without turns.
+
+    Neighbouring turns are found for all words in one scan, overlapping ones in one join. The result is laid out by
+    segment, as the steps that follow need it.
+    """
     w = words.select(*WORD, "w_start", "w_end", "word")
     lean = turns.select(*STREAM, "turn_ord", "t_start", "t_end", "speaker")
-    pairs = overlap_pairs(w, lean, STREAM, "w_start", "w_end", "t_start", "t_end", touching=True, how="left")
+    last = F.struct(F.col("t_end").alias("at"), (-F.col("turn_ord")).alias("o"), "speaker")
+    first = F.struct(F.col("t_start").alias("at"), F.col("turn_ord").alias("o"), "speaker")
+    placed = neighbours(w, "w_start", lean, STREAM, "t_start", "t_end", last, first)
+    near = placed.select(*w.columns, _nearer().alias("near"))
+    pairs = overlap_pairs(near, lean, STREAM, "w_start", "w_end", "t_start", "t_end", touching=True, how="left")
     mid = (F.col("w_start") + F.col("w_end")) / 2
     overlap = overlap_seconds(*map(F.col, ("w_start", "w_end", "t_start", "t_end")))
     has_mid = (F.col("t_start") <= mid) & (mid <= F.col("t_end")) & (overlap > 0)
-    scored = pairs.withColumn("__o", overlap).withColumn("__m", has_mid)
-    rank = F.when(F.col("turn_ord").isNotNull(), _win_rank(F.col("__o"), F.col("__m")))
-    touched = scored.groupBy(*WORD).agg(*carried(w, WORD), F.max_by("speaker", rank).alias("owner"))
-    near = nearest_turn(touched.where("owner IS NULL").select(*WORD, "w_start", "w_end", "word"), lean)
-    joined = touched.join(near, WORD, "left")
-    return joined.select(*WORD, "w_start", "w_end", "word", F.coalesce("owner", "near").alias("owner"))
-
-
-def nearest_turn(gaps: DataFrame, turns: DataFrame) -> DataFrame:
-    """For words touching no turn: the closer of the turn ending last before and the one starting first after."""
-    ident = ["seg_ord", "word_ord"]
-    before = nearest_before(gaps, turns, STREAM, "w_start", ident, "t_end",
-                            F.struct(F.col("t_end").alias("at"), (-F.col("turn_ord")).alias("o"), "speaker"))
-    after = nearest_after(gaps, turns, STREAM, "w_end", ident, "t_start",
-                          F.struct(F.col("t_start").alias("at"), F.col("turn_ord").alias("o"), "speaker"))
-    both = gaps.join(before, WORD).join(after, WORD)
+    rank = F.when(F.col("turn_ord").isNotNull(), _win_rank(overlap, has_mid))
+    scored = pairs.select(*near.columns, "speaker", rank.alias("__rank")).repartition(*SEGMENT)
+    owned = scored.groupBy(*WORD).agg(*carried(near, WORD), F.max_by("speaker", "__rank").alias("owner"))
+    return owned.select(*WORD, "w_start", "w_end", "word", F.coalesce("owner", "near").alias("owner"))
+
+
+def _nearer() -> Column:
+    """For a word touching no turn: the speaker of the closer of its two neighbours, the earlier-listed on a tie."""
     back, ahead = F.col("w_start") - F.col("before.at"), F.col("after.at") - F.col("w_end")
     first = F.col("after").isNull() | (back < ahead) | ((back == ahead) & (-F.col("before.o") < F.col("after.o")))
-    pick = F.when(F.col("before").isNotNull() & first, F.col("before.speaker")).otherwise(F.col("after.speaker"))
-    return both.select(*WORD, pick.alias("near"))
+    return F.when(F.col("before").isNotNull() & first, F.col("before.speaker")).otherwise(F.col("after.speaker"))
 
 
 def word_pieces(owned: DataFrame) -> DataFrame:
@@ -230,7 +229,7 @@ def tag_source(labeled: DataFrame) -> DataFrame:
 def sentences(tokens: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
     """Join tokens into sentences ending in ``.!?``; a dot before a digit does not end one."""
     from .ordered import Scan
-    ahead = block_scan(tokens, keys, [order], [previous("__n", F.substring("token", 1, 1))], block, descending=True)
+    ahead = block_scan(tokens, keys, [order], [previous("__n", F.substring("token", 1, 1), reverse=True)], block)
     mark = F.expr("right(token, 1)")
     decimal = (mark == ".") & F.coalesce(F.col("__n.v").rlike(r"^\p{N}"), F.lit(False))
     ends = (mark.isin(".", "!", "?") & ~decimal) | F.col("__n").isNull()

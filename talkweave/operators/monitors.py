@@ -29,8 +29,8 @@ def merged_in_time(a: DataFrame, b: DataFrame) -> DataFrame:
 def retained(events: DataFrame, cost: Column, max_events: int = params.RING_EVENTS, max_bytes: int = params.RING_BYTES) -> DataFrame:
     """What a ring bounded by count and bytes still holds; the newest event always stays."""
     sized = events.withColumn("cost", cost)
-    scans = [Scan("__n", "sum", F.lit(1).cast("bigint")), Scan("__b", "sum", F.col("cost").cast("bigint"))]
-    tail = block_scan(sized, ["session_id"], ["ts", "event_ord"], scans, blocks_of(F.unix_seconds("ts"), 3600), descending=True)
+    scans = [Scan("__n", "sum", F.lit(1).cast("bigint"), reverse=True), Scan("__b", "sum", F.col("cost").cast("bigint"), reverse=True)]
+    tail = block_scan(sized, ["session_id"], ["ts", "event_ord"], scans, blocks_of(F.unix_seconds("ts"), 3600))
     fits = (F.col("__n") <= max_events) & (F.col("__b") <= max_bytes)
     return tail.where((F.col("__n") == 1) | fits).drop("__n", "__b")
 

@@ -19,70 +19,63 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Scan:
-    """One running value. ``kind``: sum, max, min, or last (newest non-null value)."""
+    """One running value. ``kind``: sum, max, min, or last (nearest non-null value). ``reverse`` runs from the end."""
 
     out: str
     kind: str
     value: Column
     inclusive: bool = True
+    reverse: bool = False
 
 
-def previous(out: str, value: Column) -> Scan:
-    """Value of the preceding row, null included; read it as ``col(out).v``."""
-    return Scan(out, "last", F.struct(value.alias("v")), inclusive=False)
+def previous(out: str, value: Column, reverse: bool = False) -> Scan:
+    """Value of the neighbouring row, null included; read it as ``col(out).v``."""
+    return Scan(out, "last", F.struct(value.alias("v")), inclusive=False, reverse=reverse)
 
 
 def blocks_of(order: Column, width: float) -> Column:
     return F.floor(order / F.lit(width)).cast("bigint")
 
 
-def block_scan(df: DataFrame, keys: list[str], order: list[str], scans: Iterable[Scan], block: Column,
-               descending: bool = False) -> DataFrame:
+_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def block_scan(df: DataFrame, keys: list[str], order: list[str], scans: Iterable[Scan], block: Column) -> DataFrame:
     """Add every scan's column. ``order`` must be unique per key; ``block`` must not decrease along it."""
     scans = list(scans)
     position = F.struct(*order)
     part = [*keys, _BLOCK]
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
 
     blocked = df.withColumn(_BLOCK, block)
     for i, s in enumerate(scans):
         blocked = blocked.withColumn(f"__v{i}", s.value)
 
-    newest = F.min_by if descending else F.max_by
-
     def summary(i: int, s: Scan) -> Column:
         v = F.col(f"__v{i}")
         if s.kind == "last":
-            return newest(v, F.when(v.isNotNull(), position))
-        return {"sum": F.sum, "max": F.max, "min": F.min}[s.kind](v)
+            return (F.min_by if s.reverse else F.max_by)(v, F.when(v.isNotNull(), position))
+        return _AGGREGATES[s.kind](v)
 
-    totals = blocked.groupBy(*part).agg(*[summary(i, s).alias(f"__t{i}") for i, s in enumerate(scans)])
-    before = Window.partitionBy(*keys).orderBy(direction(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    def over(s: Scan, c: Column, w) -> Column:
+        return (F.last(c, ignorenulls=True) if s.kind == "last" else _AGGREGATES[s.kind](c)).over(w)
 
-    def over(kind: str, c: Column, w) -> Column:
-        if kind == "last":
-            return F.last(c, ignorenulls=True).over(w)
-        return {"sum": F.sum, "max": F.max, "min": F.min}[kind](c).over(w)
+    def arranged(columns: list[str], by: list[str], s: Scan):
+        return Window.partitionBy(*by).orderBy(*[F.col(c).desc() if s.reverse else F.col(c).asc() for c in columns])
 
-    carries = totals.select(*part, *[over(s.kind, F.col(f"__t{i}"), before).alias(f"__c{i}")
-                                     for i, s in enumerate(scans)])
-    inside = Window.partitionBy(*part).orderBy(*[direction(c) for c in order])
+    totals = blocked.groupBy(*part).agg(*[summary(i, s).alias(f"__t{i}") for i, s in enumerate(scans)])
+    carries = totals.select(*part, *[
+        over(s, F.col(f"__t{i}"), arranged([_BLOCK], keys, s).rowsBetween(Window.unboundedPreceding, -1)).alias(f"__c{i}")
+        for i, s in enumerate(scans)])
 
     def combine(i: int, s: Scan) -> Column:
-        w = inside.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-        local, carry = over(s.kind, F.col(f"__v{i}"), w), F.col(f"__c{i}")
+        w = arranged(order, part, s).rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
+        local, carry = over(s, F.col(f"__v{i}"), w), F.col(f"__c{i}")
         if s.kind == "sum":
-            zero = F.lit(0)
-            return F.coalesce(local, zero) + F.coalesce(carry, zero)
-        if s.kind == "max":
-            return F.greatest(local, carry)
-        if s.kind == "min":
-            return F.least(local, carry)
-        return F.coalesce(local, carry)
+            return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        return {"max": F.greatest, "min": F.least, "last": F.coalesce}[s.kind](local, carry)
 
     joined = blocked.join(carries, part)
-    out = joined.select(*df.columns, *[combine(i, s).alias(s.out) for i, s in enumerate(scans)])
-    return out
+    return joined.select(*df.columns, *[combine(i, s).alias(s.out) for i, s in enumerate(scans)])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, block: Column) -> DataFrame:

@@ -31,7 +31,7 @@ def final_ratios(calls: DataFrame, order: str = "call_ord", width: float = 1 <<
     hard = F.col("kind") != "real"
     last = ok.groupBy("model").agg(F.max_by(F.struct(order, "kind", "value"), F.when(hard, F.col(order))).alias("reset"))
     after = ok.join(last, "model").where((F.col("kind") == "real") & (F.col("reset").isNull() | (F.col(order) > F.col(f"reset.{order}"))))
-    newest_first = block_scan(after, ["model"], [order], [Scan("k", "sum", F.lit(1).cast("bigint"))], blocks_of(F.col(order), width), descending=True)
+    newest_first = block_scan(after, ["model"], [order], [Scan("k", "sum", F.lit(1).cast("bigint"), reverse=True)], blocks_of(F.col(order), width))
     keep, new = 1 - params.TOKEN_BLEND_NEW, params.TOKEN_BLEND_NEW
     tail = newest_first.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("value", order).alias("oldest"),

@@ -42,7 +42,7 @@ def discovered(files: DataFrame, bases: DataFrame) -> DataFrame:
 def index_gaps(present: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Missing indices between the smallest and the largest, found from neighbours rather than from a full list."""
     one = present.select(*keys, F.col(idx).cast("bigint").alias("i")).distinct()
-    ahead = block_scan(one, keys, ["i"], [Scan("next_i", "min", F.col("i"), inclusive=False)], blocks_of(F.col("i"), 65536), descending=True)
+    ahead = block_scan(one, keys, ["i"], [Scan("next_i", "min", F.col("i"), inclusive=False, reverse=True)], blocks_of(F.col("i"), 65536))
     holes = ahead.where(F.col("next_i") > F.col("i") + 1)
     return holes.select(*keys, F.explode(F.sequence(F.col("i") + 1, F.col("next_i") - 1)).alias("missing"))
 
