@@ -6,7 +6,8 @@ from ..functions import vectors as vc
 from ..operators import echo, labeling as lb, merge as mg, reconcile as rc
 from ..plans import chunked, oneshot
 from .base import query
-from .scalars import duck_words
+from .labeling import define_labeled, define_split
+from .scalars import duck_trim, duck_words
 from .tables import CHUNK, STREAM, _d, define
 
 IDENT = ["seg_ord"]
@@ -247,24 +248,126 @@ def j26(t):
     return found.select(*STREAM, "speaker", "reference", F.round("similarity", 6).alias("similarity"))
 
 
-@query("u1_reconciled_speakers")
+def define_identities(name: str, voices: str, namespace: str) -> None:
+    """Replay of the greedy matching: one recursion step per chunk, the reference voices held as a list."""
+    define(name, (voices,), f"""
+SELECT meeting_id, namespace, chunk_index, m.s AS speaker, m.g AS global_speaker FROM (
+WITH RECURSIVE c AS (
+  SELECT *, row_number() OVER (PARTITION BY meeting_id, namespace ORDER BY chunk_index) AS k FROM (
+    SELECT meeting_id, {namespace} AS namespace, chunk_index, list({{'s': speaker, 'e': embedding::DOUBLE[]}} ORDER BY speaker) AS locals FROM {voices} GROUP BY ALL)),
+r AS (
+  SELECT meeting_id, namespace, chunk_index, k, list_transform(locals, lambda l: {{'g': l.s, 'e': l.e}}) AS refs,
+         list_max(list_transform(locals, lambda l: CAST(regexp_extract(l.s, '(\\d+)$', 1) AS BIGINT))) + 1 AS nxt,
+         list_transform(locals, lambda l: {{'s': l.s, 'g': l.s}}) AS mapping FROM c WHERE k = 1
+  UNION ALL
+  SELECT meeting_id, namespace, chunk_index, k,
+    list_concat(list_transform(refs, lambda f: {{'g': f.g, 'e': CASE WHEN len(list_filter(got, lambda x: x.g = f.g)) = 0 THEN f.e
+      ELSE list_transform(list_zip(f.e, list_filter(got, lambda x: x.g = f.g)[1].e), lambda z: 0.9::DOUBLE * z[1] + (1 - 0.9::DOUBLE) * z[2]) END}}),
+      list_transform(fresh, lambda l, i: {{'g': 'Speaker ' || (nxt + i - 1), 'e': l.e}})),
+    nxt + len(fresh),
+    list_concat(list_transform(got, lambda x: {{'s': x.s, 'g': x.g}}), list_transform(fresh, lambda l, i: {{'s': l.s, 'g': 'Speaker ' || (nxt + i - 1)}}))
+  FROM (
+    SELECT *, list_filter(locals, lambda l: len(list_filter(got, lambda x: x.s = l.s)) = 0) AS fresh FROM (
+      SELECT c.meeting_id, c.namespace, c.chunk_index, c.k, c.locals, r.refs, r.nxt,
+        list_reduce(list_sort(list_filter(flatten(list_transform(c.locals, lambda l: list_transform(r.refs, lambda f: {{'m': -list_cosine_similarity(l.e, f.e), 's': l.s, 'g': f.g, 'e': l.e}}))), lambda x: x.m <= -0.65)),
+          lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s = x.s OR y.g = x.g)) > 0 THEN acc ELSE list_append(acc, x) END,
+          CAST([] AS STRUCT(m DOUBLE, s VARCHAR, g VARCHAR, e DOUBLE[])[])) AS got
+      FROM r JOIN c ON c.meeting_id = r.meeting_id AND c.namespace = r.namespace AND c.k = r.k + 1)))
+SELECT meeting_id, namespace, chunk_index, unnest(mapping) AS m FROM r)""")
+
+
+define("r_known", ("v_speaker_embeddings", "v_chunks"), """
+SELECT e.* REPLACE (CASE WHEN NOT d.dual THEN '' WHEN e.source = 'local' THEN 'Local ' ELSE 'Remote ' END AS source)
+FROM v_speaker_embeddings e JOIN (SELECT meeting_id, bool_or(is_dual_stream) AS dual FROM v_chunks GROUP BY meeting_id) d USING (meeting_id) WHERE d.dual OR e.source <> 'local'""")
+define_identities("r_channel_identity", "r_known", "source")
+define_identities("r_source_identity", "v_speaker_embeddings", "source")
+define_identities("r_odd_identity", "r_voices", "source")
+define("r_channel_map", ("r_channel_identity", "v_chunks"), """
+SELECT i.meeting_id, i.chunk_index, CASE WHEN namespace = 'Local ' THEN 'local' ELSE 'remote' END AS source,
+       CASE WHEN namespace = 'Local ' OR c.is_dual_stream THEN namespace ELSE '' END || speaker AS speaker, namespace || global_speaker AS global
+FROM r_channel_identity i JOIN v_chunks c USING (meeting_id, chunk_index)""")
+
+
+@query("u1_reconciled_speakers", "SELECT * FROM r_channel_map", ("r_channel_map",))
 def u1(t):
     return rc.channel_mapping(t.speaker_embeddings, t.chunks)
 
 
-@query("u7_reconciled_segments")
+@query("u7_reconciled_segments", """
+SELECT meeting_id, namespace, chunk_index || ':' || speaker AS segment_label, global_speaker FROM r_source_identity""", ("r_source_identity",))
 def u7(t):
     return rc.reconcile_segments(t.speaker_embeddings)
 
 
-@query("chunked_transcript")
+define("r_clean", ("v_segments",), f"""
+SELECT * EXCLUDE (t, p) FROM (
+  SELECT *, lag(t) OVER (PARTITION BY meeting_id, chunk_index, source ORDER BY seg_ord) AS p
+  FROM (SELECT *, {duck_trim('text')} AS t FROM v_segments WHERE start_s <> end_s)) WHERE p IS NULL OR p <> t""")
+define_split("r_clean_split", "r_clean")
+define_labeled("r_clean_labeled", "r_clean_split")
+define("r_landed_all", ("r_clean_labeled", "r_names"), f"""
+SELECT l.* REPLACE (CASE l.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || CASE WHEN l.speaker = 'Unknown' AND n.n = 1 THEN coalesce(f.speaker, 'Unknown') ELSE l.speaker END AS speaker,
+       {duck_trim('l.text')} AS text)
+FROM r_clean_labeled l
+LEFT JOIN (SELECT meeting_id, chunk_index, source, count(*) AS n FROM r_names GROUP BY ALL) n USING (meeting_id, chunk_index, source)
+LEFT JOIN (SELECT meeting_id, chunk_index, source, arg_min(speaker, start_s * 1000000 + seg_ord * 100 + piece) AS speaker FROM r_clean_labeled WHERE speaker <> 'Unknown' GROUP BY ALL) f USING (meeting_id, chunk_index, source)""")
+
+
+def define_echo_free(name: str, rows: str, best: str, chunk_key: str, ident: str) -> None:
+    """``rows`` without the local ones that repeat the remote speaker ``best`` names for them."""
+    keys, ids = chunk_key.split(", "), ident.split(", ")
+    on = " AND ".join(f"{{0}}.{k} = {{1}}.{k}" for k in keys)
+    l_ids = ", ".join(f"l.{i} AS l_{i}" for i in ids)
+    group = ", ".join([*keys, *[f"l_{i}" for i in ids]])
+    define(f"{name}_pairs", (rows, best), f"""
+SELECT {', '.join('l.' + k for k in keys)}, {l_ids}, r.start_s AS r_start, r.text AS r_text, {duck_words('l.text')} AS lw, {duck_words('r.text')} AS rw
+FROM {rows} l JOIN {best} b ON {on.format('b', 'l')} AND 'Local ' || b.local = l.speaker
+JOIN {rows} r ON {on.format('r', 'l')} AND r.source = 'remote' AND r.speaker = 'Remote ' || b.remote
+WHERE l.source = 'local' AND least(l.end_s - l.start_s, r.end_s - r.start_s) > 0
+  AND (least(l.end_s, r.end_s) - greatest(l.start_s, r.start_s)) / least(l.end_s - l.start_s, r.end_s - r.start_s) > 0.5""")
+    define(name, (f"{name}_pairs", rows), f"""
+SELECT t.* FROM {rows} t ANTI JOIN (
+  SELECT {group} FROM {name}_pairs WHERE {HIT}
+  UNION SELECT {group} FROM (SELECT {group}, any_value(lw) AS lw, {duck_words("string_agg(r_text, ' ' ORDER BY r_start)")} AS ww FROM {name}_pairs GROUP BY {group} HAVING count(*) > 1)
+  WHERE len(list_intersect(lw, ww)) / (len(lw) + len(ww) - len(list_intersect(lw, ww))) > 0.7) e
+ON {on.format('e', 't')} AND {' AND '.join(f'e.l_{i} = t.{i}' for i in ids)}""")
+
+
+define("r_plain_best", ("v_speaker_embeddings",), """
+SELECT l.meeting_id, l.chunk_index, l.speaker AS local, r.speaker AS remote, list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS similarity
+FROM v_speaker_embeddings l JOIN v_speaker_embeddings r ON l.meeting_id = r.meeting_id AND l.chunk_index = r.chunk_index AND l.source = 'local' AND r.source = 'remote'
+WHERE similarity > 0.8 QUALIFY row_number() OVER (PARTITION BY l.meeting_id, l.chunk_index, l.speaker ORDER BY similarity DESC, r.speaker) = 1""")
+define_echo_free("r_landed", "r_landed_all", "r_plain_best", "meeting_id, chunk_index", "seg_ord, piece")
+
+
+@query("chunked_transcript", """
+SELECT l.meeting_id, l.chunk_index, l.source, l.seg_ord, l.piece, round(chunk_index * 40 + l.start_s, 6) AS elapsed, round(chunk_index * 40 + l.end_s, 6) AS elapsed_end, coalesce(m.global, l.speaker) AS speaker, l.text
+FROM r_landed l LEFT JOIN (SELECT * EXCLUDE (source) FROM r_channel_map) m USING (meeting_id, chunk_index, speaker)""", ("r_landed", "r_channel_map"))
 def chunked_plan(t):
     rows = chunked.processed_chunks(t.segments, t.words, t.turns, t.speech, t.speaker_embeddings)
     done = chunked.finalize(rows, t.speaker_embeddings, t.chunks, *_starts())
-    return done.select(*STREAM, "seg_ord", "piece", "elapsed", "elapsed_end", "speaker", "text")
-
-
-@query("oneshot_transcript")
+    return done.select(*STREAM, "seg_ord", "piece", F.round("elapsed", 6).alias("elapsed"), F.round("elapsed_end", 6).alias("elapsed_end"), "speaker", "text")
+
+
+define("r_oneshot_map", ("r_odd_identity",), "SELECT * EXCLUDE (namespace), namespace AS source FROM r_odd_identity")
+define("r_oneshot_rows", ("v_segments", "r_oneshot_map"), """
+SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.chunk_index * 40 + s.start_s AS start_s, s.chunk_index * 40 + s.end_s AS end_s, s.text,
+       CASE s.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || coalesce(m.global_speaker, s.raw) AS speaker
+FROM (SELECT *, 'Speaker ' || (seg_ord % 2 + 1) AS raw FROM v_segments) s
+LEFT JOIN r_oneshot_map m ON m.meeting_id = s.meeting_id AND m.chunk_index = s.chunk_index AND m.source = s.source AND m.speaker = s.raw""")
+define("r_everyone", ("r_voices", "r_oneshot_map"), """
+SELECT v.meeting_id, v.source, m.global_speaker AS speaker, arg_min(v.embedding, v.chunk_index * 100 + CAST(right(v.speaker, 1) AS INT)) AS embedding
+FROM r_voices v JOIN r_oneshot_map m USING (meeting_id, chunk_index, source, speaker) GROUP BY ALL""")
+define("r_oneshot_best", ("r_everyone",), """
+SELECT l.meeting_id, l.speaker AS local, r.speaker AS remote, list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS similarity
+FROM r_everyone l JOIN r_everyone r ON l.meeting_id = r.meeting_id AND l.source = 'local' AND r.source = 'remote'
+WHERE similarity > 0.8
+QUALIFY row_number() OVER (PARTITION BY l.meeting_id, l.speaker ORDER BY similarity DESC, CAST(regexp_extract(r.speaker, '(\\d+)$', 1) AS BIGINT)) = 1""")
+define_echo_free("r_oneshot", "r_oneshot_rows", "r_oneshot_best", "meeting_id", "seg_ord")
+
+
+@query("oneshot_transcript", """
+SELECT meeting_id, chunk_index, source, seg_ord, start_s, end_s, speaker, text FROM r_oneshot""", ("r_oneshot",))
 def oneshot_plan(t):
     who = F.concat(F.lit("Speaker "), (F.col("seg_ord") % 2 + 1).cast("string"))
     offsets = t.chunks.select(*CHUNK, _d(F.col("chunk_index") * 40).alias("offset_s"))

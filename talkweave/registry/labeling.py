@@ -170,12 +170,16 @@ SELECT *, count(*) OVER (PARTITION BY {SEG}) AS n_pieces, sum(n) OVER (PARTITION
 FROM (SELECT {SEG}, CAST(piece AS BIGINT) AS piece, count(*) AS n, min(w_start) AS p_start, arg_max(w_end, word_ord) AS p_end,
              {duck_trim("string_agg(word, '' ORDER BY w_start, word_ord)")} AS p_text, arg_min(owner, word_ord) AS dominant
       FROM r_pieces GROUP BY {SEG}, piece)""")
-define("r_split", ("r_piece_rows", "v_segments"), f"""
+def define_split(name: str, segments: str) -> None:
+    define(name, ("r_piece_rows", segments), f"""
 SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, coalesce(p.piece, 1) AS piece,
        CASE WHEN p.n_pieces > 1 AND NOT p.is_first THEN p_start ELSE s.start_s END AS start_s,
        CASE WHEN p.n_pieces > 1 AND NOT p.is_last THEN p_end ELSE s.end_s END AS end_s,
        CASE WHEN p.n_pieces > 1 THEN p_text ELSE s.text END AS text, p.dominant, s.confidence
-FROM v_segments s LEFT JOIN (SELECT * FROM r_piece_rows WHERE n_words >= 2 AND (n_pieces = 1 OR p_text <> '')) p USING ({SEG})""")
+FROM {segments} s LEFT JOIN (SELECT * FROM r_piece_rows WHERE n_words >= 2 AND (n_pieces = 1 OR p_text <> '')) p USING ({SEG})""")
+
+
+define_split("r_split", "v_segments")
 
 
 @query("w6_split_pieces", """
@@ -218,7 +222,8 @@ def j12(t):
     return named.select(*STREAM, "speaker", F.size("embedding").alias("dim"))
 
 
-define("r_labeled", ("r_split", "r_names", "v_turns", "v_speech"), f"""
+def define_labeled(name: str, split: str) -> None:
+    define(name, (split, "r_names", "v_turns", "v_speech"), f"""
 SELECT meeting_id, chunk_index, source, seg_ord, piece, start_s, end_s, text, confidence,
        CASE WHEN loud AND NOT good THEN 'Unknown' ELSE speaker END AS speaker
 FROM (
@@ -226,28 +231,31 @@ FROM (
   FROM (
     SELECT s.*, CASE WHEN s.dominant IS NULL THEN coalesce(o.speaker, 'Unknown') ELSE s.dominant END AS raw,
            CASE WHEN s.dominant IS NULL THEN o.quality_score ELSE e.quality_score END AS quality
-    FROM r_split s
+    FROM {split} s
     LEFT JOIN (SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.piece, t.speaker, t.quality_score, t.turn_ord,
                  greatest(least(s.end_s, t.t_end) - greatest(s.start_s, t.t_start), 0) AS overlap,
                  t.t_start <= (s.start_s + s.end_s) / 2 AND (s.start_s + s.end_s) / 2 <= t.t_end AS has_mid
-               FROM r_split s JOIN v_turns t USING ({KEY})
+               FROM {split} s JOIN v_turns t USING ({KEY})
                WHERE greatest(least(s.end_s, t.t_end) - greatest(s.start_s, t.t_start), 0) > 0
                   OR (t.t_start <= (s.start_s + s.end_s) / 2 AND (s.start_s + s.end_s) / 2 <= t.t_end)
                QUALIFY row_number() OVER (PARTITION BY {SEG}, piece {RANK}) = 1) o USING ({SEG}, piece)
     LEFT JOIN (SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.piece, t.quality_score
-               FROM r_split s JOIN v_turns t USING ({KEY})
+               FROM {split} s JOIN v_turns t USING ({KEY})
                WHERE t.speaker = s.dominant AND least(s.end_s, t.t_end) > greatest(s.start_s, t.t_start)
                QUALIFY row_number() OVER (PARTITION BY {SEG}, piece
                  ORDER BY least(s.end_s, t.t_end) - greatest(s.start_s, t.t_start) DESC, turn_ord) = 1) e USING ({SEG}, piece)) p
   LEFT JOIN (SELECT {KEY}, speaker AS raw, name FROM r_names) n USING ({KEY}, raw)
   LEFT JOIN (SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.piece,
                CASE WHEN s.end_s > s.start_s THEN least(1.0, sum(least(s.end_s, r.r_end) - greatest(s.start_s, r.r_start)) / (s.end_s - s.start_s)) ELSE 0 END AS fraction
-             FROM r_split s JOIN v_speech r USING ({KEY})
+             FROM {split} s JOIN v_speech r USING ({KEY})
              WHERE r.probability >= 0.5 AND least(s.end_s, r.r_end) > greatest(s.start_s, r.r_start)
              GROUP BY {SEG}, piece, s.start_s, s.end_s) f USING ({SEG}, piece))
 WHERE loud OR good""")
 
 
+define_labeled("r_labeled", "r_split")
+
+
 @query("p6_gated_labels", f"""
 SELECT meeting_id, chunk_index, source, seg_ord, piece, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, speaker,
        {duck_trim('text')} AS text FROM r_labeled""", ("r_labeled",))

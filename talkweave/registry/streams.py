@@ -43,7 +43,8 @@ def t1(t):
     return st.collect_latest(s, ["session_id", "chunk_index"], "rotation")
 
 
-@query("t2_landed_chunks")
+@query("t2_landed_chunks", """
+SELECT meeting_id, chunk_index, source, seg_ord, piece, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, speaker FROM r_landed""", ("r_landed",))
 def t2(t):
     def plan(batch):
         b = Batch(batch.sparkSession, t.root, batch)
@@ -106,7 +107,7 @@ def t7(t):
 same_as("t7_prompts", "u5_prompts")
 
 
-@query("t8_online_reconciliation")
+@query("t8_online_reconciliation", "SELECT meeting_id, namespace, chunk_index, speaker, global_speaker FROM r_source_identity", ("r_source_identity",))
 def t8(t):
     """Voices land as one file per meeting channel history here; the identities must equal the batch fold's."""
     path = st.scratch_dir(t.spark, "voices")
