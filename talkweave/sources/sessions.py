@@ -34,7 +34,7 @@ def chunk_segments(chunks: DataFrame) -> DataFrame:
 
 def chunk_voices(chunks: DataFrame) -> DataFrame:
     """Both speaker tables of stored chunks as rows."""
-    both = F.map_from_entries(F.array(F.struct(F.lit("remote"), F.col("speaker_database")), F.struct(F.lit("local"), F.col("local_speaker_database"))))
+    both = F.create_map(F.lit("remote"), F.col("speaker_database"), F.lit("local"), F.col("local_speaker_database"))
     return (chunks.select("session_id", "chunk_index", F.explode(both).alias("source", "db"))
             .select("session_id", "chunk_index", "source", F.explode("db").alias("speaker", "embedding")))
 
