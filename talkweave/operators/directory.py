@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params
-from .intervals import overlap_pairs
+from .intervals import neighbours, overlap_pairs
 
 
 def _seconds(c: str) -> Column:
@@ -32,11 +32,11 @@ def crash_class(interruptions: DataFrame, reports: DataFrame, keys: list[str], t
     for token in tokens:
         named = named | lower.contains(token.lower())
     r = reports.where(named).select(*keys, _seconds("modified").alias("r0"), _seconds("modified").alias("r1"))
-    i = interruptions.withColumn("i1", _seconds("now")).withColumn("i0", F.col("i1") - window_s)
-    ident = [c for c in interruptions.columns if c not in keys]
-    pairs = overlap_pairs(i, r, keys, "i0", "i1", "r0", "r1", touching=True, how="left", width=max(window_s, 60.0))
-    return pairs.groupBy(*keys, *ident).agg(
-        F.when(F.bool_or(F.col("r0").isNotNull()), "likelyCrash").otherwise("transientBlip").alias("verdict"))
+    asked = interruptions.withColumn("__at", _seconds("now"))
+    # The newest report up to the interruption decides, so a scan in time order is enough: no pairs are formed.
+    seen = neighbours(asked, "__at", r, keys, "r0", "r1", F.struct(F.col("r1").alias("at")), F.struct(F.col("r0").alias("at")))
+    fresh = F.coalesce(F.col("__at") - F.col("before.at") <= window_s, F.lit(False))
+    return seen.select(*interruptions.columns, F.when(fresh, "likelyCrash").otherwise("transientBlip").alias("verdict"))
 
 
 def manifest_check(manifest: DataFrame, inventory: DataFrame, keys: list[str]) -> DataFrame:

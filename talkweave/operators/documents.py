@@ -8,7 +8,7 @@ from .. import params
 from ..functions import timing as tm, usage
 from ..functions.text import trim_blank
 from .intervals import overlap_pairs
-from .merge import places
+from .ordered import numbered
 
 def joined_text(rows: DataFrame, keys: list[str], order: list[str], sep: str = " ") -> DataFrame:
     """Texts of a key joined in order; for keys bounded by nature, such as one channel of one chunk."""
@@ -64,11 +64,20 @@ def clean_flags(rows: DataFrame, ident: list[str], tolerance: float = params.SAM
     return real.join(spoiled, ["meeting_id", *ident], "left").withColumn("clean", F.coalesce("clean", F.lit(True)))
 
 def ranked_samples(flagged: DataFrame, ident: list[str], k: int | None = None) -> DataFrame:
-    """Clean rows first, then the longest; ``k`` keeps the best per speaker (cut before the shuffle by Spark)."""
-    w = Window.partitionBy("meeting_id", "speaker").orderBy(
-        F.col("clean").desc(), (F.col("end_s") - F.col("start_s")).desc(), *ident)
-    ranked = flagged.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    """Clean rows first, then the longest.
+
+    ``k`` keeps the best per speaker; Spark cuts each task's rows to ``k`` per speaker before the shuffle. Without it
+    all rows are ranked in blocks of similar length, so one talkative speaker is no single task.
+    """
+    length = F.col("end_s") - F.col("start_s")
+    if k is not None:
+        w = Window.partitionBy("meeting_id", "speaker").orderBy(F.col("clean").desc(), length.desc(), *ident)
+        return flagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    keyed = flagged.withColumn("__spoiled", (~F.col("clean")).cast("bigint")).withColumn("__short", -length)
+    block = F.col("__spoiled") * 1_000_000_000 + F.floor(F.col("__short") * 10)
+    ranked = numbered(keyed, ["meeting_id", "speaker"], ["__spoiled", "__short", *ident], "rank", block)
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("__spoiled", "__short")
+
 
 def renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Apply ``names(meeting_id, speaker, new_name)``."""

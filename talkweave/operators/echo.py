@@ -65,16 +65,18 @@ def candidate_pairs(labeled: DataFrame, matches: DataFrame, keys: list[str], ide
              .withColumn("local", F.regexp_replace("speaker", "^Local ", ""))
              .join(matches.select(*keys, "local", F.concat(F.lit("Remote "), "remote").alias("who")), [*keys, "local"])
              .select(*keys, "who", *cols, F.col("start_s").alias("l0"), F.col("end_s").alias("l1"),
-                     tx.word_set(F.col("text")).alias("l_words")))
+                     F.col("text").alias("l_text")))
     remote = (labeled.where("source = 'remote'")
               .select(*keys, F.col("speaker").alias("who"), *[F.col(c).alias(f"r_{c}") for c in ident],
                       F.col("start_s").alias("r0"), F.col("end_s").alias("r1"),
-                      tx.word_set(F.col("text")).alias("r_words")))
+                      F.col("text").alias("r_text")))
     pairs = overlap_pairs(local, remote, [*keys, "who"], "l0", "l1", "r0", "r1")
     shorter = F.least(F.col("l1") - F.col("l0"), F.col("r1") - F.col("r0"))
     overlap = overlap_seconds(*map(F.col, ("l0", "l1", "r0", "r1")))
     # Compared as products, so a zero-length row never divides; capping the ratio at 1 cannot matter below 1.
-    return pairs.where((shorter > 0) & (overlap > temporal * shorter)).drop("l0", "l1", "r0", "r1")
+    close = pairs.where((shorter > 0) & (overlap > temporal * shorter)).drop("l0", "l1", "r0", "r1")
+    # Texts are taken apart only for the pairs that got this far.
+    return close.select("*", tx.word_set(F.col("l_text")).alias("l_words"), tx.word_set(F.col("r_text")).alias("r_words")).drop("l_text", "r_text")
 
 
 def pair_hit(limit: float) -> Column:

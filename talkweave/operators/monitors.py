@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params
 from ..functions.timing import iso8601
+from .chains import greedy_chain
 from .ordered import Fold, Scan, block_scan, blocks_of, numbered, previous, sorted_fold
 
 ORD_BLOCK = 65_536
@@ -146,7 +147,7 @@ def pad_alarm(appends: DataFrame, keys: list[str], order: str = "buffer_ord") ->
 
 
 class DriftFold(Fold):
-    """Effective rate over windows of at least five seconds; reports the first window outside the band."""
+    """Stream form of :func:`rate_drift`: effective rate over windows of at least five seconds; reports the first window outside the band."""
 
     def __init__(self, keys: list[str], order: str, window_s: float, band: tuple[float, float]):
         self.keys, self.order, self.window_s, self.band = keys, order, window_s, band
@@ -249,15 +250,30 @@ class RetryFold(Fold):
 
 
 def rate_drift(callbacks: DataFrame, keys: list[str], order: str = "cb_ord") -> DataFrame:
-    """Verdict at the end of every window, up to and including the first drift. A rebuild is a new key."""
-    types = dict(callbacks.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{order} bigint", "verdict string", "ratio double"])
-    rows = callbacks.select(*keys, order, "host_nanos", "declared_rate", "frames")
-    return sorted_fold(rows, keys, [order], partial(DriftFold, keys, order, params.DRIFT_WINDOW_S, params.DRIFT_BAND), schema)
+    """Verdict at the end of every window, up to and including the first drift. A rebuild is a new key.
+
+    Windows end at the links of a greedy chain over the callback times; frames per window come from running sums.
+    """
+    live = callbacks.where("declared_rate > 0").select(*keys, order, "host_nanos", "declared_rate", "frames")
+    block = blocks_of(F.col(order), ORD_BLOCK)
+    summed = block_scan(live, keys, [order], [Scan("__s", "sum", F.col("frames").cast("bigint"))], block)
+    links = greedy_chain(live, keys, "host_nanos", order, int(params.DRIFT_WINDOW_S * 1_000_000_000)).select(*keys, order)
+    ends = summed.join(links, [*keys, order])
+    scans = [previous("__p", F.struct("host_nanos", "__s", "frames")), Scan("__k", "sum", F.lit(1).cast("bigint"))]
+    seen = block_scan(ends, keys, [order], scans, block).where("__k > 1")
+    p = F.col("__p.v")
+    # The first window also counts the frames of the callback it starts with.
+    frames = F.col("__s") - p["__s"] + F.when(F.col("__k") == 2, p["frames"]).otherwise(0)
+    elapsed = (F.col("host_nanos") - p["host_nanos"]) / F.lit(1e9)
+    judged = seen.withColumn("ratio", frames / elapsed / F.col("declared_rate"))
+    judged = judged.withColumn("verdict", F.when(F.col("ratio").between(*params.DRIFT_BAND), "healthy").otherwise("drift"))
+    stop = judged.where("verdict = 'drift'").groupBy(*keys).agg(F.min(order).alias("__stop"))
+    latched = judged.join(stop, keys, "left").where(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop")))
+    return latched.select(*keys, order, "verdict", "ratio")
 
 
 class CooldownFold(Fold):
-    """A prompt silences the following ones until the cooldown has passed since that prompt."""
+    """Stream form of :func:`prompts`: a prompt silences the following ones until the cooldown has passed since that prompt."""
 
     def __init__(self, cooldown_s: float):
         self.cooldown_s, self.last = cooldown_s, None
@@ -280,11 +296,9 @@ def meeting_signal(prompting: Column, recording: Column, mic: Column, app: Colum
 
 
 def prompts(signals: DataFrame, cooldown_s: float = params.COOLDOWN_S) -> DataFrame:
-    """Prompts per device. Only signals that could prompt reach the fold."""
+    """Prompts per device: a greedy chain over the signals that could prompt."""
     rows = signals.where("eligible").select("device_id", "signal_ord", "at_s")
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("device_id", "signal_ord", "at_s"))
-    return sorted_fold(rows, ["device_id"], ["at_s", "signal_ord"], partial(CooldownFold, cooldown_s), schema)
+    return greedy_chain(rows, ["device_id"], "at_s", "signal_ord", float(cooldown_s))
 
 
 def alive(arrivals: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:

@@ -120,7 +120,9 @@ def process_landing(segments: DataFrame, plan: Callable[[DataFrame], DataFrame],
     path = scratch_dir(segments.sparkSession, purpose)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # the plan reads its input several times
         plan(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     run = (segments.writeStream.foreachBatch(store).option("checkpointLocation", path + "-state").outputMode("append")
            .trigger(availableNow=True).start())

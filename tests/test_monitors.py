@@ -166,3 +166,27 @@ def test_late_chunks_count_once(spark, rows):
     arrivals = landed(spark, df, "at_s").withColumn("modified", F.timestamp_seconds("at_s"))
     got = rows(st.collect_appended(st.new_chunks(arrivals, ["session_id", "idx"], "modified", "1 hour"), "late"), "session_id", "idx")
     assert got == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_greedy_chain_across_blocks(spark):
+    from talkweave.operators import chains
+    rng = random.Random(11)
+    data = []
+    for key in range(6):
+        t = 0.0
+        for i in range(400):
+            t += rng.choice([0.0, 0.25, 1.0, 3.0, 9.5, 40.0 if key % 2 else 0.5, 900.0 if rng.random() < 0.02 else 1.0])
+            data.append((key, i, t))
+    df = spark.createDataFrame(data, "k int, o bigint, t double")
+    want, last = set(), {}
+    for key, i, t in data:
+        if key not in last or t - last[key] >= 10:
+            last[key] = t
+            want.add((key, i, t))
+    for gaps in (2, 5, 512):
+        chains.BLOCK_GAPS, old = gaps, chains.BLOCK_GAPS
+        try:
+            got = {tuple(r) for r in chains.greedy_chain(df, ["k"], "t", "o", 10.0).collect()}
+        finally:
+            chains.BLOCK_GAPS = old
+        assert got == want, gaps
