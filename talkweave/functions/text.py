@@ -15,7 +15,7 @@ SHIELD = "\ue000"  # private-use stand-in for the apostrophe
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
 def word_set(text: Column) -> Column:
@@ -67,7 +67,7 @@ def normalize_for_wer(text: Column) -> Column:
 def wer_tokens(normalized: Column, cjk: Column) -> Column:
     """Words, or single characters for CJK; empty text gives an empty array."""
     chars = F.split(F.regexp_replace(normalized, " ", ""), "")
-    return F.filter(F.when(cjk, chars).otherwise(F.split(normalized, " ")), lambda t: t != F.lit(""))
+    return F.array_remove(F.when(cjk, chars).otherwise(F.split(normalized, " ")), "")
 
 
 def edit_distance(ref: Column, hyp: Column) -> Column:

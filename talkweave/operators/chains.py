@@ -78,9 +78,16 @@ def greedy_chain(rows: DataFrame, keys: list[str], at: str, order: str, gap) ->
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
     moments = rows.groupBy(*keys, F.col(at).alias("at")).agg(F.min(order).alias(order))
     blocked = moments.withColumn("block", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
+
+    def passages(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _passages(pdf, keys, gap, width)
+
+    def taken_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _taken(pdf, keys, order, gap)
+
     ways = blocked.select(*keys, "block", "at").groupBy(*keys, "block").applyInPandas(
-        partial(_passages, keys=keys, gap=gap, width=width), f"{key_types}, block bigint, entry_at {types[at]}, exit_due {types[at]}")
+        passages, f"{key_types}, block bigint, entry_at {types[at]}, exit_due {types[at]}")
     entries = sorted_fold(ways, keys, ["block", "entry_at"], partial(Walk, keys), f"{key_types}, block bigint, opening boolean, due {types[at]}")
     taken = blocked.join(entries, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(
-        partial(_taken, keys=keys, order=order, gap=gap), f"{key_types}, {order} {types[order]}, at {types[at]}")
+        taken_rows, f"{key_types}, {order} {types[order]}, at {types[at]}")
     return taken.withColumnRenamed("at", at)

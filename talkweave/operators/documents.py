@@ -12,7 +12,7 @@ from .ordered import numbered
 
 def joined_text(rows: DataFrame, keys: list[str], order: list[str], sep: str = " ") -> DataFrame:
     """Texts of a key joined in order; for keys bounded by nature, such as one channel of one chunk."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
+    parts = F.sort_array(F.collect_list(F.struct(*order, "text")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["text"]), sep).alias("text"))
 
 PAGE_ROWS = 10_000
@@ -27,7 +27,7 @@ def document_pages(rows: DataFrame, metadata: DataFrame, page_rows: int = PAGE_R
     page = F.floor((F.col("place") - 1) / page_rows).cast("bigint")
     optional = F.when(F.col("source") != "", F.col("source"))
     segment = F.struct("place", F.struct("start", "end", "speaker", "text", optional.alias("source"), "confidence", "language").alias("s"))
-    pages = rows.groupBy("meeting_id", page.alias("page")).agg(F.array_sort(F.collect_list(segment)).alias("all"))
+    pages = rows.groupBy("meeting_id", page.alias("page")).agg(F.sort_array(F.collect_list(segment)).alias("all"))
     body = F.to_json(F.struct("metadata", F.transform("all", lambda x: x["s"]).alias("segments")))
     return pages.join(metadata.select("meeting_id", "metadata"), "meeting_id", "left").select("meeting_id", "page", body.alias("body"))
 
@@ -94,7 +94,7 @@ def prompt_pages(rows: DataFrame, dual: Column, page_rows: int = PAGE_ROWS) -> D
     """The transcript part of a prompt, in pages like the documents."""
     line = usage.prompt_line(F.col("start"), F.col("speaker"), F.col("source"), F.col("text"), dual)
     page = F.floor((F.col("place") - 1) / page_rows).cast("bigint")
-    parts = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    parts = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
     return rows.groupBy("meeting_id", page.alias("page")).agg(
         F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("lines"))
 

@@ -65,18 +65,17 @@ def candidate_pairs(labeled: DataFrame, matches: DataFrame, keys: list[str], ide
              .withColumn("local", F.regexp_replace("speaker", "^Local ", ""))
              .join(matches.select(*keys, "local", F.concat(F.lit("Remote "), "remote").alias("who")), [*keys, "local"])
              .select(*keys, "who", *cols, F.col("start_s").alias("l0"), F.col("end_s").alias("l1"),
-                     F.col("text").alias("l_text")))
+                     tx.word_set(F.col("text")).alias("l_words")))
     remote = (labeled.where("source = 'remote'")
               .select(*keys, F.col("speaker").alias("who"), *[F.col(c).alias(f"r_{c}") for c in ident],
                       F.col("start_s").alias("r0"), F.col("end_s").alias("r1"),
-                      F.col("text").alias("r_text")))
+                      tx.word_set(F.col("text")).alias("r_words")))
     pairs = overlap_pairs(local, remote, [*keys, "who"], "l0", "l1", "r0", "r1")
     shorter = F.least(F.col("l1") - F.col("l0"), F.col("r1") - F.col("r0"))
     overlap = overlap_seconds(*map(F.col, ("l0", "l1", "r0", "r1")))
+    # Word sets are made once per row before the join: made after it, a pushed-down text filter would repeat them.
     # Compared as products, so a zero-length row never divides; capping the ratio at 1 cannot matter below 1.
-    close = pairs.where((shorter > 0) & (overlap > temporal * shorter)).drop("l0", "l1", "r0", "r1")
-    # Texts are taken apart only for the pairs that got this far.
-    return close.select("*", tx.word_set(F.col("l_text")).alias("l_words"), tx.word_set(F.col("r_text")).alias("r_words")).drop("l_text", "r_text")
+    return pairs.where((shorter > 0) & (overlap > temporal * shorter)).drop("l0", "l1", "r0", "r1")
 
 
 def pair_hit(limit: float) -> Column:
@@ -84,21 +83,25 @@ def pair_hit(limit: float) -> Column:
     return (jac > limit) | (cont > limit)
 
 
-def window_hits(pairs: DataFrame, keys: list[str], ident: list[str], limit: float) -> DataFrame:
-    """Local rows that match all their overlapping remote rows taken as one text.
+def judged(pairs: DataFrame, keys: list[str], ident: list[str], limit: float) -> DataFrame:
+    """Per local row: ``alone`` if it matches one remote row, ``together`` if all its remote rows taken as one text.
 
-    The words of the joined text are the union of the rows' words, so nothing is concatenated: words are counted
-    per local row after a partial distinct, however many remote rows it spans.
+    The words of that joined text are the union of the rows' words, so nothing is concatenated: words are counted
+    per local row after a partial distinct, however many remote rows it spans. Pairs that already match bring no words.
     """
     key = [*keys, *[f"l_{c}" for c in ident]]
-    several = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first(F.size("l_words")).alias("l_size"))
-    several = several.where("n > 1")
-    spoken = (pairs.select(*key, "l_words", F.explode("r_words").alias("word"))
-              .select(*key, "word", F.array_contains("l_words", F.col("word")).alias("shared")).distinct())
-    counts = spoken.groupBy(*key).agg(F.count_if("shared").alias("inter"), F.count(F.lit(1)).alias("other"))
-    joined = several.join(counts, key)
+    partner = F.struct(*[f"r_{c}" for c in ident])
+    flagged = pairs.select(*key, "l_words", "r_words", partner.alias("r"), F.size("l_words").alias("l_size"), pair_hit(limit).alias("hit"))
+    spoken = flagged.select(*key, "l_words", "r", "l_size", "hit", F.explode_outer(F.when(~F.col("hit"), F.col("r_words"))).alias("word"))
+    per_word = spoken.groupBy(*key, "word").agg(
+        F.bool_or("hit").alias("hit"), F.any_value("l_size").alias("l_size"), F.min("r").alias("r0"), F.max("r").alias("r1"),
+        F.bool_or(F.array_contains("l_words", F.col("word"))).alias("shared"))
+    rows = per_word.groupBy(*key).agg(
+        F.bool_or("hit").alias("alone"), (F.min("r0") != F.max("r1")).alias("several"), F.any_value("l_size").alias("l_size"),
+        F.count_if("shared").alias("inter"), F.count("word").alias("other"))
     union = F.col("l_size") + F.col("other") - F.col("inter")
-    return joined.where(F.col("inter") > limit * union).select(*key)
+    together = ~F.col("alone") & F.col("several") & (F.col("inter") > limit * union)
+    return rows.select(*key, "alone", together.alias("together"))
 
 
 def echoes(labeled: DataFrame, voices: DataFrame, keys: list[str], ident: list[str],
@@ -106,11 +109,7 @@ def echoes(labeled: DataFrame, voices: DataFrame, keys: list[str], ident: list[s
     """Identities of the local rows to drop."""
     matches = best_remote(pooled(voices, keys, dim), keys, limits.embedding)
     pairs = candidate_pairs(labeled, matches, keys, ident, limits.temporal)
-    lkey = [*keys, *[f"l_{c}" for c in ident]]
-    judged = pairs.withColumn("hit", pair_hit(limits.text))
-    alone = judged.where("hit").select(*lkey)
-    windowed = window_hits(judged, keys, ident, limits.text)
-    found = alone.unionByName(windowed).distinct()
+    found = judged(pairs, keys, ident, limits.text).where("alone OR together")
     return found.select(*keys, *[F.col(f"l_{c}").alias(c) for c in ident])
 
 

@@ -12,7 +12,7 @@ BUCKET_S = 30.0
 def bucketed(df: DataFrame, start: str, end: str, first: str, bucket: str, width: float) -> DataFrame:
     lo = F.floor(F.col(start) / width)
     hi = F.floor(F.greatest(F.col(start), F.col(end)) / width)
-    return df.withColumn(first, lo).withColumn(bucket, F.explode(F.sequence(lo, hi)))
+    return df.select("*", lo.alias(first), F.explode(F.sequence(lo, hi)).alias(bucket))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str,
@@ -24,10 +24,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], l_start: s
     without a partner there, so aggregate by its identity.
     """
     l = bucketed(left, l_start, l_end, "__lf", "__b", width)
-    r = bucketed(right, r_start, r_end, "__rf", "__b", width)
-    for k in keys:
-        r = r.withColumnRenamed(k, f"__r_{k}")
-    r = r.withColumnRenamed("__b", "__rb")
+    renamed = [F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns]
+    r = bucketed(right.select(*renamed), r_start, r_end, "__rf", "__rb", width)
     cond: Column = (F.col("__b") == F.col("__rb")) & (F.col("__b") == F.greatest("__lf", "__rf"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"__r_{k}"))

@@ -62,7 +62,7 @@ def label_by_overlap(rows: DataFrame, turns: DataFrame, key: list[str] = SEGMENT
     turn = turns.select(*STREAM, "turn_ord", "t_start", "t_end", F.col("speaker").alias("t_speaker"), "quality_score")
     overlap, has_mid = _measure()
     pairs = overlap_pairs(rows, turn, STREAM, "start_s", "end_s", "t_start", "t_end", touching=True, how="left")
-    pairs = pairs.withColumn("__overlap", F.when(F.col("turn_ord").isNotNull(), overlap)).withColumn("__mid", has_mid)
+    pairs = pairs.select("*", F.when(F.col("turn_ord").isNotNull(), overlap).alias("__overlap"), has_mid.alias("__mid"))
     valid = (F.col("__overlap") > 0) | F.col("__mid")
     best = F.max_by(F.struct("t_speaker", "quality_score", "__overlap"),
                     F.when(valid, _win_rank(F.col("__overlap"), F.col("__mid")))).alias("__b")
@@ -71,11 +71,11 @@ def label_by_overlap(rows: DataFrame, turns: DataFrame, key: list[str] = SEGMENT
         same = (F.col("t_speaker") == F.col(evidence)) & (F.col("__overlap") > 0)
         wanted.append(F.max_by(F.struct("quality_score"), F.when(same, F.struct("__overlap", -F.col("turn_ord")))).alias("__e"))
     out = pairs.groupBy(*key).agg(*carried(rows, key), *wanted)
-    out = (out.withColumn("owner", F.coalesce("__b.t_speaker", F.lit(params.UNKNOWN)))
-           .withColumn("overlap", F.col("__b.__overlap")).withColumn("owner_quality", F.col("__b.quality_score")))
+    found = [F.coalesce("__b.t_speaker", F.lit(params.UNKNOWN)).alias("owner"), F.col("__b.__overlap").alias("overlap"),
+             F.col("__b.quality_score").alias("owner_quality")]
     if evidence:
-        out = out.withColumn("evidence_quality", F.col("__e.quality_score"))
-    return out.drop("__b", "__e")
+        found.append(F.col("__e.quality_score").alias("evidence_quality"))
+    return out.select(*rows.columns, *found)
 
 
 def word_owner(words: DataFrame, turns: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def split_at_speaker_changes(segments: DataFrame, owned: DataFrame) -> DataFrame
     keep the segment's own bounds; blank pieces vanish unless nothing else is left.
     """
     pieces = word_pieces(owned)
-    by_word = F.array_sort(F.collect_list(F.struct("w_start", "word_ord", "word")))
+    by_word = F.sort_array(F.collect_list(F.struct("w_start", "word_ord", "word")))
     text = trim_blank(F.array_join(F.transform(by_word, lambda x: x["word"]), ""))
     last = F.max_by("w_end", F.struct("w_start", "word_ord"))
     opener = F.min_by(F.struct("owner"), F.struct("w_start", "word_ord"))["owner"]
@@ -137,15 +137,12 @@ def split_at_speaker_changes(segments: DataFrame, owned: DataFrame) -> DataFrame
         F.min("w_start").alias("p_start"), last.alias("p_end"), text.alias("p_text"), opener.alias("dominant"),
         F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(*SEGMENT)
-    runs = (runs.withColumn("n_pieces", F.count(F.lit(1)).over(whole))
-            .withColumn("n_words", F.sum("n").over(whole))
-            .withColumn("evidence", F.max(F.col("dominant").isNotNull()).over(whole))
-            .withColumn("solid", F.col("p_text") != ""))
+    runs = runs.select("*", F.count(F.lit(1)).over(whole).alias("n_pieces"), F.sum("n").over(whole).alias("n_words"),
+                       F.max(F.col("dominant").isNotNull()).over(whole).alias("evidence"), (F.col("p_text") != "").alias("solid"))
     solid = Window.partitionBy(*SEGMENT, "solid").orderBy("piece")
     solid_down = Window.partitionBy(*SEGMENT, "solid").orderBy(F.col("piece").desc())
-    runs = (runs.withColumn("is_first", F.row_number().over(solid) == 1)
-            .withColumn("is_last", F.row_number().over(solid_down) == 1)
-            .withColumn("any_solid", F.max("solid").over(whole)))
+    runs = runs.select("*", (F.row_number().over(solid) == 1).alias("is_first"), (F.row_number().over(solid_down) == 1).alias("is_last"),
+                       F.max("solid").over(whole).alias("any_solid"))
     usable = runs.where("n_words >= 2 AND evidence AND (n_pieces = 1 OR solid)")
     cut = usable.where("n_pieces = 1 OR any_solid").drop("n", "n_words", "evidence", "solid", "any_solid")
     joined = segments.join(cut, SEGMENT, "left")
@@ -235,7 +232,7 @@ def sentences(tokens: DataFrame, keys: list[str], order: str, block: Column) ->
     ends = (mark.isin(".", "!", "?") & ~decimal) | F.col("__n").isNull()
     flagged = ahead.withColumn("__end", ends.cast("bigint")).drop("__n")
     grouped = block_scan(flagged, keys, [order], [Scan("sentence", "sum", F.col("__end"), inclusive=False)], block)
-    parts = F.array_sort(F.collect_list(F.struct(order, "token")))
+    parts = F.sort_array(F.collect_list(F.struct(order, "token")))
     text = trim_blank(F.array_join(F.transform(parts, lambda x: x["token"]), ""))
     opened = F.min_by("w_start", F.when(F.col("token") != "", F.col(order)))
     return (grouped.groupBy(*keys, "sentence")

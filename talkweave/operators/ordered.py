@@ -46,9 +46,7 @@ def block_scan(df: DataFrame, keys: list[str], order: list[str], scans: Iterable
     position = F.struct(*order)
     part = [*keys, _BLOCK]
 
-    blocked = df.withColumn(_BLOCK, block)
-    for i, s in enumerate(scans):
-        blocked = blocked.withColumn(f"__v{i}", s.value)
+    blocked = df.select("*", block.alias(_BLOCK), *[s.value.alias(f"__v{i}") for i, s in enumerate(scans)])
 
     def summary(i: int, s: Scan) -> Column:
         v = F.col(f"__v{i}")

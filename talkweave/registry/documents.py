@@ -118,7 +118,7 @@ def _stored_sessions(t):
     """Session files as an older build wrote them: some without the channel flag, some cut off."""
     s = t.segments
     seg = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", F.lit("Speaker 1").alias("speaker"), "source")
-    parts = s.groupBy("meeting_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("seg_ord", seg.alias("s")))).alias("a"))
+    parts = s.groupBy("meeting_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("seg_ord", seg.alias("s")))).alias("a"))
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("chunk_index") * 40)
     chunk = F.struct(F.col("chunk_index").alias("index"), F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startTime"), F.lit("a.m4a").alias("audioPath"),
                      F.transform("a", lambda x: x["s"]).alias("segments"), F.create_map(F.lit("Speaker 1"), F.array(F.lit(0.5), F.lit(1.0))).alias("speakerDatabase"),
@@ -174,7 +174,7 @@ def s19(t):
     r = written(rows(t), "rows")
     pages = dc.prompt_pages(r, F.lit(True))
     people = ag.participants(r, ["place"])
-    who = people.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "speaker"))), lambda p: p["speaker"]), ", ").alias("who"))
+    who = people.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "speaker"))), lambda p: p["speaker"]), ", ").alias("who"))
     length = ag.meeting_length(r, ["place"], "end")
     joined = pages.join(who, "meeting_id").join(length, "meeting_id")
     name = F.concat(F.lit("m"), F.col("meeting_id").cast("string"))

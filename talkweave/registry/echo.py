@@ -92,11 +92,10 @@ CROSS JOIN (VALUES (0), (1)) s(h)""")
 def j8(t):
     s = t.segments
     local = s.where("source = 'local'").select(*CHUNK, F.col("seg_ord").alias("l_seg_ord"), echo.tx.word_set(F.col("text")).alias("l_words"))
-    half = F.floor(F.length("text") / 2).cast("int")
     texts = F.array(F.expr("substring(text, 1, CAST(floor(length(text) / 2) AS INT))"), F.expr("substring(text, CAST(floor(length(text) / 2) AS INT) + 1)"))
-    remote = s.where("source = 'remote'").select(*CHUNK, (F.col("seg_ord") + 1).alias("l_seg_ord"), F.explode(texts).alias("x"))
-    both = local.join(remote, [*CHUNK, "l_seg_ord"]).select(*CHUNK, "l_seg_ord", "l_words", echo.tx.word_set(F.col("x")).alias("r_words"))
-    return echo.window_hits(both, CHUNK, IDENT, 0.7)
+    remote = s.where("source = 'remote'").select(*CHUNK, (F.col("seg_ord") + 1).alias("l_seg_ord"), F.posexplode(texts).alias("r_seg_ord", "x"))
+    both = local.join(remote, [*CHUNK, "l_seg_ord"]).select(*CHUNK, "l_seg_ord", "r_seg_ord", "l_words", echo.tx.word_set(F.col("x")).alias("r_words"))
+    return echo.judged(both, CHUNK, IDENT, 0.7).where("together").select(*CHUNK, "l_seg_ord")
 
 
 define("r_echoes", ("r_echo_pairs",), f"""

@@ -25,7 +25,7 @@ SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_words, array_to_string(list_sort(ws
 FROM (SELECT doc_id, {duck_words('text')} AS ws FROM documents)""")
 def f1(t):
     d = t.raw("documents").select("doc_id", tx.word_set(F.col("text")).alias("ws"))
-    return d.select("doc_id", F.size("ws").alias("n_words"), F.array_join(F.array_sort("ws"), " ").alias("words"))
+    return d.select("doc_id", F.size("ws").alias("n_words"), F.array_join(F.sort_array("ws"), " ").alias("words"))
 
 
 CLOCK = """printf('%02d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60)"""
