@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import echo, labeling, merge, reconcile
 from ..operators.aggregates import channel_speakers
+from ..session import written
 
 SEGMENT = ["meeting_id", "chunk_index", "source"]
 
@@ -16,10 +17,11 @@ def transcript(labeled: DataFrame, voices: DataFrame, turns: DataFrame, offsets:
     mapped = reconcile.reconcile(voices.withColumn("namespace", F.col("source")))
     mapping = mapped.select("meeting_id", "chunk_index", F.col("namespace").alias("source"), "speaker",
                             F.col("global_speaker").alias("global"))
+    mapping = written(mapping, "identities")  # the fold runs once, the mapping is needed twice
     rows = merge.remap(labeled, mapping, SEGMENT).join(offsets, ["meeting_id", "chunk_index"])
     placed = rows.withColumn("start_s", F.col("start_s") + F.col("offset_s")).withColumn(
         "end_s", F.col("end_s") + F.col("offset_s")).drop("offset_s")
     counts = channel_speakers(labeling.speaker_names(turns))
-    tagged = labeling.tag_source(labeling.resolve_unknowns(placed, counts, ["start_s", *ident]))
+    tagged = written(labeling.tag_source(labeling.resolve_unknowns(placed, counts, ["start_s", *ident])), "labeled")
     everyone = merge.global_voices(voices, mapping).withColumnRenamed("global", "speaker")
     return echo.remove_echo(tagged, everyone, ["meeting_id"], ident, limits, dim)

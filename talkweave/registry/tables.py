@@ -88,12 +88,12 @@ class Tables:
     def speaker_embeddings(self) -> DataFrame:
         """Two voices per channel and chunk; ``Speaker 1`` has the same voice on both channels."""
         vectors = self.raw("embeddings")
-        total = vectors.agg(F.count(F.lit(1)).alias("n"))
+        total = vectors.agg(F.count(F.lit(1))).scalar()
         voices = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(f"Speaker {k}").alias("speaker"), F.lit(d).alias("d"))
                            for s, k, d in (("remote", 1, 0), ("remote", 2, 1), ("local", 1, 0), ("local", 2, 2))])
         chunks = self.segments.select(*CHUNK).distinct()
-        wanted = (chunks.select(*CHUNK, F.inline(voices)).join(F.broadcast(total))
-                  .withColumn("vec_id", (F.col("meeting_id") * 5 + F.col("d") + F.col("chunk_index")) % F.col("n")))
+        wanted = chunks.select(*CHUNK, F.inline(voices)).withColumn(
+            "vec_id", (F.col("meeting_id") * 5 + F.col("d") + F.col("chunk_index")) % total)
         return wanted.join(vectors, "vec_id").select(*STREAM, "speaker", "embedding")
 
     @cached_property
