@@ -14,12 +14,18 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+FOLDER = "spark.checkpoint.dir"
 
+_local_roots: dict[str, str] = {}
 
-def build_session(app: str = "talkweave", master: str | None = None, **conf: str) -> SparkSession:
+
+def build_session(app: str = "talkweave", master: str | None = None, folder: str | None = None, **conf: str) -> SparkSession:
+    """``folder``: the shared scratch folder, where the cluster does not name one."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if folder:
+        conf = {FOLDER: folder, **conf}
     for key, value in {**REQUIRED_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -27,17 +33,22 @@ def build_session(app: str = "talkweave", master: str | None = None, **conf: str
     return spark
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder the session names; a private one only where everything runs in this one process."""
+    root = spark.conf.get(FOLDER, None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError(f"set {FOLDER} to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_roots[app]
+
 
-    Only where the session names none (tests, local runs) is a private temporary folder set, and then
-    remembered in the session so that every later call shares it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared scratch folder."""
+    return os.path.join(scratch_root(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -45,3 +56,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of ``written`` tables once nothing will read them again."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
