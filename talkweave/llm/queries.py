@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language import fit_languages, predict_language
+from .mixing import mix_sources
 from .ngram_join import ngram_components
+from .quality import fit_quality, score_quality
+from .sharding import shard_by_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +30,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def fold() -> Column:
+    """0 to 4: crc32 of the id as text, by which queries hold rows out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
 @query("op1_ngram_join", """
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -40,3 +50,28 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = d.d
 """)
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return ngram_components(table(spark, root, "documents"), width=3, percent=90)
+
+
+@query("op5_mix_sources")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return mix_sources(table(spark, root, "documents"), repetition_limit=2.0)
+
+
+@query("op6_shard_tree")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return shard_by_tree(table(spark, root, "documents"), shards=40)
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    found = predict_language(docs, fit_languages(docs.filter(fold() != 0)))
+    return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    model = fit_quality(table(spark, root, "labels").filter(fold() != 0), docs)
+    found = score_quality(docs, model)
+    return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
