@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality import fit_quality, score_quality
 from .sharding import shard_by_tree
+from .tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +54,11 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return ngram_components(table(spark, root, "documents"), width=3, percent=90)
 
 
+@query("op4_token_counts")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return count_tokens(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 @query("op5_mix_sources")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return mix_sources(table(spark, root, "documents"), repetition_limit=2.0)
