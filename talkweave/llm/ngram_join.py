@@ -11,7 +11,7 @@ two uses follow.
   are summed. The sums are exact overlaps, so the similarity test is exact.
 
 Equal sets are one class from the start and copies are never paired. No pair is emitted as a row: what leaves a pair of
-blocks is a spanning forest of its links and each member's number of links.
+blocks is a spanning forest of its links and each member's number of links. A block travels as one row.
 """
 
 from __future__ import annotations
@@ -183,26 +183,35 @@ def _groups(batches, keys: int):
         yield now, held
 
 
-def _overlaps(pieces: list[bytes]) -> np.ndarray:
-    """Shared elements of every two of a few sets."""
-    sets = [np.frombuffer(p, U) for p in pieces]
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    names, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _overlaps(member: np.ndarray, value: np.ndarray, sets: int) -> np.ndarray:
+    """Shared elements of every two of a few sets, given as (member, value)."""
+    _, at, times = np.unique(value, return_inverse=True, return_counts=True)
     shared = times > 1
     place = shared.cumsum() - 1
     keep = shared[at]
     member, at = member[keep], place[at[keep]]
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    total = np.zeros((sets, sets), np.float32)
     order = np.argsort(at, kind="stable")
     member, at = member[order], at[order]
     for lo in range(0, int(shared.sum()), 4096):
         i, j = np.searchsorted(at, (lo, lo + 4096))
-        part = np.zeros((len(sets), int(at[j - 1]) - lo + 1), np.float32)
+        part = np.zeros((sets, int(at[j - 1]) - lo + 1), np.float32)
         part[member[i:j], at[i:j] - lo] = 1
         total += part @ part.T
     return total.astype(np.int32)
 
 
+def _bundled(batches):
+    """A row per (family, block, fragment): who is in the block, and their pieces one after the other."""
+    for (family, block, fragment), held in _groups(batches, 3):
+        once = {r[0]: r for r in held}        # a class whose text is there twice counts once
+        held = [once[c] for c in sorted(once)]
+        who = np.array([(cls, block, size, copies, len(piece) // 8) for cls, size, copies, _, piece in held], np.int64)
+        yield pa.record_batch([pa.array([family], pa.int64()), pa.array([block], pa.int32()), pa.array([held[0][3]], pa.int32()), pa.array([fragment], pa.int32()),
+                               pa.array([who.tobytes()], pa.binary()), pa.array([b"".join(r[4] for r in held)], pa.binary())],
+                              names=["family", "block", "blocks", "fragment", "members", "pieces"])
+
+
 def _partial(batches):
     rows = []
 
@@ -211,10 +220,10 @@ def _partial(batches):
             [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["family", "i", "j", "fragment", "members", "overlaps"])
 
     for (family, i, j, fragment), held in _groups(batches, 4):
-        once = {r[0]: r for r in held}        # a class whose text is there twice counts once
-        held = [once[c] for c in sorted(once)]
-        who = np.array([(cls, block, size, copies) for cls, block, size, copies, _ in held], np.int64)
-        rows.append((family, i, j, fragment, who.tobytes() if not fragment else b"", _overlaps([r[4] for r in held]).tobytes()))
+        who = np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 5) for r in held])
+        member = np.repeat(np.arange(len(who)), who[:, 4])
+        overlaps = _overlaps(member, np.concatenate([np.frombuffer(r[2], U) for r in held]), len(who))
+        rows.append((family, i, j, fragment, who[:, :4].tobytes() if not fragment else b"", overlaps.tobytes()))
         if len(rows) >= 64:
             yield out()
             rows = []
@@ -278,10 +287,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     pieces = (docs.join(chosen, docs.doc_id == F.col("rep")).select("text", "cls", "copies", "family", "block", "blocks")
               .mapInArrow(partial(_cut, width=width), "cls long, copies long, family long, block int, blocks int, size long, fragment int, piece binary"))
-    paired = (pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment",
-                      "cls", "block", "size", "copies", "piece"))
-    counted = (paired.repartition("family", "i", "j", "fragment").sortWithinPartitions("family", "i", "j", "fragment")
+    bundles = (pieces.select("family", "block", "fragment", "cls", "size", "copies", "blocks", "piece")
+               .repartition("family", "block", "fragment").sortWithinPartitions("family", "block", "fragment")
+               .mapInArrow(_bundled, "family long, block int, blocks int, fragment int, members binary, pieces binary"))
+    paired = (bundles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment", "block", "members", "pieces"))
+    counted = (paired.repartition("family", "i", "j", "fragment").sortWithinPartitions("family", "i", "j", "fragment", "block")
                .mapInArrow(_partial, "family long, i int, j int, fragment int, members binary, overlaps binary"))
     linked = written(counted.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "fragment")
                      .mapInArrow(partial(_linked, percent=percent), "a long, b long, links long"), "ngram-links")
