@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import benchmark_matches
 from .language import fit_languages, predict_language
 from .mixing import mix_sources
 from .ngram_join import ngram_components
@@ -54,6 +55,11 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return ngram_components(table(spark, root, "documents"), width=3, percent=90)
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return benchmark_matches(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return count_tokens(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)

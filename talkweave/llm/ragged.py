@@ -61,11 +61,14 @@ def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.
 class Words:
     """The words of a slice, in order: ``doc`` (row in the slice), ``start``, ``end`` (bytes), ``hash``."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, punctuation: bool = True):
+        """Without ``punctuation``, ASCII bytes other than letters and digits separate words too."""
         low = data.copy()
         low[(low >= 65) & (low <= 90)] += 32
         n = len(low)
         inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
+        if not punctuation:
+            inside &= (low >= 128) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if n else inside
