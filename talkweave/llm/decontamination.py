@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,9 @@ K1, B = 1.2, 0.75
 BROADCAST_ROWS = 500_000
 
 
-def _arrow_words(texts: list[str], punctuation: bool = False):
-    for _, data, bounds in text_slices(pa.array(texts, pa.string()), 1 << 60):
-        return Words(data, bounds, punctuation)
+def _arrow_words(texts: list[str]):
+    for _, data, bounds in text_slices(pc.utf8_lower(pa.array(texts, pa.string())), 1 << 60):
+        return Words(data, bounds, punctuation=False)
     return Words(np.empty(0, np.uint8), np.zeros(1, np.int64))
 
 
@@ -148,7 +149,7 @@ def retrieve(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.nda
 def _matches(batches, index):
     index = index.value
     for batch in batches:
-        for row, data, bounds in text_slices(batch.column("text")):
+        for row, data, bounds in text_slices(pc.utf8_lower(batch.column("text"))):
             words = Words(data, bounds, punctuation=False)
             begin, entry, score = retrieve(words, index)
             if not len(entry):
@@ -184,7 +185,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item's answer is its last sentence, if it has several, and the words before it as far as it has fewer than five. A word of an item is covered if one of the item's
     five-word shingles that holds it is found near the passage; QUESTION and ANSWER are the least shares. Words are
-    lower-cased runs of letters and digits. Items with fewer than five words, null texts or ids take no part; equal items
+    runs of letters and digits in lower case. Items with fewer than five words, null texts or ids take no part; equal items
     are each reported. A repeated document is reported for each of its rows; null and empty texts hold nothing. Empty
     tables give an empty result. A benchmark of more than INDEX_BYTES is cut into indexes by hash, each of which sees
     all documents.
