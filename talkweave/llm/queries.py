@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .decontamination import benchmark_matches
 from .language import fit_languages, predict_language
+from .licenses import scan_licenses
 from .mixing import mix_sources
+from .neighbours import nearest
 from .ngram_join import ngram_components
 from .quality import fit_quality, score_quality
 from .sharding import shard_by_tree
@@ -75,6 +77,12 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return shard_by_tree(table(spark, root, "documents"), shards=40)
 
 
+@query("op7_neighbours")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 50 = 0"), top=5)
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
@@ -82,6 +90,11 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query("op9_license_scan")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return scan_licenses(table(spark, root, "documents"))
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
