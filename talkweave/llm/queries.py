@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .neighbours import nearest
 from .ngram_join import ngram_components
 from .quality import fit_quality, score_quality
+from .scoring import score_texts
 from .sharding import shard_by_tree
 from .tokens import count_tokens
 
@@ -57,6 +58,12 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return ngram_components(table(spark, root, "documents"), width=3, percent=90)
 
 
+@query("op2_lm_scores")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    found = score_texts(table(spark, root, "documents"), fold() != 1)
+    return found.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     return benchmark_matches(table(spark, root, "documents"), table(spark, root, "benchmark"))
