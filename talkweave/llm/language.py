@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .ragged import U, Words, mix, text_slices
 
-DIMS = 1 << 13
-SAMPLE = 600              # labelled documents of each language that the machines are fitted on
+DIMS = 1 << 12
+SAMPLE = 2000             # labelled documents that the machines are fitted on, evenly from all languages
 LANGUAGES = 200           # languages fitted at most; more than that is an error, not a cut
 FAMILIES = {              # languages of one family are hard to tell apart, families are not; others are families of their own
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "lb", "fy"),
@@ -44,8 +44,8 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.arange(n) + 2 * home + 1
     padded[at] = words.low
     before, here, after = padded[at - 1].astype(U), words.low.astype(U), padded[at + 1].astype(U)
-    tri = (mix(before << U(16) | here << U(8) | after) >> U(64 - 13)).astype(np.int64)
-    word = (words.hash >> U(64 - 13)).astype(np.int64) + DIMS
+    tri = (mix(before << U(16) | here << U(8) | after) >> U(64 - 12)).astype(np.int64)
+    word = (words.hash >> U(64 - 12)).astype(np.int64) + DIMS
     return tri, home, word, words.doc
 
 
@@ -66,14 +66,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 300)
 
     Classes weigh alike. Inputs are scaled by the root of their features' mean so that rare features count.
     """
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = x * scale
+    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5)
+    z = x * scale.astype(x.dtype)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
-    rate = 1 / (1 + 2 * cost * ((z ** 2).sum(1).max() + 1))
+    rate = 1 / (1 + 2 * cost * (float(np.einsum("ij,ij->i", z, z).max()) + 1))
     w = v = np.zeros(z.shape[1] + 1)
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (z @ v[:-1] + v[-1])) * y * weight
-        grad = v * np.append(np.ones(z.shape[1]), 0) - 2 * np.append(slack @ z, slack.sum())
+        slack = np.maximum(0, 1 - y * (z @ v[:-1].astype(z.dtype) + v[-1])) * y * weight
+        grad = v * np.append(np.ones(z.shape[1]), 0) - 2 * np.append(slack.astype(z.dtype) @ z, slack.sum())
         new = v - rate * grad
         v, w = new + k / (k + 3) * (new - w), new
     return w[:-1] * scale, float(w[-1])
@@ -134,8 +134,8 @@ def _heads(families: int) -> int:
 
 
 def fit_languages(labelled: DataFrame) -> LanguageModel | None:
-    """Fit on ``labelled`` (doc_id, text, lang): of each language the SAMPLE documents with the smallest hashes, a
-    documented bound. Only their feature vectors come to the driver. Null texts and languages take no part; without any
+    """Fit on ``labelled`` (doc_id, text, lang): of each language the documents with the smallest hashes, SAMPLE in
+    all, a documented bound. Only their feature vectors come to the driver. Null texts and languages take no part; without any
     labelled text the result is None."""
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
@@ -145,22 +145,24 @@ def fit_languages(labelled: DataFrame) -> LanguageModel | None:
         return None
     ids = None
     for lang in langs:
-        own = rows.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        own = rows.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, SAMPLE // len(langs)))
         ids = own if ids is None else ids.unionByName(own)
     sample = rows.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(_vectors, "lang string, vector binary").toArrow()
     got = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True))
     lang = np.array([g[0] for g in got])
-    x = np.stack([np.frombuffer(g[1], np.float32) for g in got]).astype(np.float64)
+    x = np.stack([np.frombuffer(g[1], np.float32) for g in got])
+    del sample, got
     families = sorted({family_of(v) for v in langs})
     of_family = [[v for v in langs if family_of(v) == f] for f in families]
     home = np.array([families.index(family_of(v)) for v in lang])
-    tasks = [(x, np.where(home == f, 1.0, -1.0)) for f in range(_heads(len(families)))]
+    tasks = [(slice(None), np.where(home == f, 1.0, -1.0)) for f in range(_heads(len(families)))]
     pairs = [(f, a, b) for f, names in enumerate(of_family) for a, b in combinations(range(len(names)), 2)]
     for f, a, b in pairs:
         keep = (lang == of_family[f][a]) | (lang == of_family[f][b])
-        tasks.append((x[keep], np.where(lang[keep] == of_family[f][a], 1.0, -1.0)))
+        tasks.append((keep, np.where(lang[keep] == of_family[f][a], 1.0, -1.0)))
     weights, bias, slope = np.zeros((2 * DIMS, len(tasks))), np.zeros(len(tasks)), np.ones(len(tasks))
-    for m, (z, y) in enumerate(tasks):
+    for m, (rows_of, y) in enumerate(tasks):
+        z = x[rows_of]
         weights[:, m], bias[m] = fit_svm(z, y)
         slope[m] = _sharpness(z @ weights[:, m] + bias[m], y)
     return LanguageModel(families, of_family, weights, bias, slope, pairs)
