@@ -305,7 +305,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     own = classes.select("cls", "rep", "copies").join(found, "cls", "left")
     return (sized.join(own, "cls", "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.least("doc_id", F.coalesce("component", "rep"))).otherwise(F.col("doc_id")).alias("component_id"),
+                    F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "rep"))).otherwise(F.col("doc_id")).alias("component_id"),
                     F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
                     .otherwise(F.lit(0)).cast("long").alias("n_links")))
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FAN = 4            # regions, and racks in a region; a rack holds one, four, sixteen ... shard places
-TRIES = 128        # draws of a row until it meets a place in use; at least a quarter of all places is
+SHAPE = (4, 4, 4)  # regions, racks of a region, shard places of a rack
 BUCKETS = 4096     # parts in which the rows of a shard are numbered
 
 Weights = dict[tuple[int, ...], float]
@@ -38,53 +37,40 @@ def _pick(key: list[Column], path: list[Column], fan: int, weights: Weights) ->
     return F.array_min(F.array(*draws))["child"]
 
 
-def _descend(key: list[Column], size: int, weights: Weights) -> Column:
-    """The place in a tree of ``size`` places (a power of four) that a row falls to, level by level."""
-    if size == 1:
-        return F.lit(0)
-    region = _pick(key, [], FAN, weights)
-    if size == FAN:
-        return region
-    racks = FAN * FAN
-    if size == racks:
-        return _bound(region, lambda r: r + FAN * _pick(key, [r], FAN, weights))
-    return _bound(region, lambda r: _bound(_pick(key, [r], FAN, weights),
-                                           lambda k: r + FAN * k + racks * _pick(key, [r, k], size // racks, weights)))
+def _descend(key: list[Column], shape: tuple[int, int, int], weights: Weights) -> Column:
+    """The place a row falls to, level by level: place s of rack k of region r is number r + regions * (k + racks * s)."""
+    regions, racks, places = shape
+    return _bound(_pick(key, [], regions, weights), lambda r: _bound(
+        _pick(key, [r], racks, weights), lambda k: r + regions * (k + racks * _pick(key, [r, k], places, weights))))
 
 
-def hash_tree_shard(key: Column, shards: int, weights: Weights | None = None) -> Column:
+def hash_tree_shard(key: Column, shards: int, weights: Weights | None = None, shape: tuple[int, int, int] = SHAPE) -> Column:
     """The shard, 0 to ``shards`` - 1, of a row with this key.
 
-    The tree has the smallest power of four of places that holds the shards. A row descends it and draws again when it
-    falls to a place not in use. A row that falls into the first quarter of the places descends the full smaller tree
-    instead. So one more shard takes rows from all shards into itself and moves no other row, at any number of shards.
-    ``weights``: weight of a region (r,), rack (r, k) or shard (r, k, s) against its siblings, 1 where not named; a
-    change moves rows only inside the parent of the changed node. A null key is a key like any other.
+    The tree has a fixed number of places, of which the first ``shards`` are in use, spread evenly over regions and racks.
+    A row descends it and draws again when it falls to a place not in use. So one more shard takes rows from all shards
+    into itself and moves no other row. ``weights``: weight of a region (r,), rack (r, k) or place (r, k, s) against its
+    siblings, 1 where not named. A change moves only rows that pass through the parent of the changed node; with all
+    places in use they stay below that parent. A null key is a key like any other. More shards than places are an error:
+    ``shape`` is part of the law and is chosen with room to grow.
     """
-    if shards < 1:
-        raise ValueError("shards must be at least 1")
-    weights = weights or {}
-    size = 1
-    while size < shards:
-        size *= FAN
-    if size == 1:
+    size = shape[0] * shape[1] * shape[2]
+    if not 1 <= shards <= size:
+        raise ValueError(f"shards must be 1 to {size}")
+    if shards == 1:
         return F.lit(0)
-
-    def smaller() -> Column:
-        return _descend([key, F.lit(-size // FAN)], size // FAN, weights)
+    tries = 1 if shards == size else 40 * size // shards        # all of them miss with a chance of exp(-40)
 
     def attempt(found: Column, t: Column) -> Column:
         return F.when(found >= 0, found).otherwise(
-            _bound(_descend([key, F.lit(size), t], size, weights), lambda at: F.when(at < shards, at).otherwise(F.lit(-1))))
+            _bound(_descend([key, t], shape, weights or {}), lambda at: F.when(at < shards, at).otherwise(F.lit(-1))))
 
-    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1), attempt)
-    return _bound(drawn, lambda at: F.when(at >= size // FAN, at).otherwise(smaller()))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(-1), attempt)
 
 
 def shard_by_tree(docs: DataFrame, shards: int = 40, weights: Weights | None = None) -> DataFrame:
-    """Every row with its shard by ``hash_tree_shard`` of its doc_id: the columns of ``docs`` but ``text``'s siblings
-    are not needed; result columns are doc_id, size (UTF-8 bytes plus 16), text_crc32, law (``key``), shard, slot,
-    grown_shard (with one more shard).
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``: size is the text's UTF-8 bytes plus 16,
+    shard follows ``hash_tree_shard`` of the doc_id (law ``key``), grown_shard the same with one more shard.
 
     Rows of a shard are numbered without gaps from 0: bucket by bucket of a hash, then by doc_id and text sum, so that no
     task sees a whole shard. Null text counts as empty; rows with a null doc_id share a shard; repeated rows get slots
