@@ -15,21 +15,20 @@ def joined_text(rows: DataFrame, keys: list[str], order: list[str], sep: str = "
     parts = F.sort_array(F.collect_list(F.struct(*order, "text")))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["text"]), sep).alias("text"))
 
-PAGE_ROWS = 10_000
+def document_lines(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One JSON document per meeting, as lines: meeting_id, place, value.
 
-def document_pages(rows: DataFrame, metadata: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """JSON documents: meeting_id, page, body.
-
-    ``rows`` needs start, end, speaker, text, source, confidence, language and place; ``metadata`` one struct per
-    meeting. Meetings of up to ``page_rows`` rows give one document; longer ones continue on further pages, so no
-    task ever holds more than a page. Missing optional fields are absent from the JSON.
+    ``rows`` needs start, end, speaker, text, source, confidence, language and place (1, 2, ...); ``metadata`` one struct per
+    meeting. The lines of a meeting, in order, are its document, however long it is: a head, a line per segment, an end.
+    Missing optional fields are absent from the JSON.
     """
-    page = F.floor((F.col("place") - 1) / page_rows).cast("bigint")
     optional = F.when(F.col("source") != "", F.col("source"))
-    segment = F.struct("place", F.struct("start", "end", "speaker", "text", optional.alias("source"), "confidence", "language").alias("s"))
-    pages = rows.groupBy("meeting_id", page.alias("page")).agg(F.sort_array(F.collect_list(segment)).alias("all"))
-    body = F.to_json(F.struct("metadata", F.transform("all", lambda x: x["s"]).alias("segments")))
-    return pages.join(metadata.select("meeting_id", "metadata"), "meeting_id", "left").select("meeting_id", "page", body.alias("body"))
+    segment = F.to_json(F.struct("start", "end", "speaker", "text", optional.alias("source"), "confidence", "language"))
+    body = rows.select("meeting_id", F.col("place").cast("bigint").alias("place"), F.concat(F.when(F.col("place") == 1, "").otherwise(","), segment).alias("value"))
+    ends = rows.groupBy("meeting_id").agg(F.max("place").cast("bigint").alias("last")).join(metadata.select("meeting_id", "metadata"), "meeting_id", "left")
+    head = F.concat(F.lit('{"metadata":'), F.coalesce(F.to_json("metadata"), F.lit("{}")), F.lit(',"segments":['))
+    frame = F.array(F.struct(F.lit(0).cast("bigint").alias("place"), head.alias("value")), F.struct((F.col("last") + 1).alias("place"), F.lit("]}").alias("value")))
+    return body.unionByName(ends.select("meeting_id", F.inline(frame)))
 
 def cue_lines(rows: DataFrame) -> DataFrame:
     """SRT: one cue per row, numbered by ``place``."""
@@ -90,12 +89,11 @@ def recorded_names(existing: Column, incoming: Column) -> Column:
     kept = F.map_filter(existing, lambda k, v: ~F.map_contains_key(changed, k))
     return F.map_concat(kept, changed)
 
-def prompt_pages(rows: DataFrame, dual: Column, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """The transcript part of a prompt, in pages like the documents."""
+def prompt_text(rows: DataFrame, dual: Column) -> DataFrame:
+    """The transcript part of a meeting's prompt. It is one string, as a model reads it, so it is gathered per meeting."""
     line = usage.prompt_line(F.col("start"), F.col("speaker"), F.col("source"), F.col("text"), dual)
-    page = F.floor((F.col("place") - 1) / page_rows).cast("bigint")
     parts = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
-    return rows.groupBy("meeting_id", page.alias("page")).agg(
+    return rows.groupBy("meeting_id").agg(
         F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("lines"))
 
 def user_message(name: Column, date_text: Column, duration_s: Column, speakers: Column, lines: Column) -> Column:
@@ -129,8 +127,6 @@ def audio_layout(paths: DataFrame, keys: list[str]) -> DataFrame:
 def trimmed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", trim_blank(F.col("text")))
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-
 
 def with_audio_paths(documents: DataFrame, archives: DataFrame) -> DataFrame:
     """Point ``metadata`` at the archived files, where ``archives(meeting_id, new_paths)`` has any."""

@@ -47,10 +47,10 @@ def best_remote(voices: DataFrame, keys: list[str], minimum: float = params.ECHO
     similarity = F.when((F.size("le") == F.size("re")) & (F.size("le") > 0), vc.cosine_from(
         vc.dot(F.col("le"), F.col("re")), F.col("ln"), F.col("rn"))).otherwise(F.lit(0.0))
     scored = local.join(remote, keys).select(*keys, "local", "remote", similarity.alias("similarity"))
-    length, number = F.length(F.regexp_replace("remote", r"\d+$", "")), tx.trailing_index(F.col("remote"))
-    natural = F.struct(F.col("similarity"), -length, -F.coalesce(number, F.lit(0)))
+    name, number = F.regexp_replace("remote", r"\d+$", ""), F.coalesce(tx.trailing_index(F.col("remote")), F.lit(-1))
+    natural = F.struct((-F.col("similarity")).alias("far"), name.alias("name"), number.alias("number"), F.col("remote").alias("label"))
     best = scored.where(F.col("similarity") > minimum).groupBy(*keys, "local").agg(
-        F.max_by(F.struct("remote", "similarity"), natural).alias("b"))
+        F.min_by(F.struct("remote", "similarity"), natural).alias("b"))
     return best.select(*keys, "local", "b.remote", "b.similarity")
 
 

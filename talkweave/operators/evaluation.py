@@ -11,9 +11,6 @@ from .. import params
 from ..functions import text as tx
 from ..functions.timing import real_time_factor
 
-# Above this many table cells an edit distance goes to the batched form.
-SHORT_CELLS = 10_000
-
 
 def with_tokens(pairs: DataFrame) -> DataFrame:
     """Adds ref and hyp token arrays: words, or characters where the reference is CJK."""
@@ -32,23 +29,48 @@ def rate(distance: Column) -> Column:
 def _distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     import numpy as np
 
-    def one(a, b) -> int:
-        ids: dict[str, int] = {}
-        x = np.array([ids.setdefault(t, len(ids)) for t in a])
-        y = np.array([ids.setdefault(t, len(ids)) for t in b])
-        steps = np.arange(len(y) + 1)
-        row = steps.copy()
-        for token in x:
+    def banded(x, y, band: int) -> int:
+        """The distance if it is at most ``band``, else something larger: cells off the diagonal by more are left out."""
+        far = len(x) + len(y) + 1
+        steps = np.arange(2 * band + 1)
+        other = np.concatenate([np.full(band, -1), y, np.full(band + 1 + max(0, len(x) - len(y)), -1)])
+        row = np.where(steps >= band, steps - band, far)
+        row[steps - band > len(y)] = far
+        for i, token in enumerate(x, 1):
+            column = i - band + steps
             # Best of substitution and deletion; insertions are a running minimum along the row.
-            best = np.minimum(row[1:] + 1, row[:-1] + (y != token))
-            row = np.minimum.accumulate(np.concatenate(([row[0] + 1], best)) - steps) + steps
-        return int(row[-1])
+            best = np.minimum(np.append(row[1:], far) + 1, row + (other[i - 1:i + 2 * band] != token))
+            best[column == 0] = i
+            best[(column < 0) | (column > len(y))] = far
+            row = np.minimum.accumulate(best - steps) + steps
+            row[column < 0] = far
+        return int(row[len(y) - len(x) + band])
 
-    return pd.Series([one(a, b) for a, b in zip(ref, hyp)], dtype="int64")
+    def one(a, b) -> int:
+        ids: dict[str, int] = {}
+        x = np.array([ids.setdefault(t, len(ids)) for t in a], dtype=np.int64)
+        y = np.array([ids.setdefault(t, len(ids)) for t in b], dtype=np.int64)
+        n = min(len(x), len(y))
+        head = int(np.argmin(np.append(x[:n] == y[:n], False)))
+        x, y = x[head:], y[head:]
+        n = min(len(x), len(y))
+        tail = int(np.argmin(np.append(x[::-1][:n] == y[::-1][:n], False)))
+        x, y = x[:len(x) - tail], y[:len(y) - tail]
+        if not len(x) or not len(y):
+            return len(x) + len(y)
+        band = max(8, abs(len(x) - len(y)))
+        while True:
+            band = min(band, max(len(x), len(y)))
+            found = banded(x, y, band)
+            if found <= band or band == max(len(x), len(y)):
+                return found
+            band *= 2
+
+    return pd.Series([one(a, b) if a is not None and b is not None else 0 for a, b in zip(ref, hyp)], dtype="int64")
 
 
 def long_distance() -> Column:
-    """Edit distance of two token arrays, a batch of pairs at a time."""
+    """Edit distance of two token arrays, a batch of pairs at a time; exact, in a band that doubles until the distance fits."""
     def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ref, hyp in parts:
             yield _distances(ref, hyp)
@@ -59,14 +81,15 @@ def long_distance() -> Column:
 def word_error_rates(pairs: DataFrame) -> DataFrame:
     """Adds wer. Rows with an error or without text are not scored and get null."""
     scorable = F.col("error").isNull() & (F.col("hypothesis") != "") if "error" in pairs.columns else F.col("hypothesis") != ""
-    tokens = with_tokens(pairs)
+    # A Python function runs for every row, whatever stands around it: rows that are not scored bring it no tokens.
+    tokens = with_tokens(pairs).withColumns({c: F.when(scorable, F.col(c)) for c in ("ref", "hyp")})
     done = tokens.withColumn("wer", F.when(scorable, rate(long_distance())))
     return done.drop("ref", "hyp")
 
 
 def short_word_error_rates(pairs: DataFrame) -> DataFrame:
-    """The same without leaving the JVM, for pairs of up to ``SHORT_CELLS`` table cells; longer pairs are absent."""
-    tokens = with_tokens(pairs).where(F.size("ref") * F.size("hyp") <= SHORT_CELLS)
+    """The same without leaving the JVM, over the full table: for pairs of sentences."""
+    tokens = with_tokens(pairs)
     return tokens.withColumn("wer", rate(tx.edit_distance(F.col("ref"), F.col("hyp")))).drop("ref", "hyp")
 
 

@@ -209,12 +209,12 @@ def single_speaker(segments: DataFrame, speaker: str = SINGLE) -> DataFrame:
         "source", F.lit(""))
 
 
-def resolve_unknowns(labeled: DataFrame, speaker_counts: DataFrame, order: list[str]) -> DataFrame:
-    """Where the diarizer heard exactly one speaker on a channel, Unknown rows take the first confirmed label."""
+def resolve_unknowns(labeled: DataFrame, speaker_counts: DataFrame, order: list[str], keys: list[str] = STREAM) -> DataFrame:
+    """Where exactly one speaker was heard under ``keys``, Unknown rows take the first confirmed label."""
     blank = (F.col("speaker") == "") | (F.col("speaker") == params.UNKNOWN)
-    confirmed = labeled.where(~blank).groupBy(*STREAM).agg(F.min_by("speaker", F.struct(*order)).alias("__only"))
-    lone = speaker_counts.where("n_speakers = 1").select(*STREAM).join(confirmed, STREAM)
-    joined = labeled.join(lone, STREAM, "left")
+    confirmed = labeled.where(~blank).groupBy(*keys).agg(F.min_by("speaker", F.struct(*order)).alias("__only"))
+    lone = speaker_counts.where("n_speakers = 1").select(*keys).join(confirmed, keys)
+    joined = labeled.join(lone, keys, "left")
     return joined.withColumn("speaker", F.when(blank & F.col("__only").isNotNull(), F.col("__only"))
                              .otherwise(F.col("speaker"))).drop("__only")
 

@@ -37,14 +37,15 @@ def retained(events: DataFrame, cost: Column, max_events: int = params.RING_EVEN
 
 
 def retry_streaks(failures: DataFrame, key: str = "session_id", at: str = "failed_at_s",
-                  decay: float = params.RETRY_DECAY_S, cap: int = params.RETRY_CAP) -> DataFrame:
-    """Length of the failure streak at each failure; a gap beyond ``decay`` starts a new one."""
+                  decay: float = params.RETRY_DECAY_S, cap: int = params.RETRY_CAP, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Length of the failure streak at each failure; a gap beyond ``decay`` starts a new one. ``ties`` order failures of one moment."""
+    order = [at, *ties]
     block = blocks_of(F.col(at), decay * 1024)
     scans = [previous("__p", F.col(at)), Scan("__rn", "sum", F.lit(1).cast("bigint"))]
-    seen = block_scan(failures, [key], [at], scans, block)
+    seen = block_scan(failures, [key], order, scans, block)
     fresh = F.col("__p.v").isNull() | (F.col(at) - F.col("__p.v") > decay)
     marked = seen.withColumn("__s", F.when(fresh, F.col("__rn"))).drop("__p")
-    out = block_scan(marked, [key], [at], [Scan("__start", "last", F.col("__s"))], block)
+    out = block_scan(marked, [key], order, [Scan("__start", "last", F.col("__s"))], block)
     count = F.col("__rn") - F.col("__start") + 1
     return out.select(*failures.columns, count.alias("retry_count"), (count > cap).alias("give_up"))
 

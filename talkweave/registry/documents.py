@@ -73,9 +73,8 @@ def metadata(t):
 
 def stored_documents(t):
     path = scratch_dir(t.spark, "documents")
-    docs.write_documents(dc.document_pages(rows(t), metadata(t)), path)
-    named = docs.read_documents(t.spark, path, multi_line=False)
-    return named
+    docs.write_lines(dc.document_lines(rows(t), metadata(t)), path)
+    return docs.read_document_rows(t.spark, path)
 
 
 @query("s4_document_sink", """
@@ -83,15 +82,15 @@ SELECT output_format, CAST(CASE WHEN meeting_id % 3 = 0 THEN 2 END AS INTEGER) A
        CAST(sum(length(text)) AS BIGINT) AS chars FROM r_rows GROUP BY meeting_id, output_format""", ("r_rows",))
 def s4(t):
     d = stored_documents(t)
-    return d.select("metadata.output_format", "metadata.echo_segments_removed", F.size("segments").alias("segments"),
-                    F.round(F.array_max(F.transform("segments", lambda s: s["end"])), 6).alias("last_end"),
-                    F.aggregate("segments", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s["text"])).alias("chars"))
+    return d.groupBy("meeting_id", "metadata.output_format", "metadata.echo_segments_removed").agg(
+        F.count(F.lit(1)).cast("int").alias("segments"), F.round(F.max("s.end"), 6).alias("last_end"),
+        F.sum(F.length("s.text")).alias("chars")).drop("meeting_id")
 
 
 @query("s3_document_scan", """
 SELECT speaker, source, text, round(start, 6) AS start_s FROM r_rows""", ("r_rows",))
 def s3(t):
-    return docs.summary_rows(stored_documents(t), ["file"]).select("speaker", "source", "text", F.round("start", 6).alias("start_s"))
+    return docs.filled(stored_documents(t), ["meeting_id"]).select("speaker", "source", "text", F.round("start", 6).alias("start_s"))
 
 
 @query("p24_document_metadata", """
@@ -172,11 +171,11 @@ FROM (SELECT meeting_id, CAST(arg_max("end", place) AS BIGINT) AS d, string_agg(
 JOIN (SELECT meeting_id, string_agg(speaker, ', ' ORDER BY f) AS who FROM (SELECT meeting_id, speaker, min(place) AS f FROM r_rows GROUP BY ALL) GROUP BY meeting_id) USING (meeting_id)""", ("r_rows",))
 def s19(t):
     r = written(rows(t), "rows")
-    pages = dc.prompt_pages(r, F.lit(True))
+    spoken = dc.prompt_text(r, F.lit(True))
     people = ag.participants(r, ["place"])
     who = people.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "speaker"))), lambda p: p["speaker"]), ", ").alias("who"))
     length = ag.meeting_length(r, ["place"], "end")
-    joined = pages.join(who, "meeting_id").join(length, "meeting_id")
+    joined = spoken.join(who, "meeting_id").join(length, "meeting_id")
     name = F.concat(F.lit("m"), F.col("meeting_id").cast("string"))
     return joined.select("meeting_id", dc.user_message(name, F.lit("2024-01-01"), F.col("duration_s"), F.col("who"), F.col("lines")).alias("message"))
 

@@ -298,16 +298,42 @@ def u7(t):
     return rc.reconcile_segments(t.speaker_embeddings)
 
 
-define("r_clean", ("v_segments",), f"""
+# A third of the chunks has lost its microphone.
+define("r_heard", ("v_segments",), "SELECT * FROM v_segments WHERE source <> 'local' OR (meeting_id + chunk_index) % 3 <> 0")
+define("r_heard_chunks", ("r_heard",), "SELECT meeting_id, chunk_index, bool_or(source = 'local') AS is_dual_stream FROM r_heard GROUP BY ALL")
+define("r_heard_voices", ("v_speaker_embeddings",), "SELECT * FROM v_speaker_embeddings WHERE source <> 'local' OR (meeting_id + chunk_index) % 3 <> 0")
+define("r_heard_known", ("r_heard_voices", "r_heard_chunks"), """
+SELECT e.* REPLACE (CASE WHEN NOT d.dual THEN '' WHEN e.source = 'local' THEN 'Local ' ELSE 'Remote ' END AS source)
+FROM r_heard_voices e JOIN (SELECT meeting_id, bool_or(is_dual_stream) AS dual FROM r_heard_chunks GROUP BY meeting_id) d USING (meeting_id) WHERE d.dual OR e.source <> 'local'""")
+define_identities("r_heard_identity", "r_heard_known", "source")
+define("r_heard_map", ("r_heard_identity", "r_heard_chunks"), """
+SELECT i.meeting_id, i.chunk_index, CASE WHEN namespace = 'Local ' OR c.is_dual_stream THEN namespace ELSE '' END || speaker AS speaker, namespace || global_speaker AS global
+FROM r_heard_identity i JOIN r_heard_chunks c USING (meeting_id, chunk_index)""")
+
+
+def partly_single(rows):
+    """Rows of the remote channel, and of the local one where its chunk still has a microphone."""
+    return rows.where("source <> 'local' OR (meeting_id + chunk_index) % 3 <> 0")
+
+
+def heard_voices(t):
+    return partly_single(t.speaker_embeddings)
+
+
+def heard_chunks(t):
+    return partly_single(t.segments).groupBy(*CHUNK).agg(F.bool_or(F.col("source") == "local").alias("is_dual_stream"))
+
+
+define("r_clean", ("r_heard",), f"""
 SELECT * EXCLUDE (t, p) FROM (
   SELECT *, lag(t) OVER (PARTITION BY meeting_id, chunk_index, source ORDER BY seg_ord) AS p
-  FROM (SELECT *, {duck_trim('text')} AS t FROM v_segments WHERE start_s <> end_s)) WHERE p IS NULL OR p <> t""")
+  FROM (SELECT *, {duck_trim('text')} AS t FROM r_heard WHERE start_s <> end_s)) WHERE p IS NULL OR p <> t""")
 define_split("r_clean_split", "r_clean")
 define_labeled("r_clean_labeled", "r_clean_split")
-define("r_landed_all", ("r_clean_labeled", "r_names"), f"""
-SELECT l.* REPLACE (CASE l.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || CASE WHEN l.speaker = 'Unknown' AND n.n = 1 THEN coalesce(f.speaker, 'Unknown') ELSE l.speaker END AS speaker,
+define("r_landed_all", ("r_clean_labeled", "r_names", "r_heard_chunks"), f"""
+SELECT l.* REPLACE (CASE WHEN NOT c.is_dual_stream THEN l.speaker ELSE CASE l.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || CASE WHEN l.speaker = 'Unknown' AND n.n = 1 THEN coalesce(f.speaker, 'Unknown') ELSE l.speaker END END AS speaker,
        {duck_trim('l.text')} AS text)
-FROM r_clean_labeled l
+FROM r_clean_labeled l JOIN r_heard_chunks c USING (meeting_id, chunk_index)
 LEFT JOIN (SELECT meeting_id, chunk_index, source, count(*) AS n FROM r_names GROUP BY ALL) n USING (meeting_id, chunk_index, source)
 LEFT JOIN (SELECT meeting_id, chunk_index, source, arg_min(speaker, start_s * 1000000 + seg_ord * 100 + piece) AS speaker FROM r_clean_labeled WHERE speaker <> 'Unknown' GROUP BY ALL) f USING (meeting_id, chunk_index, source)""")
 
@@ -341,19 +367,25 @@ define_echo_free("r_landed", "r_landed_all", "r_plain_best", "meeting_id, chunk_
 
 @query("chunked_transcript", """
 SELECT l.meeting_id, l.chunk_index, l.source, l.seg_ord, l.piece, round(chunk_index * 40 + l.start_s, 6) AS elapsed, round(chunk_index * 40 + l.end_s, 6) AS elapsed_end, coalesce(m.global, l.speaker) AS speaker, l.text
-FROM r_landed l LEFT JOIN (SELECT * EXCLUDE (source) FROM r_channel_map) m USING (meeting_id, chunk_index, speaker)""", ("r_landed", "r_channel_map"))
+FROM r_landed l LEFT JOIN r_heard_map m USING (meeting_id, chunk_index, speaker)""", ("r_landed", "r_heard_map"))
 def chunked_plan(t):
-    rows = chunked.processed_chunks(t.segments, t.words, t.turns, t.speech, t.speaker_embeddings)
-    done = chunked.finalize(rows, t.speaker_embeddings, t.chunks, *_starts())
+    chunks, voices = heard_chunks(t), heard_voices(t)
+    rows = chunked.processed_chunks(partly_single(t.segments), t.words, t.turns, t.speech, voices, chunks)
+    done = chunked.finalize(rows, voices, chunks, *_starts())
     return done.select(*STREAM, "seg_ord", "piece", F.round("elapsed", 6).alias("elapsed"), F.round("elapsed_end", 6).alias("elapsed_end"), "speaker", "text")
 
 
 define("r_oneshot_map", ("r_odd_identity",), "SELECT * EXCLUDE (namespace), namespace AS source FROM r_odd_identity")
-define("r_oneshot_rows", ("v_segments", "r_oneshot_map"), """
-SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.chunk_index * 40 + s.start_s AS start_s, s.chunk_index * 40 + s.end_s AS end_s, s.text,
-       CASE s.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || coalesce(m.global_speaker, s.raw) AS speaker
-FROM (SELECT *, 'Speaker ' || (seg_ord % 2 + 1) AS raw FROM v_segments) s
+define("r_oneshot_raw", ("v_segments", "r_oneshot_map"), """
+SELECT s.meeting_id, s.chunk_index, s.source, s.seg_ord, s.chunk_index * 40 + s.start_s AS start_s, s.chunk_index * 40 + s.end_s AS end_s, s.text, coalesce(m.global_speaker, s.raw) AS speaker
+FROM (SELECT *, CASE WHEN seg_ord % 7 = 3 THEN 'Unknown' ELSE 'Speaker ' || (seg_ord % 2 + 1) END AS raw FROM v_segments) s
 LEFT JOIN r_oneshot_map m ON m.meeting_id = s.meeting_id AND m.chunk_index = s.chunk_index AND m.source = s.source AND m.speaker = s.raw""")
+define("r_oneshot_rows", ("r_oneshot_raw", "r_oneshot_map"), """
+SELECT r.* REPLACE (CASE r.source WHEN 'local' THEN 'Local ' ELSE 'Remote ' END || CASE WHEN r.speaker = 'Unknown' THEN coalesce(o.only, 'Unknown') ELSE r.speaker END AS speaker)
+FROM r_oneshot_raw r LEFT JOIN (
+  SELECT meeting_id, source, arg_min(speaker, start_s * 100000 + seg_ord) AS only FROM r_oneshot_raw
+  SEMI JOIN (SELECT meeting_id, source FROM r_oneshot_map GROUP BY ALL HAVING count(DISTINCT global_speaker) = 1) USING (meeting_id, source)
+  WHERE speaker <> 'Unknown' GROUP BY ALL) o USING (meeting_id, source)""")
 define("r_everyone", ("r_voices", "r_oneshot_map"), """
 SELECT v.meeting_id, v.source, m.global_speaker AS speaker, arg_min(v.embedding, v.chunk_index * 100 + CAST(right(v.speaker, 1) AS INT)) AS embedding
 FROM r_voices v JOIN r_oneshot_map m USING (meeting_id, chunk_index, source, speaker) GROUP BY ALL""")
@@ -368,7 +400,7 @@ define_echo_free("r_oneshot", "r_oneshot_rows", "r_oneshot_best", "meeting_id",
 @query("oneshot_transcript", """
 SELECT meeting_id, chunk_index, source, seg_ord, start_s, end_s, speaker, text FROM r_oneshot""", ("r_oneshot",))
 def oneshot_plan(t):
-    who = F.concat(F.lit("Speaker "), (F.col("seg_ord") % 2 + 1).cast("string"))
+    who = F.when(F.col("seg_ord") % 7 == 3, F.lit("Unknown")).otherwise(F.concat(F.lit("Speaker "), (F.col("seg_ord") % 2 + 1).cast("string")))
     offsets = t.chunks.select(*CHUNK, _d(F.col("chunk_index") * 40).alias("offset_s"))
-    done = oneshot.transcript(t.segments.withColumn("speaker", who), odd_voices(t), t.turns, offsets, IDENT)
+    done = oneshot.transcript(t.segments.withColumn("speaker", who), odd_voices(t), offsets, IDENT)
     return done.select(*STREAM, "seg_ord", "start_s", "end_s", "speaker", "text")

@@ -63,10 +63,10 @@ FROM v_capture_events""")
 
 @query("w9_ring_retained", """
 SELECT session_id, event_ord FROM (
-  SELECT *, count(*) OVER w AS n, sum(length(line) + 1) OVER w AS b FROM r_lines WINDOW w AS (PARTITION BY session_id ORDER BY ts DESC, event_ord DESC ROWS UNBOUNDED PRECEDING))
+  SELECT *, count(*) OVER w AS n, sum(strlen(line) + 1) OVER w AS b FROM r_lines WINDOW w AS (PARTITION BY session_id ORDER BY ts DESC, event_ord DESC ROWS UNBOUNDED PRECEDING))
 WHERE n = 1 OR (n <= 40 AND b <= 4000)""", ("r_lines",))
 def w9(t):
-    kept = mo.retained(t.capture_events, F.length(mo.event_json()) + 1, max_events=40, max_bytes=4000)
+    kept = mo.retained(t.capture_events, F.octet_length(mo.event_json()) + 1, max_events=40, max_bytes=4000)
     return kept.select("session_id", "event_ord")
 
 

@@ -10,6 +10,7 @@ from ..operators import monitors as mo
 from ..plans import chunked
 from ..streaming import streams as st
 from .base import ORACLES, query
+from .echo import heard_voices, partly_single
 from .monitors import PROVENANCE
 from .tables import STREAM, Tables, define
 
@@ -20,8 +21,13 @@ class Landing(Tables):
     """The same derived inputs, read as streams."""
 
     def raw(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(os.path.join(self.root, f"{name}.parquet")).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
+        """A table is a folder of part files or a single file; a stream reads folders, so a single file is picked from its folder."""
+        path = os.path.join(self.root, f"{name}.parquet")
+        stream = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+            return stream.parquet(path)
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
 
 
 class Batch(Tables):
@@ -37,9 +43,10 @@ def landing(t: Tables) -> Landing:
 
 
 @query("t1_chunk_rotation", """
-SELECT session_id, CAST(floor(epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00' + TIMESTAMP '1970-01-01') / 1800000000) AS INTEGER) AS chunk_index, count(*) AS events FROM v_capture_events GROUP BY ALL""", ("v_capture_events",))
+SELECT session_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') - session_id % 29 * 60000000) / 1800000000) AS INTEGER) AS chunk_index, count(*) AS events FROM v_capture_events GROUP BY ALL""", ("v_capture_events",))
 def t1(t):
-    s = st.chunk_counts(landing(t).capture_events, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    begun = F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") % 29 * 60)      # each session starts at its own minute
+    s = st.chunk_counts(landing(t).capture_events, begun)
     return st.collect_latest(s, ["session_id", "chunk_index"], "rotation")
 
 
@@ -48,9 +55,9 @@ SELECT meeting_id, chunk_index, source, seg_ord, piece, round(start_s, 6) AS sta
 def t2(t):
     def plan(batch):
         b = Batch(batch.sparkSession, t.root, batch)
-        return chunked.processed_chunks(b.segments, b.words, b.turns, b.speech, b.speaker_embeddings)
+        return chunked.processed_chunks(b.segments, b.words, b.turns, b.speech, heard_voices(b), b.chunks)
 
-    rows = st.process_landing(landing(t).segments, plan, "landed")
+    rows = st.process_landing(partly_single(landing(t).segments), plan, "landed")
     return rows.select(*STREAM, "seg_ord", "piece", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "speaker")
 
 

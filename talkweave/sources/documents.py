@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import trim_blank
-from ..schemas import DOCUMENT
+from ..schemas import DOC_SEGMENT, DOCUMENT
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -25,15 +25,24 @@ def sample_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def summary_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows for a summary: everything, with empty defaults."""
+    return filled(docs.select(*keys, F.posexplode("segments").alias("ord", "s")), [*keys, "ord"])
+
+
+def filled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The fields of segments ``s``, with empty defaults."""
     zero, none = F.lit(0.0), F.lit("")
-    return docs.select(*keys, F.posexplode("segments").alias("ord", "s")).select(
-        *keys, "ord", F.coalesce("s.start", zero).alias("start"), F.coalesce("s.end", zero).alias("end"), F.coalesce("s.speaker", none).alias("speaker"),
+    return rows.select(
+        *keys, F.coalesce("s.start", zero).alias("start"), F.coalesce("s.end", zero).alias("end"), F.coalesce("s.speaker", none).alias("speaker"),
         F.coalesce("s.text", none).alias("text"), F.coalesce("s.source", none).alias("source"))
 
 
-def write_documents(pages: DataFrame, path: str) -> None:
-    """One JSON line per document page."""
-    pages.select("body").write.mode("overwrite").text(path)
+def read_document_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that were written as lines, a row per segment: meeting_id, metadata, s. No document is ever held whole."""
+    lines = read_lines(spark, path)
+    opens = F.col("value").startswith('{"metadata":')
+    head = lines.where(opens).select("meeting_id", F.from_json(F.concat("value", F.lit("]}")), DOCUMENT)["metadata"].alias("metadata"))
+    body = lines.where(~opens & (F.col("value") != "]}"))
+    return body.select("meeting_id", F.from_json(F.ltrim("value", F.lit(",")), DOC_SEGMENT).alias("s")).join(head, "meeting_id")
 
 
 def write_lines(lines: DataFrame, path: str, key: str = "meeting_id") -> None:

@@ -21,11 +21,15 @@ def rotation_index(ts: Column, start: Column, minutes: int = params.CHUNK_MINUTE
     return F.floor((F.unix_micros(ts) - F.unix_micros(start)) / (max(minutes, 10) * 60_000_000)).cast("int")
 
 
-def chunk_counts(events: DataFrame, start: Column, minutes: int = params.CHUNK_MINUTES, late: str = "10 minutes") -> DataFrame:
-    """Events per session and chunk, kept up to date."""
-    w = F.window("ts", f"{max(minutes, 10)} minutes")
-    counted = events.withWatermark("ts", late).groupBy("session_id", w.alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return counted.select("session_id", rotation_index(F.col("w.start"), start, minutes).alias("chunk_index"), "events")
+def chunk_counts(events: DataFrame, start: Column, minutes: int = params.CHUNK_MINUTES, late_minutes: int = 10) -> DataFrame:
+    """Events per session and chunk, kept up to date; chunks count from ``start``, which may be a column of the session."""
+    length = max(minutes, 10)
+    index = rotation_index(F.col("ts"), start, minutes)
+    begun = F.timestamp_micros(F.unix_micros(start) + index.cast("bigint") * (length * 60_000_000))
+    # The event time of a chunk is its begin, so a chunk stays open for its length and the lateness after it.
+    at = events.withColumn("chunk_index", index).withColumn("chunk_at", begun)
+    counted = at.withWatermark("chunk_at", f"{length + late_minutes} minutes").groupBy("session_id", "chunk_index", "chunk_at").agg(F.count(F.lit(1)).alias("events"))
+    return counted.select("session_id", "chunk_index", "events")
 
 
 def rate_drift(callbacks: DataFrame, keys: list[str], order: str = "cb_ord") -> DataFrame:
@@ -113,16 +117,23 @@ def collect_latest(stream: DataFrame, keys: list[str], purpose: str) -> DataFram
 
 
 def process_landing(segments: DataFrame, plan: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
-    """Not a stream: each micro-batch of whole chunks goes through ``plan``; the rows of every chunk are returned.
+    """Not a stream: the chunks a micro-batch touches go through ``plan``; the rows of every chunk are returned.
 
-    A chunk that lands again (recovered after a crash) replaces its older rows: only its newest batch counts.
+    A chunk may land in parts, over several batches: all its rows so far are planned anew, and its newest result counts. A
+    segment that lands again (recovered after a crash) replaces its older row.
     """
     path = scratch_dir(segments.sparkSession, purpose)
+    chunk, ident = ["meeting_id", "chunk_index"], ["meeting_id", "chunk_index", "source", "seg_ord"]
+    rest = [c for c in segments.columns if c not in ident]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # the plan reads its input several times
-        plan(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}-raw/batch={batch_id}")
+        landed = spark.read.parquet(f"{path}-raw").where(F.col("batch") <= batch_id)
+        touched = landed.where(F.col("batch") == batch_id).select(*chunk).distinct()
+        newest = (landed.join(touched, chunk, "left_semi").groupBy(*ident)
+                  .agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*ident, *[F.col(f"v.{c}").alias(c) for c in rest]))
+        plan(newest.select(segments.columns)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run = (segments.writeStream.foreachBatch(store).option("checkpointLocation", path + "-state").outputMode("append")
            .trigger(availableNow=True).start())

@@ -47,18 +47,39 @@ def test_sessions_old_and_broken(spark):
     assert [(r.source, r.speaker) for r in ss.chunk_voices(chunks).collect()] == [("remote", "Speaker 1")] * 2
 
 
-def test_documents_round_trip_and_paging(spark):
+def test_documents_round_trip(spark):
     rows = [(1, i, i + 1, float(i), i + 0.5, "Speaker 1", f"t{i}", "local" if i % 2 else "", 0.5 if i else None, None) for i in range(5)]
     df = spark.createDataFrame(rows, "meeting_id bigint, seg_ord int, place bigint, start double, end double, speaker string, text string, source string, confidence double, language string")
     meta = spark.range(1, 2).select(F.col("id").alias("meeting_id"), F.struct(F.lit("srt").alias("output_format")).alias("metadata"))
-    pages = [json.loads(r.body) for r in dc.document_pages(df, meta, page_rows=3).orderBy("page").collect()]
-    assert [len(p["segments"]) for p in pages] == [3, 2]
-    assert pages[0]["segments"][0] == {"start": 0.0, "end": 0.5, "speaker": "Speaker 1", "text": "t0"}
     path = scratch_dir(spark, "docs")
-    docs.write_documents(dc.document_pages(df, meta), path)
-    back = docs.read_documents(spark, path, multi_line=False)
+    docs.write_lines(dc.document_lines(df, meta), path)
+    body = "".join(open(os.path.join(d, f)).read() for d, _, fs in sorted(os.walk(path)) for f in sorted(fs) if f.startswith("part-"))
+    whole = json.loads(body)
+    assert whole["metadata"] == {"output_format": "srt"} and len(whole["segments"]) == 5
+    assert whole["segments"][0] == {"start": 0.0, "end": 0.5, "speaker": "Speaker 1", "text": "t0"}
+    assert docs.filled(docs.read_document_rows(spark, path), ["meeting_id"]).where("source = ''").count() == 3
+    single = folder(spark, "document", {"a.json": body})
+    back = docs.read_documents(spark, single)
     assert docs.sample_rows(back, ["file"]).where("source = 'remote'").count() == 3
     assert docs.summary_rows(back, ["file"]).where("source = ''").count() == 3
+
+
+def test_a_long_meeting_is_one_document(spark):
+    df = spark.range(12000).select(F.lit(1).cast("bigint").alias("meeting_id"), (F.col("id") + 1).alias("place"), F.col("id").cast("double").alias("start"),
+                                   (F.col("id") + 1).cast("double").alias("end"), F.lit("S").alias("speaker"), F.lit("t").alias("text"), F.lit("").alias("source"),
+                                   F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("language"))
+    meta = spark.range(1, 2).select(F.col("id").alias("meeting_id"), F.struct(F.lit("srt").alias("output_format")).alias("metadata"))
+    path = scratch_dir(spark, "docs")
+    docs.write_lines(dc.document_lines(df, meta), path)
+    body = "".join(open(os.path.join(d, f)).read() for d, _, fs in sorted(os.walk(path)) for f in sorted(fs) if f.startswith("part-"))
+    assert [s["start"] for s in json.loads(body)["segments"]] == [float(k) for k in range(12000)]
+    assert docs.read_document_rows(spark, path).where("metadata.output_format = 'srt'").count() == 12000
+    assert dc.prompt_text(df, F.lit(True)).count() == 1
+
+
+def test_exports(spark):
+    rows = [(1, i, i + 1, float(i), i + 0.5, "Speaker 1", f"t{i}", "local" if i % 2 else "", 0.5 if i else None, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "meeting_id bigint, seg_ord int, place bigint, start double, end double, speaker string, text string, source string, confidence double, language string")
     out = scratch_dir(spark, "srt")
     docs.write_lines(dc.cue_lines(df), out)
     text = "".join(open(os.path.join(d, f)).read() for d, _, fs in sorted(os.walk(out)) for f in sorted(fs) if f.startswith("part-"))
