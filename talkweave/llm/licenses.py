@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .ragged import Words, fold, text_slices
+from .ragged import SLICE, Words, fold, text_slices
 
 GRAM = 3              # words of a fingerprint
 WINDOW = 4            # of so many neighbouring fingerprints the smallest is kept: a shared run of GRAM + WINDOW - 1 words is found
@@ -155,7 +155,7 @@ def _best(rows: list[tuple]) -> list[tuple]:
 def _scanned(batches, held):
     t = held.value
     for batch in batches:
-        for row, data, bounds, words in _split(batch.column("text"), 1 << 21):
+        for row, data, bounds, words in _split(batch.column("text"), SLICE):
             doc, owner, shift = _candidates(words, t)
             if not len(doc):
                 continue

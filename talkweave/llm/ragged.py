@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21          # bytes of text worked on at once; a longer document is a slice of its own
+SLICE = 1 << 20          # bytes of text worked on at once; a longer document is a slice of its own
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 5)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))

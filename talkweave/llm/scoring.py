@@ -34,7 +34,7 @@ ENTRY_BITS = 9
 PROBES = 4
 HOT = 1 << 19
 FLUSH = 1 << 20              # tokens counted together, and texts' tokens scored as one sheet
-RANGE_BYTES = 24 << 20       # training text per hash range, about
+RANGE_BYTES = 6 << 20        # training text per hash range, about
 LEVELS = 48
 BEGIN, END = mix(np.array([11, 13], U))
 _STEP = U(0xD6E8FEB86659FD93)
@@ -117,9 +117,9 @@ def _merged(table: pa.Table) -> pa.Table:
     out: dict = {"range": [table.column("range")[0].as_py()]}
     for order in range(1, ORDER + 1):
         rows = np.flatnonzero(orders == order)
-        raw = [(table.column("hashes")[int(r)].as_py(), table.column("counts")[int(r)].as_py()) for r in rows]
-        names = np.concatenate([np.frombuffer(h, U) if order == 1 else _long(h) for h, _ in raw] or [np.empty(0, U)])
-        times = np.concatenate([np.frombuffer(c, np.uint32) for _, c in raw] or [np.empty(0, np.uint32)]).astype(np.int64)
+        hashes, counts = (table.column(c) for c in ("hashes", "counts"))
+        names = np.concatenate([np.frombuffer(h, U) if order == 1 else _long(h) for h in (hashes[int(r)].as_py() for r in rows)] or [np.empty(0, U)])
+        times = np.concatenate([np.frombuffer(counts[int(r)].as_py(), np.uint32) for r in rows] or [np.empty(0, np.uint32)]).astype(np.int64)
         sort = np.argsort(names, kind="stable")
         names, times = names[sort], times[sort]
         head = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
