@@ -14,22 +14,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import params
 from ..functions.text import is_blank, is_punctuation_only, is_unknown, trim_blank, with_source_prefix
 from ..functions.timing import overlap_seconds
-from .intervals import carried, neighbours, overlap_pairs
-from .ordered import block_scan, blocks_of, previous
+from .intervals import carried, overlap_pairs
 
 STREAM = ["meeting_id", "chunk_index", "source"]
 SEGMENT = [*STREAM, "seg_ord"]
 WORD = [*SEGMENT, "word_ord"]
-SEG_BLOCK = 4096
 SINGLE = "Speaker 1"
 
 
 def drop_empty_and_repeats(segments: DataFrame) -> DataFrame:
     """Drop zero-length segments, then segments repeating the text of the one before."""
     kept = segments.where(F.col("start_s") != F.col("end_s")).withColumn("__t", trim_blank(F.col("text")))
-    seen = block_scan(kept, STREAM, ["seg_ord"], [previous("__p", F.col("__t"))],
-                      blocks_of(F.col("seg_ord"), SEG_BLOCK))
-    return seen.where(F.col("__p.v").isNull() | (F.col("__p.v") != F.col("__t"))).drop("__p", "__t")
+    before = F.lag("__t").over(Window.partitionBy(*STREAM).orderBy("seg_ord"))        # a stream ends with its chunk
+    seen = kept.withColumn("__p", before)
+    return seen.where(F.col("__p").isNull() | (F.col("__p") != F.col("__t"))).drop("__p", "__t")
 
 
 def speaker_names(turns: DataFrame, keys: list[str] = STREAM) -> DataFrame:
@@ -81,30 +79,36 @@ def label_by_overlap(rows: DataFrame, turns: DataFrame, key: list[str] = SEGMENT
 def word_owner(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Every word with the speaker of its turn; a word in a gap goes to the nearest turn, null without turns.
 
-    Neighbouring turns are found for all words in one scan, overlapping ones in one join. The result is laid out by
-    segment, as the steps that follow need it.
+    The turns of a stream are few, as a chunk ends after minutes: they meet its words as one array, in a single join, and
+    the words are moved once.
     """
-    w = words.select(*WORD, "w_start", "w_end", "word")
-    lean = turns.select(*STREAM, "turn_ord", "t_start", "t_end", "speaker")
-    last = F.struct(F.col("t_end").alias("at"), (-F.col("turn_ord")).alias("o"), "speaker")
-    first = F.struct(F.col("t_start").alias("at"), F.col("turn_ord").alias("o"), "speaker")
-    placed = neighbours(w, "w_start", lean, STREAM, "t_start", "t_end", last, first)
-    near = placed.select(*w.columns, _nearer().alias("near"))
-    pairs = overlap_pairs(near, lean, STREAM, "w_start", "w_end", "t_start", "t_end", touching=True, how="left")
+    listed = turns.groupBy(*STREAM).agg(F.collect_list(F.struct("t_start", "t_end", "turn_ord", "speaker")).alias("__turns"))
+    asked = words.select(*WORD, "w_start", "w_end", "word").join(listed, STREAM, "left")
+    return asked.select(*WORD, "w_start", "w_end", "word", F.coalesce(_touching(), _nearer()).alias("owner"))
+
+
+def _touching() -> Column:
+    """The speaker of the turn a word overlaps most, by the rule for segments; null if it touches none."""
     mid = (F.col("w_start") + F.col("w_end")) / 2
-    overlap = overlap_seconds(*map(F.col, ("w_start", "w_end", "t_start", "t_end")))
-    has_mid = (F.col("t_start") <= mid) & (mid <= F.col("t_end")) & (overlap > 0)
-    rank = F.when(F.col("turn_ord").isNotNull(), _win_rank(overlap, has_mid))
-    scored = pairs.select(*near.columns, "speaker", rank.alias("__rank")).repartition(*SEGMENT)
-    owned = scored.groupBy(*WORD).agg(*carried(near, WORD), F.max_by("speaker", "__rank").alias("owner"))
-    return owned.select(*WORD, "w_start", "w_end", "word", F.coalesce("owner", "near").alias("owner"))
+
+    def ranked(t: Column) -> Column:
+        overlap = F.greatest(F.least(F.col("w_end"), t["t_end"]) - F.greatest(F.col("w_start"), t["t_start"]), F.lit(0.0))
+        holds = (t["t_start"] <= mid) & (mid <= t["t_end"]) & (overlap > 0)
+        return F.struct(overlap.alias("overlap"), holds.alias("holds"), F.when(holds, t["turn_ord"]).otherwise(-t["turn_ord"]).alias("tie"), t["speaker"].alias("speaker"))
+
+    touching = F.filter("__turns", lambda t: (F.col("w_start") <= t["t_end"]) & (t["t_start"] <= F.col("w_end")))
+    return F.array_max(F.transform(touching, ranked))["speaker"]
 
 
 def _nearer() -> Column:
     """For a word touching no turn: the speaker of the closer of its two neighbours, the earlier-listed on a tie."""
-    back, ahead = F.col("w_start") - F.col("before.at"), F.col("after.at") - F.col("w_end")
-    first = F.col("after").isNull() | (back < ahead) | ((back == ahead) & (-F.col("before.o") < F.col("after.o")))
-    return F.when(F.col("before").isNotNull() & first, F.col("before.speaker")).otherwise(F.col("after.speaker"))
+    ended = F.filter("__turns", lambda t: t["t_end"] <= F.col("w_start"))
+    begins = F.filter("__turns", lambda t: t["t_start"] >= F.col("w_start"))
+    before = F.array_max(F.transform(ended, lambda t: F.struct(t["t_end"].alias("at"), (-t["turn_ord"]).alias("o"), t["speaker"].alias("speaker"))))
+    after = F.array_min(F.transform(begins, lambda t: F.struct(t["t_start"].alias("at"), t["turn_ord"].alias("o"), t["speaker"].alias("speaker"))))
+    back, ahead = F.col("w_start") - before["at"], after["at"] - F.col("w_end")
+    first = after.isNull() | (back < ahead) | ((back == ahead) & (-before["o"] < after["o"]))
+    return F.when(before.isNotNull() & first, before["speaker"]).otherwise(after["speaker"])
 
 
 def word_pieces(owned: DataFrame) -> DataFrame:
@@ -223,15 +227,19 @@ def tag_source(labeled: DataFrame) -> DataFrame:
     return labeled.withColumn("speaker", with_source_prefix(F.col("speaker"), F.col("source")))
 
 
-def sentences(tokens: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
-    """Join tokens into sentences ending in ``.!?``; a dot before a digit does not end one."""
-    from .ordered import Scan
-    ahead = block_scan(tokens, keys, [order], [previous("__n", F.substring("token", 1, 1), reverse=True)], block)
+def sentences(tokens: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Join tokens into sentences ending in ``.!?``; a dot before a digit does not end one.
+
+    ``keys`` end with a chunk, so one window over them serves both the look ahead and the numbering.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    ahead = F.lead(F.substring("token", 1, 1)).over(w)
     mark = F.expr("right(token, 1)")
-    decimal = (mark == ".") & F.coalesce(F.col("__n.v").rlike(r"^\p{N}"), F.lit(False))
-    ends = (mark.isin(".", "!", "?") & ~decimal) | F.col("__n").isNull()
-    flagged = ahead.withColumn("__end", ends.cast("bigint")).drop("__n")
-    grouped = block_scan(flagged, keys, [order], [Scan("sentence", "sum", F.col("__end"), inclusive=False)], block)
+    decimal = (mark == ".") & F.coalesce(ahead.rlike(r"^\p{N}"), F.lit(False))
+    last = F.lead(F.lit(1)).over(w).isNull()
+    flagged = tokens.withColumn("__end", ((mark.isin(".", "!", "?") & ~decimal) | last).cast("bigint"))
+    so_far = F.sum("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = flagged.withColumn("sentence", F.coalesce(so_far, F.lit(0).cast("bigint"))).drop("__end")
     parts = F.sort_array(F.collect_list(F.struct(order, "token")))
     text = trim_blank(F.array_join(F.transform(parts, lambda x: x["token"]), ""))
     opened = F.min_by("w_start", F.when(F.col("token") != "", F.col(order)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import params
 from ..functions.timing import iso8601
@@ -29,11 +29,11 @@ def merged_in_time(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def retained(events: DataFrame, cost: Column, max_events: int = params.RING_EVENTS, max_bytes: int = params.RING_BYTES) -> DataFrame:
     """What a ring bounded by count and bytes still holds; the newest event always stays."""
-    sized = events.withColumn("cost", cost)
-    scans = [Scan("__n", "sum", F.lit(1).cast("bigint"), reverse=True), Scan("__b", "sum", F.col("cost").cast("bigint"), reverse=True)]
-    tail = block_scan(sized, ["session_id"], ["ts", "event_ord"], scans, blocks_of(F.unix_seconds("ts"), 3600))
-    fits = (F.col("__n") <= max_events) & (F.col("__b") <= max_bytes)
-    return tail.where((F.col("__n") == 1) | fits).drop("__n", "__b")
+    newest = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("event_ord").desc())
+    # Ranks are cut before the shuffle, so a session's history shrinks to the ring before any bytes are added up.
+    ring = events.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= max(max_events, 1)).withColumn("cost", cost)
+    held = ring.withColumn("__b", F.sum(F.col("cost").cast("bigint")).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return held.where((F.col("__n") == 1) | (F.col("__b") <= max_bytes)).drop("__n", "__b")
 
 
 def retry_streaks(failures: DataFrame, key: str = "session_id", at: str = "failed_at_s",

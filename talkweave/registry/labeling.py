@@ -322,6 +322,5 @@ def w4(t):
     o = F.col("word_ord")
     token = (F.when(o % 9 == 4, "3.").when(o % 9 == 5, "5 or").when(o % 9 == 8, F.concat("word", F.lit("?"))).otherwise(F.col("word")))
     tokens = t.words.select(*STREAM, (F.col("seg_ord") * 100000 + o).alias("token_ord"), "w_start", "w_end", token.alias("token"))
-    from ..operators.ordered import blocks_of
-    s = lb.sentences(tokens, STREAM, "token_ord", blocks_of(F.col("token_ord"), 400000))
+    s = lb.sentences(tokens, STREAM, "token_ord")
     return s.select(*STREAM, "sentence", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text")

@@ -182,6 +182,5 @@ def test_metamorphic_shift_shuffle_and_copies(spark):
 def test_sentences_respect_decimals(spark):
     rows = [(1, 0, "remote", i, i * 1.0, i + 0.5, tok) for i, tok in enumerate([" Costs", " 1.", "5 million.", "  ", " Ok?", " tail"])]
     df = spark.createDataFrame(rows, "meeting_id bigint, chunk_index int, source string, token_ord int, w_start double, w_end double, token string")
-    from talkweave.operators.ordered import blocks_of
-    got = lb.sentences(df, lb.STREAM, "token_ord", blocks_of(F.col("token_ord"), 2)).orderBy("start_s").collect()
+    got = lb.sentences(df, lb.STREAM, "token_ord").orderBy("start_s").collect()
     assert [(r.text, r.start_s, r.end_s) for r in got] == [("Costs 1.5 million.", 0.0, 2.5), ("Ok?", 3.0, 4.5), ("tail", 5.0, 5.5)]
