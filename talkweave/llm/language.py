@@ -16,11 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .ragged import U, Words, mix, text_slices
 
 DIMS = 1 << 12
-SAMPLE = 2000             # labelled documents that the machines are fitted on, evenly from all languages
+SAMPLE = 1200             # labelled documents that the machines are fitted on, evenly from all languages
 LANGUAGES = 200           # languages fitted at most; more than that is an error, not a cut
 FAMILIES = {              # languages of one family are hard to tell apart, families are not; others are families of their own
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "lb", "fy"),
@@ -50,7 +51,7 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _vectors(batches):
-    """Feature shares of sampled texts, float32 vectors of 2 * DIMS."""
+    """Feature shares of sampled texts: the features of 2 * DIMS that occur (int32), and their shares (float32)."""
     for batch in batches:
         for row, data, bounds in text_slices(batch.column("text")):
             tri, home, word, doc = _features(data, bounds)
@@ -58,7 +59,9 @@ def _vectors(batches):
                 a, b = np.searchsorted(home, (r, r + 1))
                 c, d = np.searchsorted(doc, (r, r + 1))
                 v = np.bincount(tri[a:b], minlength=2 * DIMS) / max(1, b - a) + np.bincount(word[c:d], minlength=2 * DIMS) / max(1, d - c)
-                yield pa.record_batch([batch.column("lang").slice(row + r, 1), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["lang", "vector"])
+                there = np.flatnonzero(v)
+                yield pa.record_batch([batch.column("lang").slice(row + r, 1), pa.array([there.astype(np.int32).tobytes()], pa.binary()),
+                                       pa.array([v[there].astype(np.float32).tobytes()], pa.binary())], names=["lang", "feature", "share"])
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -145,12 +148,15 @@ def fit_languages(labelled: DataFrame) -> LanguageModel | None:
         return None
     ids = None
     for lang in langs:
-        own = rows.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, SAMPLE // len(langs)))
+        own = rows.filter(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, SAMPLE // len(langs)))
         ids = own if ids is None else ids.unionByName(own)
-    sample = rows.join(F.broadcast(ids.distinct()), "doc_id").mapInArrow(_vectors, "lang string, vector binary").toArrow()
-    got = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True))
+    chosen = rows.join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"])      # a repeated row counts once
+    sample = chosen.mapInArrow(_vectors, "lang string, feature binary, share binary").toArrow()
+    got = sorted(zip(*(c.to_pylist() for c in sample.columns), strict=True))
     lang = np.array([g[0] for g in got])
-    x = np.stack([np.frombuffer(g[1], np.float32) for g in got])
+    x = np.zeros((len(got), 2 * DIMS), np.float32)
+    for row, (_, feature, share) in zip(x, got, strict=True):
+        row[np.frombuffer(feature, np.int32)] = np.frombuffer(share, np.float32)
     del sample, got
     families = sorted({family_of(v) for v in langs})
     of_family = [[v for v in langs if family_of(v) == f] for f in families]
@@ -185,9 +191,9 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, keep: tuple[s
     empty or without a letter, and for all texts without a model) and score in 0 to 1, of the whole text. Repeated rows
     get equal answers; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    result = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
     columns = dict.fromkeys([*keep, "text"])
-    return docs.select(*[docs[c] for c in columns]).mapInArrow(partial(_predicted, model=held, keep=list(keep)), ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.select(*[docs[c] for c in columns]).mapInArrow(partial(_predicted, model=held, keep=list(keep)), result)
 
 
 def drop_unknown_language(docs: DataFrame) -> DataFrame:

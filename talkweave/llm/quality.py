@@ -18,7 +18,7 @@ PIECE = 4096            # bytes compressed at once, so that a dictionary counts
 DICTIONARY = 64 * 1024
 LEVEL = 3
 SAMPLE = 1500           # labelled documents of each class that dictionaries, and again the calibration, are made from
-SAMPLE_PIECES = 8       # pieces kept of each of them, spread evenly over the text
+SAMPLE_PIECES = 4       # pieces kept of each of them, spread evenly over the text
 
 
 def _pieces(text: bytes) -> list[bytes]:
@@ -110,7 +110,7 @@ def fit_quality(labelled: DataFrame, docs: DataFrame) -> CompressionModel:
         ids = labelled.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
         picked = ids if picked is None else picked.unionByName(ids)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int")
-    chosen = docs.join(F.broadcast(picked.withColumn("part", part)), "doc_id").filter("text <> ''").select("label", "part", "text")
+    chosen = docs.join(F.broadcast(picked.withColumn("part", part)), "doc_id").filter("text <> ''").dropDuplicates(["doc_id"]).select("label", "part", "text")
     sample = chosen.mapInArrow(_spread, "label int, part int, piece binary").toArrow()
     label, half, piece = (sample.column(c).to_pylist() for c in range(3))
     rows = sorted(zip(label, half, piece, strict=True))
