@@ -56,12 +56,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the folders of ``written`` tables once nothing will read them again."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
