@@ -1,16 +1,17 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from 1- to 3-gram counts.
 
-Training texts are counted into 1- to 3-grams: each task counts what it reads and sends the counts, packed by hash range, to
-the range's reducer. A range's n-grams go into its own segment of the filter: an n-gram of level ``q``, the floor of the
-log2 of its count over the cut-off, is entered as (n-gram, 1) to (n-gram, q + 1), and its level is read back by probing
-1, 2, ... until one is missing. The filter is broadcast; its size is bounded by the cut-off, a power of two and at least
-two, which rises as the corpus outgrows the filter. Counting covers all training texts whatever the cut-off.
+All texts are cut into sheets of about ``FLUSH`` tokens. A sheet sends its distinct n-grams, by hash range, to the range's
+reducer, each with the number of times it occurs in the sheet's training texts. The reducer adds these up over all sheets:
+exact counts of every n-gram, one-offs too. It returns the counts to the sheets that hold the n-grams, in the order in
+which they were sent, and the sheet's texts are scored. What a reducer holds is bounded by the number of ranges, which
+follows the text; nothing that grows with the corpus is broadcast.
 
 Probabilities are interpolated: P(w | u v) = L3 c(uvw) / c(uv) + (1 - L3) P(w | v), P(w | v) = L2 c(vw) / c(v) + (1 - L2) P(w), and
-P(w) = (c + 0.5) / (N + 0.5 (V + 1)); a history that is not in the filter passes all weight down.
+P(w) = (c + 0.5) / (N + 0.5 (V + 1)); a history that is not in the training texts passes all weight down.
 
-The base score needs exact counts of all words. The most frequent ones are broadcast, at most ``HOT`` of them; the other
-words are sent to their hash range, looked up there and summed back by document.
+``fit_model`` makes a model to take along: a log-frequency Bloom filter of all n-grams, for a corpus whose filter fits one
+process. An n-gram of level ``q``, the floor of the log2 of its count, is entered as (n-gram, 1) to (n-gram, q + 1), and its
+level is read back by probing 1, 2, ... until one is missing. ``score_texts`` does not use it.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ from .ragged import U, Words, mix, text_slices
 
 ORDER = 3
 L2, L3 = 0.5, 0.3
-FILTER_BYTES = 48 << 20
 ENTRY_BITS = 9
 PROBES = 4
 HOT = 1 << 19
-FLUSH = 1 << 20              # tokens counted together, and texts' tokens scored as one sheet
+FLUSH = 5 << 18              # tokens counted together, and texts' tokens scored as one sheet
 RANGE_BYTES = 6 << 20        # training text per hash range, about
 LEVELS = 48
 BEGIN, END = mix(np.array([11, 13], U))
@@ -112,7 +112,7 @@ def _long(data: bytes) -> np.ndarray:
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """One row for a range: its words with exact counts, its longer n-grams that occur twice or more, and how many have each level."""
+    """One row for a range: its n-grams with exact counts, and how many have each level."""
     orders = np.asarray(table.column("order"))
     out: dict = {"range": [table.column("range")[0].as_py()]}
     for order in range(1, ORDER + 1):
@@ -125,8 +125,7 @@ def _merged(table: pa.Table) -> pa.Table:
         head = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
         names, times = names[head], np.add.reduceat(times, head) if len(head) else times
         level = np.log2(np.maximum(times, 1)).astype(np.int64)
-        keep = slice(None) if order == 1 else times >= 2
-        out |= {f"names{order}": [names[keep].tobytes() if order == 1 else _short(names[keep])], f"counts{order}": [times[keep].tobytes()],
+        out |= {f"names{order}": [names.tobytes() if order == 1 else _short(names)], f"counts{order}": [times.tobytes()],
                 f"levels{order}": [np.bincount(level, minlength=LEVELS).tolist()]}
         if order == 1:
             out |= {"types": [len(names)], "tokens": [int(times.sum())]}
@@ -146,7 +145,7 @@ def _probe(hashes: np.ndarray, level: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Broadcast: the filter and the frequent words; at most FILTER_BYTES + 16 * HOT bytes and a little."""
+    """The filter, ENTRY_BITS for each level of each n-gram, and the frequent words."""
 
     ranges: int
     segment: int                 # bytes of a range's segment
@@ -213,20 +212,19 @@ def _frequent(batches, least):
             yield pa.record_batch([pa.array(np.frombuffer(names, U)[keep].view(np.int64)), pa.array(times[keep])], names=["hash", "times"])
 
 
-def _cutoff(levels: np.ndarray, room: float, least: int, entries: bool) -> int:
-    """The least level from which on all n-grams fit into ``room`` (entries of the filter, or n-grams)."""
-    for t in range(least, LEVELS):
-        many = levels[t:]
-        if (many * np.arange(1, len(many) + 1)).sum() * 1.0 <= room if entries else many.sum() <= room:
-            return t
-    return LEVELS
+def _cutoff(levels: np.ndarray, room: float) -> int:
+    """The least level from which on all words fit into ``room``."""
+    return next((t for t in range(LEVELS) if levels[t:].sum() <= room), LEVELS)
+
+
+def _ranges(training: DataFrame) -> int:
+    volume = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // RANGE_BYTES + 1))
 
 
 def fit_model(training: DataFrame) -> tuple[Model, DataFrame]:
     """(model, table of hash ranges with exact word counts) of all rows of ``training`` (text; null counts as empty)."""
-    spark = training.sparkSession
-    volume = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // RANGE_BYTES + 1))
+    ranges = _ranges(training)
     packed = training.select("text").mapInArrow(partial(_packed_counts, ranges=ranges), "range int, order int, hashes binary, counts binary")
     merged = written(packed.groupBy("range").applyInArrow(_merged, _MERGED), "ngram-counts")
     types, tokens = (x or 0 for x in merged.agg(F.sum("types"), F.sum("tokens")).first())
@@ -234,110 +232,186 @@ def fit_model(training: DataFrame) -> tuple[Model, DataFrame]:
     for order in range(1, ORDER + 1):
         for pos, n in merged.select(F.posexplode(f"levels{order}").alias("pos", "n")).groupBy("pos").agg(F.sum("n")).collect():
             levels[order - 1, pos] = n
-    room = FILTER_BYTES * 8 / ENTRY_BITS
-    cut = _cutoff(levels.sum(0), room, 1, True)
-    held = sum((levels[o, cut:] * np.arange(1, LEVELS - cut + 1)).sum() for o in range(ORDER))
-    segment = min(FILTER_BYTES // ranges, int(held * ENTRY_BITS / 8 / ranges) + 64)
-    parts = merged.mapInArrow(partial(_segments, segment=segment, cut=(cut,) * ORDER), "range int, bits binary").toArrow()
+    held = (levels * np.arange(1, LEVELS + 1)).sum()
+    segment = int(held * ENTRY_BITS / 8 / ranges) + 64
+    parts = merged.mapInArrow(partial(_segments, segment=segment, cut=(0,) * ORDER), "range int, bits binary").toArrow()
     bits = np.zeros(ranges * segment, np.uint8)
     for r, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
         bits[r * segment:(r + 1) * segment] = np.frombuffer(b, np.uint8)
-    hot = merged.select("names1", "counts1").mapInArrow(partial(_frequent, least=1 << _cutoff(levels[0], HOT, 0, False)), "hash long, times long").toArrow()
+    hot = merged.select("names1", "counts1").mapInArrow(partial(_frequent, least=1 << _cutoff(levels[0], HOT)), "hash long, times long").toArrow()
     names, times = (np.asarray(hot.column(c).combine_chunks()) for c in range(2))
     order = np.argsort(names.view(U))
-    return Model(ranges, segment, bits, (cut,) * ORDER, names.view(U)[order], times[order], int(types), int(tokens)), merged.select("range", "names1", "counts1")
+    return Model(ranges, segment, bits, (0,) * ORDER, names.view(U)[order], times[order], int(types), int(tokens)), merged.select("range", "names1", "counts1")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Counts or places as byte planes of the narrowest kind, compressed."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = pa.decompress(data[9:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(f"u{size}").astype(np.int64)
+
+
+def _steps(names: np.ndarray, shift: int) -> bytes:
+    """Ascending hashes without their low ``shift`` bits: the first, and the steps to the next in as few bytes as the largest needs."""
+    if not len(names):
+        return b""
+    names = names >> U(shift)
+    step = names[1:] - names[:-1]
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return names[:1].tobytes() + bytes([width]) + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _stepped(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, U)
+    width = data[8]
+    step = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    step[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.append(np.frombuffer(data, U, 1), step.reshape(-1).view(U)).cumsum(dtype=U)
+
+
+_SHIFT = (0, 8, 8)           # words are named by 64 bits, longer n-grams by 56
+_NAMES, _COUNTS = ([f"{kind}{order}" for order in range(1, ORDER + 1)] for kind in ("names", "counts"))
+_SHEET = ["range", "sheet", "ids", "lengths", "places", *_NAMES, *_COUNTS]
+_ANSWER = ["range", "sheet", "ids", "lengths", "places", "names1", *_COUNTS]
 
 
-def _by_doc(doc: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
-    return np.bincount(doc, value, minlength=docs)
+def _schema(columns: list[str]) -> str:
+    return ", ".join(f"{c} " + {"range": "int", "sheet": "long", "ids": "array<bigint>"}.get(c, "binary") for c in columns)
 
 
-_SHEET = ["range", "sheet", "ids", "numbers", "hashes", "slots"]
+def _table(columns: list[str], rows: list[dict]) -> pa.Table:
+    kinds = {"range": pa.int32(), "sheet": pa.int64(), "ids": pa.list_(pa.int64())}
+    return pa.table([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in columns], names=columns)
 
 
-def _sheets(batches, held):
-    """A sheet of texts: one row with ids and (tokens, known, base, score) of each, and a row per hash range with its other words."""
-    m: Model = held.value
+def _sheets(batches, ranges):
+    """A sheet of texts: a row with the ids, the texts' lengths in tokens and the place of each token among the sheet's words,
+    and a row per hash range with its n-grams and how often each occurs in the training texts."""
     part = TaskContext.get().partitionId()
-    nth = 0
-    ids, numbers, cold_hash, cold_slot, filled = [], [], [], [], 0
+    nth, tokens = 0, 0
+    ids, lengths, held = [], [], []
 
     def flush():
-        nonlocal ids, numbers, cold_hash, cold_slot, filled, nth
+        nonlocal ids, lengths, held, nth, tokens
         sheet = (part << 32) + nth
-        names, slots = np.concatenate(cold_hash), np.concatenate(cold_slot)
-        home = _range(names, m.ranges)
-        order = np.argsort(home, kind="stable")
-        cut = np.searchsorted(home[order], np.arange(m.ranges + 1))
-        rows = [(-1, sheet, pa.chunked_array(ids).combine_chunks().to_pylist(), np.concatenate(numbers).tobytes(), None, None)]
-        rows += [(int(r), sheet, None, None, names[order[cut[r]:cut[r + 1]]].tobytes(), slots[order[cut[r]:cut[r + 1]]].astype(np.uint32).tobytes()) for r in np.flatnonzero(np.diff(cut))]
-        ids, numbers, cold_hash, cold_slot, filled, nth = [], [], [], [], 0, nth + 1
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=_SHEET)
+        rows: dict[int, dict] = {}
+        *parts, train = zip(*held, strict=True)
+        held, train = [], np.concatenate(train)
+        for order in range(ORDER):
+            names, back = np.unique(np.concatenate(parts.pop(0)), return_inverse=True)
+            times = np.bincount(back, train, len(names)).astype(np.int64)
+            if not order:
+                places = back
+            elif len(names) and names[0] == 0:
+                names, times = names[1:], times[1:]
+            cut = np.searchsorted(_range(names, ranges), np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(cut)):
+                row = rows.setdefault(int(r), {"range": int(r), "sheet": sheet, **dict.fromkeys(_NAMES, b""), **dict.fromkeys(_COUNTS, _packed(np.empty(0, U)))})
+                row |= {_NAMES[order]: _steps(names[cut[r]:cut[r + 1]], _SHIFT[order]), _COUNTS[order]: _packed(times[cut[r]:cut[r + 1]])}
+        # The sheet's own row passes through one of the ranges, another for each sheet.
+        own = {"range": (part + nth) % ranges, "sheet": sheet, "ids": pa.chunked_array(ids).combine_chunks().to_pylist(),
+               "lengths": _packed(np.concatenate(lengths)), "places": _packed(places)}
+        ids, lengths, nth, tokens = [], [], nth + 1, 0
+        return _table(_SHEET, [own, *rows.values()]).to_batches()
 
-    tokens = 0
     for batch in batches:
+        training = np.asarray(batch.column("training").cast(pa.uint8()))
         for row, data, bounds in text_slices(batch.column("text")):
             doc, token = _sequences(Words(data, bounds))
-            one, two, three = _grams(doc, token)
             docs = len(bounds) - 1
-            head = np.append(True, doc[1:] != doc[:-1])
-            owner = doc[~head]
-            c1, c2, c3 = m.counts(one, 1), m.counts(two, 2), m.counts(three, 3)
-            before = m.counts(np.where(head[:-1][~head[1:]], BEGIN, token[:-1][~head[1:]]), 1)
-            before2 = np.append(0.0, c2[:-1])
-            before2[np.append(True, owner[1:] != owner[:-1])] = 0
-            p = (c1 + 0.5) / m.mass
-            p = np.where(before > 0, L2 * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - L2) * p, p)
-            p = np.where(before2 > 0, L3 * np.minimum(1, c3 / np.maximum(before2, 1)) + (1 - L3) * p, p)
-            at = np.minimum(np.searchsorted(m.hot, one), max(len(m.hot) - 1, 0))
-            known = m.hot[at] == one if len(m.hot) else np.zeros(len(one), bool)
-            base = np.where(known, np.log10((c1 + 0.5) / m.mass), 0.0)
-            numbers.append(np.stack([_by_doc(owner, np.ones(len(owner)), docs), _by_doc(owner, known, docs), _by_doc(owner, base, docs), _by_doc(owner, np.log10(p), docs)], 1))
+            count = np.bincount(doc, minlength=docs) - 1
+            held.append((*_grams(doc, token), np.repeat(training[row:row + docs], count)))
             ids.append(batch.column("doc_id").slice(row, docs))
-            cold_hash.append(one[~known])
-            cold_slot.append(owner[~known] + filled)
-            filled += docs
-            tokens += len(one)
+            lengths.append(count)
+            tokens += int(count.sum())
             if tokens >= FLUSH:
-                yield flush()
-                tokens = 0
+                yield from flush()
     if ids:
+        yield from flush()
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The rows of a range with counts over all sheets instead of their own; a sheet's own row as it is."""
+    rows = table.to_pylist()
+    asked = [r for r in rows if r["ids"] is None]
+    for order in range(ORDER):
+        names = [_stepped(r[_NAMES[order]]) for r in asked]
+        total, back = np.unique(np.concatenate(names or [np.empty(0, U)]), return_inverse=True)
+        times = np.concatenate([_unpacked(r[_COUNTS[order]]) for r in asked] or [np.empty(0, np.int64)])
+        total = np.bincount(back, times, len(total)).astype(np.int64)[back]
+        last = 0
+        for r, own in zip(asked, names, strict=True):
+            r[_COUNTS[order]] = _packed(total[last:last + len(own)])
+            last += len(own)
+    return _table(_ANSWER, rows)
+
+
+def _scored(types: int, tokens: int):
+    mass = tokens + 0.5 * (types + 1)
+
+    def score(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["ids"] is not None, r["range"]))
+        own, rows = rows[-1], rows[:-1]
+        length = _unpacked(own["lengths"])
+        docs = len(length)
+        doc = np.repeat(np.arange(docs), length + 1)
+        head = np.append(True, doc[1:] != doc[:-1])
+        token = np.full(len(doc), BEGIN, U)
+        token[~head] = np.concatenate([_stepped(r["names1"]) for r in rows])[_unpacked(own["places"])]
+        owner, first = doc[~head], head[:-1][~head[1:]]
+        found = []
+        for order, grams in enumerate(_grams(doc, token)):
+            names, back = np.unique(grams, return_inverse=True)
+            counts = np.concatenate([_unpacked(r[_COUNTS[order]]) for r in rows]).astype(np.float64)
+            if order and names[0] == 0:
+                counts = np.append(0.0, counts)
+            if len(counts) != len(names):
+                raise ValueError(f"{len(counts)} counts for {len(names)} n-grams of a sheet")
+            found.append(counts[back])
+        c1, c2, c3 = found
+        before, before2 = (np.where(first, 0.0, np.append(0.0, c[:-1])) for c in (c1, c2))
+        p = (c1 + 0.5) / mass
+        base = np.log10(p)
+        p = np.where(before > 0, L2 * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - L2) * p, p)
+        p = np.where(before2 > 0, L3 * np.minimum(1, c3 / np.maximum(before2, 1)) + (1 - L3) * p, p)
+        by_doc = lambda value: np.bincount(owner, value, minlength=docs)
+        return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "n_tokens": length, "n_known": by_doc(c1 > 0).astype(np.int64),
+                         "base_score": by_doc(base), "score": by_doc(np.log10(p))})
+    return score
+
+
+def _distinct_words(batches, ranges):
+    """The distinct words of a task's texts by hash range, about FLUSH at a time; the number of tokens in the first row."""
+    seen, tokens = np.empty(0, U), 0
+
+    def flush():
+        cut = np.searchsorted(_range(seen, ranges), np.arange(ranges + 1))
+        used = np.flatnonzero(np.diff(cut))
+        return pa.record_batch([pa.array(used, pa.int32()), pa.array([_steps(seen[cut[r]:cut[r + 1]], 0) for r in used], pa.binary()),
+                                pa.array([tokens, *[0] * (len(used) - 1)], pa.int64())], names=["range", "words", "tokens"])
+
+    for batch in batches:
+        for _, data, bounds in text_slices(batch.column("text")):
+            own = Words(data, bounds).hash
+            tokens += len(own) + len(bounds) - 1
+            seen = np.union1d(seen, np.append(own, END))
+            if len(seen) >= FLUSH:
+                yield flush()
+                seen, tokens = np.empty(0, U), 0
+    if len(seen):
         yield flush()
 
 
-def _looked_up(held):
-    def look(key, words: pa.Table, sheets: pa.Table) -> pa.Table:
-        m: Model = held.value
-        names, times = np.empty(0, U), np.empty(0, np.int64)
-        if words.num_rows:
-            names, times = np.frombuffer(words.column("names1")[0].as_py(), U), np.frombuffer(words.column("counts1")[0].as_py(), np.int64)
-        out = []
-        for r in range(sheets.num_rows):
-            asked, slot = np.frombuffer(sheets.column("hashes")[r].as_py(), U), np.frombuffer(sheets.column("slots")[r].as_py(), np.uint32)
-            at = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
-            there = names[at] == asked if len(names) else np.zeros(len(asked), bool)
-            count = np.where(there, times[at], 0) if len(names) else np.zeros(len(asked))
-            used, back = np.unique(slot, return_inverse=True)
-            sums = np.stack([used, np.bincount(back, there, len(used)), np.bincount(back, np.log10((count + 0.5) / m.mass), len(used))], 1)
-            out.append((sheets.column("sheet")[r].as_py(), sums.tobytes()))
-        return pa.table({"sheet": pa.array([o[0] for o in out], pa.int64()), "sums": pa.array([o[1] for o in out], pa.binary())})
-    return look
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """The rows of a sheet's texts, with the sums of its other words added."""
-    ids, numbers = None, None
-    for row in table.select(["ids", "numbers"]).to_pylist():
-        if row["numbers"] is not None:
-            ids, numbers = row["ids"], np.frombuffer(row["numbers"], np.float64).reshape(-1, 4).copy()
-    for sums in table.column("sums").to_pylist():
-        if sums is not None:
-            slot, known, base = np.frombuffer(sums, np.float64).reshape(-1, 3).T
-            numbers[slot.astype(np.int64), 1] += known
-            numbers[slot.astype(np.int64), 2] += base
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": numbers[:, 0].astype(np.int64), "n_known": numbers[:, 1].astype(np.int64),
-                     "base_score": numbers[:, 2], "score": numbers[:, 3]})
+def _vocabulary(table: pa.Table) -> pa.Table:
+    names = np.unique(np.concatenate([_stepped(w) for w in table.column("words").to_pylist()]))
+    return pa.table({"types": pa.array([len(names)], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64())})
 
 
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -345,18 +419,14 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     ``training`` holds: words and one end are the tokens of a text.
 
     base_score: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) with exact training counts; n_known: tokens with c > 0;
-    score: log10 probability under the model. Null and empty texts are one end token; rows where ``training`` is null do
-    not train; repeated rows count and are scored each; without training texts all counts are 0; an empty table gives an
-    empty result.
+    score: log10 probability under the model, with exact training counts of all n-grams. Null and empty texts are one end
+    token; rows where ``training`` is null do not train; repeated rows count and are scored each; without training texts
+    all counts are 0; an empty table gives an empty result.
     """
-    model, words = fit_model(docs.filter(training))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    sheets = written(docs.select("doc_id", "text").mapInArrow(
-        partial(_sheets, held=held), "range int, sheet long, ids array<bigint>, numbers binary, hashes binary, slots binary"), "score-sheets")
-    cold = sheets.filter(F.col("range") >= 0).select("range", "sheet", "hashes", "slots")
-    sums = (words.groupBy("range").cogroup(cold.groupBy("range"))
-            .applyInArrow(_looked_up(held), "sheet long, sums binary"))
-    rows = (sheets.filter(F.col("range") < 0).select("sheet", "ids", "numbers", F.lit(None).cast("binary").alias("sums"))
-            .unionByName(sums.select("sheet", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("binary").alias("numbers"), "sums")))
-    scored = rows.groupBy("sheet").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
+    ranges = _ranges(rows)
+    words = rows.filter("training").select("text").mapInArrow(partial(_distinct_words, ranges=ranges), "range int, words binary, tokens long")
+    types, tokens = (int(x or 0) for x in words.groupBy("range").applyInArrow(_vocabulary, "types long, tokens long").agg(F.sum("types"), F.sum("tokens")).first())
+    answers = rows.mapInArrow(partial(_sheets, ranges=ranges), _schema(_SHEET)).groupBy("range").applyInArrow(_answered, _schema(_ANSWER))
+    scored = answers.groupBy("sheet").applyInArrow(_scored(types, tokens), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

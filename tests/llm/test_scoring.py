@@ -35,6 +35,42 @@ def test_base_score_equals_brute_force(documents, rows, monkeypatch):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) and a[4] == n and a[5] < 0
 
 
+def test_score_equals_brute_force(documents, rows, monkeypatch):
+    """Exact counts of all n-grams, one-offs and rare words too, over several sheets."""
+    monkeypatch.setattr(S, "HOT", 16)
+    got = S.score_texts(documents(rows), F.col("doc_id") % 5 != 1).collect()
+    whole = [(i, x, ["\0begin", *tokens(x)]) for i, x in rows]
+    count = Counter(tuple(w[k - n + 1:k + 1]) for i, _, w in whole if i is not None and i % 5 != 1 for k in range(1, len(w)) for n in (1, 2, 3) if k >= n - 1)
+    n = sum(c for g, c in count.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in count)
+
+    def score(words):
+        out = 0.0
+        for k in range(1, len(words)):
+            p = (count[(words[k],)] + 0.5) / (n + 0.5 * (v + 1))
+            for size, weight in ((2, S.L2), (3, S.L3)):
+                gram = tuple(words[max(0, k - size + 1):k + 1])
+                if len(gram) == size and count[gram[:-1]]:
+                    p = weight * count[gram] / count[gram[:-1]] + (1 - weight) * p
+            out += math.log10(p)
+        return out
+
+    key = lambda r: (r[0] is None, r)
+    have = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key)
+    want = sorted(((i, len(w) - 1, score(w)) for i, _, w in whole), key=key)
+    assert [r[:2] for r in have] == [r[:2] for r in want]
+    assert [r[2] for r in have] == pytest.approx([r[2] for r in want], rel=1e-9)
+
+
+def test_packing_gives_back_what_it_took(rng):
+    for n in (0, 1, 2, 1000):
+        names = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], U))
+        assert (S._stepped(S._steps(names, 0)) == names).all() and (S._stepped(S._steps(names, 8)) == names >> U(8)).all()
+        for top in (1, 300, 70000, 1 << 40):
+            values = np.array([rng.randrange(top) for _ in range(n)], np.int64)
+            assert (S._unpacked(S._packed(values)) == values).all()
+
+
 def test_filter_holds_levels(documents, spark, rng):
     """Levels read back are never too low, and seldom too high."""
     text = [(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(200))) for k in range(200)]
