@@ -16,6 +16,8 @@ GRAM = 3              # words of a fingerprint
 WINDOW = 4            # of so many neighbouring fingerprints the smallest is kept: a shared run of GRAM + WINDOW - 1 words is found
 SHORT = 24            # templates of fewer words keep all their fingerprints, and so do the texts for them
 COVERAGE = 0.8        # least share of a template's words that is matched
+# Words that do not tell one license from another; all other words of a template of fewer than SHORT words must be in the place, and no others.
+FILLERS = "this work is are was licensed released available distributed under the terms of license version v a an"
 SLACK = 0.25          # width of the band, in template lengths
 
 # The wording of public licenses' notices.
@@ -24,6 +26,21 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "All-rights-reserved": "All rights reserved.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-1.0": "Licensed under CC0 1.0.",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
@@ -59,6 +76,12 @@ class Templates:
     owner: np.ndarray      # template of each
     place: np.ndarray      # where in the template it stands
     every: np.ndarray      # whether it is one of a short template, looked for among all fingerprints of a text
+    fillers: np.ndarray
+
+    def tells(self, k: int, place: np.ndarray) -> bool:
+        """Whether ``place`` has the words of a short template that tell it from others: all of them, in order, and no others."""
+        own = self.words[k]
+        return len(own) >= SHORT or np.array_equal(own[~np.isin(own, self.fillers)], place[~np.isin(place, self.fillers)])
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -76,8 +99,9 @@ def _split(texts: pa.Array, limit: int):
 
 def read_templates(templates: dict[str, str]) -> Templates:
     names, words, parts = list(templates), [], []
+    hashes = lambda text: np.concatenate([w.hash for *_, w in _split(pa.array([text]), 1 << 60)])
     for k, name in enumerate(names):
-        own = np.concatenate([w.hash for *_, w in _split(pa.array([templates[name]]), 1 << 60)])
+        own = hashes(templates[name])
         if len(own) < GRAM:
             raise ValueError(f"template {name} has fewer than {GRAM} words")
         grams = fold(own, GRAM)
@@ -87,7 +111,7 @@ def read_templates(templates: dict[str, str]) -> Templates:
         parts.append((grams[place], np.full(len(place), k), place, np.full(len(place), short)))
     gram, owner, place, every = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(gram, kind="stable")
-    return Templates(names, words, gram[order], owner[order], place[order], every[order])
+    return Templates(names, words, gram[order], owner[order], place[order], every[order], hashes(FILLERS))
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -152,6 +176,21 @@ def _best(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def _outdone(rows: list[tuple], short: list[bool]) -> list[tuple]:
+    """Places without those of a short template that overlap a place of another with more coverage."""
+    out, reach = [], []
+    for r in sorted(rows, key=lambda r: (r[0], r[4])):
+        reach = [x for x in reach if x[0] == r[0] and x[5] > r[4]]
+        if short[r[1]]:
+            if any(x[2] > r[2] for x in reach):
+                continue
+            worse = [x for x in reach if x[2] < r[2]]
+            out, reach = [x for x in out if x not in worse] if worse else out, [x for x in reach if x not in worse]
+            reach.append(r)
+        out.append(r)
+    return out
+
+
 def _scanned(batches, held):
     t = held.value
     for batch in batches:
@@ -171,9 +210,9 @@ def _scanned(batches, held):
                 last = (d, o, s)
                 text = words.hash[edge[d]:edge[d + 1]]
                 match, lo, hi = align(t.words[o], text, s - int(edge[d]), 2 * band)
-                if match >= COVERAGE * len(t.words[o]):
+                if match >= COVERAGE * len(t.words[o]) and t.tells(o, text[lo:hi]):
                     rows.append((d, o, match / len(t.words[o]), match / max(1, hi - lo), lo, hi))
-            rows = _best(rows)
+            rows = _outdone(_best(rows), [len(w) < SHORT for w in t.words])
             if not rows:
                 continue
             begin, end = [], []
@@ -194,8 +233,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     (matched share of the template), identity (matched share of the place), and the place in words and in characters of
     the lower-cased text (ends excluded).
 
+    A template of fewer than SHORT words also needs its telling words (name, version, NC, SA, ND) in the place, and no others.
     Words are runs of letters and digits in lower case. Of overlapping places of one template the best is reported; those
-    of several templates are all reported. Texts that are null, empty or shorter than three words hold no place; a
+    of several templates are all reported, but of short ones only the best. Texts that are null, empty or shorter than three words hold no place; a
     repeated document is reported for each of its rows; an empty table gives an empty result. ``templates`` (name ->
     text, at least three words each) are broadcast: they are parameters, not data.
     """

@@ -56,3 +56,21 @@ def test_planted_notices(spark, rng, prose, documents):
         if r.doc_id is not None and r.coverage == 1:
             assert text[r.doc_id][r.first_char:r.last_char].lower().split()[0] == L.TEMPLATES[r.license].lower().split()[0]
     assert L.scan_licenses(documents([])).collect() == []
+
+
+def test_short_notices_are_told_apart(spark, documents):
+    lines = {
+        "All rights reserved.": {"All-rights-reserved"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"},
+        "This work is licensed under the GNU General Public License, version 9.": set(),
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0"},
+        "Licensed under CC BY-SA 4.0.": {"CC-BY-SA-4.0"},
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0"},
+        "Released under the BSD License.": {"BSD"},
+        "Released under the MIT License.": {"MIT"},
+        "Work licensed under Apache License, Version 2.0": {"Apache-2.0"},
+    }
+    got = L.scan_licenses(documents([(k, f"some words before {x} and after it") for k, x in enumerate(lines)])).collect()
+    assert {k: {r.license for r in got if r.doc_id == k} for k in range(len(lines))} == dict(enumerate(lines.values()))
