@@ -3,9 +3,11 @@
 The global order of shingles is the order of their hashes. It is cut into fragments, every set is cut along with it, and
 two uses follow.
 
-* Candidates. Sets of similarity ``t`` differ in at most ``(1 - t) / t`` times the smaller size. With more fragments than
-  that, one fragment at least is equal in both, so sets that share no fragment need no look. Sizes are banded so that
-  the two sets of a pair are cut alike; a set near the lower end of its band is cut for the band below too.
+* Candidates. Sets of similarity ``t`` differ in at most ``r = (1 - t) / t`` times the smaller size. Of ``2 r + 2`` fragments
+  more than half are then equal in both. With all fragments in one global order, rarest first, two such sets have an
+  equal one among the first ``r + 1`` of each, so only these are looked at: a passage that many documents share makes its
+  fragments common, and they come last. Sizes are banded so that the two sets of a pair are cut alike; a set that
+  reaches into lower bands is cut for those too.
 * Counts. Sets chained by equal fragments form a family. Families are laid out in blocks; every pair of blocks is
   compared one fragment at a time, each giving a small matrix of partial overlaps, and the matrices of a pair of blocks
   are summed. The sums are exact overlaps, so the similarity test is exact.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .components import components
 from .ragged import U, Words, mix, shingle_sets, sum_by, text_slices
+from .rarity import CELLS, cell_counts, rarest
 
 BLOCK = 128                # sets in a block; a task holds two blocks of one fragment
 FRAGMENTS = 4              # fragments the overlaps are counted in
@@ -57,41 +60,50 @@ def _reach(size, percent: int):
     return (100 - percent) * size // percent
 
 
-def fragment_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, key) of the fragments by which sets find each other."""
+def _fragments(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int):
+    """For each band that sets reach into: (band by set, wanted sets, doc and index and key of the fragments that are not empty)."""
     band = np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
-    docs, keys = [], []
-    for lower in (0, 1):
+    for lower in range(int(np.ceil(np.log(100 / percent) / np.log(BAND) - 1e-9)) + 1):
         tag = band - lower
-        wanted = (size > 0) & (_reach(size, percent) > 0)
-        if lower:       # only sets that reach into the band below
-            wanted &= size * percent <= 100 * np.ceil(BAND ** (tag + 1) + 1e-6)
-        most = _reach(np.ceil(BAND ** (tag + 1)).astype(np.int64), percent)
-        parts = most + most // 8 + 2
+        wanted = (size > 0) & (tag >= 0) & (size * percent <= 100 * np.ceil(BAND ** (tag + 1) + 1e-6))
+        most = _reach(np.ceil(BAND ** (tag + 1.0)).astype(np.int64), percent)
+        wanted &= most > 0
         take = wanted[doc]
         d, v = doc[take], value[take]
         if not len(d):
             continue
-        cut = ((v >> U(32)) * parts[d].astype(U)) >> U(32)
+        cut = ((v >> U(32)) * (2 * most + 2)[d].astype(U)) >> U(32)
         first = np.ones(len(d), bool)
         first[1:] = (d[1:] != d[:-1]) | (cut[1:] != cut[:-1])
         at = np.flatnonzero(first)
         run = np.concatenate([np.zeros(1, U), mix(v).cumsum(dtype=U)])
         total = run[np.append(at[1:], len(v))] - run[at]
         d, cut = d[at], cut[at]
-        docs.append(d)
-        keys.append(mix(total + mix(cut * U(4099) + tag[d].astype(U))))
-        # a set that fills too few fragments also shows its empty ones: then two such sets still meet
+        yield tag, wanted, most, d, cut, mix(total + mix(cut * U(4099) + tag[d].astype(U)))
+
+
+def fragment_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, key) of the fragments by which sets find each other: the ``r + 1`` rarest of each by ``counts``, empty ones last."""
+    docs, keys = [np.empty(0, np.int64)], [np.empty(0, U)]
+    for tag, wanted, most, d, cut, key in _fragments(doc, value, size, percent):
+        chosen = rarest(d, key, np.zeros(CELLS, np.int64) if counts is None else counts, most + 1)
+        docs.append(d[chosen])
+        keys.append(key[chosen])
         filled = np.bincount(d, minlength=len(size))
-        for k in np.flatnonzero(wanted & (filled <= _reach(size, percent))):
-            empty = np.setdiff1d(np.arange(parts[k], dtype=U), cut[d == k])
+        for k in np.flatnonzero(wanted & (filled <= most)):
+            empty = np.setdiff1d(np.arange(2 * most[k] + 2, dtype=U), cut[d == k])
+            empty = np.sort(mix(mix(empty * U(4099) + U(tag[k]))))[:most[k] + 1 - filled[k]]
             docs.append(np.full(len(empty), k))
-            keys.append(mix(mix(empty * U(4099) + U(tag[k]))))
-    if not docs:
-        return np.empty(0, np.int64), np.empty(0, U)
+            keys.append(empty)
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _all_keys(batches, width, percent):
+    for _, doc, value, size, _ in _sets(batches, width):
+        for *_, key in _fragments(doc, value, size, percent):
+            yield key
+
+
 def _led(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One (key, class) for each key, and edges from the other classes under that key to it."""
     order = np.lexsort((cls, keys))
@@ -103,7 +115,7 @@ def _led(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[first], cls[first], pairs
 
 
-def _packed(batches, width, percent, buckets):
+def _packed(batches, width, percent, buckets, counts):
     """Rows (bucket, keys, owner, classes, edges): each key once per flush, so a key that many sets share stays small."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -128,7 +140,7 @@ def _packed(batches, width, percent, buckets):
 
     n = 0
     for ids, doc, value, size, cls in _sets(batches, width):
-        d, k = fragment_keys(doc, value, np.where(np.asarray(ids.is_null()), 0, size), percent)
+        d, k = fragment_keys(doc, value, np.where(np.asarray(ids.is_null()), 0, size), percent, counts)
         held.append((k, cls[d]))
         n += len(k)
         if n >= KEYS:
@@ -274,9 +286,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     total = sized.agg(F.sum("n_shingles")).first()[0] or 0
     keys = total * (100 - percent) // percent * 3 // 2
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BUCKET_KEYS + 1)
-    packed = docs.mapInArrow(partial(_packed, width=width, percent=percent, buckets=buckets),
-                             "bucket int, keys binary, owner binary, classes binary, edges binary")
-    edges = packed.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    shared = spark.sparkContext.broadcast(cell_counts(docs, partial(_all_keys, width=width, percent=percent)))
+
+    def packed(batches):
+        return _packed(batches, width, percent, buckets, shared.value)
+
+    edges = docs.mapInArrow(packed, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     families = components(edges, "ngram-families")
 
     blocks = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))

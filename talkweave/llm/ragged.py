@@ -127,3 +127,19 @@ def sum_by(doc: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
     run = np.concatenate([np.zeros(1, U), value.cumsum(dtype=U)])
     at = np.searchsorted(doc, np.arange(docs + 1))
     return run[at[1:]] - run[at[:-1]]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers as byte planes of the narrowest kind, compressed."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    if kind == bool:
+        kind = np.dtype(np.uint8)
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What ``packed`` took, as signed 64-bit integers (unsigned where they need all bits)."""
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = pa.decompress(data[9:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(f"u{size}").astype(np.int64)
