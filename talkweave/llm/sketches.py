@@ -1,10 +1,11 @@
 """Near-copy detection with bottom-k sketches from one hash function.
 
 * Sketch. A set keeps its ``K`` smallest shingle hashes; a set of no more is its own sketch.
-* Inverted lists. Sets at the threshold share many retained values, so with all retained values in one global order
-  (rarest first, ``rarity``) two of them share one among the first few of each. Only those are posted, and sets under one
-  value are chained into families. A passage that many documents share is common, comes last in the order, and chains
-  only documents that consist of little else.
+* Inverted lists. Sets at the threshold share many retained values. A first inversion of all retained values counts, for
+  each set, those it has in common with any other: with too few, it links with nothing. Of the others, in one global order
+  (rarest first, ``rarity``), two that link share a value among the first few of each. Only those are posted then, and sets
+  under one value are chained into families. A passage that many documents share is common, comes last in the order,
+  and chains only documents that consist of little else.
 * Overlaps. A family is compared in chunks: inverted lists of all retained values give every two sketches' overlap; the
   sketch of the union of the two (its ``K`` smallest values) estimates the similarity; estimates within ``SIGMAS`` standard
   deviations of the threshold or above are verified on the full sets. Pairs already joined are not looked at again.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .ngram_join import _groups, _led, _meet, _overlaps, _sets, _sized
-from .ragged import U, Words, mix, shingle_sets, sum_by, text_slices
+from .ngram_join import _groups, _led, _meet, _overlaps, _sets
+from .ragged import U, Words, mix, packed, shingle_sets, sum_by, text_slices, unpacked
 from .rarity import cell_counts, rarest
 
 K = 128                    # retained values of a set
@@ -65,20 +66,88 @@ def _postings(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int
     return doc[some], value[some]
 
 
-def _all_retained(batches, width):
-    for ids, doc, value, size, _ in _sets(batches, width):
-        yield retained(doc, value, len(size))[1]
+def _sketched(batches, width):
+    for ids, doc, value, size, cls in _sets(batches, width):
+        d, v = retained(doc, value, len(size))
+        at = np.searchsorted(d, np.arange(len(size) + 1))
+        yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(cls), pa.array([v[at[k]:at[k + 1]].tobytes() for k in range(len(size))], pa.binary())],
+                              names=["doc_id", "n_shingles", "cls", "sketch"])
+
+
+def _unrolled(batches):
+    """(doc, value, size, class) of batches of (cls, n_shingles, sketch)."""
+    for batch in batches:
+        sketches = batch.column("sketch").to_pylist()
+        doc = np.repeat(np.arange(len(sketches)), [len(x) // 8 for x in sketches])
+        yield doc, np.frombuffer(b"".join(sketches), U), np.asarray(batch.column("n_shingles")), np.asarray(batch.column("cls"))
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(values) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _inverted(batches, buckets):
+    """All retained values by bucket: rows (bucket, values, owner, classes), values ascending, each (value, class) once a flush."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        value, cls = (np.concatenate([h[i] for h in held]) for i in range(2))
+        held.clear()
+        bucket = _bucket(value, buckets)
+        order = np.lexsort((cls, value, bucket))
+        value, cls, bucket = value[order], cls[order], bucket[order]
+        new = np.append(True, (value[1:] != value[:-1]) | (cls[1:] != cls[:-1]))[:len(value)]
+        value, cls, bucket = value[new], cls[new], bucket[new]
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(np.diff(cut)):
+            used, local = np.unique(cls[cut[b]:cut[b + 1]], return_inverse=True)
+            out.append((int(b), packed(np.diff(value[cut[b]:cut[b + 1]], prepend=U(0))), packed(local), used.tobytes()))
+        return pa.record_batch([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 4))],
+                               names=["bucket", "values", "owner", "classes"])
 
+    n = 0
+    for doc, value, _, cls in _unrolled(batches):
+        held.append((value, cls[doc]))
+        n += len(value)
+        if n >= POSTINGS:
+            yield flush()
+            n = 0
+    if n:
+        yield flush()
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """(cls, n): how many of a class's values in this bucket another class has too."""
+    parts = [(unpacked(v).astype(U).cumsum(dtype=U), np.frombuffer(c, np.int64)[unpacked(o)]) for v, o, c in zip(*(table.column(x).to_pylist() for x in ("values", "owner", "classes")), strict=True)]
+    value, cls = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((cls, value))
+    value, cls = value[order], cls[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (cls[1:] != cls[:-1]))[:len(value)]
+    value, cls = value[new], cls[new]
+    twin = np.append(False, value[1:] == value[:-1])[:len(value)]
+    names, n = np.unique(cls[twin | np.append(twin[1:], False)[:len(value)]], return_counts=True)
+    return pa.table({"cls": names, "n": n})
 
-def _packed(batches, width, percent, buckets, counts):
-    """Rows (bucket, values, owner, classes, edges): each value once per flush, with one class; the others are edges to it."""
+
+def _enough(batches, percent):
+    for batch in batches:
+        yield batch.filter(pa.array(np.asarray(batch.column("n")) >= least_shared(np.asarray(batch.column("n_shingles")), percent)))
+
+
+def _values(batches):
+    for _, value, _, _ in _unrolled(batches):
+        yield value
+
+
+def _posted(batches, percent, buckets, counts):
+    """Rows (bucket, keys, owner, classes, edges): each posted value once per flush, with one class; the others are edges to it."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush():
         values, cls, pairs = _led(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
         held.clear()
-        spread = mix(values)
-        bucket = ((spread >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        bucket = _bucket(values, buckets)
         order = np.argsort(bucket, kind="stable")
         values, cls, cut = values[order], cls[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         share = np.array_split(pairs, buckets)
@@ -91,15 +160,14 @@ def _packed(batches, width, percent, buckets, counts):
                                names=["bucket", "keys", "owner", "classes", "edges"])
 
     n = 0
-    for ids, doc, value, size, cls in _sets(batches, width):
-        known = ~np.asarray(ids.is_null())
+    for doc, value, size, cls in _unrolled(batches):
         d, v = _postings(doc, value, size, percent, counts)
-        held.append((v[known[d]], cls[d[known[d]]]))
-        n += len(held[-1][0])
+        held.append((v, cls[d]))
+        n += len(v)
         if n >= POSTINGS:
             yield flush()
             n = 0
-    if held:
+    if n:
         yield flush()
 
 
@@ -242,18 +310,21 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sized = written(docs.mapInArrow(partial(_sized, width=width), "doc_id long, n_shingles long, cls long"), "sketch-sized")
-    classes = (sized.filter("doc_id is not null and n_shingles > 0").groupBy("cls", "n_shingles")
-               .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    counts = cell_counts(docs, partial(_all_retained, width=width))
-    # what a set posts is no more than a set of K values does
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() * K // 2 // BUCKET_POSTINGS + 1)
-    shared = spark.sparkContext.broadcast(counts)
-
-    def packed(batches):
-        return _packed(batches, width, percent, buckets, shared.value)
-
-    edges = docs.mapInArrow(packed, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    sized = written(docs.mapInArrow(partial(_sketched, width=width), "doc_id long, n_shingles long, cls long, sketch binary"), "sketch-sized")
+    known = sized.filter("doc_id is not null and n_shingles > 0")
+    classes = known.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.count() * K // BUCKET_POSTINGS + 1)
+    lists = known.select("cls", "n_shingles", "sketch").mapInArrow(partial(_inverted, buckets=buckets), "bucket int, values binary, owner binary, classes binary")
+    common = lists.groupBy("bucket").applyInArrow(_common, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
+    hopeful = written(common.join(classes, "cls").select("cls", "n_shingles", "n", "rep").mapInArrow(partial(_enough, percent=percent), "cls long, n_shingles long, n long, rep long"), "sketch-hopeful")
+    some = F.broadcast(hopeful) if hopeful.count() <= BROADCAST_ROWS else hopeful
+    chosen = known.alias("s").join(some.alias("h"), F.expr("s.doc_id = h.rep and s.cls = h.cls")).select("s.cls", "s.n_shingles", "s.sketch")
+    shared = spark.sparkContext.broadcast(cell_counts(chosen, _values))
+
+    def posted(batches):
+        return _posted(batches, percent, buckets, shared.value)
+
+    edges = chosen.mapInArrow(posted, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     families = components(edges, "sketch-families")
     joined = components(_links(docs, classes, families, width, percent), "sketch-components")
     lowest = joined.join(classes.withColumnRenamed("cls", "node"), "node").groupBy("root").agg(F.min("rep").alias("component"))
@@ -261,7 +332,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # Only classes with copies or links have something to tell; the rows of one class are met in SALTS parts.
     told = (classes.join(found, "cls", "left").filter("copies > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = sized.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.least("doc_id", "component")).otherwise(F.col("doc_id"))
     return (salted.join(told, ["cls", "salt"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
