@@ -71,20 +71,24 @@ def wer_tokens(normalized: Column, cjk: Column) -> Column:
 
 
 def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two token arrays, one row of the table carried through a fold."""
-    first_row = F.sequence(F.lit(0), F.size(hyp))
-
-    def next_row(prev: Column, token: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.size(hyp))
-        start = F.array(F.element_at(prev, 1) + 1)
-        return F.when(F.size(hyp) == 0, start).otherwise(F.aggregate(
-            steps, start,
-            lambda row, j: F.array_append(row, F.least(
-                F.element_at(prev, j) + F.when(F.element_at(hyp, j) == token, 0).otherwise(1),
-                F.element_at(prev, j + 1) + 1,
-                F.element_at(row, -1) + 1))))
-
-    return F.element_at(F.aggregate(ref, first_row, next_row), -1)
+    """Levenshtein distance of two token arrays by anti-diagonals: a cell needs the two diagonals before its own only, so
+    each diagonal is one ``transform``, and the work is the number of cells."""
+    n, m = F.size(ref), F.size(hyp)
+
+    def diagonal(state: Column, d: Column) -> Column:
+        before, now, base, first = (state[c] for c in ("before", "now", "base", "first"))
+
+        def cell(i: Column) -> Column:      # of the first i and the first d - i tokens
+            changed = F.get(before, i - 1 - base) + F.when(F.get(ref, i - 1) == F.get(hyp, d - i - 1), 0).otherwise(1)
+            longer = F.least(F.get(now, i - 1 - first), F.get(now, i - first)) + 1
+            return F.when((i == 0) | (i == d), d).otherwise(F.least(changed, longer))
+
+        begin = F.greatest(F.lit(0), d - m)
+        return F.struct(now.alias("before"), F.transform(F.sequence(begin, F.least(d, n)), cell).alias("now"), first.alias("base"), begin.alias("first"))
+
+    empty = F.struct(F.array().cast("array<int>").alias("before"), F.array(F.lit(0)).alias("now"), F.lit(0).alias("base"), F.lit(0).alias("first"))
+    last = F.aggregate(F.sequence(F.lit(1), n + m), empty, diagonal, lambda state: F.element_at(state["now"], 1))
+    return F.when(n + m == 0, 0).otherwise(last)
 
 
 def sanitize_filename(name: Column) -> Column:
