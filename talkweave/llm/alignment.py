@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import cache, partial
 from itertools import chain
 
@@ -27,9 +28,12 @@ from ..session import written
 from .ragged import U, packed, text_slices, unpacked
 from .tokens import _byte_names
 
-SHEET = 4 << 20          # bytes of text aligned and asked about at once; a longer text is a sheet of its own
+SLICE = 1 << 18          # bytes of text aligned at once; a longer text is a slice of its own
+SHEET = 1 << 20          # links whose pairs are asked about at once, about
 SLAB = 512               # sheets whose pairs a reducer adds up at once
-DIGITS = 10              # decimal digits of an id, at most
+# The pattern that cuts text into words before A's merges, and characters whose classes no library disputes.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
 
 
 @cache
@@ -58,11 +62,28 @@ def _pieces(path: str):
     return processor, table
 
 
+@cache
+def _plain(path: str):
+    """The same vocabulary for plain text in the faster library: its ranks are the ids, in the order of the merges."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added, table = {t["content"] for t in spec["added_tokens"]}, _byte_level(path)[1]
+    ranks = {table[i]: i for name, i in spec["model"]["vocab"].items() if name not in added}
+    in_order = all(ranks[table[spec["model"]["vocab"][x]] + table[spec["model"]["vocab"][y]]] == 256 + k for k, (x, y) in enumerate(map(_pair, spec["model"]["merges"])))
+    return tiktoken.Encoding("plain", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+
+
+def _pair(merge) -> tuple[str, str]:
+    return tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge)
+
+
 def encoded(texts: list[str], path_a: str, path_b: str) -> tuple[list[list[int]], list[list[int]]]:
     """Ids of A and B for each text; none for an empty text, or where the bytes of either do not give the text back."""
     a, bytes_a = _byte_level(path_a)
     b, bytes_b = _pieces(path_b)
-    left = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    plain = _plain(path_a)
+    left = [plain.encode_ordinary(" " + t) if plain and PLAIN.fullmatch(t) else a.encode(" " + t, add_special_tokens=False).ids for t in texts]
     right = b.encode(texts, num_threads=1) if texts else []
     for k, text in enumerate(texts):
         raw = b" " + text.encode()
@@ -90,22 +111,27 @@ def overlaps(start_a, end_a, start_b, end_b) -> tuple[np.ndarray, np.ndarray]:
     return a, np.arange(len(a)) - first[a] + low[a]
 
 
-def _written_ids(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def _decimals(ids: int) -> np.ndarray:
+    """The decimal digits of the numbers below ``ids``, a row each, with room for one more byte."""
+    width = len(str(ids - 1))
+    return np.pad(np.arange(ids).astype(f"S{width}").view(np.uint8).reshape(ids, width), ((0, 0), (0, 1)))
+
+
+def _written_ids(ids: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids in decimal, each with the byte ``after`` it (0: none): (bytes, where each id's begin)."""
-    digits = np.maximum(1, np.ceil(np.log10(ids + 1.0)).astype(np.int64))
-    place = digits[:, None] - 1 - np.arange(DIGITS)
-    shown = np.where(place >= 0, 48 + ids[:, None] // 10 ** np.maximum(place, 0) % 10, 0).astype(np.uint8)
-    wide = np.concatenate([shown, np.zeros((len(ids), 1), np.uint8)], 1)
-    wide[np.arange(len(ids)), digits] = after
-    held = wide > 0
-    return wide[held], np.append(0, held.sum(1).cumsum())
+    table = _decimals(size)
+    digits = (table > 0).sum(1)
+    wide = table[ids]
+    wide[np.arange(len(ids)), digits[ids]] = after
+    return wide[wide > 0], np.append(0, (digits[ids] + (after > 0)).cumsum())
 
 
 def _aligned(batches, path_a, path_b):
     size_a, size_b = (np.array([len(x) for x in table[1]], np.int64) for table in (_byte_level(path_a), _pieces(path_b)))
     for batch in batches:
         texts = batch.column("text").fill_null("")
-        for row, data, bounds in text_slices(texts, SHEET):
+        for row, data, bounds in text_slices(texts, SLICE):
             docs = len(bounds) - 1
             left, right = encoded(texts.slice(row, docs).to_pylist(), path_a, path_b)
             n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (left, right))
@@ -126,7 +152,7 @@ def _aligned(batches, path_a, path_b):
             order = np.argsort(key, kind="stable")
             key, doc = key[order], np.append(doc_a, doc_b)[order]
             after = np.where(key[1:] == key[:-1], ord(","), np.where(key[1:] >> 1 == key[:-1] >> 1, ord("|"), np.where(doc[1:] == doc[:-1], ord(";"), 0)))
-            text, at = _written_ids(np.append(a, b)[order], np.append(after, 0)[:len(order)].astype(np.uint8))
+            text, at = _written_ids(np.append(a, b)[order], np.append(after, 0)[:len(order)].astype(np.uint8), max(len(size_a), len(size_b)))
             cut = at[np.append(0, (n_a + n_b).cumsum())]
             at_link = np.append(0, n_links.cumsum())
             yield pa.record_batch([
@@ -154,22 +180,42 @@ def _sheets(batches):
     """A row per run of documents: their columns, the distinct pairs in them with the number of documents that hold each, and
     per document its pairs (as places among the distinct) and how often each occurs."""
     nth = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        links = batch.column("links")
-        length = np.array([len(x) // 8 if x is not None else 0 for x in links.to_pylist()], np.int64)
-        flat = np.frombuffer(b"".join(x for x in links.to_pylist() if x is not None), U)
+    held: list[tuple] = []
+
+    def flush():
+        nonlocal nth
+        flat, length = (np.concatenate([h[i] for h in held]) for i in range(2))
+        rest = pa.concat_arrays([h[2] for h in held])
+        held.clear()
         doc = np.repeat(np.arange(len(length)), length)
-        first = np.append(True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1]))[:len(flat)]
-        at = np.flatnonzero(first)
+        at = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1]))[:len(flat)])
         times = np.diff(np.append(at, len(flat)))
         names, back = np.unique(flat[at], return_inverse=True)
-        rest = batch.drop_columns(["links"]).to_struct_array()
-        yield pa.record_batch([
+        nth += 1
+        return pa.record_batch([
             pa.array([nth], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest),
             *(pa.array([x], pa.binary()) for x in (packed(np.diff(names, prepend=U(0))), packed(np.bincount(back, minlength=len(names))),
                                                   packed(np.bincount(doc[at], minlength=len(length))), packed(back), packed(times)))],
             names=["sheet", "rows", "names", "holders", "lengths", "places", "times"])
-        nth += 1
+
+    n = 0
+    for batch in batches:
+        links = batch.column("links").fill_null(b"").cast(pa.large_binary())
+        _, offsets, data = links.buffers()
+        at = np.frombuffer(offsets, np.int64, len(links) + 1, links.offset * 8) // 8
+        flat = np.frombuffer(data, U, at[-1] - at[0], at[0] * 8) if len(links) and at[-1] > at[0] else np.empty(0, U)
+        at, rest = at - at[0], batch.drop_columns(["links"]).to_struct_array()
+        row = 0
+        while row < len(links):
+            to = min(len(links), max(row + 1, int(np.searchsorted(at, at[row] + SHEET - n, "right")) - 1))
+            held.append((flat[at[row]:at[to]], np.diff(at[row:to + 1]), rest.slice(row, to - row)))
+            n += int(at[to] - at[row])
+            row = to
+            if n >= SHEET or row < len(links):
+                yield flush()
+                n = 0
+    if held:
+        yield flush()
 
 
 def _names(data: bytes) -> np.ndarray:

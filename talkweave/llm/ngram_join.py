@@ -8,9 +8,10 @@ two uses follow.
   equal one among the first ``r + 1`` of each, so only these are looked at: a passage that many documents share makes its
   fragments common, and they come last. Sizes are banded so that the two sets of a pair are cut alike; a set that
   reaches into lower bands is cut for those too.
+  First of all, sets that have too little in common with all others together are left out (``retained``).
 * Counts. Sets chained by equal fragments form a family. Families are laid out in blocks; every pair of blocks is
   compared one fragment at a time, each giving a small matrix of partial overlaps, and the matrices of a pair of blocks
-  are summed. The sums are exact overlaps, so the similarity test is exact.
+  are summed. Blocks hold sets of like size; those whose sizes cannot link do not meet. The sums are exact overlaps, so the similarity test is exact.
 
 Equal sets are one class from the start and copies are never paired. No pair is emitted as a row: what leaves a pair of
 blocks is a spanning forest of its links and each member's number of links. A block travels as one row.
@@ -25,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import written
 from .components import components
-from .ragged import U, Words, mix, shingle_sets, sum_by, text_slices
+from .ragged import U, Words, mix, packed, shingle_sets, text_slices, unpacked
 from .rarity import CELLS, cell_counts, rarest
+from .retained import hashed_sets, hopeful, sketched
 
 BLOCK = 128                # sets in a block; a task holds two blocks of one fragment
 FRAGMENTS = 4              # fragments the overlaps are counted in
@@ -39,22 +42,6 @@ BUCKET_KEYS = 1 << 19      # fragment keys that meet in one reducer, about
 BROADCAST_ROWS = 500_000   # member rows (48 bytes each) up to which they are broadcast
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int):
-    """(ids, doc, hash, size, class) of the sets of each slice; rows without an id are left out of ``ids`` as None."""
-    for batch in batches:
-        ids = batch.column(0)
-        for row, data, bounds in text_slices(batch.column(1)):
-            words = Words(data, bounds)
-            doc, value = shingle_sets(words, width)
-            size = np.bincount(doc, minlength=words.docs)
-            yield ids.slice(row, words.docs), doc, value, size, mix(sum_by(doc, mix(value), words.docs) + size.astype(U)).view(np.int64)
-
-
-def _sized(batches, width):
-    for ids, _, _, size, cls in _sets(batches, width):
-        yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(cls)], names=["doc_id", "n_shingles", "cls"])
-
-
 def _reach(size, percent: int):
     """The most elements in which a set of this size and one no smaller, at the threshold, can differ."""
     return (100 - percent) * size // percent
@@ -99,7 +86,7 @@ def fragment_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
 
 
 def _all_keys(batches, width, percent):
-    for _, doc, value, size, _ in _sets(batches, width):
+    for doc, value, size, _ in _class_sets(batches, width):
         for *_, key in _fragments(doc, value, size, percent):
             yield key
 
@@ -115,6 +102,12 @@ def _led(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[first], cls[first], pairs
 
 
+def _class_sets(batches, width):
+    """(doc, hash, size, class) of the sets of each slice of (cls, text)."""
+    for cls, doc, value, size, _ in hashed_sets(batches, width):
+        yield doc, value, size, np.asarray(cls)
+
+
 def _packed(batches, width, percent, buckets, counts):
     """Rows (bucket, keys, owner, classes, edges): each key once per flush, so a key that many sets share stays small."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -139,8 +132,8 @@ def _packed(batches, width, percent, buckets, counts):
                                names=["bucket", "keys", "owner", "classes", "edges"])
 
     n = 0
-    for ids, doc, value, size, cls in _sets(batches, width):
-        d, k = fragment_keys(doc, value, np.where(np.asarray(ids.is_null()), 0, size), percent, counts)
+    for doc, value, size, cls in _class_sets(batches, width):
+        d, k = fragment_keys(doc, value, size, percent, counts)
         held.append((k, cls[d]))
         n += len(k)
         if n >= KEYS:
@@ -161,24 +154,32 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
 
+_CUT = "cls long, copies long, family long, block int, low int, high int, size long, fragment int, piece binary"
+
+
 def _cut(batches, width):
-    """The sets of family members in FRAGMENTS pieces; a row each, empty pieces too."""
+    """The sets of family members in FRAGMENTS pieces; a row each, empty pieces too. Columns: text, then _CUT's first six."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = [part.split()[0] for part in _CUT.split(",")]
     for batch in batches:
         for row, data, bounds in text_slices(batch.column(0)):
             words = Words(data, bounds)
             doc, value = shingle_sets(words, width)
             size = np.bincount(doc, minlength=words.docs)
-            cls = mix(sum_by(doc, mix(value), words.docs) + size.astype(U)).view(np.int64)
-            want = np.asarray(batch.column(1).slice(row, words.docs))
             cut = (value >> U(32)) * U(FRAGMENTS) >> U(32)
             at = np.searchsorted(doc * FRAGMENTS + cut.astype(np.int64), np.arange(words.docs * FRAGMENTS + 1))
-            for r in np.flatnonzero(cls == want):
-                rest = [batch.column(c)[row + int(r)].as_py() for c in range(1, 6)]
+            for r in range(words.docs):
+                rest = [batch.column(c)[row + r].as_py() for c in range(1, 7)]
                 pieces = [value[at[r * FRAGMENTS + f]:at[r * FRAGMENTS + f + 1]].tobytes() for f in range(FRAGMENTS)]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.record_batch([pa.array([x] * FRAGMENTS, t) for x, t in zip(rest, types, strict=True)]
-                                      + [pa.array([int(size[r])] * FRAGMENTS, pa.int64()), pa.array(range(FRAGMENTS), pa.int32()), pa.array(pieces, pa.binary())],
-                                      names=["cls", "copies", "family", "block", "blocks", "size", "fragment", "piece"])
+                                      + [pa.array([int(size[r])] * FRAGMENTS, pa.int64()), pa.array(range(FRAGMENTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
+
+
+def _own_text(batches, width):
+    """The rows (cls, text) whose text is of that class."""
+    for batch in batches:
+        own = np.concatenate([found for *_, found in hashed_sets([batch], width)] or [np.empty(0, np.int64)])
+        yield batch.filter(pa.array(own == np.asarray(batch.column("cls"))))
 
 
 def _groups(batches, keys: int):
@@ -216,12 +217,11 @@ def _overlaps(member: np.ndarray, value: np.ndarray, sets: int) -> np.ndarray:
 def _bundled(batches):
     """A row per (family, block, fragment): who is in the block, and their pieces one after the other."""
     for (family, block, fragment), held in _groups(batches, 3):
-        once = {r[0]: r for r in held}        # a class whose text is there twice counts once
-        held = [once[c] for c in sorted(once)]
-        who = np.array([(cls, block, size, copies, len(piece) // 8) for cls, size, copies, _, piece in held], np.int64)
-        yield pa.record_batch([pa.array([family], pa.int64()), pa.array([block], pa.int32()), pa.array([held[0][3]], pa.int32()), pa.array([fragment], pa.int32()),
-                               pa.array([who.tobytes()], pa.binary()), pa.array([b"".join(r[4] for r in held)], pa.binary())],
-                              names=["family", "block", "blocks", "fragment", "members", "pieces"])
+        held = sorted(held)
+        who = np.array([(cls, block, size, copies, len(piece) // 8) for cls, size, copies, _, _, piece in held], np.int64)
+        yield pa.record_batch([pa.array([family], pa.int64()), *(pa.array([x], pa.int32()) for x in (block, held[0][3], held[0][4], fragment)),
+                               pa.array([who.tobytes()], pa.binary()), pa.array([b"".join(r[5] for r in held)], pa.binary())],
+                              names=["family", "block", "low", "high", "fragment", "members", "pieces"])
 
 
 def _partial(batches):
@@ -235,7 +235,7 @@ def _partial(batches):
         who = np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 5) for r in held])
         member = np.repeat(np.arange(len(who)), who[:, 4])
         overlaps = _overlaps(member, np.concatenate([np.frombuffer(r[2], U) for r in held]), len(who))
-        rows.append((family, i, j, fragment, who[:, :4].tobytes() if not fragment else b"", overlaps.tobytes()))
+        rows.append((family, i, j, fragment, who[:, :4].tobytes() if not fragment else b"", packed(overlaps.ravel())))
         if len(rows) >= 64:
             yield out()
             rows = []
@@ -247,7 +247,7 @@ def _linked(batches, percent):
     rows = []
     for (_, i, j), held in _groups(batches, 3):
         who = np.frombuffer(next(r[1] for r in held if r[0] == 0), np.int64).reshape(-1, 4)
-        overlap = sum(np.frombuffer(r[2], np.int32).reshape(len(who), len(who)) for r in held)
+        overlap = sum(unpacked(r[2]) for r in held).reshape(len(who), len(who))
         cls, block, size, copies = who.T
         link = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
         np.fill_diagonal(link, False)
@@ -278,40 +278,56 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     with a null doc_id link with nothing and get a null component_id. Repeated rows are copies of each other. An empty
     table gives an empty result. ``percent`` is 51 to 100.
     """
+    if not 51 <= percent <= 100:
+        raise ValueError("percent is 51 to 100")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sized = written(docs.mapInArrow(partial(_sized, width=width), "doc_id long, n_shingles long, cls long"), "ngram-sized")
+    sized = sketched(docs, width, "ngram-sized")
     classes = (sized.filter("doc_id is not null and n_shingles > 0").groupBy("cls", "n_shingles")
                .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    total = sized.agg(F.sum("n_shingles")).first()[0] or 0
+    hopes = hopeful(sized, classes, percent, "ngram-hopeful")
+    some = F.broadcast(hopes) if hopes.count() <= BROADCAST_ROWS else hopes
+    # A repeated id may bring other texts: those of the class are kept, one for each class.
+    reps = docs.join(some, docs.doc_id == some.rep).select("cls", "text").mapInArrow(partial(_own_text, width=width), "cls long, text string")
+    texts = written(reps.dropDuplicates(["cls"]), "ngram-texts")
+    total = hopes.agg(F.sum("n_shingles")).first()[0] or 0
     keys = total * (100 - percent) // percent * 3 // 2
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // BUCKET_KEYS + 1)
-    shared = spark.sparkContext.broadcast(cell_counts(docs, partial(_all_keys, width=width, percent=percent)))
+    shared = spark.sparkContext.broadcast(cell_counts(texts, partial(_all_keys, width=width, percent=percent)))
 
-    def packed(batches):
+    def key_rows(batches):
         return _packed(batches, width, percent, buckets, shared.value)
 
-    edges = docs.mapInArrow(packed, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    edges = texts.mapInArrow(key_rows, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     families = components(edges, "ngram-families")
 
-    blocks = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # Blocks of like size: two sets that link lie in the same band of sizes or in neighbouring ones.
+    ratio = max(100 / percent, 1.0001)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
+    member = families.join(classes.withColumnRenamed("cls", "node"), "node").withColumn("band", band)
+    along = Window.partitionBy("root").orderBy("band")
+    bands = member.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n"))
+    bands = bands.withColumn("first", F.sum("n").over(along) - F.col("n"))
+    low = F.when(F.lag("band").over(along) == F.col("band") - 1, F.lag("first").over(along)).otherwise(F.col("first"))
+    high = F.col("first") + F.col("n") - 1 + F.when(F.lead("band").over(along) == F.col("band") + 1, F.lead("n").over(along)).otherwise(0)
+    bands = bands.select("root", "band", "n", "first", low.cast("int").alias("low"), high.cast("int").alias("high"))
     members = written(
-        families.join(blocks, "root").join(classes.withColumnRenamed("cls", "node"), "node")
+        member.join(bands, ["root", "band"])
         .select(F.col("node").alias("cls"), "copies", F.col("root").alias("family"),
-                F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "rep"), "ngram-members")
+                (F.col("first") + F.pmod(F.xxhash64("node"), F.col("n"))).cast("int").alias("block"), "low", "high"), "ngram-members")
     chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    pieces = (docs.join(chosen, docs.doc_id == F.col("rep")).select("text", "cls", "copies", "family", "block", "blocks")
-              .mapInArrow(partial(_cut, width=width), "cls long, copies long, family long, block int, blocks int, size long, fragment int, piece binary"))
-    bundles = (pieces.select("family", "block", "fragment", "cls", "size", "copies", "blocks", "piece")
+    pieces = texts.join(chosen, "cls").select("text", "cls", "copies", "family", "block", "low", "high").mapInArrow(partial(_cut, width=width), _CUT)
+    bundles = (pieces.select("family", "block", "fragment", "cls", "size", "copies", "low", "high", "piece")
                .repartition("family", "block", "fragment").sortWithinPartitions("family", "block", "fragment")
-               .mapInArrow(_bundled, "family long, block int, blocks int, fragment int, members binary, pieces binary"))
-    paired = (bundles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .mapInArrow(_bundled, "family long, block int, low int, high int, fragment int, members binary, pieces binary"))
+    paired = (bundles.withColumn("other", F.explode(F.sequence("low", "high")))
               .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment", "block", "members", "pieces"))
     counted = (paired.repartition("family", "i", "j", "fragment").sortWithinPartitions("family", "i", "j", "fragment", "block")
                .mapInArrow(_partial, "family long, i int, j int, fragment int, members binary, overlaps binary"))
     linked = written(counted.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "fragment")
                      .mapInArrow(partial(_linked, percent=percent), "a long, b long, links long"), "ngram-links")
 
+    sized = sized.drop("sketch")
     joined = components(linked.select("a", "b"), "ngram-components")
     reps = joined.join(classes.withColumnRenamed("cls", "node"), "node")
     lowest = reps.groupBy("root").agg(F.min("rep").alias("component"))

@@ -67,7 +67,6 @@ ROWS = ["Hello world", "hello  world", "Hello world", None, "", " ", "\n", "toke
 
 
 def test_equals_brute_force(documents, rng, prose, cut, monkeypatch):
-    monkeypatch.setattr(A, "SHEET", 2000)
     monkeypatch.setattr(A, "SLAB", 4)
     rows = [*enumerate(ROWS + [prose(rng.randrange(1, 90)) for _ in range(60)]), (None, "Hello"), (0, "Hello world")]
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
@@ -78,6 +77,25 @@ def test_equals_brute_force(documents, rng, prose, cut, monkeypatch):
     assert any(r[1] == 0 and rows[r[0]][1] for r in got if r[0] is not None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\n\r'sdtveml1a.,éÀɏ<>|_"), st.characters(max_codepoint=0x30ff, exclude_categories=["Cs"])), max_size=40))
+def test_plain_text_equals_the_libraries(text):
+    """The faster library gives plain text the same ids."""
+    tokenizer, processor = A._byte_level(BYTE)[0], A._pieces(PIECE)[0]
+    (left,), (right,) = A.encoded([text], BYTE, PIECE)
+    if left:
+        assert left == tokenizer.encode(" " + text, add_special_tokens=False).ids and right == processor.encode(text)
+    else:
+        assert not text or b"".join(A._pieces(PIECE)[1][i] for i in processor.encode(text)) != b" " + text.encode()
+
+
+def test_real_texts_equal_the_libraries(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    left, right = A.encoded(texts, BYTE, PIECE)
+    whole = A._byte_level(BYTE)[0].encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    assert left == [e.ids for e in whole] and right == A._pieces(PIECE)[0].encode(texts)
+
+
 def test_empty_table(documents):
     assert A.align_tokens(documents([]), BYTE, PIECE).collect() == []
     assert A.count_links(A.align_tokens(documents([]), BYTE, PIECE)).collect() == []

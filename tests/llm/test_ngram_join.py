@@ -3,6 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
+import pytest
 
 from talkweave.llm import ngram_join as J
 from talkweave.llm.components import components
@@ -59,6 +60,16 @@ def test_equals_brute_force(spark, rng, prose, documents, monkeypatch):
         assert [r[2:] for r in out if r[0] is None] == [(None, 0)]
 
 
+def test_low_thresholds(documents):
+    """A set inside a larger one, two size bands apart."""
+    words = [f"w{k}" for k in range(197)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:131]))]
+    for percent, linked in ((60, True), (64, True), (66, True), (67, False)):
+        assert [r.n_links for r in J.ngram_components(documents(rows), 3, percent).collect()] == [int(linked)] * 2
+    with pytest.raises(ValueError):
+        J.ngram_components(documents(rows), 3, 50)
+
+
 def test_near_copies_dropped(spark, rng, prose, documents):
     rows = corpus(rng, prose)
     kept = J.drop_near_copies(documents(rows), 5, 80)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from talkweave.llm import sketches as S
+from talkweave.llm.rarity import CELLS
 from test_ngram_join import corpus, edited, expected
 
 
@@ -38,7 +39,7 @@ def test_large_families_over_chunks(rng, prose, documents, monkeypatch):
 def test_linked_sets_share_a_posting(size):
     """Pairs at the threshold share a posted value, and pass the estimate, whatever the counts are."""
     r = np.random.default_rng(size)
-    counts = r.integers(0, 50, S.cell_counts.__globals__["CELLS"])
+    counts = r.integers(0, 50, CELLS)
     for _ in range(40):
         lost = int(r.integers(0, size // 9 + 1))
         a = np.unique(r.integers(0, 2 ** 63, size, dtype=np.uint64))
