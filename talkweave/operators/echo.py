@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .. import params
 from ..functions import text as tx, vectors as vc
@@ -28,6 +29,28 @@ def base_dimension(voices: DataFrame, keys: list[str]) -> DataFrame:
     return sizes.select(*keys, vc.common_divisor(F.col("sizes")).alias("dim"))
 
 
+def stacked(voices: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A voice's vectors of all chunks laid end to end, as a recovered recording stores them."""
+    laid = F.array_sort(F.collect_list(F.struct(order, "embedding")))
+    return voices.groupBy(*keys).agg(F.flatten(F.transform(laid, lambda v: v["embedding"])).alias("embedding"))
+
+
+def centroids(voices: DataFrame, keys: list[str], order: str, dims: DataFrame, by: list[str]) -> DataFrame:
+    """Mean of each voice's vectors over all its chunks, by position: sums and counts are combined before they move, and no voice
+    is laid end to end. ``dims`` has the width per ``by``; a voice whose length does not divide by it stays as it is."""
+    along = Window.partitionBy(*keys).orderBy(order)
+    whole = Window.partitionBy(*keys)
+    size = F.size("embedding")
+    placed = (voices.where(size > 0).join(dims.select(*by, F.col("dim").alias("__dim")), by, "left")
+              .select(*keys, "embedding", "__dim", (F.sum(size).over(along) - size).alias("__from"), F.sum(size).over(whole).alias("__all")))
+    divides = (F.col("__dim") > 0) & (F.col("__all") % F.nullif("__dim", F.lit(0)) == 0)
+    width = F.when(F.coalesce(divides, F.lit(False)), F.col("__dim")).otherwise(F.col("__all"))
+    cells = placed.select(*keys, width.alias("__width"), "__from", F.posexplode("embedding").alias("__at", "__x"))
+    means = cells.groupBy(*keys, ((F.col("__from") + F.col("__at")) % F.col("__width")).alias("__at")).agg(F.avg(F.col("__x").cast("double")).cast("float").alias("__x"))
+    rows = F.array_sort(F.collect_list(F.struct("__at", "__x")))
+    return means.groupBy(*keys).agg(F.transform(rows, lambda c: c["__x"]).alias("embedding"))
+
+
 def pooled(voices: DataFrame, keys: list[str], dim: int | None = None) -> DataFrame:
     """Each speaker's stacked vectors averaged into one."""
     if dim is not None:

@@ -130,36 +130,32 @@ def a6(t):
 
 
 define("r_stacked", ("v_speaker_embeddings",), """
-SELECT a.meeting_id, a.source, a.speaker, a.embedding AS e0, b.embedding AS e1
-FROM v_speaker_embeddings a LEFT JOIN v_speaker_embeddings b
-  ON b.meeting_id = a.meeting_id AND b.source = a.source AND b.speaker = a.speaker AND b.chunk_index = 1 WHERE a.chunk_index = 0""")
-
-
-def stacked(t):
-    """Voices of the first two chunks laid end to end, as a recovered recording stores them."""
-    a = t.speaker_embeddings.where("chunk_index = 0").select("meeting_id", "source", "speaker", "embedding")
-    b = t.speaker_embeddings.where("chunk_index = 1").select("meeting_id", "source", "speaker", F.col("embedding").alias("e1"))
-    both = a.join(b, ["meeting_id", "source", "speaker"], "left")
-    return both.withColumn("embedding", F.when(F.col("e1").isNull(), F.col("embedding")).otherwise(F.concat("embedding", "e1"))).drop("e1")
+SELECT meeting_id, source, speaker, flatten(list(embedding ORDER BY chunk_index)) AS e FROM v_speaker_embeddings GROUP BY ALL""")
+define("r_width", ("v_speaker_embeddings",), """
+SELECT meeting_id, max(d) AS dim FROM (
+  SELECT meeting_id, d FROM (SELECT DISTINCT meeting_id, len(embedding) AS n FROM v_speaker_embeddings),
+  unnest(range(1, (SELECT max(len(embedding)) + 1 FROM v_speaker_embeddings))) u(d) GROUP BY meeting_id, d HAVING bool_and(n % d = 0)) GROUP BY meeting_id""")
+VOICE = ["meeting_id", "source", "speaker"]
 
 
 @query("a7_centroid", """
-SELECT meeting_id, source, speaker, CAST(len(e0) AS INTEGER) AS dim, round(CASE WHEN e1 IS NULL THEN e0[1] ELSE (e0[1]::DOUBLE + e1[1]) / 2 END, 4)::DOUBLE AS head,
-       round(CASE WHEN e1 IS NULL THEN e0[len(e0)] ELSE (e0[len(e0)]::DOUBLE + e1[len(e0)]) / 2 END, 4)::DOUBLE AS tail FROM r_stacked""", ("r_stacked",))
+SELECT meeting_id, source, speaker, CAST(dim AS INTEGER) AS dim, round(list_avg(list_transform(range(0, len(e) // dim), lambda s: e[s * dim + 1]::DOUBLE)), 4)::DOUBLE AS head,
+       round(list_avg(list_transform(range(0, len(e) // dim), lambda s: e[s * dim + dim]::DOUBLE)), 4)::DOUBLE AS tail FROM r_stacked JOIN r_width USING (meeting_id)""", ("r_stacked", "r_width"))
 def a7(t):
-    dim = F.when(F.size("embedding") % 128 == 0, F.floor(F.size("embedding") / 2)).otherwise(F.size("embedding")).cast("int")
-    v = stacked(t).withColumn("embedding", vc.centroid(F.col("embedding"), F.lit(64)))
-    return v.select("meeting_id", "source", "speaker", F.size("embedding").alias("dim"),
+    v = echo.centroids(t.speaker_embeddings, VOICE, "chunk_index", echo.base_dimension(t.speaker_embeddings, ["meeting_id"]), ["meeting_id"])
+    return v.select(*VOICE, F.size("embedding").alias("dim"),
                     F.round(_d(F.element_at("embedding", 1)), 4).alias("head"), F.round(_d(F.element_at("embedding", -1)), 4).alias("tail"))
 
 
 @query("a8_base_dimension", """
 SELECT meeting_id, CAST(max(d) AS INTEGER) AS dim FROM (
-  SELECT meeting_id, d FROM (SELECT meeting_id, len(e0) + coalesce(len(e1), 0) + CASE speaker WHEN 'Speaker 1' THEN 32 ELSE 0 END AS n FROM r_stacked), unnest(range(1, 1000)) u(d)
+  SELECT meeting_id, d FROM (SELECT meeting_id, len(e) + CASE speaker WHEN 'Speaker 1' THEN 32 ELSE 0 END AS n FROM r_stacked),
+  unnest(range(1, (SELECT max(len(e)) + 33 FROM r_stacked))) u(d)
   GROUP BY meeting_id, d HAVING bool_and(n % d = 0)) GROUP BY meeting_id""", ("r_stacked",))
 def a8(t):
     extra = F.slice("embedding", 1, 32)
-    v = stacked(t).withColumn("embedding", F.when(F.col("speaker") == "Speaker 1", F.concat("embedding", extra)).otherwise(F.col("embedding")))
+    v = echo.stacked(t.speaker_embeddings, VOICE, "chunk_index")
+    v = v.withColumn("embedding", F.when(F.col("speaker") == "Speaker 1", F.concat("embedding", extra)).otherwise(F.col("embedding")))
     return echo.base_dimension(v, ["meeting_id"])
 
 

@@ -178,7 +178,7 @@ def u2(t):
 
 
 define("r_signals", (), """
-SELECT user_id % 15 AS device_id, event_id AS signal_ord, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS at_s,
+SELECT user_id % 15 + 15 * (event_id // 5000) AS device_id, event_id AS signal_ord, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS at_s,
        event_type IN ('click', 'view', 'purchase') AND event_id % 7 <> 0 AS eligible FROM events""")
 
 
@@ -192,6 +192,6 @@ SELECT * FROM r)""", ("r_signals",))
 def u5(t):
     eligible = mo.meeting_signal(F.lit(True), F.col("event_id") % 7 == 0, F.col("event_type").isin("click", "view"), F.lit(True)) | (
         (F.col("event_type") == "purchase") & (F.col("event_id") % 7 != 0))
-    signals = t.raw("events").select((F.col("user_id") % 15).alias("device_id"), F.col("event_id").alias("signal_ord"),
+    signals = t.raw("events").select((F.col("user_id") % 15 + 15 * F.floor(F.col("event_id") / 5000)).alias("device_id"), F.col("event_id").alias("signal_ord"),
                                      (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at_s"), eligible.alias("eligible"))
     return mo.prompts(signals)

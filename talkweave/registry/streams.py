@@ -106,7 +106,7 @@ same_as("t6_retry_streaks", "w12_retry_streaks")
 @query("t7_prompts")
 def t7(t):
     eligible = F.col("event_type").isin("click", "view", "purchase") & (F.col("event_id") % 7 != 0)
-    signals = landing(t).raw("events").select((F.col("user_id") % 15).alias("device_id"), F.col("event_id").alias("signal_ord"),
+    signals = landing(t).raw("events").select((F.col("user_id") % 15 + 15 * F.floor(F.col("event_id") / 5000)).alias("device_id"), F.col("event_id").alias("signal_ord"),
                                               (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at_s"), eligible.alias("eligible"))
     return st.collect_appended(st.prompts(signals), "prompts")
 

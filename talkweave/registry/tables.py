@@ -119,16 +119,15 @@ class Tables:
 
     @cached_property
     def callbacks(self) -> DataFrame:
-        e, track = F.col("event_id"), F.col("event_id") % 15
-        slow = (track % 4 == 0) & (e > 500)
+        e, slow = F.col("event_id"), (F.col("event_id") % 15 % 4 == 0) & (F.col("event_id") > 500)
         return self.raw("events").select(
-            track.cast("int").alias("track_id"), e.alias("cb_ord"), (e * 10000000).alias("host_nanos"),
+            (e % 15 + 15 * F.floor(e / 5000)).cast("int").alias("track_id"), e.alias("cb_ord"), (e * 10000000).alias("host_nanos"),
             _d(48000).alias("declared_rate"), F.when(slow, 3600).otherwise(7200).cast("int").alias("frames"))
 
     @cached_property
     def failures(self) -> DataFrame:
         return self.raw("events").where("event_type = 'purchase'").select(
-            (F.col("user_id") % 15).cast("int").alias("session_id"), (F.col("event_id") * 8).alias("failed_at_s"))
+            (F.col("user_id") % 15 + 15 * F.floor(F.col("event_id") / 5000)).cast("int").alias("session_id"), (F.col("event_id") * 8).alias("failed_at_s"))
 
     @cached_property
     def formats(self) -> DataFrame:
@@ -227,12 +226,12 @@ SELECT CAST(event_id % 3 AS INT) AS track_id, CAST(floor(event_id / 250) AS INT)
        event_id AS buffer_ord, CAST(floor(value * 10) AS BIGINT) * (1 + event_id % 3) AS data_frames,
        CAST((event_id % 250) * 250 AS BIGINT) AS target_frame, CAST(480 AS DOUBLE) AS rate FROM events"""),
     "v_callbacks": ((), """
-SELECT CAST(event_id % 15 AS INT) AS track_id, event_id AS cb_ord, event_id * 10000000 AS host_nanos,
+SELECT CAST(event_id % 15 + 15 * (event_id // 5000) AS INT) AS track_id, event_id AS cb_ord, event_id * 10000000 AS host_nanos,
        CAST(48000 AS DOUBLE) AS declared_rate,
        CAST(CASE WHEN (event_id % 15) % 4 = 0 AND event_id > 500 THEN 3600 ELSE 7200 END AS INT) AS frames
 FROM events"""),
     "v_failures": ((), """
-SELECT CAST(user_id % 15 AS INT) AS session_id, event_id * 8 AS failed_at_s FROM events
+SELECT CAST(user_id % 15 + 15 * (event_id // 5000) AS INT) AS session_id, event_id * 8 AS failed_at_s FROM events
 WHERE event_type = 'purchase'"""),
     "v_formats": ((), """
 SELECT CAST(floor(event_id / 3000) AS INT) AS session_id, CAST(floor(event_id / 500) AS INT) AS chunk_index,

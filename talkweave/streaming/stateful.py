@@ -1,59 +1,176 @@
-"""Per-key state machines on ``transformWithStateInPandas``.
+"""Per-key state machines on ``transformWithStateInPandas``, fed in event-time order.
 
-The machines are the same folds the batch operators replay, so stream and batch cannot drift apart. A key is one
-device, track or meeting channel: its rows come at the speed of one recorder.
+The machines are the same folds the batch operators replay, so stream and batch cannot drift apart. Rows may arrive in any
+order within the lateness the stream allows: a key's rows wait in state, in buckets of event time, and event-time timers
+release a bucket, sorted, once the watermark has passed its end. What a worker holds at once is one bucket of one key. A
+key that has been silent for ``KEEP_MS`` of event time is forgotten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.ordered import Fold
+from ..session import scratch_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_MS = 10_000              # event time of the rows that are released together
+KEEP_MS = 24 * 3_600_000        # silence after which a key's state ends
+
+_MARKS: WeakKeyDictionary[DataFrame, tuple] = WeakKeyDictionary()     # where the end of a stream's input is told
 
 
 def use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class FoldProcessor(StatefulProcessor):
-    """Runs a fold per key. The fold's ``STATE`` names the fields kept between micro-batches."""
+def _rows_out(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    data = sink.getvalue().to_pybytes()
+    return len(data).to_bytes(4, "little") + data
+
+
+def _rows_in(data: bytes) -> pd.DataFrame:
+    parts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 4], "little")
+        parts.append(pa.ipc.open_stream(data[at + 4:at + 4 + size]).read_pandas())
+        at += 4 + size
+    return pd.concat(parts, ignore_index=True)
+
+
+class Released(StatefulProcessor):
+    """Hands each key's rows to ``ordered`` bucket by bucket, in the order of ``order``, as the watermark passes.
+
+    ``at_ms`` is the rows' event time. Rows without one, and rows of the null key (marks that only move the watermark on), are
+    not held. A row that comes after its bucket was released is dropped, as Spark drops late rows.
+    """
 
-    def __init__(self, folder: Callable[[], Fold], order: list[str], columns: list[str], state_schema: str):
-        self.folder, self.order, self.columns, self.state_schema = folder, order, columns, state_schema
+    def __init__(self, order: list[str], bucket_ms: int = BUCKET_MS, keep_ms: int = KEEP_MS):
+        self.order, self.bucket_ms, self.keep_ms = order, bucket_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", self.state_schema)
+        self.handle = handle
+        self.held = handle.getMapState("held", "bucket bigint", "rows binary")
+        self.seen = handle.getValueState("seen", "last_ms bigint, released bigint")
+
+    def ordered(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Drop what ``ordered`` keeps."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if any(k is None or k != k for k in key):
+            return
+        last, released = self.seen.get() if self.seen.exists() else (None, -1 << 62)
+        for batch in rows:
+            batch = batch[batch["at_ms"].notna()]
+            bucket = batch["at_ms"].astype("int64") // self.bucket_ms
+            for b, part in batch.groupby(bucket):
+                if b <= released:
+                    continue
+                old = self.held.getValue((int(b),))[0] if self.held.containsKey((int(b),)) else b""
+                self.held.updateValue((int(b),), (bytes(old) + _rows_out(part),))
+                self.handle.registerTimer((int(b) + 1) * self.bucket_ms)
+                last = max(last if last is not None else -1 << 62, int(part["at_ms"].max()))
+        if last is not None:
+            self.seen.update((last, released))
+            self.handle.registerTimer(last + self.keep_ms)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            return
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        last, released = self.seen.get()
+        due = sorted(b for (b,) in self.held.keys() if (b + 1) * self.bucket_ms <= now)
+        for b in due:
+            rows = _rows_in(bytes(self.held.getValue((b,))[0])).sort_values(self.order, kind="stable")
+            yield from self.ordered(key, rows)
+            self.held.removeKey((b,))
+        if due:
+            self.seen.update((last, max(released, due[-1])))
+        yield from self.silent(key, last, now)
+        if last + self.keep_ms <= now:
+            self.seen.clear()
+            self.held.clear()
+            self.forget()
+
+    def silent(self, key, last_ms: int, now_ms: int) -> Iterator[pd.DataFrame]:
+        """What a key says at ``now_ms`` whose last row was at ``last_ms``."""
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class FoldProcessor(Released):
+    """Runs a fold per key. ``state_schema`` names the fields its ``snapshot`` keeps."""
+
+    def __init__(self, folder: Callable[[], Fold], order: list[str], columns: list[str], state_schema: str, bucket_ms: int, closes: bool):
+        super().__init__(order, bucket_ms)
+        self.folder, self.columns, self.state_schema, self.closes = folder, columns, state_schema, closes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", self.state_schema)
+
+    def ordered(self, key, rows):
         fold = self.folder()
         if self.kept.exists():
             fold.restore(self.kept.get())
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out: list[tuple] = []
-        for row in batch.itertuples(index=False):
+        for row in rows.itertuples(index=False):
             out.extend(fold.push(row))
-        out.extend(fold.finish())
+        if self.closes:
+            out.extend(fold.finish())
         self.kept.update(fold.snapshot())
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.kept.clear()
 
 
-def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Fold], state_schema: str,
-             schema: str) -> DataFrame:
+def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Fold], state_schema: str, schema: str,
+             at: str, late: str, bucket_ms: int = BUCKET_MS, closes: bool = False) -> DataFrame:
+    """``at``: the rows' event time; ``late``: how far rows may come out of order. With ``closes`` a bucket is a closed unit: the
+    fold's ``finish`` runs at its end."""
     use_rocksdb(df)
     columns = [f.split()[0] for f in schema.split(",")]
-    return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(folder, order, columns, state_schema), outputStructType=schema,
-        outputMode="append", timeMode="None")
+    marks = scratch_dir(df.sparkSession, "marks")
+    shape = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    df.sparkSession.createDataFrame([], shape).write.parquet(marks)
+    both = df.unionByName(df.sparkSession.readStream.schema(shape).parquet(marks))
+    timed = both.withWatermark(at, late).withColumn("at_ms", F.unix_millis(at)).drop(at)
+    out = timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=FoldProcessor(folder, order, columns, state_schema, bucket_ms, closes), outputStructType=schema,
+        outputMode="append", timeMode="EventTime")
+    _MARKS[out] = marks, shape, at
+    return out
+
+
+def end_of_input(stream: DataFrame) -> bool:
+    """Land a mark after all rows of a stream of ``run_fold``: its watermark passes them, and all state ends. False for others."""
+    if stream not in _MARKS:
+        return False
+    marks, shape, at = _MARKS[stream]
+    end = F.lit("2300-01-01").cast("timestamp")
+    one = stream.sparkSession.range(1).select(*[(end if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    one.write.mode("append").parquet(marks)
+    return True
 
 
 class SilenceWatch(StatefulProcessor):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import params
 from ..operators import aggregates as ag, monitors as mo, reconcile as rc
 from ..session import scratch_dir
-from .stateful import run_fold, silence_alerts
+from .stateful import end_of_input, run_fold, silence_alerts
 
 __all__ = ["chunk_counts", "rate_drift", "pad_alarm", "sticky_drops", "retry_streaks", "prompts", "reconcile", "drained",
            "new_chunks", "silence_alerts", "provenance", "collect_appended", "collect_latest", "process_landing"]
@@ -32,46 +32,64 @@ def chunk_counts(events: DataFrame, start: Column, minutes: int = params.CHUNK_M
     return counted.select("session_id", "chunk_index", "events")
 
 
-def rate_drift(callbacks: DataFrame, keys: list[str], order: str = "cb_ord") -> DataFrame:
-    """A rebuilt stream must come under a new key, which resets the monitor."""
+LATE = "10 minutes"        # how far rows may come out of order
+
+
+def _clocked(rows: DataFrame, at: Column | None, otherwise: Column) -> DataFrame:
+    return rows.withColumn("event_at", (otherwise if at is None else at).cast("timestamp"))
+
+
+def _by_ordinal(order: str) -> Column:
+    """A clock for buffers that carry none: ten milliseconds a buffer."""
+    return F.timestamp_millis(F.col(order) * 10)
+
+
+def rate_drift(callbacks: DataFrame, keys: list[str], order: str = "cb_ord", at: Column | None = None, late: str = LATE) -> DataFrame:
+    """A rebuilt stream must come under a new key, which resets the monitor. Event time is the host clock."""
     types = dict(callbacks.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{order} bigint", "verdict string", "ratio double"])
     fold = partial(mo.DriftFold, keys, order, params.DRIFT_WINDOW_S, params.DRIFT_BAND)
-    return run_fold(callbacks, keys, [order], fold, "anchor bigint, frames bigint, done boolean", schema)
+    rows = _clocked(callbacks, at, F.timestamp_micros(F.floor(F.col("host_nanos") / 1000).cast("bigint")))
+    return run_fold(rows, keys, [order], fold, "anchor bigint, frames bigint, done boolean", schema, "event_at", late)
 
 
-def pad_alarm(appends: DataFrame, keys: list[str], order: str = "buffer_ord") -> DataFrame:
+def pad_alarm(appends: DataFrame, keys: list[str], order: str = "buffer_ord", at: Column | None = None, late: str = LATE) -> DataFrame:
     types = dict(appends.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{order} bigint", "ratio double", "padded_s double", "total_s double"])
     fold = partial(mo.PadAlarmFold, keys, order)
-    return run_fold(appends, keys, [order], fold, "pad bigint, total bigint, done boolean", schema)
+    return run_fold(_clocked(appends, at, _by_ordinal(order)), keys, [order], fold, "pad bigint, total bigint, done boolean", schema, "event_at", late)
 
 
-def sticky_drops(buffers: DataFrame, key: str = "session_id", order: str = "buffer_ord") -> DataFrame:
+def sticky_drops(buffers: DataFrame, key: str = "session_id", order: str = "buffer_ord", at: Column | None = None, late: str = LATE) -> DataFrame:
     schema = f"{key} int, chunk_index int, {order} bigint, sample_rate int, configured_rate int"
     fold = partial(mo.StickyFold, key, order, params.STICKY_RUN)
-    return run_fold(buffers, [key], [order], fold, "rate int, channels int, chunk int, run bigint", schema)
+    return run_fold(_clocked(buffers, at, _by_ordinal(order)), [key], [order], fold, "rate int, channels int, chunk int, run bigint", schema, "event_at", late)
 
 
-def retry_streaks(failures: DataFrame, key: str = "session_id", at: str = "failed_at_s") -> DataFrame:
+HOUR_MS = 3_600_000        # rows that come seldom are released by the hour
+
+
+def retry_streaks(failures: DataFrame, key: str = "session_id", at: str = "failed_at_s", late: str = LATE) -> DataFrame:
     types = dict(failures.dtypes)
     schema = f"{key} {types[key]}, {at} {types[at]}, retry_count bigint, give_up boolean"
     fold = partial(mo.RetryFold, key, at, params.RETRY_DECAY_S, params.RETRY_CAP)
-    return run_fold(failures, [key], [at], fold, "last double, streak bigint", schema)
+    return run_fold(_clocked(failures, None, F.timestamp_seconds(at)), [key], [at], fold, "last double, streak bigint", schema, "event_at", late, HOUR_MS)
 
 
-def prompts(signals: DataFrame, cooldown_s: float = params.COOLDOWN_S) -> DataFrame:
-    rows = signals.where("eligible").select("device_id", "signal_ord", "at_s")
+def prompts(signals: DataFrame, cooldown_s: float = params.COOLDOWN_S, late: str = LATE) -> DataFrame:
+    rows = _clocked(signals.where("eligible").select("device_id", "signal_ord", "at_s"), None, F.timestamp_seconds("at_s"))
     fold = partial(mo.CooldownFold, cooldown_s)
-    return run_fold(rows, ["device_id"], ["at_s", "signal_ord"], fold, "last double", "device_id bigint, signal_ord bigint, at_s double")
+    return run_fold(rows, ["device_id"], ["at_s", "signal_ord"], fold, "last double", "device_id bigint, signal_ord bigint, at_s double", "event_at", late, HOUR_MS)
 
 
-def reconcile(voices: DataFrame, threshold: float = params.RECONCILE_COSINE, keep: float = params.RECONCILE_KEEP) -> DataFrame:
-    """Speaker identities as chunks arrive; a chunk's speaker rows arrive together."""
+def reconcile(voices: DataFrame, threshold: float = params.RECONCILE_COSINE, keep: float = params.RECONCILE_KEEP, late: str = "1 hour") -> DataFrame:
+    """Speaker identities as chunks arrive. A chunk's speakers may come in several batches, and chunks out of order: a chunk is
+    closed, and matched once, when the watermark has passed its end. Event time is the chunk's place in the meeting."""
     schema = "meeting_id bigint, namespace string, chunk_index int, speaker string, global_speaker string"
     fold = partial(rc.ReferenceVoices, threshold, keep)
     state = "next_number int, known map<string, array<double>>"
-    return run_fold(voices, rc.CHANNEL, ["chunk_index", "speaker"], fold, state, schema)
+    rows = _clocked(voices, None, F.timestamp_seconds(F.col("chunk_index") * (params.CHUNK_MINUTES * 60)))
+    return run_fold(rows, rc.CHANNEL, ["chunk_index", "speaker"], fold, state, schema, "event_at", late, params.CHUNK_MINUTES * 60_000, closes=True)
 
 
 def drained(app: DataFrame, helper: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -89,11 +107,16 @@ def provenance(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def collect_appended(stream: DataFrame, purpose: str) -> DataFrame:
-    """Not a stream: run over everything available and return what was emitted."""
+    """Not a stream: run over everything available, then to the end of the input, and return what was emitted."""
     path = scratch_dir(stream.sparkSession, purpose)
-    run = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state")
-           .outputMode("append").trigger(availableNow=True).start())
-    run.awaitTermination()
+
+    def run() -> None:
+        (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state")
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+    run()
+    if end_of_input(stream):
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 

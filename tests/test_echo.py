@@ -63,3 +63,14 @@ def test_scalars(spark):
     r = lambda *v: one(tm.overlap_ratio(*[F.lit(float(x)) for x in v]))
     assert (r(0, 10, 0, 10), r(0, 10, 5, 15), r(0, 5, 6, 9), r(0, 10, 2, 4), r(3, 3, 0, 9)) == (1.0, 0.5, 0.0, 1.0, 0.0)
     assert one(vc.common_divisor(F.array(F.lit(8), F.lit(12)))) == 4
+
+
+def test_centroids_over_all_chunks(spark):
+    """Three and more chunks a voice, a voice that appears late, and one whose length does not divide."""
+    from talkweave.functions import vectors as vc
+    rows = [(1, "a", c, [float(c + k) for k in range(4)]) for c in range(5)] + [(1, "late", 4, [1.0, 2.0, 3.0, 4.0]), (1, "twice", 2, [float(k) for k in range(8)]), (1, "odd", 0, [1.0, 2.0]), (1, "odd", 3, [3.0, 4.0, 5.0, 6.0])]
+    df = spark.createDataFrame(rows, "m int, speaker string, chunk_index int, embedding array<float>")
+    dims = spark.createDataFrame([(1, 4)], "m int, dim int")
+    got = {r.speaker: r.embedding for r in echo.centroids(df, ["m", "speaker"], "chunk_index", dims, ["m"]).collect()}
+    want = {r.speaker: r.embedding for r in echo.stacked(df, ["m", "speaker"], "chunk_index").withColumn("embedding", vc.centroid(F.col("embedding"), F.lit(4))).collect()}
+    assert got == want and got["a"] == [2.0, 3.0, 4.0, 5.0] and got["late"] == [1.0, 2.0, 3.0, 4.0] and len(got["odd"]) == 6
