@@ -154,10 +154,13 @@ def fit_languages(labelled: DataFrame) -> LanguageModel | None:
     sample = chosen.mapInArrow(_vectors, "lang string, feature binary, share binary").toArrow()
     got = sorted(zip(*(c.to_pylist() for c in sample.columns), strict=True))
     lang = np.array([g[0] for g in got])
-    x = np.zeros((len(got), 2 * DIMS), np.float32)
-    for row, (_, feature, share) in zip(x, got, strict=True):
-        row[np.frombuffer(feature, np.int32)] = np.frombuffer(share, np.float32)
-    del sample, got
+    # Features that no sampled text has keep the weight 0: only the others are held.
+    there = [np.frombuffer(g[1], np.int32) for g in got]
+    used = np.unique(np.concatenate(there))
+    x = np.zeros((len(got), len(used)), np.float32)
+    for row, feature, (*_, share) in zip(x, there, got, strict=True):
+        row[np.searchsorted(used, feature)] = np.frombuffer(share, np.float32)
+    del sample, got, there
     families = sorted({family_of(v) for v in langs})
     of_family = [[v for v in langs if family_of(v) == f] for f in families]
     home = np.array([families.index(family_of(v)) for v in lang])
@@ -169,8 +172,9 @@ def fit_languages(labelled: DataFrame) -> LanguageModel | None:
     weights, bias, slope = np.zeros((2 * DIMS, len(tasks))), np.zeros(len(tasks)), np.ones(len(tasks))
     for m, (rows_of, y) in enumerate(tasks):
         z = x[rows_of]
-        weights[:, m], bias[m] = fit_svm(z, y)
-        slope[m] = _sharpness(z @ weights[:, m] + bias[m], y)
+        weights[used, m], bias[m] = fit_svm(z, y)
+        slope[m] = _sharpness(z @ weights[used, m] + bias[m], y)
+        del z
     return LanguageModel(families, of_family, weights, bias, slope, pairs)
 
 

@@ -105,8 +105,8 @@ def _inverted(batches, buckets):
         yield flush()
 
 
-def _common(table: pa.Table) -> pa.Table:
-    """(cls, n): how many of a class's values in this bucket another class has too."""
+def _common(table: pa.Table, ranges: int) -> pa.Table:
+    """How many of a class's values in this bucket another class has too, a row for each range of classes."""
     parts = [(unpacked(v).astype(U).cumsum(dtype=U), np.frombuffer(c, np.int64)[unpacked(o)]) for v, o, c in zip(*(table.column(x).to_pylist() for x in ("values", "owner", "classes")), strict=True)]
     value, cls = (np.concatenate([p[i] for p in parts]) for i in range(2))
     order = np.lexsort((cls, value))
@@ -115,7 +115,18 @@ def _common(table: pa.Table) -> pa.Table:
     value, cls = value[new], cls[new]
     twin = np.append(False, value[1:] == value[:-1])[:len(value)]
     names, n = np.unique(cls[twin | np.append(twin[1:], False)[:len(value)]], return_counts=True)
-    return pa.table({"cls": names, "n": n})
+    place = _bucket(names.view(U), ranges)
+    order = np.argsort(place, kind="stable")
+    cut = np.searchsorted(place[order], np.arange(ranges + 1))
+    used = np.flatnonzero(np.diff(cut))
+    return pa.table([pa.array(used, pa.int32()), pa.array([names[order[cut[r]:cut[r + 1]]].tobytes() for r in used], pa.binary()), pa.array([packed(n[order[cut[r]:cut[r + 1]]]) for r in used], pa.binary())],
+                    names=["range", "classes", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    names, back = np.unique(np.concatenate([np.frombuffer(c, np.int64) for c in table.column("classes").to_pylist()]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([unpacked(c) for c in table.column("counts").to_pylist()]), len(names))
+    return pa.table({"cls": names, "n": n.astype(np.int64)})
 
 
 def _enough(batches, percent):
@@ -141,5 +152,5 @@ def hopeful(sized: DataFrame, classes: DataFrame, percent: int, purpose: str) ->
     buckets = buckets_of(sized)
     lists = (sized.filter("doc_id is not null and n_shingles > 0").select("cls", "n_shingles", "sketch")
              .mapInArrow(partial(_inverted, buckets=buckets), "bucket int, values binary, owner binary, classes binary"))
-    common = lists.groupBy("bucket").applyInArrow(_common, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
+    common = lists.groupBy("bucket").applyInArrow(lambda table: _common(table, buckets), "range int, classes binary, counts binary").groupBy("range").applyInArrow(_summed, "cls long, n long")
     return written(common.join(classes, "cls").select("cls", "n_shingles", "n", "rep").mapInArrow(partial(_enough, percent=percent), "cls long, n_shingles long, n long, rep long"), purpose)
