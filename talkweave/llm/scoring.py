@@ -1,22 +1,23 @@
-"""Language-model scores from 1- to 3-gram counts.
+"""Language-model scores from a log-frequency Bloom filter of 1- to 3-gram counts.
 
 All texts are cut into sheets of about ``FLUSH`` tokens. A sheet sends its distinct n-grams, by hash range, to the range's
-reducer, each with the number of times it occurs in the sheet's training texts. The reducer adds these up over all sheets:
-exact counts of every n-gram, one-offs too. It returns the counts to the sheets that hold the n-grams, in the order in
-which they were sent, and the sheet's texts are scored. What a reducer holds is bounded by the number of ranges, which
-follows the text; nothing that grows with the corpus is broadcast.
-
-Probabilities are interpolated: P(w | u v) = L3 c(uvw) / c(uv) + (1 - L3) P(w | v), P(w | v) = L2 c(vw) / c(v) + (1 - L2) P(w), and
-P(w) = (c + 0.5) / (N + 0.5 (V + 1)); a history that is not in the training texts passes all weight down.
-
-``fit_model`` makes a model to take along: a log-frequency Bloom filter of all n-grams, for a corpus whose filter fits one
-process. An n-gram of level ``q``, the floor of the log2 of its count, is entered as (n-gram, 1) to (n-gram, q + 1), and its
-level is read back by probing 1, 2, ... until one is missing. ``score_texts`` does not use it.
+reducer, each with the number of times it occurs in the sheet's training texts. The reducer adds these up over all sheets
+and enters what it has into its segment of the filter: an n-gram of level ``q`` (1 + the floor of the log2 of its count) as
+(n-gram, 1) to (n-gram, q). Every n-gram a sheet asked for is then probed at 1, 2, ... until one is missing, and the levels
+go back to the sheets. One-offs are entered too: the filter follows the training text, in segments bounded by the number of
+ranges. Segments are not broadcast, as their sum has no bound; the probes go to them.
+
+A level stands for the middle of the counts it covers. A probe finds an entry that is not there with a probability of about
+``(1 - exp(-PROBES / entry_bits)) ** PROBES``, 0.4 % as set, so levels are never too low and seldom too high. Words keep their
+exact counts, which ``base_score`` needs.
+
+Probabilities are smoothed by their histories: P(w) = (c + 0.5) / (N + 0.5 (V + 1)), P(w | v) = (c(vw) + M2 P(w)) / (c(v) + M2) and
+P(w | u v) = (c(uvw) + M3 P(w | v)) / (c(uv) + M3), where no count is taken above that of its history. An n-gram that occurs twice
+after a history that does so, too, is thus likelier than one that occurs once; an unseen history passes all weight down.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -25,14 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
-from .ragged import U, Words, mix, text_slices
+from .ragged import U, Words, mix, packed, text_slices, unpacked
 
 ORDER = 3
-L2, L3 = 0.5, 0.3
-ENTRY_BITS = 9
-PROBES = 4
-HOT = 1 << 19
+M2, M3 = 8.0, 2.0            # weight of the shorter history's probability, in occurrences
+ENTRY_BITS = 12              # of the filter for each level of each n-gram
+PROBES = 6
 FLUSH = 5 << 18              # tokens counted together, and texts' tokens scored as one sheet
 RANGE_BYTES = 6 << 20        # training text per hash range, about
 LEVELS = 48
@@ -69,152 +68,49 @@ def _grams(doc: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
     return [token[keep], two[keep], three[keep]]
 
 
-def _packed_counts(batches, ranges):
-    held: list[list[np.ndarray]] = []
+def _level(counts: np.ndarray) -> np.ndarray:
+    """1 + the floor of the log2 of each count; 0 for none."""
+    return np.frexp(counts.astype(np.float64))[1]
 
-    def flush():
-        cols = {"range": [], "order": [], "hashes": [], "counts": []}
-        for order in range(ORDER):
-            names, times = np.unique(np.concatenate([h[order] for h in held]), return_counts=True)
-            if order and len(names) and names[0] == 0:
-                names, times = names[1:], times[1:]
-            cut = np.searchsorted(_range(names, ranges), np.arange(ranges + 1))
-            for r in np.flatnonzero(np.diff(cut)):
-                part = names[cut[r]:cut[r + 1]]
-                cols["range"].append(r)
-                cols["order"].append(order + 1)
-                cols["hashes"].append(part.tobytes() if not order else _short(part))
-                cols["counts"].append(times[cut[r]:cut[r + 1]].astype(np.uint32).tobytes())
-        held.clear()
-        return pa.record_batch([pa.array(cols["range"], pa.int32()), pa.array(cols["order"], pa.int32()), pa.array(cols["hashes"], pa.binary()), pa.array(cols["counts"], pa.binary())], names=list(cols))
-
-    tokens = 0
-    for batch in batches:
-        for _, data, bounds in text_slices(batch.column("text")):
-            held.append(_grams(*_sequences(Words(data, bounds))))
-            tokens += len(held[-1][0])
-            if tokens >= FLUSH:
-                yield flush()
-                tokens = 0
-    if held:
-        yield flush()
 
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level: 0, 1, 2.5, 5.5, ..."""
+    return np.where(level > 0, (3 * 2.0 ** (level - 1.0) - 1) / 2, 0.0)
 
-def _short(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each; with the range, 48 bits and more name an n-gram."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(U)
-
-
-def _merged(table: pa.Table) -> pa.Table:
-    """One row for a range: its n-grams with exact counts, and how many have each level."""
-    orders = np.asarray(table.column("order"))
-    out: dict = {"range": [table.column("range")[0].as_py()]}
-    for order in range(1, ORDER + 1):
-        rows = np.flatnonzero(orders == order)
-        hashes, counts = (table.column(c) for c in ("hashes", "counts"))
-        names = np.concatenate([np.frombuffer(h, U) if order == 1 else _long(h) for h in (hashes[int(r)].as_py() for r in rows)] or [np.empty(0, U)])
-        times = np.concatenate([np.frombuffer(counts[int(r)].as_py(), np.uint32) for r in rows] or [np.empty(0, np.uint32)]).astype(np.int64)
-        sort = np.argsort(names, kind="stable")
-        names, times = names[sort], times[sort]
-        head = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
-        names, times = names[head], np.add.reduceat(times, head) if len(head) else times
-        level = np.log2(np.maximum(times, 1)).astype(np.int64)
-        out |= {f"names{order}": [names.tobytes() if order == 1 else _short(names)], f"counts{order}": [times.tobytes()],
-                f"levels{order}": [np.bincount(level, minlength=LEVELS).tolist()]}
-        if order == 1:
-            out |= {"types": [len(names)], "tokens": [int(times.sum())]}
-    fields = [pa.array(out["range"], pa.int32())]
-    for order in range(1, ORDER + 1):
-        fields += [pa.array(out[f"names{order}"], pa.binary()), pa.array(out[f"counts{order}"], pa.binary()), pa.array(out[f"levels{order}"], pa.list_(pa.int64()))]
-    return pa.table([*fields, pa.array(out["types"], pa.int64()), pa.array(out["tokens"], pa.int64())], names=_MERGED_NAMES)
-
-
-_MERGED_NAMES = ["range", *(f"{kind}{order}" for order in range(1, ORDER + 1) for kind in ("names", "counts", "levels")), "types", "tokens"]
-_MERGED = ", ".join(["range int", *(f"names{o} binary, counts{o} binary, levels{o} array<bigint>" for o in range(1, ORDER + 1)), "types long, tokens long"])
-
-
-def _probe(hashes: np.ndarray, level: int) -> np.ndarray:
-    return mix(hashes + U(int(_STEP) * level % (1 << 64)))
-
-
-@dataclass
-class Model:
-    """The filter, ENTRY_BITS for each level of each n-gram, and the frequent words."""
-
-    ranges: int
-    segment: int                 # bytes of a range's segment
-    bits: np.ndarray
-    cut: tuple[int, ...]         # log2 of the least count held, by order
-    hot: np.ndarray
-    hot_count: np.ndarray
-    types: int
-    tokens: int
-
-    def counts(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """Estimated counts: level by level membership probes."""
-        names, back = np.unique(hashes, return_inverse=True)
-        out = np.zeros(len(names))
-        if order == 1 and len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, names), len(self.hot) - 1)
-            found = self.hot[at] == names
-            out[found] = self.hot_count[at[found]]
-            alive = np.flatnonzero(~found & (names != BEGIN))
-        else:
-            alive = np.flatnonzero(names)
-        size = U(self.segment * 8)
-        base = _range(names, self.ranges) * self.segment
-        ident = names if order == 1 else names & U((1 << 48) - 1)
-        level = 0
-        while len(alive) and self.segment:
-            level += 1
-            seed = _probe(ident[alive] + U(order), level)
-            first, second = seed >> U(32), seed & U(0xFFFFFFFF) | U(1)
-            for j in range(PROBES):
-                spot = (first + U(j) * second) % size
-                good = self.bits[base[alive] + (spot >> U(3)).astype(np.int64)] >> (spot & U(7)).astype(np.uint8) & 1 == 1
-                alive, first, second = alive[good], first[good], second[good]
-            out[alive] = 1.4 * 2.0 ** (self.cut[order - 1] + level - 1)
-            if level > LEVELS:
-                break
-        return out[back]
 
-    @property
-    def mass(self) -> float:
-        return self.tokens + 0.5 * (self.types + 1)
+def _spots(names: np.ndarray, level: int, size: int):
+    """The bits of (n-gram, level)."""
+    seed = mix(names + U(int(_STEP) * level % (1 << 64)))
+    first, second = seed >> U(32), seed & U(0xFFFFFFFF) | U(1)
+    for j in range(PROBES):
+        yield ((first + U(j) * second) % U(size)).astype(np.int64)
 
 
-def _segments(batches, segment, cut):
-    for batch in batches:
-        for row in batch.to_pylist():
-            bits = np.zeros(segment * 8, bool)
-            for order in range(1, ORDER + 1):
-                names = np.frombuffer(row[f"names{order}"], U) if order == 1 else _long(row[f"names{order}"])
-                level = np.log2(np.maximum(np.frombuffer(row[f"counts{order}"], np.int64), 1)).astype(np.int64) - cut[order - 1]
-                for q in range(1, int(level.max(initial=-1)) + 2):
-                    seed = _probe(names[level >= q - 1] + U(order), q)
-                    first, second = seed >> U(32), seed & U(0xFFFFFFFF) | U(1)
-                    for j in range(PROBES):
-                        bits[((first + U(j) * second) % U(segment * 8)).astype(np.int64)] = True
-            yield pa.record_batch([pa.array([row["range"]], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
-
-
-def _frequent(batches, least):
-    for batch in batches:
-        for names, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            times = np.frombuffer(counts, np.int64)
-            keep = times >= least
-            yield pa.record_batch([pa.array(np.frombuffer(names, U)[keep].view(np.int64)), pa.array(times[keep])], names=["hash", "times"])
+class Segment:
+    """A hash range's part of the log-frequency Bloom filter, for n-grams of one order."""
 
+    def __init__(self, names: np.ndarray, counts: np.ndarray, entry_bits: int = ENTRY_BITS):
+        level = _level(counts)
+        self.size = max(64, int(level.sum()) * entry_bits)
+        bits = np.zeros(self.size, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            for spot in _spots(names[level >= q], q, self.size):
+                bits[spot] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
-def _cutoff(levels: np.ndarray, room: float) -> int:
-    """The least level from which on all words fit into ``room``."""
-    return next((t for t in range(LEVELS) if levels[t:].sum() <= room), LEVELS)
+    def levels(self, names: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, by membership probes."""
+        out = np.zeros(len(names), np.uint8)
+        alive = np.arange(len(names))
+        for q in range(1, LEVELS + 1):
+            there = np.ones(len(alive), bool)
+            for spot in _spots(names[alive], q, self.size):
+                there &= self.bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1
+            alive = alive[there]
+            if not len(alive):
+                break
+            out[alive] = q
+        return out
 
 
 def _ranges(training: DataFrame) -> int:
@@ -222,64 +118,24 @@ def _ranges(training: DataFrame) -> int:
     return int(max(int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // RANGE_BYTES + 1))
 
 
-def fit_model(training: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, table of hash ranges with exact word counts) of all rows of ``training`` (text; null counts as empty)."""
-    ranges = _ranges(training)
-    packed = training.select("text").mapInArrow(partial(_packed_counts, ranges=ranges), "range int, order int, hashes binary, counts binary")
-    merged = written(packed.groupBy("range").applyInArrow(_merged, _MERGED), "ngram-counts")
-    types, tokens = (x or 0 for x in merged.agg(F.sum("types"), F.sum("tokens")).first())
-    levels = np.zeros((ORDER, LEVELS))
-    for order in range(1, ORDER + 1):
-        for pos, n in merged.select(F.posexplode(f"levels{order}").alias("pos", "n")).groupBy("pos").agg(F.sum("n")).collect():
-            levels[order - 1, pos] = n
-    held = (levels * np.arange(1, LEVELS + 1)).sum()
-    segment = int(held * ENTRY_BITS / 8 / ranges) + 64
-    parts = merged.mapInArrow(partial(_segments, segment=segment, cut=(0,) * ORDER), "range int, bits binary").toArrow()
-    bits = np.zeros(ranges * segment, np.uint8)
-    for r, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
-        bits[r * segment:(r + 1) * segment] = np.frombuffer(b, np.uint8)
-    hot = merged.select("names1", "counts1").mapInArrow(partial(_frequent, least=1 << _cutoff(levels[0], HOT)), "hash long, times long").toArrow()
-    names, times = (np.asarray(hot.column(c).combine_chunks()) for c in range(2))
-    order = np.argsort(names.view(U))
-    return Model(ranges, segment, bits, (0,) * ORDER, names.view(U)[order], times[order], int(types), int(tokens)), merged.select("range", "names1", "counts1")
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Counts or places as byte planes of the narrowest kind, compressed."""
-    kind = np.min_scalar_type(int(values.max(initial=0)))
-    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
-    return bytes([kind.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    size, n = data[0], int.from_bytes(data[1:9], "little")
-    planes = pa.decompress(data[9:], n * size, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(f"u{size}").astype(np.int64)
-
-
 def _steps(names: np.ndarray, shift: int) -> bytes:
-    """Ascending hashes without their low ``shift`` bits: the first, and the steps to the next in as few bytes as the largest needs."""
+    """Ascending hashes without their low ``shift`` bits: the first, and the steps to the next, packed."""
     if not len(names):
         return b""
     names = names >> U(shift)
-    step = names[1:] - names[:-1]
-    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
-    return names[:1].tobytes() + bytes([width]) + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return names[:1].tobytes() + packed(names[1:] - names[:-1])
 
 
 def _stepped(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, U)
-    width = data[8]
-    step = np.zeros(((len(data) - 9) // width, 8), np.uint8)
-    step[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.append(np.frombuffer(data, U, 1), step.reshape(-1).view(U)).cumsum(dtype=U)
+    return np.append(np.frombuffer(data, U, 1), unpacked(data[8:]).view(U)).cumsum(dtype=U)
 
 
-_SHIFT = (0, 8, 8)           # words are named by 64 bits, longer n-grams by 56
+_SHIFT = (0, 16, 16)         # words are named by 64 bits, longer n-grams by 48
 _NAMES, _COUNTS = ([f"{kind}{order}" for order in range(1, ORDER + 1)] for kind in ("names", "counts"))
-_SHEET = ["range", "sheet", "ids", "lengths", "places", *_NAMES, *_COUNTS]
-_ANSWER = ["range", "sheet", "ids", "lengths", "places", "names1", *_COUNTS]
+_SHEET = ["range", "sheet", "ids", "lengths", "ranks", "places", *_NAMES, *_COUNTS]
+_ANSWER = ["range", "sheet", "ids", "lengths", "ranks", "places", "names1", *_COUNTS]
 
 
 def _schema(columns: list[str]) -> str:
@@ -308,16 +164,18 @@ def _sheets(batches, ranges):
             names, back = np.unique(np.concatenate(parts.pop(0)), return_inverse=True)
             times = np.bincount(back, train, len(names)).astype(np.int64)
             if not order:
-                places = back
+                # Frequent words get small places, which pack well.
+                ranks = np.argsort(-np.bincount(back), kind="stable")
+                places = np.argsort(ranks)[back]
             elif len(names) and names[0] == 0:
                 names, times = names[1:], times[1:]
             cut = np.searchsorted(_range(names, ranges), np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(cut)):
-                row = rows.setdefault(int(r), {"range": int(r), "sheet": sheet, **dict.fromkeys(_NAMES, b""), **dict.fromkeys(_COUNTS, _packed(np.empty(0, U)))})
-                row |= {_NAMES[order]: _steps(names[cut[r]:cut[r + 1]], _SHIFT[order]), _COUNTS[order]: _packed(times[cut[r]:cut[r + 1]])}
+                row = rows.setdefault(int(r), {"range": int(r), "sheet": sheet, **dict.fromkeys(_NAMES, b""), **dict.fromkeys(_COUNTS, packed(np.empty(0, U)))})
+                row |= {_NAMES[order]: _steps(names[cut[r]:cut[r + 1]], _SHIFT[order]), _COUNTS[order]: packed(times[cut[r]:cut[r + 1]])}
         # The sheet's own row passes through one of the ranges, another for each sheet.
         own = {"range": (part + nth) % ranges, "sheet": sheet, "ids": pa.chunked_array(ids).combine_chunks().to_pylist(),
-               "lengths": _packed(np.concatenate(lengths)), "places": _packed(places)}
+               "lengths": packed(np.concatenate(lengths)), "ranks": packed(ranks), "places": packed(places)}
         ids, lengths, nth, tokens = [], [], nth + 1, 0
         return _table(_SHEET, [own, *rows.values()]).to_batches()
 
@@ -337,20 +195,27 @@ def _sheets(batches, ranges):
         yield from flush()
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """The rows of a range with counts over all sheets instead of their own; a sheet's own row as it is."""
-    rows = table.to_pylist()
-    asked = [r for r in rows if r["ids"] is None]
-    for order in range(ORDER):
-        names = [_stepped(r[_NAMES[order]]) for r in asked]
-        total, back = np.unique(np.concatenate(names or [np.empty(0, U)]), return_inverse=True)
-        times = np.concatenate([_unpacked(r[_COUNTS[order]]) for r in asked] or [np.empty(0, np.int64)])
-        total = np.bincount(back, times, len(total)).astype(np.int64)[back]
-        last = 0
-        for r, own in zip(asked, names, strict=True):
-            r[_COUNTS[order]] = _packed(total[last:last + len(own)])
-            last += len(own)
-    return _table(_ANSWER, rows)
+def _answered(entry_bits: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """The rows of a range with the counts of words and the filter's levels of longer n-grams, over all sheets, instead
+        of their own counts; a sheet's own row as it is."""
+        rows = table.to_pylist()
+        asked = [r for r in rows if r["ids"] is None]
+        for order in range(ORDER):
+            names = [_stepped(r[_NAMES[order]]) for r in asked]
+            total, back = np.unique(np.concatenate(names or [np.empty(0, U)]), return_inverse=True)
+            times = np.concatenate([unpacked(r[_COUNTS[order]]) for r in asked] or [np.empty(0, np.int64)])
+            found = np.bincount(back, times, len(total)).astype(np.int64)
+            if order:
+                there = found > 0
+                found = Segment(total[there], found[there], entry_bits).levels(total)
+            found = found[back]
+            last = 0
+            for r, own in zip(asked, names, strict=True):
+                r[_COUNTS[order]] = packed(found[last:last + len(own)])
+                last += len(own)
+        return _table(_ANSWER, rows)
+    return answer
 
 
 def _scored(types: int, tokens: int):
@@ -359,28 +224,28 @@ def _scored(types: int, tokens: int):
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["ids"] is not None, r["range"]))
         own, rows = rows[-1], rows[:-1]
-        length = _unpacked(own["lengths"])
+        length = unpacked(own["lengths"])
         docs = len(length)
         doc = np.repeat(np.arange(docs), length + 1)
         head = np.append(True, doc[1:] != doc[:-1])
         token = np.full(len(doc), BEGIN, U)
-        token[~head] = np.concatenate([_stepped(r["names1"]) for r in rows])[_unpacked(own["places"])]
+        token[~head] = np.concatenate([_stepped(r["names1"]) for r in rows])[unpacked(own["ranks"])[unpacked(own["places"])]]
         owner, first = doc[~head], head[:-1][~head[1:]]
         found = []
         for order, grams in enumerate(_grams(doc, token)):
             names, back = np.unique(grams, return_inverse=True)
-            counts = np.concatenate([_unpacked(r[_COUNTS[order]]) for r in rows]).astype(np.float64)
+            counts = np.concatenate([unpacked(r[_COUNTS[order]]) for r in rows]).astype(np.float64)
             if order and names[0] == 0:
                 counts = np.append(0.0, counts)
             if len(counts) != len(names):
                 raise ValueError(f"{len(counts)} counts for {len(names)} n-grams of a sheet")
-            found.append(counts[back])
+            found.append(counts[back] if not order else _middle(counts[back]))
         c1, c2, c3 = found
         before, before2 = (np.where(first, 0.0, np.append(0.0, c[:-1])) for c in (c1, c2))
         p = (c1 + 0.5) / mass
         base = np.log10(p)
-        p = np.where(before > 0, L2 * np.minimum(1, c2 / np.maximum(before, 1)) + (1 - L2) * p, p)
-        p = np.where(before2 > 0, L3 * np.minimum(1, c3 / np.maximum(before2, 1)) + (1 - L3) * p, p)
+        for count, history, weight in ((c2, before, M2), (c3, before2, M3)):
+            p = (np.minimum(count, history) + weight * p) / (history + weight)
         by_doc = lambda value: np.bincount(owner, value, minlength=docs)
         return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "n_tokens": length, "n_known": by_doc(c1 > 0).astype(np.int64),
                          "base_score": by_doc(base), "score": by_doc(np.log10(p))})
@@ -414,12 +279,13 @@ def _vocabulary(table: pa.Table) -> pa.Table:
     return pa.table({"types": pa.array([len(names)], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64())})
 
 
-def score_texts(docs: DataFrame, training: Column) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``, learned from its rows where
     ``training`` holds: words and one end are the tokens of a text.
 
     base_score: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) with exact training counts; n_known: tokens with c > 0;
-    score: log10 probability under the model, with exact training counts of all n-grams. Null and empty texts are one end
+    score: log10 probability under the model, with exact training counts of words and the filter's levels of all longer
+    n-grams; ``entry_bits`` sets the size of the filter. Null and empty texts are one end
     token; rows where ``training`` is null do not train; repeated rows count and are scored each; without training texts
     all counts are 0; an empty table gives an empty result.
     """
@@ -427,6 +293,6 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     ranges = _ranges(rows)
     words = rows.filter("training").select("text").mapInArrow(partial(_distinct_words, ranges=ranges), "range int, words binary, tokens long")
     types, tokens = (int(x or 0) for x in words.groupBy("range").applyInArrow(_vocabulary, "types long, tokens long").agg(F.sum("types"), F.sum("tokens")).first())
-    answers = rows.mapInArrow(partial(_sheets, ranges=ranges), _schema(_SHEET)).groupBy("range").applyInArrow(_answered, _schema(_ANSWER))
+    answers = rows.mapInArrow(partial(_sheets, ranges=ranges), _schema(_SHEET)).groupBy("range").applyInArrow(_answered(entry_bits), _schema(_ANSWER))
     scored = answers.groupBy("sheet").applyInArrow(_scored(types, tokens), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
