@@ -19,13 +19,15 @@ def document_lines(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """One JSON document per meeting, as lines: meeting_id, place, value.
 
     ``rows`` needs start, end, speaker, text, source, confidence, language and place (1, 2, ...); ``metadata`` one struct per
-    meeting. The lines of a meeting, in order, are its document, however long it is: a head, a line per segment, an end.
+    meeting. The lines of a meeting, in order, are its document, however long it is: a head, a line per segment, an end. A meeting
+    without rows has a document without segments.
     Missing optional fields are absent from the JSON.
     """
     optional = F.when(F.col("source") != "", F.col("source"))
     segment = F.to_json(F.struct("start", "end", "speaker", "text", optional.alias("source"), "confidence", "language"))
     body = rows.select("meeting_id", F.col("place").cast("bigint").alias("place"), F.concat(F.when(F.col("place") == 1, "").otherwise(","), segment).alias("value"))
-    ends = rows.groupBy("meeting_id").agg(F.max("place").cast("bigint").alias("last")).join(metadata.select("meeting_id", "metadata"), "meeting_id", "left")
+    ends = (rows.groupBy("meeting_id").agg(F.max("place").cast("bigint").alias("last")).join(metadata.select("meeting_id", "metadata"), "meeting_id", "full")
+            .withColumn("last", F.coalesce("last", F.lit(0).cast("bigint"))))
     head = F.concat(F.lit('{"metadata":'), F.coalesce(F.to_json("metadata"), F.lit("{}")), F.lit(',"segments":['))
     frame = F.array(F.struct(F.lit(0).cast("bigint").alias("place"), head.alias("value")), F.struct((F.col("last") + 1).alias("place"), F.lit("]}").alias("value")))
     return body.unionByName(ends.select("meeting_id", F.inline(frame)))
@@ -89,16 +91,20 @@ def recorded_names(existing: Column, incoming: Column) -> Column:
     kept = F.map_filter(existing, lambda k, v: ~F.map_contains_key(changed, k))
     return F.map_concat(kept, changed)
 
-def prompt_text(rows: DataFrame, dual: Column) -> DataFrame:
-    """The transcript part of a meeting's prompt. It is one string, as a model reads it, so it is gathered per meeting."""
-    line = usage.prompt_line(F.col("start"), F.col("speaker"), F.col("source"), F.col("text"), dual)
-    parts = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
-    return rows.groupBy("meeting_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("lines"))
+def message_head(name: Column, date_text: Column, duration_s: Column, speakers: Column) -> Column:
+    """The lines of a prompt above its transcript, as an array."""
+    return F.array(F.concat(F.lit("Meeting: "), name), F.concat(F.lit("Date: "), date_text), F.concat(F.lit("Duration: "), tm.short_duration(duration_s)),
+                   F.concat(F.lit("Participants: "), speakers), F.lit(""), F.lit("--- TRANSCRIPT ---"))
+
+def prompt_lines(rows: DataFrame, heads: DataFrame, dual: Column) -> DataFrame:
+    """A meeting's prompt as lines: meeting_id, place, value. The head's lines end at place 0, a segment's is its place.
 
-def user_message(name: Column, date_text: Column, duration_s: Column, speakers: Column, lines: Column) -> Column:
-    return F.concat(F.lit("Meeting: "), name, F.lit("\nDate: "), date_text, F.lit("\nDuration: "), tm.short_duration(duration_s),
-                    F.lit("\nParticipants: "), speakers, F.lit("\n\n--- TRANSCRIPT ---\n"), lines)
+    ``heads`` has meeting_id and head (``message_head``). No prompt is gathered, however long its meeting is.
+    """
+    top = heads.select("meeting_id", F.size("head").alias("n"), F.posexplode("head").alias("pos", "value"))
+    line = usage.prompt_line(F.col("start"), F.col("speaker"), F.col("source"), F.col("text"), dual)
+    return top.select("meeting_id", (F.col("pos") - F.col("n") + 1).cast("bigint").alias("place"), "value").unionByName(
+        rows.select("meeting_id", F.col("place").cast("bigint").alias("place"), line.alias("value")))
 
 def recording_date(recorded_at: Column, file_date: Column, now: Column) -> Column:
     return F.coalesce(tm.parse_iso8601(recorded_at), file_date, now)

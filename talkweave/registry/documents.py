@@ -165,19 +165,20 @@ def s8(t):
 
 
 @query("s19_prompts", f"""
-SELECT meeting_id, 'Meeting: m' || meeting_id || chr(10) || 'Date: 2024-01-01' || chr(10) || 'Duration: ' ||
-  CASE WHEN d // 3600 > 0 THEN printf('%dh %dm', d // 3600, d % 3600 // 60) ELSE printf('%dm', d % 3600 // 60) END || chr(10) || 'Participants: ' || who || chr(10) || chr(10) || '--- TRANSCRIPT ---' || chr(10) || lines AS message
-FROM (SELECT meeting_id, CAST(arg_max("end", place) AS BIGINT) AS d, string_agg('[' || {CLOCK.format('CAST(trunc(start) AS BIGINT)')} || '] ' || speaker || ' (' || source || '): ' || text, chr(10) ORDER BY place) AS lines FROM r_rows GROUP BY meeting_id)
+SELECT meeting_id, CAST(place AS BIGINT) AS place, '[' || {CLOCK.format('CAST(trunc(start) AS BIGINT)')} || '] ' || speaker || ' (' || source || '): ' || text AS value FROM r_rows
+UNION ALL
+SELECT meeting_id, unnest(range(-5, 1)) AS place, unnest(['Meeting: m' || meeting_id, 'Date: 2024-01-01', 'Duration: ' ||
+  CASE WHEN d // 3600 > 0 THEN printf('%dh %dm', d // 3600, d % 3600 // 60) ELSE printf('%dm', d % 3600 // 60) END, 'Participants: ' || who, '', '--- TRANSCRIPT ---']) AS value
+FROM (SELECT meeting_id, CAST(arg_max("end", place) AS BIGINT) AS d FROM r_rows GROUP BY meeting_id)
 JOIN (SELECT meeting_id, string_agg(speaker, ', ' ORDER BY f) AS who FROM (SELECT meeting_id, speaker, min(place) AS f FROM r_rows GROUP BY ALL) GROUP BY meeting_id) USING (meeting_id)""", ("r_rows",))
 def s19(t):
     r = written(rows(t), "rows")
-    spoken = dc.prompt_text(r, F.lit(True))
     people = ag.participants(r, ["place"])
     who = people.groupBy("meeting_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "speaker"))), lambda p: p["speaker"]), ", ").alias("who"))
-    length = ag.meeting_length(r, ["place"], "end")
-    joined = spoken.join(who, "meeting_id").join(length, "meeting_id")
+    about = who.join(ag.meeting_length(r, ["place"], "end"), "meeting_id")
     name = F.concat(F.lit("m"), F.col("meeting_id").cast("string"))
-    return joined.select("meeting_id", dc.user_message(name, F.lit("2024-01-01"), F.col("duration_s"), F.col("who"), F.col("lines")).alias("message"))
+    heads = about.select("meeting_id", dc.message_head(name, F.lit("2024-01-01"), F.col("duration_s"), F.col("who")).alias("head"))
+    return dc.prompt_lines(r, heads, F.lit(True))
 
 
 @query("p9_renamed", """

@@ -173,44 +173,50 @@ def end_of_input(stream: DataFrame) -> bool:
     return True
 
 
-class SilenceWatch(StatefulProcessor):
-    """Alerts when a key has been silent longer than the gap: between two arrivals, or by an event-time timer."""
+class SilenceWatch(Released):
+    """Alerts when a key has been silent longer than the gap: between two released rows, or by an event-time timer."""
 
     def __init__(self, key: str, gap_ms: int):
+        super().__init__(["at_ms"], max(1, min(BUCKET_MS, gap_ms)), max(KEEP_MS, 2 * gap_ms))
         self.key, self.gap_ms = key, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "last_ms bigint, told boolean")
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "last_ms bigint, told boolean")
 
-    def _alert(self, key, last_ms: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "silent_since_ms": [last_ms]})
+    def _alert(self, key, last_ms) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "silent_since_ms": [int(last_ms)]})
 
     def handleInputRows(self, key, rows, timerValues):
-        times = sorted(int(t) for batch in rows for t in batch["at_ms"])
-        last, told = self.last.get() if self.last.exists() else (None, False)
-        for at in times:
-            if last is not None and at - last > self.gap_ms and not told:
-                yield self._alert(key, last)
-            if last is None or at > last:
-                last, told = at, False
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.gap_ms)
-        self.last.update((last, told))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last, told = self.last.get()
-        if not told and expiredTimerInfo.getExpiryTimeInMs() >= last + self.gap_ms:
-            self.last.update((last, True))
+        yield from super().handleInputRows(key, rows, timerValues)
+        if self.seen.exists():
+            self.handle.registerTimer(self.seen.get()[0] + self.gap_ms)
+
+    def ordered(self, key, rows):
+        times = rows["at_ms"].astype("int64").drop_duplicates().to_numpy()
+        last, told = self.kept.get() if self.kept.exists() else (None, False)
+        if last is not None and times[0] - last > self.gap_ms and not told:
             yield self._alert(key, last)
+        # Rows of one bucket lie no further apart than the gap.
+        self.kept.update((int(times[-1]), False))
+
+    def silent(self, key, last_ms, now_ms):
+        if self.kept.exists():
+            last, told = self.kept.get()
+            if not told and last == last_ms and last + self.gap_ms <= now_ms:
+                self.kept.update((last, True))
+                yield self._alert(key, last)
+
+    def forget(self) -> None:
+        self.kept.clear()
 
     def close(self) -> None:
         pass
 
 
 def silence_alerts(arrivals: DataFrame, key: str, gap_s: float, key_type: str = "bigint") -> DataFrame:
-    """``arrivals`` has ``key``, a watermarked ``ts`` and ``at_ms``."""
+    """``arrivals`` has ``key``, a watermarked ``ts`` and ``at_ms``. Rows may come out of order within the watermark's delay; a silence
+    is told once the watermark has passed it, and a key that stays silent is forgotten."""
     use_rocksdb(arrivals)
     return arrivals.groupBy(key).transformWithStateInPandas(
         statefulProcessor=SilenceWatch(key, int(gap_s * 1000)), outputStructType=f"{key} {key_type}, silent_since_ms bigint",

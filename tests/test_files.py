@@ -74,7 +74,22 @@ def test_a_long_meeting_is_one_document(spark):
     body = "".join(open(os.path.join(d, f)).read() for d, _, fs in sorted(os.walk(path)) for f in sorted(fs) if f.startswith("part-"))
     assert [s["start"] for s in json.loads(body)["segments"]] == [float(k) for k in range(12000)]
     assert docs.read_document_rows(spark, path).where("metadata.output_format = 'srt'").count() == 12000
-    assert dc.prompt_text(df, F.lit(True)).count() == 1
+    heads = spark.range(1, 2).select(F.col("id").alias("meeting_id"), dc.message_head(F.lit("m"), F.lit("2024-01-01"), F.lit(7260.0), F.lit("S, T")).alias("head"))
+    lines = [r.value for r in dc.prompt_lines(df, heads, F.lit(False)).orderBy("place").collect()]
+    assert lines[:6] == ["Meeting: m", "Date: 2024-01-01", "Duration: 2h 1m", "Participants: S, T", "", "--- TRANSCRIPT ---"]
+    assert len(lines) == 12006 and lines[6] == "[00:00:00] S: t" and lines[-1].endswith("S: t")
+
+
+def test_a_meeting_without_rows_has_a_document(spark):
+    shape = "meeting_id bigint, place bigint, start double, end double, speaker string, text string, source string, confidence double, language string"
+    df = spark.createDataFrame([(1, 1, 0.0, 1.0, "S", "t", "", None, None), (3, 1, 0.0, 1.0, "S", "t", "", None, None)], shape)
+    meta = spark.range(1, 3).select(F.col("id").alias("meeting_id"), F.struct(F.lit("srt").alias("output_format")).alias("metadata"))
+    body: dict[int, str] = {}
+    for r in dc.document_lines(df, meta).orderBy("meeting_id", "place").collect():
+        body[r.meeting_id] = body.get(r.meeting_id, "") + r.value
+    found = {k: json.loads(v) for k, v in body.items()}
+    assert found[2] == {"metadata": {"output_format": "srt"}, "segments": []}
+    assert found[3]["metadata"] == {} and len(found[1]["segments"]) == len(found[3]["segments"]) == 1
 
 
 def test_exports(spark):

@@ -161,6 +161,22 @@ def test_silence_alert_fires_from_a_timer(spark, rows):
     assert got == [(1, 1_010_000), (1, 1_100_000), (2, 1_000_000)]
 
 
+def test_silences_do_not_depend_on_arrival_order(spark, rows):
+    """A file per batch, shuffled: a row that arrives late fills the gap it belongs to."""
+    rng = random.Random(5)
+    data = [(k, t) for k in range(3) for t in rng.sample(range(1000, 3000), 20)] + [(9, 9000)]
+    late = data[:-1]
+    rng.shuffle(late)
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([*late, data[-1]])], "session_id bigint, at_s bigint, n bigint")
+    ts = landed(spark, df, "n", parts=6).withColumn("ts", F.timestamp_seconds("at_s")).withColumn("at_ms", F.col("at_s") * 1000).withWatermark("ts", "3000 seconds")
+    got = rows(st.collect_appended(st.silence_alerts(ts.select("session_id", "ts", "at_ms"), "session_id", 100.0), "silence"))
+    want = []
+    for k in range(3):
+        times = sorted(t for s, t in data if s == k)
+        want += [(k, 1000 * a) for a, b in zip(times, [*times[1:], 1 << 30]) if b - a > 100]
+    assert got == sorted(want)
+
+
 def test_late_chunks_count_once(spark, rows):
     df = spark.createDataFrame([("a", 0, 0), ("a", 1, 60), ("a", 0, 90), ("b", 0, 95)], "session_id string, idx int, at_s int")
     arrivals = landed(spark, df, "at_s").withColumn("modified", F.timestamp_seconds("at_s"))
