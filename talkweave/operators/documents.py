@@ -134,6 +134,24 @@ def trimmed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", trim_blank(F.col("text")))
 
 
+def document_metadata(meetings: DataFrame) -> DataFrame:
+    """(meeting_id, metadata): what a document says about its recording. Null fields are absent from the JSON.
+
+    ``meetings``: meeting_id, audio_paths, output_format, language, num_speakers (null: ``"auto"``, else a number),
+    diarization, dual_stream, software_version, recorded_at (timestamp), echo_segments_removed and provenance (a struct, or
+    null without diagnostics). A count of removed echoes is given only where there are any. A transcript has not left
+    the machine when it is put together, and says so.
+    """
+    names = F.transform("audio_paths", lambda p: F.element_at(F.split(p, "/"), -1))
+    speakers = F.parse_json(F.coalesce(F.col("num_speakers").cast("string"), F.lit('"auto"')))
+    undisclosed = F.struct(F.lit(False).alias("summary_generated"), F.lit(False).alias("transcript_transmitted"))
+    return meetings.select("meeting_id", F.struct(
+        names.alias("audio_files"), "audio_paths", "output_format", "language", speakers.alias("num_speakers"), "diarization", "dual_stream",
+        "software_version", tm.iso8601(F.col("recorded_at")).alias("recorded_at"),
+        F.when(F.col("echo_segments_removed") > 0, F.col("echo_segments_removed")).alias("echo_segments_removed"),
+        F.col("provenance").alias("capture_provenance"), undisclosed.alias("disclosure")).alias("metadata"))
+
+
 def with_audio_paths(documents: DataFrame, archives: DataFrame) -> DataFrame:
     """Point ``metadata`` at the archived files, where ``archives(meeting_id, new_paths)`` has any."""
     both = documents.join(archives, "meeting_id", "left")

@@ -122,14 +122,32 @@ def by_file(scored_rows: DataFrame, engines: list[str]) -> DataFrame:
         F.first("wer").alias("wer"), F.first("rtf").alias("rtf"))
 
 
-def matrix_rows(matrix: DataFrame, engines: list[str]) -> DataFrame:
-    """Markdown rows of the file matrix."""
-    cells = [F.concat("file_name", F.lit(" | "), "language")]
-    for e in engines:
-        wer = F.coalesce(F.format_string("%.1f%%", F.col(f"{e}_wer") * 100), F.lit("-"))
-        speed = F.coalesce(F.format_string("%.1fx", F.col(f"{e}_rtf")), F.lit("-"))
-        cells += [F.when(F.col(f"{e}_wer").isNull(), F.lit("-")).otherwise(wer), F.when(F.col(f"{e}_rtf").isNull(), F.lit("-")).otherwise(speed)]
-    return matrix.select("file_name", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+def _tenths(value: Column, unit: str) -> Column:
+    """One decimal, a tie to the even digit; a dash for nothing."""
+    return F.when(value.isNotNull(), F.format_string(f"%.1f{unit}", F.rint(value * 10) / 10)).otherwise("-")
+
+
+def matrix_report(scored_rows: DataFrame, engines: list[str], date: str) -> DataFrame:
+    """The benchmark report in Markdown: section, name and value; by (section, name) its lines are in order.
+
+    A row per file with error rate and speed of each engine: ``ERR`` where its run failed, dashes where it has none;
+    then the mean error rate of each language over the runs that have one.
+    """
+    spark = scored_rows.sparkSession
+    cell = F.when(F.col("error").isNotNull(), "ERR | -").otherwise(
+        F.concat(_tenths(F.col("wer") * 100, "%%"), F.lit(" | "), _tenths(F.col("rtf"), "x")))
+    table_row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
+    files = scored_rows.withColumn("cell", cell).groupBy("file_name", "language").pivot("engine", engines).agg(F.min("cell"))
+    body = files.select(F.lit(1).alias("section"), F.col("file_name").alias("name"),
+                        table_row("file_name", "language", *[F.coalesce(F.col(f"`{e}`"), F.lit("- | -")) for e in engines]))
+    means = by_language(scored_rows, engines).select(
+        F.lit(3).alias("section"), F.col("language").alias("name"), table_row("language", *[_tenths(F.col(f"`{e}`") * 100, "%%") for e in engines]))
+    top = ["# ASR Engine Benchmark Matrix", "", f"Date: {date}", "", "| File | Lang |" + "".join(f" {e} WER | {e} RTF |" for e in engines),
+           "|------|------|" + "---:|---:|" * len(engines)]
+    between = ["", "## Average by Language", "", "| Language |" + "".join(f" {e} WER |" for e in engines), "|----------|" + "---:|" * len(engines)]
+    frame = spark.createDataFrame([(section, f"{k:02d}", line) for section, lines in ((0, top), (2, between)) for k, line in enumerate(lines)],
+                                  "section int, name string, value string")
+    return frame.unionByName(body).unionByName(means)
 
 
 def sweep(segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,8 +45,8 @@ UNION ALL SELECT meeting_id, '' FROM r_rows WHERE output_format = 'srt'""", ("r_
 def s5(t):
     path = scratch_dir(t.spark, "srt")
     lines = dc.export_lines(rows(t), formats(t))
-    docs.write_lines(lines.where("format = 'srt'"), path)
-    return docs.read_lines(t.spark, path).select("meeting_id", F.col("value").alias("line"))
+    docs.write_packed(lines.where("format = 'srt'"), path)
+    return docs.text_of(docs.read_packed(t.spark, path)).select("meeting_id", F.col("value").alias("line"))
 
 
 @query("s6_txt_export", f"""
@@ -54,8 +54,8 @@ SELECT meeting_id, unnest(string_split('[' || {CLOCK.format('CAST(trunc(start) A
 def s6(t):
     path = scratch_dir(t.spark, "txt")
     lines = dc.export_lines(rows(t), formats(t))
-    docs.write_lines(lines.where("format = 'txt'"), path)
-    return docs.read_lines(t.spark, path).select("meeting_id", F.col("value").alias("line"))
+    docs.write_packed(lines.where("format = 'txt'"), path)
+    return docs.text_of(docs.read_packed(t.spark, path)).select("meeting_id", F.col("value").alias("line"))
 
 
 @query("s7_format_dispatch", """
@@ -64,17 +64,29 @@ def s7(t):
     return dc.export_lines(rows(t), formats(t)).groupBy("meeting_id", "format").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def metadata(t):
-    base = formats(t)
-    return base.select("meeting_id", F.struct(
-        "output_format", F.lit("en").alias("language"), F.lit("auto").alias("num_speakers"), F.lit(True).alias("diarization"), F.lit(True).alias("dual_stream"),
-        F.when(F.col("meeting_id") % 3 == 0, F.lit(2)).alias("echo_segments_removed")).alias("metadata"))
+def meetings(t):
+    """What is known about each meeting's recording, without its diagnostics."""
+    m = F.col("meeting_id")
+    path = F.concat(F.lit("/r/m"), m.cast("string"), F.lit("-"), F.col("chunk_index").cast("string"), F.lit(".wav"))
+    paths = F.sort_array(F.collect_list(F.struct("chunk_index", path.alias("path"))))       # a handful of chunks per meeting
+    about = t.chunks.groupBy("meeting_id").agg(F.transform(paths, lambda p: p["path"]).alias("audio_paths"), F.bool_or("is_dual_stream").alias("dual_stream"))
+    start = F.timestamp_seconds(F.lit(1704067200) + m * 3600)
+    return about.join(formats(t), "meeting_id").select(
+        "*", F.lit("en").alias("language"), F.when(m % 3 == 1, F.lit(2)).alias("num_speakers"), F.lit(True).alias("diarization"), F.lit("v1").alias("software_version"),
+        F.when(m % 5 != 0, start).alias("recorded_at"), F.when(m % 3 == 0, 2).otherwise(0).alias("echo_segments_removed"))
+
+
+def captured(t):
+    """Each session's capture, as its diagnostics tell."""
+    told = ag.provenance(t.capture_events, ["session_id"])
+    return told.select("session_id", F.struct(F.lit("tap").alias("engine"), *[c for c in told.columns if c != "session_id"]).alias("provenance"))
 
 
 def stored_documents(t):
     path = scratch_dir(t.spark, "documents")
-    docs.write_lines(dc.document_lines(rows(t), metadata(t)), path)
-    return docs.read_document_rows(t.spark, path)
+    meta = dc.document_metadata(meetings(t).withColumn("provenance", F.lit(None)))
+    docs.write_packed(dc.document_lines(written(rows(t), "rows"), meta), path)
+    return docs.document_rows(docs.read_packed(t.spark, path))[0]
 
 
 @query("s4_document_sink", """
@@ -93,11 +105,21 @@ def s3(t):
     return docs.filled(stored_documents(t), ["meeting_id"]).select("speaker", "source", "text", F.round("start", 6).alias("start_s"))
 
 
-@query("p24_document_metadata", """
-SELECT meeting_id, '{"output_format":"' || output_format || '","language":"en","num_speakers":"auto","diarization":true,"dual_stream":true' ||
-       CASE WHEN meeting_id % 3 = 0 THEN ',"echo_segments_removed":2' ELSE '' END || '}' AS metadata FROM (SELECT DISTINCT meeting_id, output_format FROM r_rows)""", ("r_rows",))
+@query("p24_document_metadata", f"""
+SELECT meeting_id, '{{"audio_files":["' || files || '"],"audio_paths":["' || paths || '"],"output_format":"' || output_format || '","language":"en","num_speakers":' ||
+       CASE WHEN meeting_id % 3 = 1 THEN '2' ELSE '"auto"' END || ',"diarization":true,"dual_stream":' || dual || ',"software_version":"v1"' ||
+       CASE WHEN meeting_id % 5 <> 0 THEN ',"recorded_at":"' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(meeting_id), '%Y-%m-%dT%H:%M:%SZ') || '"' ELSE '' END ||
+       CASE WHEN meeting_id % 3 = 0 THEN ',"echo_segments_removed":2' ELSE '' END ||
+       CASE WHEN p.session_id IS NULL THEN '' ELSE ',"capture_provenance":{{"engine":"tap","route_changes":' || route_changes || ',"retries":' || retries || ',"recovered":' || recovered ||
+         ',"anomaly_count":' || anomaly_count || ',"quality_anomaly_count":' || quality_anomaly_count || ',"system_audio_unrecovered":' || system_audio_unrecovered || '}}' END ||
+       ',"disclosure":{{"summary_generated":false,"transcript_transmitted":false}}}}' AS metadata
+FROM (SELECT meeting_id, string_agg('m' || meeting_id || '-' || chunk_index || '.wav', '","' ORDER BY chunk_index) AS files, bool_or(is_dual_stream) AS dual,
+             string_agg('/r/m' || meeting_id || '-' || chunk_index || '.wav', '","' ORDER BY chunk_index) AS paths,
+             CASE meeting_id % 4 WHEN 0 THEN 'srt' WHEN 1 THEN 'txt' WHEN 2 THEN 'json' ELSE 'pdf' END AS output_format FROM v_chunks GROUP BY meeting_id)
+LEFT JOIN (SELECT session_id, {PROVENANCE} FROM v_capture_events GROUP BY session_id) p ON p.session_id = meeting_id""", ("v_chunks", "v_capture_events"))
 def p24(t):
-    return metadata(t).select("meeting_id", F.to_json("metadata").alias("metadata"))
+    known = captured(t).withColumnRenamed("session_id", "meeting_id")
+    return dc.document_metadata(meetings(t).join(known, "meeting_id", "left")).select("meeting_id", F.to_json("metadata").alias("metadata"))
 
 
 @query("p25_audio_paths", """

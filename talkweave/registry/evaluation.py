@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..session import scratch_dir
+from ..session import scratch_dir, written
 from ..sources import reference as rf
 from .base import query
 from .scalars import duck_norm
@@ -93,10 +93,20 @@ def a13(t):
     return m.select("file_name", "language", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
 
 
-@query("s18_matrix_sink")
+TENTHS = "printf('%.1f', round_even({0} * 10, 0) / 10)"
+RATE, SPEED, MEAN = TENTHS.format("(wer * 100)"), TENTHS.format("rtf"), TENTHS.format("(avg(wer) FILTER (WHERE engine = '{0}') * 100)")
+
+
+@query("s18_matrix_sink", f"""
+SELECT unnest(['# ASR Engine Benchmark Matrix', '', 'Date: 2024-01-01', '', '| File | Lang | fluid WER | fluid RTF | other WER | other RTF |', '|------|------|---:|---:|---:|---:|',
+  '', '## Average by Language', '', '| Language | fluid WER | other WER |', '|----------|---:|---:|']) AS value
+UNION ALL SELECT '| ' || file_name || ' | ' || language || ' | ' || coalesce(max(cell) FILTER (WHERE engine = 'fluid'), '- | -') || ' | ' || coalesce(max(cell) FILTER (WHERE engine = 'other'), '- | -') || ' |'
+FROM (SELECT file_name, engine, substr(file_name, 1, 2) AS language, CASE WHEN chars % 17 = 0 THEN 'ERR | -' ELSE coalesce({RATE} || '%', '-') || ' | ' || {SPEED} || 'x' END AS cell FROM r_wer)
+GROUP BY file_name, language
+UNION ALL SELECT '| ' || language || ' | ' || coalesce({MEAN.format('fluid')} || '%', '-') || ' | ' || coalesce({MEAN.format('other')} || '%', '-') || ' |' FROM r_scored GROUP BY language""", ("r_scored", "r_wer"))
 def s18(t):
     path = scratch_dir(t.spark, "matrix")
-    ev.matrix_rows(ev.by_file(scored(t), ENGINES), ENGINES).orderBy("file_name").select("value").write.text(path)
+    ev.matrix_report(written(scored(t), "scored"), ENGINES, "2024-01-01").orderBy("section", "name").select("value").write.text(path)
     return t.spark.read.text(path)
 
 

@@ -22,7 +22,9 @@ EVENT = struct(timestamp=TimestampType(), origin=S, kind=S, severity=S, detail=M
 DOC_SEGMENT = struct(start=D, end=D, speaker=S, text=S, source=S, confidence=D, language=S)
 DOC_METADATA = struct(audio_files=ArrayType(S), audio_paths=ArrayType(S), output_format=S, language=S, num_speakers=S, diarization=B,
                       dual_stream=B, software_version=S, recorded_at=S, echo_segments_removed=I,
-                      capture_provenance=struct(anomaly_count=I, quality_anomaly_count=I), speaker_names=MapType(S, S))
+                      capture_provenance=struct(engine=S, route_changes=L, retries=L, recovered=B, anomaly_count=L, quality_anomaly_count=L,
+                                                system_audio_unrecovered=B, system_format=S, mic_format=S, mic_device=S),
+                      disclosure=struct(summary_generated=B, summary_endpoint=S, transcript_transmitted=B), speaker_names=MapType(S, S))
 DOCUMENT = struct(metadata=DOC_METADATA, segments=ArrayType(DOC_SEGMENT), _corrupt_record=S)
 
 DIARIZER = struct(segments=ArrayType(struct(start=D, end=D, speaker=S)), speakers=MapType(S, I))

@@ -6,7 +6,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from talkweave.operators import documents as dc, recovery as rv
+from talkweave.operators import documents as dc, evaluation as ev, recovery as rv
 from talkweave.session import scratch_dir
 from talkweave.sources import capture, documents as docs, reference as rf, sessions as ss
 
@@ -144,3 +144,66 @@ def test_ground_truth_ratios_and_telemetry(spark):
     assert got == [(1.0, 2.0, None, 4.0), (2.0, None, 5.0, 6.0)]
     path = folder(spark, "diar", {"d.json": '{"segments": [{"start": 0.5, "end": 1, "speaker": "S1"}], "speakers": {"S1": 1}}'})
     assert [(r.t_start, r.speaker) for r in rf.read_diarizer(spark, path).collect()] == [(0.5, "S1")]
+
+
+def test_only_the_header_of_a_recording_is_read(spark):
+    size = 5 << 30                   # sparse, and more than could be loaded
+    path = folder(spark, "long", {"long one-0.wav": wav(0, declared=size // 4), "gap-1.wav": b"RIF"})
+    with open(os.path.join(path, "long one-0.wav"), "r+b") as out:
+        out.truncate(size)
+    got = {os.path.basename(r.path): r for r in capture.audited_audio(spark, path).collect()}
+    assert got["long one-0.wav"].real_bytes == size - 44 and got["long one-0.wav"].declared_bytes == size // 4
+    assert got["long one-0.wav"].needs_repair and got["long one-0.wav"].duration_s == (size - 44) / 32000
+    assert not got["gap-1.wav"].is_wav
+    head, gone = capture._first_bytes([os.path.join(path, "long one-0.wav"), f"file:{path}/no.wav"], 44)
+    assert len(head) == 44 and gone is None
+
+
+SEGMENTS = "meeting_id bigint, place bigint, start double, end double, speaker string, text string, source string, confidence double, language string"
+
+
+def test_packed_documents_and_damaged_lines(spark):
+    df = spark.createDataFrame([(m, k, float(k), k + 0.5, "S", f"a\nb{k}", "", None, None) for m in range(1, 301) for k in range(1, 4)], SEGMENTS)
+    meta = spark.range(1, 302).select(F.col("id").alias("meeting_id"), F.struct(F.lit("srt").alias("output_format")).alias("metadata"))
+    path = scratch_dir(spark, "packed")
+    docs.write_packed(dc.document_lines(df, meta), path)
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.read_packed(spark, path)
+    assert packed.where("meeting_id = 301").count() == 2        # a meeting without rows has its document
+    rows, bad = docs.document_rows(packed)
+    assert bad.count() == 0 and rows.count() == 900 and rows.where("metadata.output_format = 'srt' AND s.text LIKE 'a\\nb%'").count() == 900
+    out = scratch_dir(spark, "out")
+    docs.hand_out(packed, [7, 301], out)
+    body = {d: "".join(open(os.path.join(out, d, f)).read() for f in sorted(os.listdir(os.path.join(out, d))) if f.startswith("part-")) for d in os.listdir(out) if "=" in d}
+    assert [s["text"] for s in json.loads(body["meeting_id=7"])["segments"]] == ["a\nb1", "a\nb2", "a\nb3"]
+    assert json.loads(body["meeting_id=301"]) == {"metadata": {"output_format": "srt"}, "segments": []}
+    cut = F.when((F.col("meeting_id") == 1) & (F.col("place") == 0), '{"metadata":{"output').when((F.col("meeting_id") == 2) & (F.col("place") == 2), ',{"start":').otherwise(F.col("value"))
+    rows, bad = docs.document_rows(packed.withColumn("value", cut))
+    assert sorted((r.meeting_id, r.place) for r in bad.collect()) == [(1, 0), (2, 2)]
+    assert rows.where("meeting_id = 1 AND metadata IS NULL").count() == 3 and rows.where("meeting_id = 2").count() == 2
+    lines = docs.text_of(spark.createDataFrame([(1, 0, "x\n\ny")], "meeting_id bigint, place bigint, value string"))
+    assert [r.value for r in lines.collect()] == ["x", "", "y"]
+
+
+def test_document_metadata(spark):
+    shape = ("meeting_id bigint, audio_paths array<string>, output_format string, language string, num_speakers int, diarization boolean, dual_stream boolean, "
+             "software_version string, recorded_at timestamp, echo_segments_removed int, provenance struct<engine:string,retries:bigint,mic_device:string>")
+    known = spark.createDataFrame([(1, ["/r/a-0.wav", "b.wav"], "json", "en", 3, True, False, "v2", None, 4, ("tap", 2, None)),
+                                   (2, [], "txt", "fr", None, False, True, "v2", None, 0, None)], shape)
+    known = known.withColumn("recorded_at", F.when(F.col("meeting_id") == 1, F.lit("2024-05-01 10:00:00").cast("timestamp")))
+    got = {r.meeting_id: json.loads(r.m) for r in dc.document_metadata(known).select("meeting_id", F.to_json("metadata").alias("m")).collect()}
+    sealed = {"summary_generated": False, "transcript_transmitted": False}
+    assert got[1] == {"audio_files": ["a-0.wav", "b.wav"], "audio_paths": ["/r/a-0.wav", "b.wav"], "output_format": "json", "language": "en", "num_speakers": 3, "diarization": True,
+                      "dual_stream": False, "software_version": "v2", "recorded_at": "2024-05-01T10:00:00Z", "echo_segments_removed": 4,
+                      "capture_provenance": {"engine": "tap", "retries": 2}, "disclosure": sealed}
+    assert got[2] == {"audio_files": [], "audio_paths": [], "output_format": "txt", "language": "fr", "num_speakers": "auto", "diarization": False, "dual_stream": True,
+                      "software_version": "v2", "disclosure": sealed}
+
+
+def test_matrix_report(spark):
+    runs = [("b.wav", "en", "x", 0.0625, 2.25, None), ("b.wav", "en", "y", None, 3.0, "timeout"), ("a.wav", "fr", "x", None, 1.0, None), ("c.wav", "en", "x", 0.1, 4.0, None)]
+    df = spark.createDataFrame(runs, "file_name string, language string, engine string, wer double, rtf double, error string")
+    got = [r.value for r in ev.matrix_report(df, ["x", "y"], "today").orderBy("section", "name").collect()]
+    assert got == ["# ASR Engine Benchmark Matrix", "", "Date: today", "", "| File | Lang | x WER | x RTF | y WER | y RTF |", "|------|------|---:|---:|---:|---:|",
+                   "| a.wav | fr | - | 1.0x | - | - |", "| b.wav | en | 6.2% | 2.2x | ERR | - |", "| c.wav | en | 10.0% | 4.0x | - | - |",
+                   "", "## Average by Language", "", "| Language | x WER | y WER |", "|----------|---:|---:|", "| en | 8.1% | - |", "| fr | - | - |"]
