@@ -70,22 +70,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _answered(top: int):
     def answer(key: tuple, index: pa.Table, asked: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({"query_id": pa.array([], pa.int64()), "asked": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not index.num_rows or not asked.num_rows:
             return none
         vectors, queries = _matrix(index.column("vector")), _matrix(asked.column("vector"))
         lines = directions(vectors.shape[1])
         forest = Forest(vectors, lines)
-        ids, wanted = np.asarray(index.column("vec_id")), np.asarray(asked.column("vec_id"))
+        ids, wanted, name = np.asarray(index.column("vec_id")), np.asarray(asked.column("vec_id")), np.asarray(asked.column("asked"))
         length, own = np.sqrt((vectors ** 2).sum(1)), np.sqrt((queries ** 2).sum(1))
         rows = []
         for k, met in enumerate(forest.candidates(bit_strings(queries, lines), max(4 * top, int(SHARE * len(ids))))):
             met = met[ids[met] != wanted[k]]
             score = (vectors[met] * queries[k]).sum(1) / (length[met] * own[k])
             best = np.lexsort((ids[met], -score))[:top]
-            rows.append((np.full(len(best), wanted[k]), ids[met][best], score[best]))
-        q, v, s = (np.concatenate(x) for x in zip(*rows, strict=True))
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
+            rows.append((np.full(len(best), wanted[k]), np.full(len(best), name[k]), ids[met][best], score[best]))
+        q, a, v, s = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return pa.table({"query_id": q, "asked": a, "vec_id": v, "score": s})
     return answer
 
 
@@ -101,7 +101,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
 
     Every sound vector is indexed; a query does not meet rows with its own id. Rows with a null id, or a vector that is
     null, empty, zero or holds null or non-finite components, take no part. Vectors of different widths are separate
-    spaces. Equal vectors of different ids are all found alike; a repeated id is one row per copy. Fewer candidates than
+    spaces. Equal vectors of different ids are all found alike; a repeated id is one row per copy. A query row that is
+    repeated is asked once; rows of one id with different vectors are each asked, and ranked apart. Fewer candidates than
     ``top`` give fewer rows; an empty table gives an empty result. Queries are an explicit set; they meet the index part
     by part, in blocks.
     """
@@ -109,14 +110,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
         vector = F.transform("embedding", lambda x: x.cast("double"))
         return df.filter(F.col("vec_id").isNotNull() & sound(F.col("embedding"))).select("vec_id", vector.alias("vector"), F.size("embedding").alias("width"))
 
-    index, asked = cleaned(vectors), cleaned(queries)
+    index = cleaned(vectors)
+    asked = cleaned(queries).withColumn("asked", F.xxhash64("vector")).dropDuplicates(["vec_id", "asked"])
     parts, blocks = int(index.count() // PART) + 1, int(asked.count() // QUERIES) + 1
     part = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     laid = index.select("width", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vector")
-    dealt = asked.select("width", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), block.alias("block"), "vec_id", "vector")
+    dealt = asked.select("width", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), block.alias("block"), "vec_id", "asked", "vector")
     found = (laid.groupBy("width", "part", "block").cogroup(dealt.groupBy("width", "part", "block"))
-             .applyInArrow(_answered(top), "query_id long, vec_id long, score double"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInArrow(_answered(top), "query_id long, asked long, vec_id long, score double"))
+    rank = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

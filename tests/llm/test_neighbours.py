@@ -62,3 +62,11 @@ def test_forest_meets_the_longest_prefixes_first():
         common = np.array([[N.BITS - int(a ^ b).bit_length() for b in strings[t]] for t, a in enumerate(asked[:, k])])
         depth = next(d for d in range(N.BITS, -1, -1) if (common.max(0) >= d).sum() >= 60)
         assert sorted(met) == sorted(np.flatnonzero(common.max(0) >= depth))
+
+
+def test_a_repeated_query_row_is_asked_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 1.0]), *[(k, [1.0, 0.1 * k]) for k in range(1, 8)]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = N.nearest(frame, frame.filter("vec_id % 50 = 0"), 3).collect()
+    assert [(r.rank, r.vec_id) for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)] == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(r.rank for r in got if r.query_id == 50) == [1, 1, 2, 2, 3, 3]
