@@ -39,12 +39,21 @@ def discovered(files: DataFrame, bases: DataFrame) -> DataFrame:
     return rows.select("session_id", "idx", F.concat(name, F.lit(".wav")).alias("system_file"), F.concat(name, F.lit("_mic.wav")).alias("mic_file"))
 
 
-def index_gaps(present: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
-    """Missing indices between the smallest and the largest, found from neighbours rather than from a full list."""
+def gap_ranges(present: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
+    """Missing indices between the smallest and the largest as ranges: first_missing, last_missing. A far-off index makes one
+    long range, not a row for each number."""
     one = present.select(*keys, F.col(idx).cast("bigint").alias("i")).distinct()
     ahead = block_scan(one, keys, ["i"], [Scan("next_i", "min", F.col("i"), inclusive=False, reverse=True)], blocks_of(F.col("i"), 65536))
-    holes = ahead.where(F.col("next_i") > F.col("i") + 1)
-    return holes.select(*keys, F.explode(F.sequence(F.col("i") + 1, F.col("next_i") - 1)).alias("missing"))
+    return ahead.where(F.col("next_i") > F.col("i") + 1).select(
+        *keys, (F.col("i") + 1).alias("first_missing"), (F.col("next_i") - 1).alias("last_missing"))
+
+
+def index_gaps(present: DataFrame, keys: list[str], idx: str = "idx", step: int = 65536) -> DataFrame:
+    """The missing indices one by one. A range is listed in pieces of ``step``, so no row ever holds more of them."""
+    pieces = gap_ranges(present, keys, idx).select(
+        *keys, "last_missing", F.explode(F.sequence("first_missing", "last_missing", F.lit(step).cast("bigint"))).alias("from"))
+    until = F.least(F.col("last_missing"), F.col("from") + (step - 1))
+    return pieces.select(*keys, F.explode(F.sequence(F.col("from"), until)).alias("missing"))
 
 
 def paired(files: DataFrame) -> DataFrame:

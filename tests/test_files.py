@@ -117,6 +117,10 @@ def test_orphans_indices_and_quota(spark):
     done = spark.createDataFrame([("s", 0)], "session_id string, idx int")
     assert sorted(r.idx for r in rv.orphans(inv, done).collect()) == [2, 5]
     assert sorted(r.missing for r in rv.index_gaps(inv, ["session_id"]).collect()) == [1, 3, 4]
+    far = spark.createDataFrame([("s", 0), ("s", 3), ("s", 2_000_000_000)], "session_id string, idx int")
+    assert sorted((r.first_missing, r.last_missing) for r in rv.gap_ranges(far, ["session_id"]).collect()) == [(1, 2), (4, 1_999_999_999)]
+    near = spark.createDataFrame([("s", 0), ("s", 8)], far.schema)
+    assert sorted(r.missing for r in rv.index_gaps(near, ["session_id"], step=3).collect()) == [1, 2, 3, 4, 5, 6, 7]
     sessions = spark.createDataFrame([("s", 9), ("empty", 0)], "session_id string, sentinel_index int")
     got = {r.session_id: (r.next_free, r.safe_restart) for r in rv.next_free_index(sessions, done, inv).collect()}
     assert got == {"s": (6, 10), "empty": (0, 1)}
