@@ -62,11 +62,18 @@ def _last_sentence(text: str) -> int:
     return at + 1 if at >= 0 else len(text)
 
 
-def build_index(ids: list, texts: list[str]) -> Index:
-    words = _arrow_words(texts)
+@dataclass
+class Statistics:
+    """Counts over the entries of the whole benchmark."""
+    entries: int
+    words: int
+    terms: np.ndarray         # sorted word hashes
+    df: np.ndarray            # entries that hold the word
+
+
+def _postings(words: Words):
+    """(words of an item, entries of an item, terms, and term, entry and count of each posting)."""
     count = words.counts()
-    question = _arrow_words([t[:_last_sentence(t)] for t in texts]).counts()
-    question = np.where(question < count, np.minimum(question, np.maximum(count - WIDTH, 0)), count)
     first = np.append(0, count.cumsum())
     nth = np.arange(len(words.hash)) - first[words.doc]
     fit = count >= WIDTH
@@ -75,13 +82,57 @@ def build_index(ids: list, texts: list[str]) -> Index:
     use = fit[words.doc]
     entry = (base[words.doc] + nth * run[words.doc] // np.maximum(1, count[words.doc]))[use]
     terms, term = np.unique(words.hash[use], return_inverse=True)
-    n = int(base[-1])
-    pair, tf = np.unique(term * max(n, 1) + entry, return_counts=True)
-    term, entry = pair // max(n, 1), pair % max(n, 1)
+    n = max(int(base[-1]), 1)
+    pair, tf = np.unique(term * n + entry, return_counts=True)
+    return count, run, terms, pair // n, pair % n, tf
+
+
+def _counted(batches):
+    """Rows (part, term, df, words) of each batch of items (part, text); the one without a term has the number of entries."""
+    for batch in batches:
+        part = np.asarray(batch.column("part"))
+        for p in np.unique(part):
+            _, run, terms, term, _, tf = _postings(_arrow_words(batch.column("text").filter(pa.array(part == p)).to_pylist()))
+            df = np.append(np.bincount(term, minlength=len(terms)), run.sum())
+            names = pa.array([*terms.view(np.int64).tolist(), None], pa.int64())
+            yield pa.record_batch([pa.array(np.full(len(df), p), pa.int32()), names, pa.array(df, pa.int64()),
+                                   pa.array(np.append(np.zeros(len(terms), np.int64), int(tf.sum())), pa.int64())], names=["part", "term", "df", "words"])
+
+
+def statistics(items: DataFrame) -> DataFrame:
+    """Counts of all ``items`` (part, text), for each part the terms it holds: part, term, df, words. Part -1, without a
+    term, has the number of entries and of words."""
+    rows = items.mapInArrow(_counted, "part int, term long, df long, words long")
+    each = written(rows.groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "benchmark-terms")
+    whole = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    own = each.filter("term is not null").select("part", "term").join(whole, "term").select("part", "term", "df", "words")
+    return written(own.unionByName(whole.filter("term is null").withColumn("part", F.lit(-1))), "benchmark-statistics")
+
+
+def _statistics_of(table: DataFrame, part: int) -> Statistics:
+    """Those of one part's terms: no more than its index holds."""
+    rows = table.filter(F.col("part").isin(-1, part)).select("term", "df", "words").collect()
+    entries, words = next(((r[1], r[2]) for r in rows if r[0] is None), (0, 0))
+    terms = np.array([r[0] for r in rows if r[0] is not None], np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(entries, words, terms[order], np.array([r[1] for r in rows if r[0] is not None], np.int64)[order])
+
+
+def build_index(ids: list, texts: list[str], whole: Statistics | None = None) -> Index:
+    """The index of these items; ``whole`` has the counts of all items where these are a part of them."""
+    words = _arrow_words(texts)
+    count, run, terms, term, entry, tf = _postings(words)
+    question = _arrow_words([t[:_last_sentence(t)] for t in texts]).counts()
+    question = np.where(question < count, np.minimum(question, np.maximum(count - WIDTH, 0)), count)
+    first = np.append(0, count.cumsum())
+    n = int(run.sum())
     length = np.bincount(entry, tf, minlength=n)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[entry] / max(length.mean() if n else 1, 1e-9)))
+    if whole is None:
+        whole = Statistics(n, int(tf.sum()), terms, np.bincount(term, minlength=len(terms)))
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log1p((whole.entries - df + 0.5) / (df + 0.5))
+    mean = max(whole.words / max(whole.entries, 1), 1e-9)
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[entry] / mean))
     impact = impact / np.bincount(entry, impact, minlength=n)[entry]
     block = term * (n // BLOCK + 1) + entry // BLOCK
     head = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
@@ -188,16 +239,20 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs of letters and digits in lower case. Items with fewer than five words, null texts or ids take no part; equal items
     are each reported. A repeated document is reported for each of its rows; null and empty texts hold nothing. Empty
     tables give an empty result. A benchmark of more than INDEX_BYTES is cut into indexes by hash, each of which sees
-    all documents.
+    all documents and weighs words by their counts in the whole benchmark, so that scores do not depend on the cut. Very
+    long texts are taken whole, in slices of passages; of equal places of an item the first in its document is reported.
     """
     spark = docs.sparkSession
     items = benchmark.filter("text is not null and item_id is not null").select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // INDEX_BYTES) + 1
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    counts = statistics(items.select("part", "text")) if parts > 1 else None       # the items of a single part are all items
     out = None
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(build_index([r[0] for r in rows], [r[1] for r in rows]))
+        rows = items.filter(F.col("part") == part).orderBy("item_id", "text").collect()
+        held = spark.sparkContext.broadcast(build_index([r[0] for r in rows], [r[1] for r in rows],
+                                                        None if counts is None else _statistics_of(counts, part)))
         found = docs.select("doc_id", "text").mapInArrow(
             partial(_matches, index=held), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long")
         out = found if out is None else out.unionByName(found)

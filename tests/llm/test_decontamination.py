@@ -66,3 +66,20 @@ def test_empty_tables(spark, documents, prose):
     frame = spark.createDataFrame(items(prose), "item_id long, text string")
     assert D.benchmark_matches(documents([]), frame).collect() == []
     assert D.benchmark_matches(documents([(1, prose(50))]), frame.filter("false")).collect() == []
+
+
+def test_scores_do_not_depend_on_the_cut(spark, prose, documents, monkeypatch):
+    bench = items(prose)
+    frame = spark.createDataFrame(bench, "item_id long, text string")
+    sound = [b for b in bench if b[0] is not None and b[1]]
+    docs = documents([(k, prose(70) + " " + " ".join(w for n, w in enumerate(b[1].split()) if n % 29) + " " + prose(40)) for k, b in enumerate(sound)] + [(500 + k, b[1]) for k, b in enumerate(sound)])
+
+    def scores():
+        return {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in D.benchmark_matches(docs, frame).collect()}
+
+    whole = scores()
+    size = sum(len(b[1].encode()) for b in sound)
+    for parts in (2, 5):
+        monkeypatch.setattr(D, "INDEX_BYTES", size // parts + 1)
+        assert scores() == whole
+    assert len(whole) > 30 and any(s < 1 for s, *_ in whole.values())
