@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.operators.ordered import Scan, block_scan, blocks_of, numbered, previous
+from talkweave.operators.ordered import Fold, Scan, block_scan, blocks_of, numbered, previous, sorted_fold
 
 
 def data(seed, n=400):
@@ -61,3 +61,26 @@ def test_hot_key_spreads_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) == 4 and max(sizes) < 10000
+
+
+def test_a_fold_sees_a_key_whole_after_a_join_that_turns_into_a_broadcast(spark):
+    class Places(Fold):
+        def __init__(self):
+            self.n = 0
+
+        def push(self, row):
+            self.n += 1
+            return [(row.k, row.o, self.n)]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 20000, 1, 4).select((F.col("id") % 50).alias("k"), F.col("id").alias("o"))
+        some = spark.range(0, 400, 1, 4).select((F.col("id") % 50).alias("k")).where("k % 2 = 0").distinct()
+        out = sorted_fold(df.join(some, ["k"], "left_semi"), ["k"], ["o"], Places, "k bigint, o bigint, n bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 10000 and all(r.n == r.o // 50 + 1 for r in out)
