@@ -2,26 +2,85 @@
 
 from __future__ import annotations
 
+from collections import deque
+from functools import partial
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import params
-from .intervals import neighbours, overlap_pairs
+from .intervals import neighbours
+from .ordered import Fold, sorted_fold
 
 
 def _seconds(c: str) -> Column:
     return F.unix_micros(F.col(c)) / F.lit(1e6)
 
 
+class CalendarFold(Fold):
+    """A sweep over the begins of events and the moments of meetings. Rows: at, asks, cal_id, till, and the meeting's identity.
+
+    The running event begun last tops the heap; ended ones are dropped as they come up, for time only moves on. Meetings that
+    nothing runs at wait for the next begin, no longer than the look-ahead.
+    """
+
+    def __init__(self, keys: list[str], ident: list[str], lookahead: int):
+        self.names, self.lookahead = [*keys, *ident], lookahead
+        self.running: list[tuple] = []
+        self.waiting: deque = deque()
+
+    def push(self, row):
+        out = []
+        if not row.asks:
+            # The first begin after a meeting decides it; events of one begin come by cal_id.
+            while self.waiting and self.waiting[0].at < row.at:
+                asked = self.waiting.popleft()
+                if row.at <= asked.at + self.lookahead:
+                    out.append(self.picked(asked, row.cal_id, False, row.at))
+            if row.till > row.at:
+                heappush(self.running, (-row.at, row.cal_id, row.till))
+            return out
+        while self.running and self.running[0][2] <= row.at:
+            heappop(self.running)
+        if self.running:
+            begun, cal_id, _ = self.running[0]
+            return [self.picked(row, cal_id, True, -begun)]
+        while self.waiting and self.waiting[0].at + self.lookahead < row.at:
+            self.waiting.popleft()
+        self.waiting.append(row)
+        return out
+
+    def picked(self, row, cal_id, running, begin):
+        return (*[getattr(row, k) for k in self.names], cal_id, running, begin)
+
+
 def calendar_pick(meetings: DataFrame, events: DataFrame, keys: list[str], ident: list[str],
-                  lookahead_min: int = params.LOOKAHEAD_MINUTES) -> DataFrame:
-    """The event a meeting belongs to: the running one begun last, else the next one within the look-ahead."""
-    timed = events.where("NOT all_day AND NOT declined").withColumn("e0", _seconds("starts_at")).withColumn("e1", _seconds("ends_at"))
-    asked = meetings.withColumn("m0", _seconds("now")).withColumn("m1", F.col("m0") + lookahead_min * 60.0)
-    pairs = overlap_pairs(asked, timed, keys, "m0", "m1", "e0", "e1", touching=True, width=3600.0)
-    running = (F.col("e0") <= F.col("m0")) & (F.col("e1") > F.col("m0"))
-    soon = (F.col("e0") > F.col("m0")) & (F.col("e0") <= F.col("m1"))
-    rank = F.struct(running, F.when(running, F.col("e0")).otherwise(-F.col("e0")), -F.col("cal_id"))
-    best = pairs.where(running | soon).groupBy(*keys, *ident).agg(F.max_by(F.struct("cal_id", running.alias("running")), rank).alias("b"))
+                  lookahead_min: int = params.LOOKAHEAD_MINUTES, width_s: int = 3600) -> DataFrame:
+    """The event a meeting belongs to: the running one begun last, else the next one within the look-ahead.
+
+    Nothing is paired: meetings and events are swept once in time order, by key and hour. An event is met in every hour that it
+    runs in, or that a meeting may look ahead from.
+    """
+    width, lookahead = width_s * 1_000_000, lookahead_min * 60_000_000
+    hour = lambda at: F.floor(at / F.lit(width)).cast("bigint")
+    types = dict(events.dtypes) | dict(meetings.dtypes)
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    # Columns of the other side hold a value rather than null: a column with nulls reaches Python as floats.
+    blank = lambda c: F.lit(0).cast(types[c]).alias(c)
+    begin = F.unix_micros("starts_at")
+    till = F.coalesce(F.unix_micros("ends_at"), begin)
+    timed = events.where(some & F.expr("NOT all_day AND NOT declined AND starts_at IS NOT NULL")).select(
+        *keys, F.explode(F.sequence(hour(begin - lookahead), hour(F.greatest(begin, till - 1)))).alias("hour"), begin.alias("at"),
+        F.lit(False).alias("asks"), "cal_id", till.alias("till"), *[blank(c) for c in ident])
+    now = F.unix_micros("now")
+    asked = meetings.where(some & F.col("now").isNotNull()).select(
+        *keys, hour(now).alias("hour"), now.alias("at"), F.lit(True).alias("asks"), blank("cal_id"), F.lit(0).cast("bigint").alias("till"), *ident)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in (*keys, *ident)], f"cal_id {types['cal_id']}", "running boolean", "begin bigint"])
+    found = sorted_fold(timed.unionByName(asked), [*keys, "hour"], ["at", "asks", "cal_id"], partial(CalendarFold, keys, ident, lookahead), schema)
+    rank = F.struct("running", F.when(F.col("running"), F.col("begin")).otherwise(-F.col("begin")), -F.col("cal_id"))
+    best = found.groupBy(*keys, *ident).agg(F.max_by(F.struct("cal_id", "running"), rank).alias("b"))
     return best.select(*keys, *ident, "b.*")
 
 
