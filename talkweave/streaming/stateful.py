@@ -2,17 +2,18 @@
 
 The machines are the same folds the batch operators replay, so stream and batch cannot drift apart. Rows may arrive in any
 order within the lateness the stream allows: a key's rows wait in state, in buckets of event time, and event-time timers
-release a bucket, sorted, once the watermark has passed its end. What a worker holds at once is one bucket of one key. A
-key that has been silent for ``KEEP_MS`` of event time is forgotten.
+release a bucket, sorted, once the watermark has passed its end. What a worker holds at once is one bucket of one key, or several
+small ones. A key that has been silent for ``KEEP_MS`` of event time is forgotten.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType
@@ -23,6 +24,9 @@ from ..session import scratch_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET_MS = 10_000              # event time of the rows that are released together
 KEEP_MS = 24 * 3_600_000        # silence after which a key's state ends
+PACK = 10_000                   # rows that are handed over together, whole buckets
+END = "2300-01-01"              # event time of the mark at the end of the input
+ENDED_MS = 10_382_256_000_000   # 2299-01-01: watermarks beyond are of that mark
 
 _MARKS: WeakKeyDictionary[DataFrame, tuple] = WeakKeyDictionary()     # where the end of a stream's input is told
 
@@ -31,40 +35,40 @@ def use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _rows_out(rows: pd.DataFrame) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    data = sink.getvalue().to_pybytes()
-    return len(data).to_bytes(4, "little") + data
+def _rows_out(rows: dict[str, np.ndarray]) -> bytes:
+    data = pickle.dumps(rows, protocol=5)
+    return len(data).to_bytes(8, "little") + data
 
 
-def _rows_in(data: bytes) -> pd.DataFrame:
+def _rows_in(data: bytes) -> list[dict[str, np.ndarray]]:
     parts, at = [], 0
     while at < len(data):
-        size = int.from_bytes(data[at:at + 4], "little")
-        parts.append(pa.ipc.open_stream(data[at + 4:at + 4 + size]).read_pandas())
-        at += 4 + size
-    return pd.concat(parts, ignore_index=True)
+        size = int.from_bytes(data[at:at + 8], "little")
+        parts.append(pickle.loads(data[at + 8:at + 8 + size]))
+        at += 8 + size
+    return parts
 
 
 class Released(StatefulProcessor):
-    """Hands each key's rows to ``ordered`` bucket by bucket, in the order of ``order``, as the watermark passes.
+    """Hands each key's rows to ``ordered`` in the order of bucket and ``order``, as the watermark passes.
 
     ``at_ms`` is the rows' event time. Rows without one, and rows of the null key (marks that only move the watermark on), are
-    not held. A row that comes after its bucket was released is dropped, as Spark drops late rows.
+    not held. A row that comes after its bucket was released is dropped, as Spark drops late rows. Calls to the state are what
+    costs: a key has one timer, for the next thing it has to do, and ``seen`` says which buckets are held.
     """
 
+    apart = False       # whether every bucket is handed over on its own
+
     def __init__(self, order: list[str], bucket_ms: int = BUCKET_MS, keep_ms: int = KEEP_MS):
         self.order, self.bucket_ms, self.keep_ms = order, bucket_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "bucket bigint", "rows binary")
-        self.seen = handle.getValueState("seen", "last_ms bigint, released bigint")
+        self.seen = handle.getValueState("seen", "last_ms bigint, released bigint, held array<bigint>, timer bigint")
 
-    def ordered(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def ordered(self, key, parts: Iterator[pd.DataFrame], ends: bool) -> Iterator[pd.DataFrame]:
+        """With ``ends`` the key is forgotten afterwards."""
         raise NotImplementedError
 
     def forget(self) -> None:
@@ -73,43 +77,87 @@ class Released(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if any(k is None or k != k for k in key):
             return
-        last, released = self.seen.get() if self.seen.exists() else (None, -1 << 62)
+        last, released, held, timer = self.seen.get() or (None, -1 << 62, (), None)
+        waiting = set(held)
         for batch in rows:
-            batch = batch[batch["at_ms"].notna()]
-            bucket = batch["at_ms"].astype("int64") // self.bucket_ms
-            for b, part in batch.groupby(bucket):
+            at = batch["at_ms"].to_numpy()
+            if batch["at_ms"].hasnans:
+                batch = batch[batch["at_ms"].notna()]
+                at = batch["at_ms"].to_numpy()
+            if not len(at):
+                continue
+            at = at.astype("int64")
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            bucket = at // self.bucket_ms
+            place = np.argsort(bucket, kind="stable")
+            for part in np.split(place, np.flatnonzero(np.diff(bucket[place])) + 1):
+                b = int(bucket[part[0]])
                 if b <= released:
                     continue
-                old = self.held.getValue((int(b),))[0] if self.held.containsKey((int(b),)) else b""
-                self.held.updateValue((int(b),), (bytes(old) + _rows_out(part),))
-                self.handle.registerTimer((int(b) + 1) * self.bucket_ms)
-                last = max(last if last is not None else -1 << 62, int(part["at_ms"].max()))
+                old = bytes(self.held.getValue((b,))[0]) if b in waiting else b""
+                self.held.updateValue((b,), (old + _rows_out({c: v[part] for c, v in columns.items()}),))
+                waiting.add(b)
+                last = max(last if last is not None else -1 << 62, int(at[part].max()))
         if last is not None:
-            self.seen.update((last, released))
-            self.handle.registerTimer(last + self.keep_ms)
+            self._leave(last, released, sorted(waiting), timer)
         return
         yield
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.seen.exists():
+        seen = self.seen.get()
+        if seen is None:
             return
+        last, released, waiting, _ = seen
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        last, released = self.seen.get()
-        due = sorted(b for (b,) in self.held.keys() if (b + 1) * self.bucket_ms <= now)
-        for b in due:
-            rows = _rows_in(bytes(self.held.getValue((b,))[0])).sort_values(self.order, kind="stable")
-            yield from self.ordered(key, rows)
-            self.held.removeKey((b,))
+        due = [b for b in waiting if (b + 1) * self.bucket_ms <= now]
+        rest = list(waiting[len(due):])
+        ends = last + self.keep_ms <= now
         if due:
-            self.seen.update((last, max(released, due[-1])))
-        yield from self.silent(key, last, now)
-        if last + self.keep_ms <= now:
+            yield from self.ordered(key, self._parts(due), ends)
+            released = max(released, due[-1])
+        yield from self.silent(key, now, rest)
+        if ends:
             self.seen.clear()
             self.held.clear()
             self.forget()
-
-    def silent(self, key, last_ms: int, now_ms: int) -> Iterator[pd.DataFrame]:
-        """What a key says at ``now_ms`` whose last row was at ``last_ms``."""
+            return
+        if rest:
+            for b in due:
+                self.held.removeKey((b,))
+        elif due:
+            self.held.clear()
+        self._leave(last, released, rest, None)
+
+    def _parts(self, due: list[int]) -> Iterator[pd.DataFrame]:
+        """The rows of the due buckets in order, some ``PACK`` at a time."""
+        parts, size = [], 0
+        for k, b in enumerate(due):
+            more = _rows_in(bytes(self.held.getValue((b,))[0]))
+            parts += more
+            size += sum(len(p["at_ms"]) for p in more)
+            if self.apart or size >= PACK or k == len(due) - 1:
+                columns = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+                by = [columns["at_ms"].astype("int64") // self.bucket_ms, *[columns[c] for c in self.order]]
+                frame = pd.DataFrame(columns)
+                if any(v.dtype == object for v in by):
+                    yield frame.assign(__bucket=by[0]).sort_values(["__bucket", *self.order], kind="stable").drop(columns="__bucket")
+                else:
+                    yield frame.iloc[np.lexsort(by[::-1])]
+                parts, size = [], 0
+
+    def _leave(self, last: int, released: int, waiting: list[int], timer: int | None) -> None:
+        due = self.next_due(last, waiting)
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.seen.update((last, released, waiting, timer))
+
+    def next_due(self, last_ms: int, waiting: list[int]) -> int:
+        """When the key has something to do, if nothing else comes."""
+        return (waiting[0] + 1) * self.bucket_ms if waiting else last_ms + self.keep_ms
+
+    def silent(self, key, now_ms: int, waiting: list[int]) -> Iterator[pd.DataFrame]:
+        """What a key says at ``now_ms`` that holds rows of the buckets ``waiting`` only."""
         return iter(())
 
     def close(self) -> None:
@@ -121,53 +169,61 @@ class FoldProcessor(Released):
 
     def __init__(self, folder: Callable[[], Fold], order: list[str], columns: list[str], state_schema: str, bucket_ms: int, closes: bool):
         super().__init__(order, bucket_ms)
-        self.folder, self.columns, self.state_schema, self.closes = folder, columns, state_schema, closes
+        self.folder, self.columns, self.state_schema, self.apart = folder, columns, state_schema, closes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.kept = handle.getValueState("kept", self.state_schema)
 
-    def ordered(self, key, rows):
-        fold = self.folder()
-        if self.kept.exists():
-            fold.restore(self.kept.get())
-        out: list[tuple] = []
-        for row in rows.itertuples(index=False):
-            out.extend(fold.push(row))
-        if self.closes:
-            out.extend(fold.finish())
-        self.kept.update(fold.snapshot())
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+    def ordered(self, key, parts, ends):
+        fold, kept = self.folder(), self.kept.get()
+        if kept is not None:
+            fold.restore(kept)
+        for rows in parts:
+            out: list[tuple] = []
+            for row in rows.itertuples(index=False):
+                out.extend(fold.push(row))
+            if self.apart:
+                out.extend(fold.finish())
+            if out:
+                yield pd.DataFrame(out, columns=self.columns)
+        if not ends:
+            self.kept.update(fold.snapshot())
 
     def forget(self) -> None:
         self.kept.clear()
 
 
+def _clocked(df: DataFrame, at: str, late: str) -> tuple[DataFrame, tuple]:
+    """The rows with ``at_ms`` under a watermark on ``at``, joined by a stream of marks that tell the end of the input."""
+    marks = scratch_dir(df.sparkSession, "marks")
+    shape = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    df.sparkSession.createDataFrame([], shape).write.parquet(marks)
+    both = df.unionByName(df.sparkSession.readStream.schema(shape).parquet(marks))
+    timed = both.withWatermark(at, late).withColumn("at_ms", F.unix_millis(at)).drop(at)
+    return timed, (marks, shape, at)
+
+
 def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Fold], state_schema: str, schema: str,
              at: str, late: str, bucket_ms: int = BUCKET_MS, closes: bool = False) -> DataFrame:
     """``at``: the rows' event time; ``late``: how far rows may come out of order. With ``closes`` a bucket is a closed unit: the
     fold's ``finish`` runs at its end."""
     use_rocksdb(df)
     columns = [f.split()[0] for f in schema.split(",")]
-    marks = scratch_dir(df.sparkSession, "marks")
-    shape = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    df.sparkSession.createDataFrame([], shape).write.parquet(marks)
-    both = df.unionByName(df.sparkSession.readStream.schema(shape).parquet(marks))
-    timed = both.withWatermark(at, late).withColumn("at_ms", F.unix_millis(at)).drop(at)
+    timed, end = _clocked(df, at, late)
     out = timed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=FoldProcessor(folder, order, columns, state_schema, bucket_ms, closes), outputStructType=schema,
         outputMode="append", timeMode="EventTime")
-    _MARKS[out] = marks, shape, at
+    _MARKS[out] = end
     return out
 
 
 def end_of_input(stream: DataFrame) -> bool:
-    """Land a mark after all rows of a stream of ``run_fold``: its watermark passes them, and all state ends. False for others."""
+    """Land a mark after all rows of a stream: its watermark passes them, and all state ends. False for streams without marks."""
     if stream not in _MARKS:
         return False
     marks, shape, at = _MARKS[stream]
-    end = F.lit("2300-01-01").cast("timestamp")
+    end = F.lit(END).cast("timestamp")
     one = stream.sparkSession.range(1).select(*[(end if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
     one.write.mode("append").parquet(marks)
     return True
@@ -184,28 +240,34 @@ class SilenceWatch(Released):
         super().init(handle)
         self.kept = handle.getValueState("kept", "last_ms bigint, told boolean")
 
-    def _alert(self, key, last_ms) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "silent_since_ms": [int(last_ms)]})
-
-    def handleInputRows(self, key, rows, timerValues):
-        yield from super().handleInputRows(key, rows, timerValues)
-        if self.seen.exists():
-            self.handle.registerTimer(self.seen.get()[0] + self.gap_ms)
-
-    def ordered(self, key, rows):
-        times = rows["at_ms"].astype("int64").drop_duplicates().to_numpy()
-        last, told = self.kept.get() if self.kept.exists() else (None, False)
-        if last is not None and times[0] - last > self.gap_ms and not told:
-            yield self._alert(key, last)
-        # Rows of one bucket lie no further apart than the gap.
-        self.kept.update((int(times[-1]), False))
-
-    def silent(self, key, last_ms, now_ms):
-        if self.kept.exists():
-            last, told = self.kept.get()
-            if not told and last == last_ms and last + self.gap_ms <= now_ms:
+    def _alerts(self, key, since_ms) -> pd.DataFrame:
+        return pd.DataFrame({self.key: key[0], "silent_since_ms": np.asarray(since_ms, dtype="int64")})
+
+    def ordered(self, key, parts, ends):
+        last, told = self.kept.get() or (None, False)
+        for rows in parts:
+            times = np.unique(rows["at_ms"].to_numpy().astype("int64"))
+            before = np.append(times[0] if last is None else last, times[:-1])
+            silent = times - before > self.gap_ms
+            silent[0] &= not told
+            if silent.any():
+                yield self._alerts(key, before[silent])
+            last, told = int(times[-1]), False
+        self.kept.update((last, False))
+
+    def silent(self, key, now_ms, waiting):
+        """The end of the input is no silence: what is held then is released, and no more."""
+        kept = self.kept.get() if now_ms < ENDED_MS else None
+        if kept is not None:
+            last, told = kept
+            # A held row may still end the silence in time, if its bucket begins by then.
+            if not told and last + self.gap_ms <= now_ms and (not waiting or waiting[0] * self.bucket_ms > last + self.gap_ms):
                 self.kept.update((last, True))
-                yield self._alert(key, last)
+                yield self._alerts(key, [last])
+
+    def next_due(self, last_ms, waiting):
+        due, kept = super().next_due(last_ms, waiting), self.kept.get()
+        return due if kept is None or kept[1] else min(due, kept[0] + self.gap_ms)
 
     def forget(self) -> None:
         self.kept.clear()
@@ -214,10 +276,15 @@ class SilenceWatch(Released):
         pass
 
 
-def silence_alerts(arrivals: DataFrame, key: str, gap_s: float, key_type: str = "bigint") -> DataFrame:
-    """``arrivals`` has ``key``, a watermarked ``ts`` and ``at_ms``. Rows may come out of order within the watermark's delay; a silence
-    is told once the watermark has passed it, and a key that stays silent is forgotten."""
+def silence_alerts(arrivals: DataFrame, key: str, gap_s: float, key_type: str = "bigint", late: str | None = None) -> DataFrame:
+    """``arrivals`` has ``key``, a watermarked ``ts`` and ``at_ms``, or ``key`` and ``ts`` only and comes with ``late``. Rows may come out
+    of order within the watermark's delay; a silence is told once the watermark has passed it, and a key that stays silent is
+    forgotten. With ``late`` the end of the input can be told: silences between the last rows are then known too."""
     use_rocksdb(arrivals)
-    return arrivals.groupBy(key).transformWithStateInPandas(
+    timed, end = (arrivals, None) if late is None else _clocked(arrivals, "ts", late)
+    out = timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=SilenceWatch(key, int(gap_s * 1000)), outputStructType=f"{key} {key_type}, silent_since_ms bigint",
         outputMode="append", timeMode="EventTime")
+    if end is not None:
+        _MARKS[out] = end
+    return out

@@ -212,3 +212,12 @@ def test_a_track_is_watched_over_its_whole_history(spark):
     from __spark_entry__ import queries
     got = queries()["u2_rate_drift"](spark, "/root/testdata/sf0.01").collect()
     assert {r.track_id for r in got} == set(range(15)) and max(r.cb_ord for r in got) > 9000
+
+
+def test_a_silence_before_the_last_rows_is_told(spark, rows):
+    """The row that ends the silence is not released by the watermark; the end of the input itself is no silence."""
+    for late, last in (("1 second", 1100), ("500 seconds", 1600)):
+        df = spark.createDataFrame([(1, 1000), (2, last - 5), (1, last)], "session_id bigint, at_s bigint")
+        ts = landed(spark, df, "at_s", parts=1).select("session_id", F.timestamp_seconds("at_s").alias("ts"))
+        got = rows(st.collect_appended(st.silence_alerts(ts, "session_id", 50.0, late=late), "silence"))
+        assert got == [(1, 1_000_000)]
