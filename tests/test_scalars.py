@@ -79,3 +79,14 @@ def test_budgets_and_retries(spark):
     delay = lambda n, h: one(spark, us.retry_delay(F.lit(n), F.lit(h).cast("string"), now, 1.0, 60.0))
     assert [delay(3, None), delay(9, None), delay(0, "5"), delay(0, "-1"), delay(0, "Wed, 21 Oct 2015 07:28:30 GMT"), delay(2, "later"), delay(0, "Wed, 21 Oct 2015 07:00:00 GMT")] == [8.0, 60.0, 5.0, 1.0, 30.0, 4.0, 0.0]
     assert [one(spark, us.is_truncated(F.lit(100), F.lit(50), F.lit(n))) for n in (44, 45)] == [False, True]
+
+
+def test_many_replaced_words_of_long_texts_are_counted_fast():
+    import time
+
+    import pandas as pd
+    from talkweave.operators import evaluation as ev
+    a = [f"w{k * 7919 % 5003}" for k in range(20000)]
+    b = ["da" if k % 5 == 0 else w for k, w in enumerate(a)]
+    begun = time.perf_counter()
+    assert ev._distances(pd.Series([a] * 6), pd.Series([b] * 6)).tolist() == [4000] * 6 and time.perf_counter() - begun < 5
