@@ -80,9 +80,10 @@ def word_owner(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Every word with the speaker of its turn; a word in a gap goes to the nearest turn, null without turns.
 
     The turns of a stream are few, as a chunk ends after minutes: they meet its words as one array, in a single join, and
-    the words are moved once.
+    the words are moved once. The turns are looked up in a hash table of the task: words that need no sort for it are held
+    in memory once, for what follows, and not twice.
     """
-    listed = turns.groupBy(*STREAM).agg(F.collect_list(F.struct("t_start", "t_end", "turn_ord", "speaker")).alias("__turns"))
+    listed = turns.groupBy(*STREAM).agg(F.collect_list(F.struct("t_start", "t_end", "turn_ord", "speaker")).alias("__turns")).hint("shuffle_hash")
     asked = words.select(*WORD, "w_start", "w_end", "word").join(listed, STREAM, "left")
     return asked.select(*WORD, "w_start", "w_end", "word", F.coalesce(_touching(), _nearer()).alias("owner"))
 
@@ -117,8 +118,9 @@ def word_pieces(owned: DataFrame) -> DataFrame:
     The window key is one segment, whose words arrived as one array value.
     """
     w = Window.partitionBy(*SEGMENT).orderBy("w_start", "word_ord")
-    glue = (is_punctuation_only(F.col("word")) | is_blank(F.col("word"))) & (F.row_number().over(w) > 1)
-    effective = owned.withColumn("__glue", glue)
+    # The flag is made before the rows are sorted, so that the text goes along only where it is asked for.
+    flagged = owned.withColumn("__mark", is_punctuation_only(F.col("word")) | is_blank(F.col("word")))
+    effective = flagged.withColumn("__glue", F.col("__mark") & (F.row_number().over(w) > 1)).drop("__mark")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     held = F.last(F.when(~F.col("__glue"), F.struct("owner")), ignorenulls=True).over(so_far)
     opened = (~F.col("__glue")) & (held.isNull() | ~F.col("owner").eqNullSafe(held["owner"]))

@@ -184,3 +184,14 @@ def test_sentences_respect_decimals(spark):
     df = spark.createDataFrame(rows, "meeting_id bigint, chunk_index int, source string, token_ord int, w_start double, w_end double, token string")
     got = lb.sentences(df, lb.STREAM, "token_ord").orderBy("start_s").collect()
     assert [(r.text, r.start_s, r.end_s) for r in got] == [("Costs 1.5 million.", 0.0, 2.5), ("Ok?", 3.0, 4.5), ("tail", 5.0, 5.5)]
+
+
+def test_words_are_sorted_once_for_their_pieces(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = spark.createDataFrame([], "meeting_id bigint, chunk_index int, source string, seg_ord int, word_ord int, w_start double, w_end double, word string")
+        turns = spark.createDataFrame([], "meeting_id bigint, chunk_index int, source string, turn_ord int, t_start double, t_end double, speaker string, quality_score double")
+        plan = lb.word_pieces(lb.word_owner(words.repartition(2), turns.repartition(2))).select("meeting_id", "word_ord", "piece")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
