@@ -1,22 +1,25 @@
 """Per-key state machines on ``transformWithStateInPandas``, fed in event-time order.
 
 The machines are the same folds the batch operators replay, so stream and batch cannot drift apart. Rows may arrive in any
-order within the lateness the stream allows: a key's rows wait in state, in buckets of event time, and event-time timers
-release a bucket, sorted, once the watermark has passed its end. What a worker holds at once is one bucket of one key, or several
-small ones. A key that has been silent for ``KEEP_MS`` of event time is forgotten.
+order within the lateness the stream allows: rows wait in state, and event-time timers release a bucket of event time, sorted, once
+the watermark has passed its end. State is kept by slot, a hash of the key. What a worker holds at once is some ``PACK`` rows of a slot
+and the pieces that overlap them in time, and the small state of the slot's keys. A key that has been silent for ``KEEP_MS`` of event
+time is forgotten.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from ..operators.ordered import Fold
 from ..session import scratch_dir
@@ -25,6 +28,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BUCKET_MS = 10_000              # event time of the rows that are released together
 KEEP_MS = 24 * 3_600_000        # silence after which a key's state ends
 PACK = 10_000                   # rows that are handed over together, whole buckets
+PIECE = 1_000                   # rows that wait together, whole buckets
+SLOTS = 4_096                   # sets of keys that share their state
+SLOT = "__slot"
 END = "2300-01-01"              # event time of the mark at the end of the input
 ENDED_MS = 10_382_256_000_000   # 2299-01-01: watermarks beyond are of that mark
 
@@ -35,163 +41,221 @@ def use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _rows_out(rows: dict[str, np.ndarray]) -> bytes:
-    data = pickle.dumps(rows, protocol=5)
-    return len(data).to_bytes(8, "little") + data
-
-
-def _rows_in(data: bytes) -> list[dict[str, np.ndarray]]:
-    parts, at = [], 0
-    while at < len(data):
-        size = int.from_bytes(data[at:at + 8], "little")
-        parts.append(pickle.loads(data[at + 8:at + 8 + size]))
-        at += 8 + size
-    return parts
-
-
 class Released(StatefulProcessor):
-    """Hands each key's rows to ``ordered`` in the order of bucket and ``order``, as the watermark passes.
+    """Hands the rows of keys to ``ordered`` in the order of bucket and ``order``, as the watermark passes.
 
-    ``at_ms`` is the rows' event time. Rows without one, and rows of the null key (marks that only move the watermark on), are
-    not held. A row that comes after its bucket was released is dropped, as Spark drops late rows. Calls to the state are what
-    costs: a key has one timer, for the next thing it has to do, and ``seen`` says which buckets are held.
+    ``at_ms`` is the rows' event time. Rows without one, and rows of a null key (marks that only move the watermark on), are not
+    held. A row that comes after its bucket was released is dropped, as Spark drops late rows. Calls to the state are what costs, so
+    their number must not follow keys times buckets: keys share a slot, whose rows wait in pieces of some ``PIECE`` rows, whole buckets,
+    sorted. A slot has one timer, for the next thing it has to do, and one value that says which pieces wait (number, first and last
+    bucket) and which keys are known (the time of their last released row, and whether their silence was told).
     """
 
-    apart = False       # whether every bucket is handed over on its own
-
-    def __init__(self, order: list[str], bucket_ms: int = BUCKET_MS, keep_ms: int = KEEP_MS):
-        self.order, self.bucket_ms, self.keep_ms = order, bucket_ms, keep_ms
+    def __init__(self, keys: StructType, order: list[str], bucket_ms: int = BUCKET_MS, keep_ms: int = KEEP_MS):
+        self.keys, self.order, self.bucket_ms, self.keep_ms = keys.names, order, bucket_ms, keep_ms
+        self.whole = [f.name for f in keys.fields if isinstance(f.dataType, IntegralType)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "bucket bigint", "rows binary")
-        self.seen = handle.getValueState("seen", "last_ms bigint, released bigint, held array<bigint>, timer bigint")
+        self.held = handle.getMapState("held", "piece bigint", "rows binary")
+        self.seen = handle.getValueState("seen", "slot binary")
 
-    def ordered(self, key, parts: Iterator[pd.DataFrame], ends: bool) -> Iterator[pd.DataFrame]:
-        """With ``ends`` the key is forgotten afterwards."""
+    def ordered(self, known: dict, rows: dict[str, np.ndarray], runs: list[tuple]) -> Iterator[pd.DataFrame]:
+        """``runs``: key, begin and end of the rows of a key (and bucket, if ``apart``). Sets their keys in ``known``."""
         raise NotImplementedError
 
-    def forget(self) -> None:
-        """Drop what ``ordered`` keeps."""
+    apart = False       # whether the buckets of a key are runs of their own
+
+    def leave(self, known: dict, ended: list[tuple]) -> None:
+        """The slot is done for now; the keys ``ended`` are no longer known."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if any(k is None or k != k for k in key):
+        if key[0] < 0:
             return
-        last, released, held, timer = self.seen.get() or (None, -1 << 62, (), None)
-        waiting = set(held)
+        released, number, pieces, known, timer = self._slot() or (-1 << 62, 0, [], {}, None)
         for batch in rows:
-            at = batch["at_ms"].to_numpy()
             if batch["at_ms"].hasnans:
                 batch = batch[batch["at_ms"].notna()]
-                at = batch["at_ms"].to_numpy()
-            if not len(at):
-                continue
-            at = at.astype("int64")
-            columns = {c: batch[c].to_numpy() for c in batch.columns}
-            bucket = at // self.bucket_ms
+            bucket = batch["at_ms"].to_numpy().astype("int64") // self.bucket_ms
             place = np.argsort(bucket, kind="stable")
-            for part in np.split(place, np.flatnonzero(np.diff(bucket[place])) + 1):
-                b = int(bucket[part[0]])
-                if b <= released:
-                    continue
-                old = bytes(self.held.getValue((b,))[0]) if b in waiting else b""
-                self.held.updateValue((b,), (old + _rows_out({c: v[part] for c, v in columns.items()}),))
-                waiting.add(b)
-                last = max(last if last is not None else -1 << 62, int(at[part].max()))
-        if last is not None:
-            self._leave(last, released, sorted(waiting), timer)
+            place = place[np.searchsorted(bucket[place], released, side="right"):]
+            bucket = bucket[place]
+            columns = {c: batch[c].to_numpy()[place] for c in batch.columns if c != SLOT}
+            columns.update({k: columns[k].astype("int64") for k in self.whole})
+            begin = 0
+            while begin < len(bucket):
+                end = int(np.searchsorted(bucket, bucket[min(begin + PIECE, len(bucket)) - 1], side="right"))
+                self._hold(pieces, number, {c: v[begin:end] for c, v in columns.items()}, bucket[begin:end])
+                number, begin = number + 1, end
+        if pieces or known:
+            self._leave(released, number, pieces, known, timer)
         return
         yield
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()
-        if seen is None:
+        slot = self._slot()
+        if slot is None:
             return
-        last, released, waiting, _ = seen
+        released, number, pieces, known, _ = slot
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        due = [b for b in waiting if (b + 1) * self.bucket_ms <= now]
-        rest = list(waiting[len(due):])
-        ends = last + self.keep_ms <= now
-        if due:
-            yield from self.ordered(key, self._parts(due), ends)
-            released = max(released, due[-1])
-        yield from self.silent(key, now, rest)
-        if ends:
-            self.seen.clear()
-            self.held.clear()
-            self.forget()
-            return
+        last = now // self.bucket_ms - 1        # the last bucket that has ended
+        due, rest = [p for p in pieces if p[1] <= last], [p for p in pieces if p[1] > last]
+        for columns, bucket in self._released(due, last, rest):
+            order = self._sorted(columns, bucket)
+            columns, bucket = {c: v[order] for c, v in columns.items()}, bucket[order]
+            yield from self.ordered(known, columns, self._runs(columns, bucket))
+            released = max(released, int(bucket.max()))
+        ended = [k for k, (at, _) in known.items() if at + self.keep_ms <= now]
+        silent = [k for k in known if self.is_silent(known[k], now)]
+        waiting = self._waiting(rest) if ended or silent else {}
+        yield from self.silent(known, [k for k in silent if k not in waiting or waiting[k] * self.bucket_ms > self.wakes(known[k])])
+        ended = [k for k in ended if k not in waiting]
+        self.leave(known, ended)
+        for k in ended:
+            del known[k]
         if rest:
-            for b in due:
-                self.held.removeKey((b,))
+            kept = {p[0] for p in rest}
+            for p in due:
+                if p[0] not in kept:
+                    self.held.removeKey((p[0],))
         elif due:
             self.held.clear()
-        self._leave(last, released, rest, None)
-
-    def _parts(self, due: list[int]) -> Iterator[pd.DataFrame]:
-        """The rows of the due buckets in order, some ``PACK`` at a time."""
-        parts, size = [], 0
-        for k, b in enumerate(due):
-            more = _rows_in(bytes(self.held.getValue((b,))[0]))
-            parts += more
-            size += sum(len(p["at_ms"]) for p in more)
-            if self.apart or size >= PACK or k == len(due) - 1:
-                columns = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-                by = [columns["at_ms"].astype("int64") // self.bucket_ms, *[columns[c] for c in self.order]]
-                frame = pd.DataFrame(columns)
-                if any(v.dtype == object for v in by):
-                    yield frame.assign(__bucket=by[0]).sort_values(["__bucket", *self.order], kind="stable").drop(columns="__bucket")
-                else:
-                    yield frame.iloc[np.lexsort(by[::-1])]
-                parts, size = [], 0
-
-    def _leave(self, last: int, released: int, waiting: list[int], timer: int | None) -> None:
-        due = self.next_due(last, waiting)
+        if rest or known:
+            self._leave(released, number, rest, known, None, now + 1)
+        else:
+            self.seen.clear()
+
+    def _slot(self) -> tuple | None:
+        seen = self.seen.get()
+        return None if seen is None else pickle.loads(bytes(seen[0]))
+
+    def _hold(self, pieces: list[tuple], number: int, columns: dict[str, np.ndarray], bucket: np.ndarray) -> None:
+        self.held.updateValue((number,), (pickle.dumps((columns, bucket), protocol=5),))
+        pieces.append((number, int(bucket[0]), int(bucket[-1])))
+
+    def _piece(self, number: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        return pickle.loads(bytes(self.held.getValue((number,))[0]))
+
+    def _released(self, due: list[tuple], last: int, rest: list[tuple]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """The rows up to the bucket ``last`` in whole buckets, some ``PACK`` at a time; later rows go back into ``rest``."""
+        due = sorted(due, key=lambda p: p[1])
+        parts: list[tuple] = []
+        for k, (number, _, end) in enumerate(due):
+            columns, bucket = self._piece(number)
+            if end > last:
+                cut = int(np.searchsorted(bucket, last, side="right"))
+                self._hold(rest, number, {c: v[cut:] for c, v in columns.items()}, bucket[cut:])
+                columns, bucket = {c: v[:cut] for c, v in columns.items()}, bucket[:cut]
+            parts.append((columns, bucket))
+            following = due[k + 1][1] if k + 1 < len(due) else last + 1
+            if following <= last and sum(len(b) for _, b in parts) < PACK:
+                continue
+            # What begins before the next piece is whole; the pieces are sorted, so a part is cut at one place.
+            cuts = [int(np.searchsorted(b, following)) for _, b in parts]
+            ready = [({c: v[:n] for c, v in cs.items()}, b[:n]) for (cs, b), n in zip(parts, cuts) if n]
+            parts = [({c: v[n:] for c, v in cs.items()}, b[n:]) for (cs, b), n in zip(parts, cuts) if n < len(b)]
+            if ready:
+                yield {c: np.concatenate([cs[c] for cs, _ in ready]) for c in ready[0][0]}, np.concatenate([b for _, b in ready])
+
+    def _sorted(self, columns: dict[str, np.ndarray], bucket: np.ndarray) -> np.ndarray:
+        """By key, bucket and order. Keys need only stand together."""
+        by = [*[_numbers(columns[k]) for k in self.keys], bucket, *[_numbers(columns[c]) for c in self.order]]
+        return np.lexsort(by[::-1])
+
+    def _runs(self, columns: dict[str, np.ndarray], bucket: np.ndarray) -> list[tuple]:
+        heads = [columns[k] for k in self.keys]
+        change = np.zeros(len(bucket) - 1, dtype=bool)
+        for v in [*heads, bucket] if self.apart else heads:
+            change |= v[1:] != v[:-1]
+        ends = [*(np.flatnonzero(change) + 1).tolist(), len(bucket)]
+        return [(_key(heads, begin), begin, end) for begin, end in zip([0, *ends[:-1]], ends)]
+
+    def _waiting(self, rest: list[tuple]) -> dict:
+        """The keys of the rows that wait, each with its first bucket."""
+        first: dict = {}
+        for number, _, _ in rest:
+            columns, bucket = self._piece(number)
+            order = self._sorted(columns, bucket)
+            columns, bucket = {k: columns[k][order] for k in self.keys}, bucket[order]
+            for k, begin, _ in self._runs(columns, bucket):
+                first[k] = min(first.get(k, int(bucket[begin])), int(bucket[begin]))
+        return first
+
+    def _leave(self, released: int, number: int, pieces: list[tuple], known: dict, timer: int | None, soonest: int = -1 << 62) -> None:
+        due = max(min([*[(p[1] + 1) * self.bucket_ms for p in pieces], *map(self.wakes, known.values())]), soonest)
         if timer is None or due < timer:
             self.handle.registerTimer(due)
             timer = due
-        self.seen.update((last, released, waiting, timer))
+        self.seen.update((pickle.dumps((released, number, pieces, known, timer), protocol=5),))
 
-    def next_due(self, last_ms: int, waiting: list[int]) -> int:
-        """When the key has something to do, if nothing else comes."""
-        return (waiting[0] + 1) * self.bucket_ms if waiting else last_ms + self.keep_ms
+    def wakes(self, entry: tuple[int, bool]) -> int:
+        """When a known key has something to do, if nothing else comes."""
+        return entry[0] + self.keep_ms
 
-    def silent(self, key, now_ms: int, waiting: list[int]) -> Iterator[pd.DataFrame]:
-        """What a key says at ``now_ms`` that holds rows of the buckets ``waiting`` only."""
+    def is_silent(self, entry: tuple[int, bool], now_ms: int) -> bool:
+        """Whether a key says something at ``now_ms``, unless a row that waits begins in time."""
+        return False
+
+    def silent(self, known: dict, keys: list[tuple]) -> Iterator[pd.DataFrame]:
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _numbers(values: np.ndarray) -> np.ndarray:
+    return pd.factorize(values, sort=True)[0] if values.dtype == object else values
+
+
+def _key(heads: list[np.ndarray], at: int) -> tuple:
+    return tuple(v[at].item() if isinstance(v[at], np.generic) else v[at] for v in heads)
+
+
 class FoldProcessor(Released):
-    """Runs a fold per key. ``state_schema`` names the fields its ``snapshot`` keeps."""
+    """Runs a fold per key. ``state_schema`` names the fields its ``snapshot`` keeps. With ``closes`` a bucket is a closed unit."""
 
-    def __init__(self, folder: Callable[[], Fold], order: list[str], columns: list[str], state_schema: str, bucket_ms: int, closes: bool):
-        super().__init__(order, bucket_ms)
-        self.folder, self.columns, self.state_schema, self.apart = folder, columns, state_schema, closes
+    def __init__(self, folder: Callable[[], Fold], keys: StructType, order: list[str], columns: list[str], state_schema: str,
+                 bucket_ms: int, closes: bool):
+        super().__init__(keys, order, bucket_ms)
+        self.folder, self.key_schema, self.columns, self.state_schema, self.apart = folder, keys, columns, state_schema, closes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("kept", self.state_schema)
-
-    def ordered(self, key, parts, ends):
-        fold, kept = self.folder(), self.kept.get()
-        if kept is not None:
-            fold.restore(kept)
-        for rows in parts:
-            out: list[tuple] = []
-            for row in rows.itertuples(index=False):
-                out.extend(fold.push(row))
+        self.kept = handle.getMapState("kept", self.key_schema, self.state_schema)
+        self.folds: dict[tuple, Fold] = {}      # of the slot at hand
+        self.stored: set[tuple] = set()         # those that the state has
+
+    def ordered(self, known, rows, runs):
+        lines = list(pd.DataFrame(rows).itertuples(index=False))
+        out: list[tuple] = []
+        for key, begin, end in runs:
+            fold = self.folds.get(key)
+            if fold is None:
+                fold = self.folds[key] = self.folder()
+                if key in known:
+                    fold.restore(self.kept.getValue(key))
+                    self.stored.add(key)
+            for line in lines[begin:end]:
+                out.extend(fold.push(line))
             if self.apart:
                 out.extend(fold.finish())
-            if out:
-                yield pd.DataFrame(out, columns=self.columns)
-        if not ends:
-            self.kept.update(fold.snapshot())
-
-    def forget(self) -> None:
-        self.kept.clear()
+            last = int(rows["at_ms"][begin:end].max())
+            known[key] = (max(known[key][0], last) if key in known else last, False)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def leave(self, known, ended):
+        gone = set(ended)
+        if len(gone) == len(known):
+            self.kept.clear()
+        else:
+            for key in ended:
+                if key in self.stored or key not in self.folds:
+                    self.kept.removeKey(key)
+        for key, fold in self.folds.items():
+            if key not in gone:
+                self.kept.updateValue(key, fold.snapshot())
+        self.folds, self.stored = {}, set()
 
 
 def _clocked(df: DataFrame, at: str, late: str) -> tuple[DataFrame, tuple]:
@@ -204,6 +268,12 @@ def _clocked(df: DataFrame, at: str, late: str) -> tuple[DataFrame, tuple]:
     return timed, (marks, shape, at)
 
 
+def _slotted(timed: DataFrame, keys: list[str]) -> GroupedData:
+    """Rows of a null key have a slot of their own, not a null one: Arrow hands integers beside nulls over as floats."""
+    present = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return timed.withColumn(SLOT, F.when(present, F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")).otherwise(-1)).groupBy(SLOT)
+
+
 def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[[], Fold], state_schema: str, schema: str,
              at: str, late: str, bucket_ms: int = BUCKET_MS, closes: bool = False) -> DataFrame:
     """``at``: the rows' event time; ``late``: how far rows may come out of order. With ``closes`` a bucket is a closed unit: the
@@ -211,8 +281,9 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[
     use_rocksdb(df)
     columns = [f.split()[0] for f in schema.split(",")]
     timed, end = _clocked(df, at, late)
-    out = timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(folder, order, columns, state_schema, bucket_ms, closes), outputStructType=schema,
+    key_types = StructType([df.schema[k] for k in keys])
+    out = _slotted(timed, keys).transformWithStateInPandas(
+        statefulProcessor=FoldProcessor(folder, key_types, order, columns, state_schema, bucket_ms, closes), outputStructType=schema,
         outputMode="append", timeMode="EventTime")
     _MARKS[out] = end
     return out
@@ -232,48 +303,41 @@ def end_of_input(stream: DataFrame) -> bool:
 class SilenceWatch(Released):
     """Alerts when a key has been silent longer than the gap: between two released rows, or by an event-time timer."""
 
-    def __init__(self, key: str, gap_ms: int):
-        super().__init__(["at_ms"], max(1, min(BUCKET_MS, gap_ms)), max(KEEP_MS, 2 * gap_ms))
-        self.key, self.gap_ms = key, gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", "last_ms bigint, told boolean")
+    def __init__(self, key: StructField, gap_ms: int):
+        super().__init__(StructType([key]), ["at_ms"], max(1, min(BUCKET_MS, gap_ms)), max(KEEP_MS, 2 * gap_ms))
+        self.key, self.gap_ms = key.name, gap_ms
 
-    def _alerts(self, key, since_ms) -> pd.DataFrame:
-        return pd.DataFrame({self.key: key[0], "silent_since_ms": np.asarray(since_ms, dtype="int64")})
+    def _alerts(self, keys, since_ms) -> pd.DataFrame:
+        return pd.DataFrame({self.key: keys, "silent_since_ms": np.asarray(since_ms, dtype="int64")})
 
-    def ordered(self, key, parts, ends):
-        last, told = self.kept.get() or (None, False)
-        for rows in parts:
-            times = np.unique(rows["at_ms"].to_numpy().astype("int64"))
-            before = np.append(times[0] if last is None else last, times[:-1])
+    def ordered(self, known, rows, runs):
+        keys, since = [], []
+        for key, begin, end in runs:
+            times = np.unique(rows["at_ms"][begin:end].astype("int64"))
+            last, told = known.get(key, (int(times[0]), False))
+            before = np.append(last, times[:-1])
             silent = times - before > self.gap_ms
             silent[0] &= not told
-            if silent.any():
-                yield self._alerts(key, before[silent])
-            last, told = int(times[-1]), False
-        self.kept.update((last, False))
+            keys += [key[0]] * int(silent.sum())
+            since += before[silent].tolist()
+            known[key] = (int(times[-1]), False)
+        if keys:
+            yield self._alerts(keys, since)
 
-    def silent(self, key, now_ms, waiting):
+    def is_silent(self, entry, now_ms):
         """The end of the input is no silence: what is held then is released, and no more."""
-        kept = self.kept.get() if now_ms < ENDED_MS else None
-        if kept is not None:
-            last, told = kept
-            # A held row may still end the silence in time, if its bucket begins by then.
-            if not told and last + self.gap_ms <= now_ms and (not waiting or waiting[0] * self.bucket_ms > last + self.gap_ms):
-                self.kept.update((last, True))
-                yield self._alerts(key, [last])
+        last, told = entry
+        return not told and last + self.gap_ms <= now_ms < ENDED_MS
 
-    def next_due(self, last_ms, waiting):
-        due, kept = super().next_due(last_ms, waiting), self.kept.get()
-        return due if kept is None or kept[1] else min(due, kept[0] + self.gap_ms)
+    def silent(self, known, keys):
+        if keys:
+            yield self._alerts([k[0] for k in keys], [known[k][0] for k in keys])
+        for k in keys:
+            known[k] = (known[k][0], True)
 
-    def forget(self) -> None:
-        self.kept.clear()
-
-    def close(self) -> None:
-        pass
+    def wakes(self, entry):
+        last, told = entry
+        return last + (self.keep_ms if told else self.gap_ms)
 
 
 def silence_alerts(arrivals: DataFrame, key: str, gap_s: float, key_type: str = "bigint", late: str | None = None) -> DataFrame:
@@ -282,8 +346,8 @@ def silence_alerts(arrivals: DataFrame, key: str, gap_s: float, key_type: str =
     forgotten. With ``late`` the end of the input can be told: silences between the last rows are then known too."""
     use_rocksdb(arrivals)
     timed, end = (arrivals, None) if late is None else _clocked(arrivals, "ts", late)
-    out = timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=SilenceWatch(key, int(gap_s * 1000)), outputStructType=f"{key} {key_type}, silent_since_ms bigint",
+    out = _slotted(timed, [key]).transformWithStateInPandas(
+        statefulProcessor=SilenceWatch(arrivals.schema[key], int(gap_s * 1000)), outputStructType=f"{key} {key_type}, silent_since_ms bigint",
         outputMode="append", timeMode="EventTime")
     if end is not None:
         _MARKS[out] = end

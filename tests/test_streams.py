@@ -75,3 +75,33 @@ def test_released_in_order_while_the_stream_runs(spark, rows):
     stream = spark.readStream.schema("session_id int, failed_at_s bigint").option("maxFilesPerTrigger", 1).parquet(path)
     got = rows(st.collect_appended(st.retry_streaks(stream, late="2 hours"), "running-out"), "failed_at_s", "retry_count")
     assert got == [(0, 1), (500, 2), (600, 3), (700, 4), (1000, 5), (10_000, 1), (20_000, 1), (21_000, 1)]        # 650 came too late
+
+
+def test_state_does_not_follow_the_keys(spark, rows):
+    """Keys share slots: timers and rows of the state are fewer than keys, and every key is still told apart."""
+    path, out = scratch_dir(spark, "many"), scratch_dir(spark, "many-out")
+    df = spark.range(60_000).selectExpr("cast(id % 20000 as int) as session_id", "id % 20000 * 7 + floor(id / 20000) * 5000 as failed_at_s")
+    df.write.parquet(path)
+    q = (st.retry_streaks(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress) < 10_000
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 60_000
+    same(rows, st.retry_streaks(spark.readStream.schema(df.schema).parquet(path)), mo.retry_streaks(df), "session_id", "failed_at_s", "retry_count")
+
+
+def test_a_long_key_is_released_in_packs(spark, rows, shuffled):
+    df = spark.createDataFrame([(k % 11 // 10, k * 37) for k in range(25_000)], "session_id int, failed_at_s bigint")
+    same(rows, st.retry_streaks(shuffled(df), late="30 days"), mo.retry_streaks(df), "session_id", "failed_at_s", "retry_count")
+
+
+def test_rows_of_a_null_key_leave_the_others_alone(spark, rows, shuffled):
+    df = spark.createDataFrame([(k % 3 if k % 4 else None, 40 * k * (1 + k % 3)) for k in range(120)], "session_id int, failed_at_s bigint")
+    same(rows, st.retry_streaks(shuffled(df, 2), late="30 days"), mo.retry_streaks(df.where("session_id IS NOT NULL")), "session_id", "failed_at_s", "retry_count")
+
+
+def test_a_key_is_kept_for_a_row_that_waits(spark, rows, shuffled):
+    """Days lie between the chunks of a meeting, and the last one is still held when the first are long released."""
+    data = [(m, "remote", c, f"Speaker {k}", [float(k == 1), float(k == 2), 0.1 * m]) for m in range(3) for c in (0, 1, 500) for k in (1, 2)][::-1]
+    df = spark.createDataFrame(data[:-1], "meeting_id bigint, namespace string, chunk_index int, speaker string, embedding array<double>")
+    same(rows, st.reconcile(shuffled(df, 1)), rc.reconcile(df), "meeting_id", "namespace", "chunk_index", "speaker", "global_speaker")
