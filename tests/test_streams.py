@@ -105,3 +105,19 @@ def test_a_key_is_kept_for_a_row_that_waits(spark, rows, shuffled):
     data = [(m, "remote", c, f"Speaker {k}", [float(k == 1), float(k == 2), 0.1 * m]) for m in range(3) for c in (0, 1, 500) for k in (1, 2)][::-1]
     df = spark.createDataFrame(data[:-1], "meeting_id bigint, namespace string, chunk_index int, speaker string, embedding array<double>")
     same(rows, st.reconcile(shuffled(df, 1)), rc.reconcile(df), "meeting_id", "namespace", "chunk_index", "speaker", "global_speaker")
+
+
+def most_timers(spark, df, stream):
+    """The most timers that a batch left behind."""
+    path, out = scratch_dir(spark, "timed"), scratch_dir(spark, "timed-out")
+    df.write.parquet(path)
+    q = (stream(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return max(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress)
+
+
+def test_timers_do_not_follow_the_chunks_of_a_track(spark):
+    df = spark.range(20_000).selectExpr("cast(id % 3 as int) as track_id", "cast(floor(id / 3) as int) as chunk_index", "id as buffer_ord",
+                                        "1L as pad_frames", "1L as data_frames", "480D as rate")
+    assert 0 < most_timers(spark, df, lambda s: st.pad_alarm(s, ["track_id", "chunk_index"])) < 10_000
