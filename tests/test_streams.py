@@ -121,3 +121,8 @@ def test_timers_do_not_follow_the_chunks_of_a_track(spark):
     df = spark.range(20_000).selectExpr("cast(id % 3 as int) as track_id", "cast(floor(id / 3) as int) as chunk_index", "id as buffer_ord",
                                         "1L as pad_frames", "1L as data_frames", "480D as rate")
     assert 0 < most_timers(spark, df, lambda s: st.pad_alarm(s, ["track_id", "chunk_index"])) < 10_000
+
+
+def test_timers_do_not_follow_the_tracks(spark):
+    df = spark.range(20_000).selectExpr("cast(id as int) as track_id", "id as cb_ord", "id * 10000000 as host_nanos", "48000D as declared_rate", "7200 as frames")
+    assert 0 < most_timers(spark, df, lambda s: st.rate_drift(s, ["track_id"])) < 10_000
