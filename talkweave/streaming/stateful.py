@@ -25,6 +25,7 @@ from ..operators.ordered import Fold
 from ..session import scratch_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore"
 BUCKET_MS = 10_000              # event time of the rows that are released together
 KEEP_MS = 24 * 3_600_000        # silence after which a key's state ends
 PACK = 10_000                   # rows that are handed over together, whole buckets
@@ -38,7 +39,9 @@ _MARKS: WeakKeyDictionary[DataFrame, tuple] = WeakKeyDictionary()     # where th
 
 
 def use_rocksdb(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """After its first batch a stream writes what changed, not the files of every partition's store."""
+    df.sparkSession.conf.set(f"{STORE}.providerClass", ROCKSDB)
+    df.sparkSession.conf.set(f"{STORE}.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 class Released(StatefulProcessor):
@@ -289,15 +292,16 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], folder: Callable[
     return out
 
 
-def end_of_input(stream: DataFrame) -> bool:
-    """Land a mark after all rows of a stream: its watermark passes them, and all state ends. False for streams without marks."""
-    if stream not in _MARKS:
-        return False
+def can_end(stream: DataFrame) -> bool:
+    return stream in _MARKS
+
+
+def end_of_input(stream: DataFrame) -> None:
+    """Land a mark after all rows of a stream: its watermark passes them, and all state ends."""
     marks, shape, at = _MARKS[stream]
     end = F.lit(END).cast("timestamp")
     one = stream.sparkSession.range(1).select(*[(end if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
     one.write.mode("append").parquet(marks)
-    return True
 
 
 class SilenceWatch(Released):

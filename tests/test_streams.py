@@ -1,13 +1,16 @@
 """Streams whose files arrive in any order, one a batch, against their batch twins."""
 
+import glob
+import os
 import random
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import monitors as mo, reconcile as rc
-from talkweave.session import scratch_dir
+from talkweave.session import scratch_dir, scratch_root
 from talkweave.streaming import streams as st
 
 
@@ -126,3 +129,31 @@ def test_timers_do_not_follow_the_chunks_of_a_track(spark):
 def test_timers_do_not_follow_the_tracks(spark):
     df = spark.range(20_000).selectExpr("cast(id as int) as track_id", "id as cb_ord", "id * 10000000 as host_nanos", "48000D as declared_rate", "7200 as frames")
     assert 0 < most_timers(spark, df, lambda s: st.rate_drift(s, ["track_id"])) < 10_000
+
+
+@pytest.fixture
+def finished(spark):
+    """finished(purpose): the checkpoint of a stream that ran to the end of its input, its rows all in one file."""
+    def run(purpose):
+        path = scratch_dir(spark, "whole")
+        df = spark.createDataFrame([(k % 3, 40 * k * (1 + k % 3)) for k in range(120)], "session_id int, failed_at_s bigint").coalesce(1)
+        df.write.parquet(path)
+        purpose = f"{purpose}-{uuid.uuid4().hex}"
+        got = st.collect_appended(st.retry_streaks(spark.readStream.schema(df.schema).parquet(path)), purpose)
+        assert got.count() == 120
+        [state] = glob.glob(os.path.join(scratch_root(spark), f"{purpose}-*-state"))
+        return state
+    return run
+
+
+def test_the_end_of_the_input_takes_three_batches(spark, finished):
+    """The rows, the mark, and the one after the mark; nothing is left over for the session's other streams."""
+    before = spark.conf.get(st.ROWLESS)
+    assert len(glob.glob(finished("batches") + "/commits/[0-9]*")) == 3
+    assert spark.conf.get(st.ROWLESS) == before
+
+
+def test_later_batches_write_changes_only(finished):
+    """The first batch makes the parts of the state and writes them whole."""
+    files = [os.path.basename(f) for f in glob.glob(finished("changes") + "/state/**", recursive=True)]
+    assert {f for f in files if f.endswith(".zip")} == {"1.zip"} and "3.changelog" in files
