@@ -7,14 +7,15 @@ two uses follow.
   more than half are then equal in both. With all fragments in one global order, rarest first, two such sets have an
   equal one among the first ``r + 1`` of each, so only these are looked at: a passage that many documents share makes its
   fragments common, and they come last. Sizes are banded so that the two sets of a pair are cut alike; a set that
-  reaches into lower bands is cut for those too.
+  reaches into lower bands is cut for those too. Families that come out large are chained anew by exact counts (``families``).
   First of all, sets that have too little in common with all others together are left out (``retained``).
-* Counts. Sets chained by equal fragments form a family. Families are laid out in blocks; every pair of blocks is
-  compared one fragment at a time, each giving a small matrix of partial overlaps, and the matrices of a pair of blocks
+* Counts. Sets chained by equal fragments form a family. Families are laid out in blocks, and blocks in parts; every pair of
+  parts is compared one fragment at a time, each giving a small matrix of partial overlaps, and the matrices of a pair of parts
   are summed. Blocks hold sets of like size; those whose sizes cannot link do not meet. The sums are exact overlaps, so the similarity test is exact.
 
 Equal sets are one class from the start and copies are never paired. No pair is emitted as a row: what leaves a pair of
-blocks is a spanning forest of its links and each member's number of links. A block travels as one row.
+parts is a spanning forest of its links and each member's number of links. A block travels as one row, once to each part that
+it meets: its shingles once each, and the places of its members' among them, so near copies take little room.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ from pyspark.sql.window import Window
 
 from ..session import written
 from .components import components
+from .families import _led, _meet, refined
 from .ragged import U, Words, mix, packed, shingle_sets, text_slices, unpacked
 from .rarity import CELLS, cell_counts, rarest
 from .retained import hashed_sets, hopeful, sketched
 
-BLOCK = 128                # sets in a block; a task holds two blocks of one fragment
+BLOCK = 128                # sets in a block; a task holds the blocks of two parts, of one fragment
+SPAN = 16                  # blocks of a family from which a part holds more than one
+PART = 4                   # blocks in a part at most
 FRAGMENTS = 4              # fragments the overlaps are counted in
 BAND = 1.5                 # ratio of the sizes that are cut alike
 KEYS = 1 << 20             # fragment keys a task sorts at once
@@ -78,30 +82,42 @@ def fragment_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         keys.append(key[chosen])
         filled = np.bincount(d, minlength=len(size))
         for k in np.flatnonzero(wanted & (filled <= most)):
-            empty = np.setdiff1d(np.arange(2 * most[k] + 2, dtype=U), cut[d == k])
-            empty = np.sort(mix(mix(empty * U(4099) + U(tag[k]))))[:most[k] + 1 - filled[k]]
+            empty = _empty(cut[d == k], most[k], tag[k])
             docs.append(np.full(len(empty), k))
             keys.append(empty)
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _empty(cut: np.ndarray, most: int, tag: int) -> np.ndarray:
+    """Keys of the first empty fragments of a set that has too few others."""
+    empty = np.setdiff1d(np.arange(2 * most + 2, dtype=U), cut)
+    return np.sort(mix(mix(empty * U(4099) + U(tag))))[:most + 1 - len(cut)]
+
+
+def _owned(batches, width, percent):
+    """All fragments as (owner, key, last, table) of ``families.exact_edges``: a set is an owner in each band it reaches into."""
+    for doc, value, size, cls in _class_sets(batches, width):
+        owners, keys, lasts, tables, n = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, bool)], [np.empty((0, 2), np.int64)], 0
+        for tag, wanted, most, d, cut, key in _fragments(doc, value, size, percent):
+            place = wanted.cumsum() - 1 + n
+            filled = np.bincount(d, minlength=len(size))
+            found = [(place[d], key, np.zeros(len(d), bool))]
+            for k in np.flatnonzero(wanted & (filled <= most)):
+                empty = _empty(cut[d == k], most[k], tag[k])
+                found.append((np.full(len(empty), place[k]), empty, np.ones(len(empty), bool)))
+            for out, part in zip((owners, keys, lasts), zip(*found, strict=True), strict=True):
+                out += part
+            tables.append(np.column_stack([cls[wanted], most[wanted] + 1]))
+            n += int(wanted.sum())
+        yield np.concatenate(owners), np.concatenate(keys), np.concatenate(lasts), np.concatenate(tables)
+
+
 def _all_keys(batches, width, percent):
     for doc, value, size, _ in _class_sets(batches, width):
         for *_, key in _fragments(doc, value, size, percent):
             yield key
 
 
-def _led(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, class) for each key, and edges from the other classes under that key to it."""
-    order = np.lexsort((cls, keys))
-    keys, cls = keys[order], cls[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    lead = cls[np.flatnonzero(first)[first.cumsum() - 1]] if len(cls) else cls
-    pairs = np.unique(np.stack([cls, lead], 1)[cls != lead], axis=0)
-    return keys[first], cls[first], pairs
-
-
 def _class_sets(batches, width):
     """(doc, hash, size, class) of the sets of each slice of (cls, text)."""
     for cls, doc, value, size, _ in hashed_sets(batches, width):
@@ -143,23 +159,12 @@ def _packed(batches, width, percent, buckets, counts):
         yield out(flush())
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    keys, cls, pairs = [], [], []
-    for k, o, c, e in zip(*(table.column(x).to_pylist() for x in ("keys", "owner", "classes", "edges")), strict=True):
-        keys.append(np.frombuffer(k, U))
-        cls.append(np.frombuffer(c, np.int64)[np.frombuffer(o, np.uint32)])
-        pairs.append(np.frombuffer(e, np.int64).reshape(-1, 2))
-    pairs.append(_led(np.concatenate(keys), np.concatenate(cls))[2])
-    edges = np.unique(np.concatenate(pairs), axis=0)
-    return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
-
-
-_CUT = "cls long, copies long, family long, block int, low int, high int, size long, fragment int, piece binary"
+_CUT = "cls long, copies long, family long, block int, part int, low int, high int, size long, fragment int, piece binary"
 
 
 def _cut(batches, width):
-    """The sets of family members in FRAGMENTS pieces; a row each, empty pieces too. Columns: text, then _CUT's first six."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    """The sets of family members in FRAGMENTS pieces; a row each, empty pieces too. Columns: text, then _CUT's first seven."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
     names = [part.split()[0] for part in _CUT.split(",")]
     for batch in batches:
         for row, data, bounds in text_slices(batch.column(0)):
@@ -169,7 +174,7 @@ def _cut(batches, width):
             cut = (value >> U(32)) * U(FRAGMENTS) >> U(32)
             at = np.searchsorted(doc * FRAGMENTS + cut.astype(np.int64), np.arange(words.docs * FRAGMENTS + 1))
             for r in range(words.docs):
-                rest = [batch.column(c)[row + r].as_py() for c in range(1, 7)]
+                rest = [batch.column(c)[row + r].as_py() for c in range(1, 8)]
                 pieces = [value[at[r * FRAGMENTS + f]:at[r * FRAGMENTS + f + 1]].tobytes() for f in range(FRAGMENTS)]
                 yield pa.record_batch([pa.array([x] * FRAGMENTS, t) for x, t in zip(rest, types, strict=True)]
                                       + [pa.array([int(size[r])] * FRAGMENTS, pa.int64()), pa.array(range(FRAGMENTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
@@ -196,32 +201,52 @@ def _groups(batches, keys: int):
         yield now, held
 
 
-def _overlaps(member: np.ndarray, value: np.ndarray, sets: int) -> np.ndarray:
-    """Shared elements of every two of a few sets, given as (member, value)."""
+def _overlaps(member: np.ndarray, value: np.ndarray, sets: int, left: int | None = None) -> np.ndarray:
+    """Shared elements of every two of a few sets, given as (member, value); with ``left``, of each of the first with each of the rest."""
     _, at, times = np.unique(value, return_inverse=True, return_counts=True)
     shared = times > 1
     place = shared.cumsum() - 1
     keep = shared[at]
     member, at = member[keep], place[at[keep]]
-    total = np.zeros((sets, sets), np.float32)
+    total = np.zeros((sets, sets) if left is None else (left, sets - left), np.float32)
     order = np.argsort(at, kind="stable")
     member, at = member[order], at[order]
     for lo in range(0, int(shared.sum()), 4096):
         i, j = np.searchsorted(at, (lo, lo + 4096))
         part = np.zeros((sets, int(at[j - 1]) - lo + 1), np.float32)
         part[member[i:j], at[i:j] - lo] = 1
-        total += part @ part.T
+        total += part @ part.T if left is None else part[:left] @ part[left:].T
     return total.astype(np.int32)
 
 
+def shelved(lists: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Ascending lists of 64-bit values as (the values once each, the places of each list among them)."""
+    values, at = np.unique(np.concatenate([np.empty(0, U), *lists]), return_inverse=True)
+    steps = np.diff(at, prepend=0)
+    size = np.array([len(x) for x in lists], np.int64)
+    first = (size.cumsum() - size)[size > 0]
+    steps[first] = at[first]
+    return packed(np.diff(values, prepend=U(0))), packed(steps)
+
+
+def unshelved(values: bytes, places: bytes, size: np.ndarray) -> np.ndarray:
+    """What ``shelved`` took, one list after the other; ``size``: of each list."""
+    steps, size = unpacked(places), size[size > 0]
+    run = steps.cumsum()
+    first = size.cumsum() - size
+    return unpacked(values).astype(U).cumsum(dtype=U)[run - np.repeat(run[first] - steps[first], size)]
+
+
 def _bundled(batches):
-    """A row per (family, block, fragment): who is in the block, and their pieces one after the other."""
+    """A row per (family, block, fragment): who is in the block, and their pieces."""
     for (family, block, fragment), held in _groups(batches, 3):
         held = sorted(held)
-        who = np.array([(cls, block, size, copies, len(piece) // 8) for cls, size, copies, _, _, piece in held], np.int64)
-        yield pa.record_batch([pa.array([family], pa.int64()), *(pa.array([x], pa.int32()) for x in (block, held[0][3], held[0][4], fragment)),
-                               pa.array([who.tobytes()], pa.binary()), pa.array([b"".join(r[5] for r in held)], pa.binary())],
-                              names=["family", "block", "low", "high", "fragment", "members", "pieces"])
+        _, _, _, part, low, high, _ = held[0]
+        who = np.array([(cls, part, size, copies, len(piece) // 8) for cls, size, copies, *_, piece in held], np.int64)
+        values, places = shelved([np.frombuffer(r[6], U) for r in held])
+        yield pa.record_batch([pa.array([family], pa.int64()), *(pa.array([x], pa.int32()) for x in (block, part, low, high, fragment)),
+                               *(pa.array([x], pa.binary()) for x in (who.tobytes(), values, places))],
+                              names=["family", "block", "part", "low", "high", "fragment", "members", "values", "places"])
 
 
 def _partial(batches):
@@ -232,10 +257,13 @@ def _partial(batches):
             [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["family", "i", "j", "fragment", "members", "overlaps"])
 
     for (family, i, j, fragment), held in _groups(batches, 4):
-        who = np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 5) for r in held])
+        held = sorted(held, key=lambda r: r[:2])
+        each = [np.frombuffer(r[2], np.int64).reshape(-1, 5) for r in held]
+        who = np.concatenate(each)
+        value = np.concatenate([unshelved(r[3], r[4], w[:, 4]) for r, w in zip(held, each, strict=True)])
         member = np.repeat(np.arange(len(who)), who[:, 4])
-        overlaps = _overlaps(member, np.concatenate([np.frombuffer(r[2], U) for r in held]), len(who))
-        rows.append((family, i, j, fragment, who[:, :4].tobytes() if not fragment else b"", packed(overlaps.ravel())))
+        left = None if i == j else int((who[:, 1] == i).sum())
+        rows.append((family, i, j, fragment, who[:, :4].tobytes() if not fragment else b"", packed(_overlaps(member, value, len(who), left).ravel())))
         if len(rows) >= 64:
             yield out()
             rows = []
@@ -247,12 +275,16 @@ def _linked(batches, percent):
     rows = []
     for (_, i, j), held in _groups(batches, 3):
         who = np.frombuffer(next(r[1] for r in held if r[0] == 0), np.int64).reshape(-1, 4)
-        overlap = sum(unpacked(r[2]) for r in held).reshape(len(who), len(who))
-        cls, block, size, copies = who.T
-        link = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
-        np.fill_diagonal(link, False)
+        cls, part, size, copies = who.T
+        left = len(who) if i == j else int((part == i).sum())
+        right = 0 if i == j else left
+        overlap = sum(unpacked(r[2]) for r in held).reshape(left, len(who) - right)
+        some = 100 * overlap >= percent * (size[:left, None] + size[None, right:] - overlap)
+        link = np.zeros((len(who), len(who)), bool)
+        link[:left, right:] = some
         if i != j:
-            link &= block[:, None] != block[None, :]
+            link[right:, :left] = some.T
+        np.fill_diagonal(link, False)
         low = np.arange(len(who))
         while True:
             new = np.minimum(low, np.where(link, low[None, :], len(who)).min(1))
@@ -299,9 +331,10 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         return _packed(batches, width, percent, buckets, shared.value)
 
     edges = texts.mapInArrow(key_rows, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    families = components(edges, "ngram-families")
+    each = 2 * keys // max(1, hopes.count()) + 1
+    families = refined(components(edges, "ngram-families"), texts, partial(_owned, width=width, percent=percent), each, "ngram-refined")
 
-    # Blocks of like size: two sets that link lie in the same band of sizes or in neighbouring ones.
+    # Blocks of like size, in parts of one or a few blocks: two sets that link lie in the same band of sizes or in neighbouring ones.
     ratio = max(100 / percent, 1.0001)
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
     member = families.join(classes.withColumnRenamed("cls", "node"), "node").withColumn("band", band)
@@ -310,19 +343,22 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     bands = bands.withColumn("first", F.sum("n").over(along) - F.col("n"))
     low = F.when(F.lag("band").over(along) == F.col("band") - 1, F.lag("first").over(along)).otherwise(F.col("first"))
     high = F.col("first") + F.col("n") - 1 + F.when(F.lead("band").over(along) == F.col("band") + 1, F.lead("n").over(along)).otherwise(0)
-    bands = bands.select("root", "band", "n", "first", low.cast("int").alias("low"), high.cast("int").alias("high"))
+    step = F.least(F.ceil(F.sum("n").over(Window.partitionBy("root")) / F.lit(SPAN)), F.lit(PART)).cast("int")
+    bands = bands.select("root", "band", "n", "first", step.alias("step"), low.alias("low"), high.alias("high"))
+    part = lambda block: F.floor(block / F.col("step")).cast("int")
     members = written(
         member.join(bands, ["root", "band"])
         .select(F.col("node").alias("cls"), "copies", F.col("root").alias("family"),
-                (F.col("first") + F.pmod(F.xxhash64("node"), F.col("n"))).cast("int").alias("block"), "low", "high"), "ngram-members")
+                (F.col("first") + F.pmod(F.xxhash64("node"), F.col("n"))).cast("int").alias("block"), "step", "low", "high")
+        .withColumns({"part": part(F.col("block")), "low": part(F.col("low")), "high": part(F.col("high"))}).drop("step"), "ngram-members")
     chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    pieces = texts.join(chosen, "cls").select("text", "cls", "copies", "family", "block", "low", "high").mapInArrow(partial(_cut, width=width), _CUT)
-    bundles = (pieces.select("family", "block", "fragment", "cls", "size", "copies", "low", "high", "piece")
+    pieces = texts.join(chosen, "cls").select("text", "cls", "copies", "family", "block", "part", "low", "high").mapInArrow(partial(_cut, width=width), _CUT)
+    bundles = (pieces.select("family", "block", "fragment", "cls", "size", "copies", "part", "low", "high", "piece")
                .repartition("family", "block", "fragment").sortWithinPartitions("family", "block", "fragment")
-               .mapInArrow(_bundled, "family long, block int, low int, high int, fragment int, members binary, pieces binary"))
+               .mapInArrow(_bundled, "family long, block int, part int, low int, high int, fragment int, members binary, values binary, places binary"))
     paired = (bundles.withColumn("other", F.explode(F.sequence("low", "high")))
-              .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment", "block", "members", "pieces"))
-    counted = (paired.repartition("family", "i", "j", "fragment").sortWithinPartitions("family", "i", "j", "fragment", "block")
+              .select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fragment", "part", "block", "members", "values", "places"))
+    counted = (paired.repartition("family", "i", "j", "fragment").sortWithinPartitions("family", "i", "j", "fragment", "part", "block")
                .mapInArrow(_partial, "family long, i int, j int, fragment int, members binary, overlaps binary"))
     linked = written(counted.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "fragment")
                      .mapInArrow(partial(_linked, percent=percent), "a long, b long, links long"), "ngram-links")

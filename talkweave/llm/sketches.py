@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .ngram_join import _groups, _led, _meet, _overlaps
+from .families import _led, _meet
+from .ngram_join import _groups, _overlaps
 from .ragged import U, Words, mix, shingle_sets, sum_by, text_slices
 from .rarity import cell_counts, rarest
 from .retained import K, POSTINGS, SIGMAS, _bucket, _spread, _unrolled, buckets_of, hopeful, least_shared, retained, sketched
