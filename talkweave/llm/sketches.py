@@ -5,10 +5,11 @@
   each set, those it has in common with any other: with too few, it links with nothing. Of the others, in one global order
   (rarest first, ``rarity``), two that link share a value among the first few of each. Only those are posted then, and sets
   under one value are chained into families. A passage that many documents share is common, comes last in the order,
-  and chains only documents that consist of little else.
+  and chains only documents that consist of little else. Families that come out large are chained anew by exact counts (``families``).
 * Overlaps. A family is compared in chunks: inverted lists of all retained values give every two sketches' overlap; the
   sketch of the union of the two (its ``K`` smallest values) estimates the similarity; estimates within ``SIGMAS`` standard
-  deviations of the threshold or above are verified on the full sets. Pairs already joined are not looked at again.
+  deviations of the threshold or above are verified on the full sets. Pairs already joined are not looked at again. Where a large
+  family is left in parts, its sets are laid out in blocks that travel as one row each, and the blocks are compared.
 
 Equal sets are one class from the start. No pair is emitted: what leaves a chunk is a spanning forest of verified links.
 """
@@ -21,17 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import written
 from .components import components
-from .families import _led, _meet
-from .ngram_join import _groups, _overlaps
+from .families import _led, _meet, refined
+from .ngram_join import _groups, _overlaps, shelved, unshelved
 from .ragged import U, Words, mix, shingle_sets, sum_by, text_slices
 from .rarity import cell_counts, rarest
-from .retained import K, POSTINGS, SIGMAS, _bucket, _spread, _unrolled, buckets_of, hopeful, least_shared, retained, sketched
+from .retained import K, POSTINGS, SIGMAS, _bucket, _spread, _unrolled, buckets_of, hashed_sets, hopeful, least_shared, retained, sketched
 
 CHUNK = 512                # sets compared in one task at once
 LEADERS = 8                # sets of a large family that every chunk of it meets
+MANY = 4                   # pairs to verify for each set from which the overlaps of all full sets are counted at once
 BROADCAST_ROWS = 500_000   # rows (48 bytes each) up to which they are broadcast
 SALTS = 8                  # parts into which the copies of one text are cut where results are joined back
 
@@ -43,6 +46,13 @@ def _postings(doc: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int
     return doc[some], value[some]
 
 
+def _owned(batches, percent):
+    """The retained values as (owner, key, last, table) of ``families.exact_edges``."""
+    for doc, value, size, cls in _unrolled(batches):
+        doc, value = retained(doc, value, len(size))
+        yield doc, value, np.zeros(len(doc), bool), np.column_stack([cls, np.minimum(size, K) - least_shared(size, percent) + 1])
+
+
 def _values(batches):
     for _, value, _, _ in _unrolled(batches):
         yield value
@@ -100,22 +110,28 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], label: np.ndarray, active: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], label: np.ndarray, active: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j), one for each two parts of the sets that they join; sets with equal labels are joined already. Only
-    pairs with at least one ``active`` set are looked at."""
+    pairs with at least one ``active`` set are looked at, and with ``side`` only those of two sides."""
     size = np.array([len(s) for s in sets], np.int64)
     member = np.repeat(np.arange(len(sets)), np.minimum(size, K))
     shared = _overlaps(member, np.concatenate([s[:K] for s in sets]), len(sets))
     need = least_shared(size, percent)
     may = (shared >= np.maximum(need[:, None], need[None, :])) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
     may &= active[:, None] | active[None, :]
+    if side is not None:
+        may &= side[:, None] != side[None, :]
+    sure = np.count_nonzero(may & (label[:, None] != label[None, :])) > 2 * MANY * len(sets)
+    if sure:
+        both = _overlaps(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
+        may &= 100 * both >= percent * (size[:, None] + size[None, :] - both)
     label, out = label.copy(), []
     for i in range(1, len(sets)):
         rest = np.flatnonzero(may[i, :i] & (label[:i] != label[i]))
         rest = rest[np.argsort(-shared[i, rest], kind="stable")]
         while len(rest):
             j, rest = rest[0], rest[1:]
-            if linked(sets[i], sets[j], percent):
+            if sure or linked(sets[i], sets[j], percent):
                 out.append((i, int(j)))
                 label[label == label[j]] = label[i]
                 rest = rest[label[rest] != label[i]]
@@ -164,6 +180,63 @@ def _compared(docs: DataFrame, chosen: DataFrame, width: int, percent: int, purp
     return written(texts.repartition("family", "chunk").sortWithinPartitions("family", "chunk").mapInArrow(partial(_joined, width=width, percent=percent), "a long, b long"), purpose)
 
 
+def _own_sets(batches, width):
+    """The sets of rows (cls, text, family, block, part, rest) whose text is of that class, with the other columns."""
+    for batch in batches:
+        at = 0
+        for _, doc, value, size, cls in hashed_sets([batch], width):
+            own = batch.slice(at, len(size))
+            at += len(size)
+            cut = np.searchsorted(doc, np.arange(len(size) + 1))
+            rows = pa.array([value[cut[k]:cut[k + 1]].tobytes() for k in range(len(size))], pa.binary())
+            found = pa.record_batch([*(own.column(x) for x in ("family", "block", "cls", "part", "rest")), rows], names=["family", "block", "cls", "part", "rest", "values"])
+            yield found.filter(pa.array(cls == np.asarray(own.column("cls"))))
+
+
+def _shelves(batches):
+    """A row per (family, block): its members (class, part, rest, size), and their sets."""
+    for (family, block), held in _groups(batches, 2):
+        held = list({r[0]: r for r in held}.values())
+        who = np.array([(cls, part, rest, len(value) // 8) for cls, part, rest, value in held], np.int64)
+        yield pa.record_batch([pa.array([family], pa.int64()), pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in (who.tobytes(), *shelved([np.frombuffer(r[3], U) for r in held])))],
+                              names=["family", "block", "members", "values", "places"])
+
+
+def _far_joined(batches, percent):
+    """Verified links between the members of two blocks, or within one, as a forest over classes."""
+    for _, held in _groups(batches, 3):
+        each = [np.frombuffer(r[1], np.int64).reshape(-1, 4) for r in held]
+        who = np.concatenate(each)
+        sets = [x for r, w in zip(held, each, strict=True) for x in np.split(unshelved(r[2], r[3], w[:, 3]), w[:, 3].cumsum()[:-1])]
+        label = np.unique(who[:, 1], return_inverse=True)[1]
+        side = np.repeat(np.arange(len(each)), [len(w) for w in each]) if len(each) > 1 else None
+        links = forest(sets, label, who[:, 2] == 1, percent, side)
+        if links:
+            yield pa.record_batch([pa.array([int(who[x[c], 0]) for x in links], pa.int64()) for c in range(2)], names=["a", "b"])
+
+
+def _far(docs: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of the ``rest`` of families with each other and with their core; ``large``: rep, cls, family, band, part, rest."""
+    spare = F.floor((F.count(F.lit(1)) - 1) / F.lit(CHUNK // 2)).cast("int") + 1
+    along = Window.partitionBy("family").orderBy(F.col("rest").desc(), "band")
+    shelf = large.groupBy("family", "rest", "band").agg(spare.alias("n")).withColumn("first", (F.sum("n").over(along) - F.col("n")).cast("int"))
+    own = written(large.join(shelf, ["family", "rest", "band"])
+                  .select("rep", "cls", "family", "part", F.col("rest").cast("int").alias("rest"), (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("n"))).cast("int").alias("block")), "sketch-blocks")
+    # Each block of the rest meets, of what has a size in reach, the core and the blocks of the rest from itself on.
+    left = shelf.filter("rest").select("family", F.col("band").alias("near"), F.explode(F.expr("sequence(first, first + n - 1)")).alias("i"))
+    right = shelf.select("family", "band", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j"))
+    pairs = (left.join(right, "family").filter("abs(near - band) <= 1 and i <= j")
+             .select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
+    hint = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    sets = docs.join(hint, docs.doc_id == hint.rep).select("cls", "text", "family", "block", "part", "rest")
+    shelves = (sets.mapInArrow(partial(_own_sets, width=width), "family long, block int, cls long, part long, rest int, values binary")
+               .repartition("family", "block").sortWithinPartitions("family", "block", "cls")
+               .mapInArrow(_shelves, "family long, block int, members binary, values binary, places binary"))
+    met = shelves.join(pairs, ["family", "block"]).select("family", "i", "j", "block", "members", "values", "places")
+    return written(met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block")
+                   .mapInArrow(partial(_far_joined, percent=percent), "a long, b long"), "sketch-far")
+
+
 def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that join all classes of a family that any links join."""
     many = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -188,21 +261,7 @@ def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, width: int,
     large = written(large.join(core, "family").withColumn("band", band).withColumn("rest", F.col("part") != F.col("core")), "sketch-rest")
     if large.isEmpty():
         return near
-    half = CHUNK // 2
-    width_of = large.groupBy("family", "band").agg((F.floor(F.count(F.lit(1)) / F.lit(half)).cast("int") + 1).alias("blocks"), (F.floor(F.count_if("rest") / F.lit(half)).cast("int") + 1).alias("loose"))
-    block = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    own = large.join(width_of, ["family", "band"])
-    # a group is (band of the loose block, loose block, band of the other block, other block)
-    group = lambda *c: F.xxhash64("family", *c)
-    near_bands = width_of.select("family", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"))
-    loose = (own.filter("rest").withColumn("i", block(F.col("loose"))).join(near_bands, "family").filter(F.abs(F.col("band") - F.col("other")) <= 1)
-             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-             .select("rep", "cls", "family", group("band", "i", "other", "j").alias("chunk"), F.col("part").alias("label"), F.lit(1).alias("active")))
-    near_loose = width_of.select("family", F.col("band").alias("other"), F.col("loose").alias("other_loose"))
-    rest = (own.withColumn("j", block(F.col("blocks"))).join(near_loose, "family").filter(F.abs(F.col("band") - F.col("other")) <= 1)
-            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("other_loose") - 1)))
-            .select("rep", "cls", "family", group("other", "i", "band", "j").alias("chunk"), F.col("part").alias("label"), F.lit(0).alias("active")))
-    far = _compared(docs, loose.unionByName(rest), width, percent, "sketch-far")
+    far = _far(docs, large.select("rep", "cls", "family", "band", "part", "rest"), width, percent)
     return near.unionByName(far)
 
 
@@ -231,7 +290,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         return _posted(batches, percent, buckets, shared.value)
 
     edges = chosen.mapInArrow(posted, "bucket int, keys binary, owner binary, classes binary, edges binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    families = components(edges, "sketch-families")
+    families = refined(components(edges, "sketch-families"), chosen, partial(_owned, percent=percent), K, "sketch-refined")
     joined = components(_links(docs, classes, families, width, percent), "sketch-components")
     lowest = joined.join(classes.withColumnRenamed("cls", "node"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     found = joined.join(lowest, "root").select(F.col("node").alias("cls"), "component")

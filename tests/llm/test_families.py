@@ -1,7 +1,9 @@
 """Large families: chained by exact counts, and compared without a copy of every set for each other block."""
 import numpy as np
 
-from talkweave.llm import families as A, ngram_join as J
+import pytest
+
+from talkweave.llm import families as A, ngram_join as J, sketches as S
 from test_ngram_join import edited, expected
 
 
@@ -62,3 +64,39 @@ def test_parts_meet_once():
     member, value = np.unique(np.stack([member.astype(np.uint64), value]), axis=1)
     member = member.astype(np.int64)
     assert (J._overlaps(member, value, 9, 4) == J._overlaps(member, value, 9)[:4, 4:]).all()
+
+
+@pytest.mark.parametrize("side", [None, np.arange(60) // 30])
+def test_forest_by_counts_joins_what_pairs_join(monkeypatch, side):
+    """Whether pairs are verified one by one or all overlaps are counted, the same parts come out."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2 ** 64, 300, np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(base)[n:], r.integers(0, 2 ** 64, n, np.uint64)])) for n in r.integers(2, 60, 60)]
+    label, active, parts = np.arange(60), r.random(60) < 0.7, []
+    for many in (0, 10 ** 6):
+        monkeypatch.setattr(S, "MANY", many)
+        part = np.arange(60)
+        for i, j in S.forest(sets, label, active, 80, side):
+            part[part == part[j]] = part[i]
+        parts.append((part[:, None] == part[None, :]).tolist())
+    assert parts[0] == parts[1] and 60 < np.sum(parts[0]) < 3600
+
+
+def test_rest_of_a_large_family_moves_its_texts_once(rng, prose, documents, monkeypatch):
+    """Near copies of two texts and others that share most of one and link with nothing: texts go to the chunks, not to every block."""
+    monkeypatch.setattr(S, "CHUNK", 16)
+    monkeypatch.setattr(A, "LARGE", 16)
+    moved, keep = [], S._compared
+
+    def compared(docs, chosen, *more):
+        moved.append(chosen.count())
+        return keep(docs, chosen, *more)
+
+    monkeypatch.setattr(S, "_compared", compared)
+    a, b = prose(150), prose(200)
+    rows = [edited(rng, a, rng.randrange(1, 9)) for _ in range(50)] + [edited(rng, b, rng.randrange(1, 7)) for _ in range(30)] + [edited(rng, a, 7) for _ in range(60)]
+    rows += [f"{a} {b}"] + [f"{a} {prose(30)}"]
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in S.near_copies(documents(rows), 4, 80).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [r[:3] for r in expected(rows, 4, 80)]
+    assert sum(moved) <= 5 * len(rows)
